@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, language, mixing, pieces
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
 }
