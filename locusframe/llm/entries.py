@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, pieces
+from . import chat, exact_dedup, language, media, mixing, pieces, quality
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_language_id": language.op2_language_id,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_media_columns": media.op9_media_columns,
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
 }
 
