@@ -69,15 +69,15 @@ def row_bytes(array: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, column: str = "text") -> DataFrame:
-    """Apply function to runs of rows of about 1 MB of text; it yields a dict of columns for each run."""
+def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, column: str = "text", limit: int = 1 << 20) -> DataFrame:
+    """Apply function to runs of rows of about limit bytes of text; it yields dicts of columns."""
     from pyspark.sql.types import _parse_datatype_string
 
     names = _parse_datatype_string(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in text_batches(batch, column):
+            for start, stop in text_batches(batch, column, limit):
                 for made in function(batch.slice(start, stop - start)):
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (made[n] for n in names)], names=names)
 
