@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, markov, media, mixing, pieces, quality
+from . import chat, exact_dedup, language, markov, media, mixing, pieces, quality, repeats
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_language_id": language.op2_language_id,
+    "op3_repeated_strings": repeats.op3_repeated_strings,
     "op4_hmm_scores": markov.op4_hmm_scores,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op7_chat_formatting": chat.op7_chat_formatting,
