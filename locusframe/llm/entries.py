@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, markov, media, mixing, pieces, quality, repeats
+from . import chat, exact_dedup, language, markov, media, mixing, pieces, quality, repeats, similar
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_repeated_strings": repeats.op3_repeated_strings,
     "op4_hmm_scores": markov.op4_hmm_scores,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op6_ngram_jaccard": similar.op6_ngram_jaccard,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_media_columns": media.op9_media_columns,
