@@ -189,7 +189,7 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
     return predict(docs, filters).select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, spark, sf_dir: str, least: float = 0.1) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
     """The rows of docs in a known language, with their columns; a text is rejected when it has no
     letter or when its best language contains less than ``least`` of its n-grams."""
     filters = fit(docs.where(learnable(F.col("doc_id"))))
