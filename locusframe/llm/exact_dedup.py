@@ -255,12 +255,14 @@ def exact_duplicates(docs: DataFrame, memory: int = MEMORY, doc_id: str = "doc_i
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns."""
+    """The rows of docs that stay, with their columns. Of repeated rows one stays; the join and that
+    choice have the same keys, so texts are shuffled once."""
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("own_id")
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("doc_sha256") == F.col("kept_sha256"))
-    stay = docs.withColumn("doc_sha256", digest).join(kept, same, "left_semi")
-    return stay.dropDuplicates(["doc_id", "doc_sha256"]).drop("doc_sha256")
+    kept = exact_duplicates(docs).where("kept").select(own, F.col("text_sha256").alias("own_sha256"))
+    keys = ["own_id", "own_sha256"]
+    stay = docs.select("*", own, digest.alias("own_sha256")).join(kept, keys, "left_semi")
+    return stay.dropDuplicates(keys).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
