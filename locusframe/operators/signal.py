@@ -156,17 +156,20 @@ def interpolate_bp(points: DataFrame, knots: DataFrame, x: str = "scan", extrapo
 
 
 def rescale_to_grid(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> DataFrame:
-    """hid, px, scan, bp: for each of evenly spaced base pairs the scan with the nearest one, the lower on ties."""
+    """hid, px, scan, bp: for each of evenly spaced base pairs the scan with the nearest one, the lower
+    on ties. Each segment between two knots makes its own pixels, so no range join is needed."""
     first, last = bp_range
+    w = Window.partitionBy("hid").orderBy("scan")
+    place = lambda bp: F.ceil((F.col(bp) - first) * (pixels - 1) / (last - first))
+    sides = knots.select("hid", F.col("scan").cast("double").alias("s0"), F.lead(F.col("scan").cast("double")).over(w).alias("s1"), F.col("bp").alias("b0"), F.lead("bp").over(w).alias("b1"))
+    ends = sides.where("s1 is not null").withColumn("p0", place("b0")).withColumn("p1", F.when(F.col("b1") == last, pixels - 1).otherwise(place("b1") - 1))
+    grid = ends.where("p0 <= p1").select("hid", "s0", "s1", "b0", "b1", F.explode(F.sequence("p0", "p1")).alias("px"))
     target = F.lit(float(first)) + F.col("px") * F.lit(float(last - first)) / F.lit(float(pixels - 1))
-    grid = knot_arrays(knots).select("hid", "knots", F.explode(F.sequence(F.lit(0), F.lit(pixels - 1))).alias("px")).withColumn("_t", target)
-    turned = F.transform("knots", lambda p: F.struct(p["y"].alias("x"), p["x"].alias("y")))
-    exact = piecewise(F.col("_t"), turned, extrapolate=True)
-    end = F.element_at("knots", F.lit(-1))["x"]
-    near = grid.withColumn("_lo", F.least(F.floor(exact + 1e-9).cast("double"), end)).withColumn("_hi", F.least(F.col("_lo") + 1, end))
-    both = near.withColumn("_b0", piecewise(F.col("_lo"), F.col("knots"))).withColumn("_b1", piecewise(F.col("_hi"), F.col("knots")))
-    lower = F.abs(F.col("_t") - F.col("_b0")) <= F.abs(F.col("_b1") - F.col("_t"))
-    return both.select("hid", "px", F.when(lower, F.col("_lo")).otherwise(F.col("_hi")).cast("int").alias("scan"), F.when(lower, F.col("_b0")).otherwise(F.col("_b1")).alias("bp"))
+    step = (F.col("b1") - F.col("b0")) / (F.col("s1") - F.col("s0"))
+    near = grid.withColumn("t", target).withColumn("step", step).withColumn("lo", F.least(F.floor(F.col("s0") + (F.col("t") - F.col("b0")) / F.col("step") + 1e-9).cast("double"), F.col("s1")))
+    low = F.col("b0") + (F.col("lo") - F.col("s0")) * F.col("step")
+    up = (F.col("t") - low > low + F.col("step") - F.col("t")) & (F.col("lo") < F.col("s1"))
+    return near.select("hid", F.col("px").cast("int").alias("px"), (F.col("lo") + up.cast("int")).cast("int").alias("scan"), (low + F.when(up, F.col("step")).otherwise(0.0)).alias("bp"))
 
 
 def resample_profile(raw: DataFrame, grid: DataFrame, size_standard: bool = False) -> DataFrame:

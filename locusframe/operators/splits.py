@@ -68,7 +68,7 @@ def grouped_kfold_split(rows: DataFrame, k: int, seed: int | str, stratum: str =
 
 def train_test_folds(folded: DataFrame, k: int) -> DataFrame:
     """Each row once per fold with its role in it."""
-    turns = folded.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast("bigint"))
+    turns = folded.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>")))
     return turns.withColumn("role", F.when(F.col("turn") == F.col("fold"), "test").otherwise("train"))
 
 

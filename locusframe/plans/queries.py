@@ -84,7 +84,7 @@ def annotation_label(spark, d):
     return v.table(spark, d, "orders").select("o_orderkey", fn.annotation_label(F.array("o_orderstatus", "o_orderstatus")).alias("label"))
 
 
-@query("donors_of_sample", sql("""SELECT key, array_to_string(list_transform(list_slice(letters, 1, noc), x -> nr || x), ',') AS donors FROM (
+@query("donors_of_sample", sql("""SELECT key, array_to_string(list_transform(list_slice(letters, 1, noc), lambda x: nr || x), ',') AS donors FROM (
   SELECT key, substr(name, 1, 1) AS nr, substr(name, 3, 1)::INT AS noc, CASE substr(name, 1, 1) WHEN '1' THEN ['A','B','C','D','E'] WHEN '2' THEN ['F','G','H','I','J'] WHEN '3' THEN ['K','L','M','N','O']
     WHEN '4' THEN ['P','Q','R','S','T'] WHEN '5' THEN ['U','V','W','X','Y'] WHEN '6' THEN ['Z','AA','AB','AC','AD'] END AS letters FROM names WHERE regexp_matches(substr(name, 1, 3), '^[0-9][A-F][0-9]$'))
   WHERE letters IS NOT NULL""", NAMES))
@@ -194,7 +194,7 @@ SEGMENTS = """segs AS (SELECT *, lead(scan) OVER w AS s2, lead(bp) OVER w AS b2,
 
 
 def scan_points(spark, d):
-    return v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("hid"), (F.explode(F.sequence(F.lit(0), F.lit(59))) * 100 + 2500).cast("bigint").alias("scan"))
+    return v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("hid"), F.explode(F.sequence(F.lit(2500), F.lit(8400), F.lit(100)).cast("array<bigint>")).alias("scan"))
 
 
 @query("interpolate_bp", sql("SELECT hid, scan, round(CASE WHEN out THEN 0e0 ELSE y END, 6) AS bp FROM lines WHERE hit", KNOTS, POINTS, SEGMENTS))
@@ -509,9 +509,6 @@ def profiles_per_noc(spark, d):
 
 # Loading
 
-ANN = "ann AS (SELECT name AS stem, c.name AS annotation FROM names c WHERE key % 3 = 0)"
-
-
 @query("profiles_with_annotation", sql("SELECT key, name AS stem, 'a' || key::VARCHAR AS annotation FROM names WHERE key % 3 = 0", NAMES))
 def profiles_with_annotation(spark, d):
     f = v.names(spark, d).select("key", F.col("name").alias("stem"))
