@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -59,7 +60,7 @@ class PatriciaOwners:
         self.root, self.memory, self.held = Node(b""), memory, 0
         self.files: list[str] = []
 
-    def insert(self, text: bytes, identifier: tuple, count: int, member: int) -> list | None:
+    def insert(self, text: bytes, identifier: tuple, count: int, members: list[int]) -> list | None:
         """The owner record [identifier, count, members], or None when the text went to a spill file."""
         node, at = self.root, 0
         while at < len(text):
@@ -70,7 +71,7 @@ class PatriciaOwners:
                 node, at = child, len(text)
             elif isinstance(child, str):
                 with open(child, "ab") as out:
-                    pickle.dump((text, identifier, count, [member]), out)
+                    pickle.dump((text, identifier, count, members), out)
                 return None
             elif text.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -81,11 +82,11 @@ class PatriciaOwners:
                 upper.children[child.label[0]] = child
                 node, at = upper, at + same
         if node.owner is None:
-            node.owner = [identifier, count, [member]]
+            node.owner = [identifier, count, members]
         else:
             node.owner[0] = min(node.owner[0], identifier)
             node.owner[1] += count
-            node.owner[2].append(member)
+            node.owner[2].extend(members)
         owner = node.owner
         if self.held > self.memory:
             self.spill()
@@ -104,6 +105,11 @@ class PatriciaOwners:
         with os.fdopen(handle, "wb") as out:
             for text, owner in terminals(node.children[first], path):
                 pickle.dump((text, *owner), out)
+            for inner in spilled(node.children[first]):  # their strings come here from now on
+                with open(inner, "rb") as part:
+                    shutil.copyfileobj(part, out)
+                os.unlink(inner)
+                self.files.remove(inner)
         node.children[first] = name
         self.files.append(name)
         self.held -= live[first]
@@ -121,18 +127,10 @@ class PatriciaOwners:
                         text, identifier, count, members = pickle.load(lines)
                     except EOFError:
                         break
-                    owner = part.insert(text, identifier, count, members[0])
-                    if owner is not None:
-                        owner[2] += members[1:]
-                    else:
-                        part.again(text, identifier, members[1:])
+                    part.insert(text, identifier, count, members)
             os.unlink(name)
             yield from part.owners()
 
-    def again(self, text: bytes, identifier: tuple, members: list[int]) -> None:
-        for member in members:
-            self.insert(text, identifier, 0, member)
-
 
 def weight(node: Node) -> int:
     total, left = 0, [node]
@@ -143,6 +141,15 @@ def weight(node: Node) -> int:
     return total
 
 
+def spilled(node: Node) -> list[str]:
+    found, left = [], [node]
+    while left:
+        x = left.pop()
+        found += [c for c in x.children.values() if isinstance(c, str)]
+        left += [c for c in x.children.values() if isinstance(c, Node)]
+    return found
+
+
 def terminals(node: Node, path: bytes) -> Iterator[tuple[bytes, list]]:
     left = [(node, path + node.label)]
     while left:
@@ -188,7 +195,7 @@ def local_tries(memory: int):
                 keys, firsts, digests = [], [], []
                 for doc_id, raw in zip(ids, texts):
                     text = normalised(raw)
-                    owner = trie.insert(text, (doc_id is None, doc_id or 0, key), 1, key)
+                    owner = trie.insert(text, (doc_id is None, doc_id or 0, key), 1, [key])
                     if isinstance(owner[2], list):  # met for the first time
                         owner[2] = First(key)
                         bodies[key] = text
@@ -210,7 +217,7 @@ def local_tries(memory: int):
 class First(int):
     """The row key of the first copy; later members only count."""
 
-    def append(self, member: int) -> None:
+    def extend(self, members: list[int]) -> None:
         pass
 
 
@@ -227,7 +234,7 @@ def owner_tries(memory: int):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("body", "least_id", "least_row", "copies", "local_key")]
             for body, least_id, least_row, copies, local_key in zip(*columns):
-                trie.insert(body, (least_id is None, least_id or 0, least_row), copies, local_key)
+                trie.insert(body, (least_id is None, least_id or 0, least_row), copies, [local_key])
         made: list[tuple] = []
         for (missing, keep_id, keep_row), count, members in trie.owners():
             made += [(m, None if missing else keep_id, keep_row, count) for m in members]

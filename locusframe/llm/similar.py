@@ -241,14 +241,14 @@ def verified(docs: DataFrame, families: DataFrame, block: int) -> DataFrame:
         sets = rows.column("shingles")
         own, low, high = (rows.column(c).to_numpy() for c in ("own", "low", "high"))
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            close = near_pairs([np.frombuffer(sets[i].as_py(), np.uint64) for i in range(s, e)])
-            np.fill_diagonal(close, False)
+            once = {(int(nodes[i]), sets[i].as_py()): i for i in range(s, e)}  # repeated rows count once
+            at = np.array(sorted(once.values(), key=lambda i: (nodes[i], i)))
+            close = near_pairs([np.frombuffer(sets[i].as_py(), np.uint64) for i in at.tolist()])
             if low[s] != high[s]:
-                close &= own[s:e, None] != own[None, s:e]
-            close &= nodes[s:e, None] != nodes[None, s:e]
-            order = np.argsort(nodes[s:e], kind="stable")
-            label = stars(*np.nonzero(close[np.ix_(order, order)]), e - s)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[s:e][order]), pa.array(close.sum(axis=1)[order].astype(np.int64)), pa.array(nodes[s:e][order][label])], names=["node", "links", "root"])
+                close &= own[at][:, None] != own[at][None, :]
+            close &= nodes[at][:, None] != nodes[at][None, :]
+            label = stars(*np.nonzero(close), len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(close.sum(axis=1).astype(np.int64)), pa.array(nodes[at][label])], names=["node", "links", "root"])
 
     return by_group(spread, ["family", "low", "high"], "node long, links long, root long", work, most=512)
 
