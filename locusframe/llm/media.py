@@ -210,5 +210,6 @@ def op9_media_columns(spark, sf_dir: str) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("string")
     html = F.concat(F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), size, F.lit("</figcaption></figure></article>"))
     found = references(sequences(docs.select("doc_id", html.alias("html")), "doc_id"))
-    whole = resolve(found, features(store(docs)))
+    described = written(features(store(docs)), "media-features")  # a plain side, so that a hot digest can be split
+    whole = resolve(found, described)
     return whole.select("doc_id", F.col("caption").cast("bigint").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
