@@ -41,6 +41,10 @@ def name_functions(spark, d):
     return v.names(spark, d).select("key", fn.is_rd_sample(n).alias("is_rd_sample"), fn.sample_prefix(n).alias("prefix"), fn.sample_noc(n).alias("noc"), fn.is_control_sample(n).alias("is_control"), fn.is_candidate_ladder(n).alias("is_ladder"))
 
 
+for _key, _column in (("is_rd_sample", "is_rd_sample"), ("sample_prefix", "prefix"), ("sample_noc", "noc"), ("is_control_sample", "is_control"), ("is_candidate_ladder", "is_ladder")):
+    query(_key, f"SELECT key, {_column} FROM ({ORACLES['name_functions']})")(lambda spark, d, c=_column: name_functions(spark, d).select("key", c))
+
+
 @query("path_hash")
 def path_hash(spark, d):
     return v.names(spark, d).select("key", fn.path_hash(F.concat(F.lit("a/b c/"), "name")).alias("hash"))
@@ -562,13 +566,16 @@ WIDE = "SELECT o_custkey::VARCHAR AS sample, o_orderpriority AS marker, trim(CAS
 
 @query("read_allele_report", f"SELECT sample, marker, 0 AS k, a0 AS allele, round(h0, 4) AS height FROM ({WIDE}) UNION ALL SELECT sample, marker, 1, a1, round(h1, 4) FROM ({WIDE}) WHERE a1 <> ''")
 def read_allele_report(spark, d):
+    return files.wide_to_long(wide_report(spark, d)).withColumn("height", F.round("height", 4))
+
+
+def wide_report(spark, d):
     o = v.table(spark, d, "orders")
     k = F.col("o_orderkey")
-    wide = o.select(
+    return o.select(
         F.col("o_custkey").cast("string").alias("Sample Name"), F.col("o_orderpriority").alias("Marker"), F.when(k % 3 == 0, "OL").otherwise(k.cast("string")).alias("Allele#1"), F.col("o_totalprice").alias("Height#1"),
         F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(".3"))).otherwise("").alias("Allele#2"), (F.col("o_totalprice") / 2).alias("Height#2"),
     )
-    return files.wide_to_long(wide).withColumn("height", F.round("height", 4))
 
 
 @query("select_sample_annotation", f"SELECT sample, marker, a1 AS allele FROM ({WIDE}) WHERE a1 <> '' AND sample = '7' UNION ALL SELECT sample, marker, a0 FROM ({WIDE}) WHERE sample = '7'")
@@ -615,6 +622,48 @@ def select_dye_channels(spark, d):
     return abif.select_dye_channels(values.select(file.alias("hid"), "name", tag.alias("tag"), "v_array"))
 
 
+@query("profile_cache", sql("SELECT hid::VARCHAR AS hid, dye, px, rfu FROM trace", TRACE))
+def profile_cache(spark, d):
+    """Traces written to the cache and read back."""
+    t = v.trace(spark, d).withColumn("hid", F.col("hid").cast("string"))
+    scale = t.groupBy("hid", "px").agg((F.lit(65.0) + F.col("px")).alias("bp")).select("hid", "px", "bp")
+    calls = t.where("rfu > 200").select("hid", F.lit("analyst").alias("source"), F.lit("M").alias("marker"), F.col("px").cast("string").alias("allele"), F.col("rfu").cast("double").alias("height"))
+    path = v.scratch(spark, "cache")
+    files.write_profile_cache(files.profile_rows(t, scale, t.where("rfu >= 40").select("hid", "dye", "px"), calls), path)
+    return big(files.cached_pixels(files.read_profile_cache(spark, path)), "dye", "px", "rfu")
+
+
+@query("predictions_round_trip", "SELECT user_id::VARCHAR AS hid, event_type AS label, max(value) AS score FROM events GROUP BY 1, 2")
+def predictions_round_trip(spark, d):
+    scores = v.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
+    maps = scores.groupBy(F.col("user_id").cast("string").alias("hid")).agg(F.map_from_entries(F.collect_list(F.struct("event_type", "value"))).alias("classification"))
+    path = v.scratch(spark, "predictions")
+    files.write_predictions(maps, path)
+    return files.read_predictions(spark, path).select("hid", F.explode("classification").alias("label", "score"))
+
+
+@query("report_round_trip", ORACLES["read_allele_report"])
+def report_round_trip(spark, d):
+    """The wide report written as files and read again with the sniffed delimiter."""
+    path = v.scratch(spark, "report")
+    wide_report(spark, d).write.option("header", True).option("sep", "\t").csv(path)
+    return files.read_allele_report(spark, path).withColumn("height", F.round("height", 4))
+
+
+@query("best_ladders_round_trip", sql("SELECT name AS image_path, CASE WHEN key % 3 = 0 THEN 'ladder ' || key::VARCHAR END AS ladder_path FROM names", NAMES))
+def best_ladders_round_trip(spark, d):
+    path = v.scratch(spark, "ladders")
+    files.write_best_ladders(v.names(spark, d).select(F.col("name").alias("image_path"), F.when(F.col("key") % 3 == 0, F.concat(F.lit("ladder "), F.col("key").cast("string"))).alias("ladder_path")), path)
+    return files.read_best_ladders(spark, path)
+
+
+@query("metrics_round_trip", ORACLES["load_report"].replace("AS status", "AS metric").replace("count(*) AS n", "count(*)::DOUBLE AS value"))
+def metrics_round_trip(spark, d):
+    path = v.scratch(spark, "metrics")
+    files.write_metrics(load_report(spark, d).select(F.col("status").alias("metric"), F.col("n").cast("double").alias("value")), path)
+    return spark.read.schema("metric string, value double").json(path)
+
+
 @query("markers_json_round_trip", sql("SELECT marker, count(*)::BIGINT AS alleles, round(sum(base_pair), 3) AS total FROM panel GROUP BY marker", PANEL))
 def markers_json_round_trip(spark, d):
     p = v.panel(spark, d)
@@ -682,6 +731,15 @@ def cross_validate(spark, d):
     return model.cross_validate(pixels.withColumn("fold", F.pmod(F.xxhash64("hid"), F.lit(3))), 3)
 
 
+@query("evaluate")
+def evaluate(spark, d):
+    from ..operators import model
+
+    pixels = v.dense(spark, d).select("hid", "dye", "px", "rfu", "mask")
+    profiles = pixels.select("hid").distinct().select("hid", (F.col("hid") % 3).alias("noc"), (F.col("hid") / 4).cast("bigint").alias("prefix"))
+    return model.evaluate(model.fit_pixel_model(pixels), pixels, 0.8, 7, profiles)
+
+
 @query("predict_pixels")
 def predict_pixels(spark, d):
     from ..operators import model

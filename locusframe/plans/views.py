@@ -7,6 +7,8 @@ panel: one allele per part. calls: line items as truth (not returned 'N') and pr
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -104,6 +106,15 @@ def strata(spark: SparkSession, d: str) -> DataFrame:
 STRATA = "strata AS (SELECT lang AS noc, concat_ws('-', source, lang) AS prefix, doc_id AS key FROM documents)"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; in a folder of our own where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-profiles-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def sql(select: str, *views: str) -> str:
     """A query over the given views; views: TRACE and the like, or further WITH entries."""
     return "WITH " + ",\n".join(views) + "\n" + select
