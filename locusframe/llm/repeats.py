@@ -143,8 +143,10 @@ def cells(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
 
 
 def again(rows: DataFrame, *digits: str) -> DataFrame:
-    """Values of the digits that occur more than once; counted in every task before the shuffle."""
-    return rows.groupBy(*digits).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*digits)
+    """Values of the digits that occur more than once; counted in every task before the shuffle. They
+    are written, since Spark can split the hot side of a join only next to a plain exchange."""
+    counted = rows.groupBy(*digits).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*digits)
+    return written(counted, "suffix-again")
 
 
 def repeated_spans(docs: DataFrame, threshold: int, digit: int) -> DataFrame:
