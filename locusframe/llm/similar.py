@@ -38,6 +38,7 @@ DEEPEST = 10
 RECALL = 0.9999
 SKETCH = 256
 BLOCK = 512
+VERIFY_BLOCK = 128  # members whose shingle sets a task holds at once, twice that for two blocks
 MARGIN = 0.14  # of the sketch's estimate: over five standard deviations at the threshold
 
 
@@ -213,7 +214,8 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written: next to a plain side Spark can split the rows of a hub
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), "m").where("u != m").select("u", F.col("m").alias("v")).distinct()
@@ -250,7 +252,7 @@ def verified(docs: DataFrame, families: DataFrame, block: int) -> DataFrame:
             label = stars(*np.nonzero(close), len(at))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(close.sum(axis=1).astype(np.int64)), pa.array(nodes[at][label])], names=["node", "links", "root"])
 
-    return by_group(spread, ["family", "low", "high"], "node long, links long, root long", work, most=512)
+    return by_group(spread, ["family", "low", "high"], "node long, links long, root long", work, most=128)
 
 
 def near_pairs(sets: list[np.ndarray]) -> np.ndarray:
@@ -287,7 +289,7 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, recall: float = RECALL,
     members = entries.join(once, "bucket").join(texts.select("node", "sketch"), "node")
     least = THRESHOLD[0] / THRESHOLD[1] - MARGIN
     families = written(connected(sketched_stars(members, block, least), "forest-families"), "forest-family")
-    links = written(verified(own, families, block), "forest-links")
+    links = written(verified(own, families, min(block, VERIFY_BLOCK)), "forest-links")
     degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "forest-classes")
     nodes = texts.select("set_a", "set_b", "shingles", "node", "rows").join(degrees, "node", "left").join(classes, "node", "left")
