@@ -11,10 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 WHITESPACE = frozenset(b"\x20\x09\x0a\x0b\x0c\x0d")
+ARROW_BYTES = 16 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most: rows hold whole texts, and a worker holds a few batches at once."""
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not most.isdigit() or int(most) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,6 +82,7 @@ def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]],
     """Apply function to runs of rows of about limit bytes of text; it yields dicts of columns."""
     from pyspark.sql.types import _parse_datatype_string
 
+    lean(df.sparkSession)
     names = _parse_datatype_string(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

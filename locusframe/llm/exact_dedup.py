@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_bytes, table, text_batches, written
+from .common import lean, row_bytes, table, text_batches, written
 
 MEMORY = 64 << 20
 
@@ -253,6 +253,7 @@ def owner_rows(made: list[tuple]) -> pa.RecordBatch:
 
 def exact_duplicates(docs: DataFrame, memory: int = MEMORY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+    lean(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     local = written(rows.mapInArrow(local_tries(memory), LOCAL), "exact-dedup")
     dealt = local.where("row_key is null").select("local_key", "copies", "least_id", "least_row", "length", "content_hash", "body").repartition("length", "content_hash")

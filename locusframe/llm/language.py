@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, powers, prefix_hashes, table, text_batches
+from .common import lean, mixed, powers, prefix_hashes, table, text_batches
 
 NGRAM = 5
 SLOT_BITS = 20
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, bits: int = SLOT_BITS, hashes
                 new = np.concatenate([[True], (grams[order][1:] != grams[order][:-1]) | (row[order][1:] != row[order][:-1])])[: len(order)]
                 held.append(grams[order][new])
                 names.append(lang[order][new])
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > 500_000:
                     yield counted(held, names)
                     held, names = [], []
         if held:
@@ -161,6 +161,7 @@ def counted(held: list[np.ndarray], names: list[np.ndarray]) -> pa.RecordBatch:
 
 def predict(docs: DataFrame, filters: Filter, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns with lang_pred string and score double (the corrected share of the language)."""
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.bits, filters.hashes))
     rows = docs.select(*keep, F.col(text).alias("lang_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "lang_text"), "lang_pred string", "score double"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, table, text_batches
+from .common import lean, mixed, table, text_batches
 
 SPACE = "▁"
 SHIFT = 21
@@ -230,6 +230,7 @@ def model(path: str) -> PieceModel:
 
 def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", end: bool = True) -> DataFrame:
     """The kept columns with ids array<int> and decoded string (decode(ids) of the library)."""
+    lean(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("piece_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "piece_text"), "ids array<int>", "decoded string"])
 
