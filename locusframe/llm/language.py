@@ -69,6 +69,10 @@ def slots(hashes: np.ndarray, which: int, bits: int) -> np.ndarray:
     return ((hashes >> np.uint64(which * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 class Filter:
     def __init__(self, languages: list[str], masks: np.ndarray, bits: int, hashes: int):
         self.languages, self.masks, self.bits, self.hashes = languages, masks, bits, hashes
@@ -172,7 +176,7 @@ def predict(docs: DataFrame, filters: Filter, keep: tuple[str, ...] = ("doc_id",
             for start, stop in text_batches(batch, "lang_text"):
                 part = batch.slice(start, stop - start)
                 texts = [t or "" for t in part.column("lang_text").to_pylist()]
-                known = np.array([bool(learnt.languages) and LETTER.search(t) is not None for t in texts])
+                known = np.array([bool(learnt.languages) and has_letter(t) for t in texts])
                 names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 if known.any():
                     shares = learnt.shares(*gram_hashes([t for t, k in zip(texts, known) if k]))

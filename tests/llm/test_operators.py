@@ -72,6 +72,7 @@ def test_language(spark, docs, empty):
     filters = language.fit(training)
     got = {r["doc_id"]: r for r in language.predict(docs, filters).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2, 5))
+    assert not language.has_letter("12 ½ _") and language.has_letter("½a")
     held = [r for r in docs.where("doc_id >= 100").collect()]
     assert sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) == len(held)
     assert language.predict(empty, filters).count() == 0
