@@ -18,11 +18,11 @@ def drop_non_autosomal(calls: DataFrame) -> DataFrame:
     return calls.where(~F.col("marker").isin(NON_AUTOSOMAL))
 
 
-def allele_spans(calls: DataFrame, scaler: DataFrame) -> DataFrame:
+def allele_spans(calls: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:
     """calls (hid, bp_left, bp_right, more) with l and r, the pixels of both ends."""
     names = calls.columns
     sides = calls.withColumn("_call", F.struct(*names)).withColumn("_s", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("bp_left").alias("bp")), F.struct(F.lit("r").alias("side"), F.col("bp_right").alias("bp")))))
-    placed = bp_to_pixel(sides.select("hid", "_call", "_s.side", "_s.bp"), scaler)
+    placed = bp_to_pixel(sides.select(on, "_call", "_s.side", "_s.bp"), scaler, on=on)
     return placed.groupBy("_call").agg(F.max(F.when(F.col("side") == "l", F.col("px"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("px"))).alias("r")).select("_call.*", "l", "r")
 
 
@@ -31,9 +31,11 @@ def spans_to_mask(spans: DataFrame) -> DataFrame:
     return spans.where("l < r").select(*KEYS, F.explode(F.sequence("l", F.col("r") - 1)).alias("px")).distinct()
 
 
-def segmentation_mask(calls: DataFrame, panel: DataFrame, scaler: DataFrame) -> DataFrame:
-    """hid, dye, px inside the bin of a called allele (calls: hid, dye, marker, allele)."""
-    return spans_to_mask(allele_spans(allele_info(calls, panel).select("hid", "dye", "bp_left", "bp_right").distinct(), scaler))
+def segmentation_mask(calls: DataFrame, panel: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:
+    """hid, dye, px inside the bin of a called allele (calls: hid, dye, marker, allele). ``on`` names
+    the scaler of a call where several profiles share one."""
+    keys = dict.fromkeys([*KEYS, on])
+    return spans_to_mask(allele_spans(allele_info(calls, panel).select(*keys, "bp_left", "bp_right").distinct(), scaler, on))
 
 
 def later_runs_win(mask_runs: DataFrame, covers: DataFrame) -> DataFrame:

@@ -186,13 +186,14 @@ def calibrated_profile(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return resample_profile(raw, grid), grid.select("hid", "px", "bp")
 
 
-def bp_to_pixel(points: DataFrame, scaler: DataFrame, bp: str = "bp", reach: int = 3, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> DataFrame:
+def bp_to_pixel(points: DataFrame, scaler: DataFrame, bp: str = "bp", reach: int = 3, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE, on: str = "hid") -> DataFrame:
     """points (hid, bp, more) with px, the pixel whose base pair is nearest, the first on ties. A
-    validated standard keeps it within ``reach`` of the evenly spaced place, so the join is by equality."""
+    validated standard keeps it within ``reach`` of the evenly spaced place, so the join is by equality.
+    ``on`` names the scaler of a point where several profiles share one."""
     first, last = bp_range
     middle = F.round((F.col(bp) - first) * (pixels - 1) / (last - first)).cast("int")
     spread = points.withColumn("_id", F.struct(*points.columns)).withColumn("_c", F.explode(F.array(*[F.least(F.greatest(middle + F.lit(k), F.lit(0)), F.lit(pixels - 1)) for k in range(-reach, reach + 1)])))
-    near = spread.join(scaler.select("hid", F.col("px").alias("_c"), F.col("bp").alias("_bp")), ["hid", "_c"])
+    near = spread.join(scaler.select(on, F.col("px").alias("_c"), F.col("bp").alias("_bp")), [on, "_c"])
     best = near.groupBy("_id").agg(F.min(F.struct(F.abs(F.col("_bp") - F.col(f"_id.{bp}")).alias("d"), F.col("_c").alias("px"))).alias("_b"))
     return best.select("_id.*", F.col("_b.px").alias("px"))
 

@@ -225,17 +225,27 @@ def scaler(spark, d):
     return signal.rescale_to_grid(good_knots(spark, d)).select("hid", "px", "bp")
 
 
+def with_supplier(spark, d, rows: DataFrame, key: str) -> DataFrame:
+    """rows with supplier: the keys are dealt in turn over all suppliers with a valid standard."""
+    good = good_knots(spark, d).select(F.col("hid").alias("supplier")).distinct()
+    slots = splits.ranked(good, [F.col("supplier")], "_slot").withColumn("_slot", F.col("_slot") - 1)
+    return rows.withColumn("_slot", F.pmod(F.col(key), F.lit(good.count()))).join(slots, "_slot").drop("_slot")
+
+
 @query("resample_profile")
 def resample_profile(spark, d):
-    """Traces of the events laid over the scans of a supplier's standard."""
-    raw = v.trace(spark, d).select((F.col("hid") % 10).alias("hid"), "dye", (3000 + F.col("hid") * 37 % 4000 + F.col("px")).alias("scan"), "rfu").groupBy("hid", "dye", "scan").agg(F.max("rfu").alias("rfu"))
-    return signal.resample_profile(raw, signal.rescale_to_grid(good_knots(spark, d).where("hid < 10")))
+    """The trace of every user laid over the scans of a standard of its own, a copy of its supplier's."""
+    trace = v.trace(spark, d)
+    users = with_supplier(spark, d, v.table(spark, d, "events").select(F.col("user_id").alias("hid")).distinct(), "hid")
+    knots = users.join(good_knots(spark, d).withColumnRenamed("hid", "supplier"), "supplier").select("hid", "scan", "bp")
+    raw = trace.select("hid", "dye", (3000 + F.col("hid") * 37 % 4000 + F.col("px")).alias("scan"), "rfu")
+    return signal.resample_profile(raw, signal.rescale_to_grid(knots))
 
 
 @query("bp_to_pixel")
 def bp_to_pixel(spark, d):
-    points = v.table(spark, d, "orders").select((F.col("o_orderkey") % 6).alias("hid"), F.col("o_orderkey").alias("key"), (F.lit(50.0) + F.col("o_totalprice") % 450).alias("bp"))
-    return signal.bp_to_pixel(points, scaler(spark, d).where("hid < 6")).select("hid", "key", "px")
+    points = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.lit(50.0) + F.col("o_totalprice") % 450).alias("bp"))
+    return signal.bp_to_pixel(with_supplier(spark, d, points, "key").withColumnRenamed("supplier", "hid"), scaler(spark, d)).select("hid", "key", "px")
 
 
 @query("ladder_peaks", sql("""SELECT p.hid, p.dye, row_number() OVER (PARTITION BY p.hid, p.dye ORDER BY p.px) - 1 AS k, p.px FROM ltops p JOIN (SELECT hid FROM (SELECT a.hid, a.dye, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT hid, dye FROM trace) a
@@ -299,9 +309,9 @@ def marker_bins(spark, d):
 
 @query("marker_windows")
 def marker_windows(spark, d):
-    small = v.panel(spark, d).where("marker in ('Brand#1', 'Brand#2')")
-    pixels = scaler(spark, d).where("hid < 5").withColumn("dye", F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>"))).withColumn("rfu", F.col("px") % 97)
-    return panel.marker_windows(pixels, small.withColumn("base_pair", F.lit(100.0) + F.col("ord") % 40), scaler(spark, d).where("hid < 5"))
+    kit = v.panel(spark, d).withColumn("base_pair", F.lit(100.0) + F.col("ord") % 40)
+    pixels = scaler(spark, d).withColumn("dye", F.explode(F.array(*map(F.lit, range(5))).cast("array<bigint>"))).withColumn("rfu", F.col("px") % 97)
+    return panel.marker_windows(pixels, kit, scaler(spark, d))
 
 
 LADDERS = """located AS (SELECT l.hid, p.marker, p.allele, p.base_pair + 0.1e0 * l.hid AS known FROM (SELECT s_suppkey AS hid FROM supplier WHERE s_suppkey < 5) l, panel p WHERE p.ord % 3 = 0),
@@ -383,8 +393,9 @@ def call_alleles(spark, d):
 
 @query("segmentation_mask")
 def segmentation_mask(spark, d):
-    calls = v.table(spark, d, "lineitem").select((F.col("l_orderkey") % 6).alias("hid"), (F.col("l_suppkey") % 5).alias("dye"), (F.lit(70.0) + F.col("l_partkey") % 400 - 0.5).alias("bp_left"), (F.lit(70.5) + F.col("l_partkey") % 400).alias("bp_right")).distinct()
-    return annotate.spans_to_mask(annotate.allele_spans(calls, scaler(spark, d).where("hid < 6")))
+    """Every order is a profile; the orders of a supplier share its scaler."""
+    called = panel.dye_row_of_marker(asked(spark, d).select(F.col("l_orderkey").alias("hid"), "marker", "allele"), v.panel(spark, d))
+    return annotate.segmentation_mask(with_supplier(spark, d, called, "hid"), v.panel(spark, d), scaler(spark, d).withColumnRenamed("hid", "supplier"), "supplier")
 
 
 @query("human_baseline", sql("SELECT hid, marker, allele, height, 'predicted' AS source FROM calls WHERE truth AND marker NOT IN ('AMEL', 'DYS391', 'DYS576', 'DYS570')", CALLS))

@@ -1,0 +1,78 @@
+"""Registered queries take every key of their tables, not a subset or a few folded ones."""
+
+from bisect import bisect_left
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from locusframe.operators import signal
+from locusframe.plans import views as v
+from locusframe.plans.queries import QUERIES, asked, good_knots, scaler
+
+
+def nearest(grid, bp):
+    """The first pixel whose base pair is nearest."""
+    k = bisect_left(grid, bp)
+    return min(range(max(0, k - 2), min(len(grid), k + 2)), key=lambda i: (abs(grid[i] - bp), i))
+
+
+@pytest.fixture(scope="module")
+def standards(spark, sf):
+    """Suppliers with a valid standard in order, and the base pairs of their pixels."""
+    grids = defaultdict(dict)
+    for r in scaler(spark, sf).collect():
+        grids[r["hid"]][r["px"]] = r["bp"]
+    return sorted(grids), {h: [g[i] for i in range(4096)] for h, g in grids.items()}
+
+
+def test_resample_profile_takes_every_user(spark, sf, standards):
+    order, _ = standards
+    knots, traces, expected = good_knots(spark, sf), v.trace(spark, sf), set()
+    scans = defaultdict(lambda: defaultdict(list))
+    for r in signal.rescale_to_grid(knots).collect():
+        scans[r["hid"]][r["scan"]].append(r["px"])
+    for r in traces.collect():
+        at = 3000 + r["hid"] * 37 % 4000 + r["px"]
+        expected |= {(r["hid"], r["dye"], px, r["rfu"]) for px in scans[order[r["hid"] % len(order)]][at]}
+    got = [tuple(r) for r in QUERIES["resample_profile"](spark, sf).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert {r[0] for r in got} == {r["hid"] for r in traces.select("hid").distinct().collect()}
+
+
+def test_bp_to_pixel_takes_every_order_and_supplier(spark, sf, standards):
+    order, grids = standards
+    got = sorted(tuple(r) for r in QUERIES["bp_to_pixel"](spark, sf).collect())
+    points = v.table(spark, sf, "orders").select("o_orderkey", (F.lit(50.0) + F.col("o_totalprice") % 450).alias("bp")).collect()
+    assert got == sorted((order[k % len(order)], k, nearest(grids[order[k % len(order)]], bp)) for k, bp in points)
+    assert {r[0] for r in got} == set(order)
+
+
+def test_marker_windows_takes_every_marker_and_supplier(spark, sf, standards):
+    order, grids = standards
+    bins = defaultdict(list)
+    for r in v.panel(spark, sf).collect():
+        bins[r["marker"], r["dye"]].append(100.0 + r["ord"] % 40)
+    expected = {}
+    for h in order:
+        for (marker, dye), bps in bins.items():
+            l, r = nearest(grids[h], min(bps) - 0.5 - 1), nearest(grids[h], max(bps) + 0.75 + 1)
+            expected[h, marker, dye] = (max(l - 5, 0), min(r + 5, 4096) - 1, min(r + 5, 4096) - max(l - 5, 0))
+    spans = QUERIES["marker_windows"](spark, sf).groupBy("hid", "marker", "dye").agg(F.min("px"), F.max("px"), F.count("px")).collect()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in spans} == expected
+
+
+def test_segmentation_mask_takes_every_order(spark, sf, standards):
+    order, grids = standards
+    entries = {(r["marker"], r["allele"]): r for r in v.panel(spark, sf).collect()}
+    dyes = {r["marker"]: r["dye"] for r in entries.values()}
+    expected = set()
+    for r in asked(spark, sf).collect():
+        exact = entries.get((r["marker"], r["allele"]))
+        base, _, extra = r["allele"].partition(".")
+        found, shift = (exact, 0) if exact else (entries.get((r["marker"], base)), int(extra)) if extra.isdigit() else (None, 0)
+        low, high = (found["base_pair"] - 0.5 + shift, found["base_pair"] + 0.75 + shift) if found else (9 + shift, 11 + shift)
+        grid = grids[order[r["l_orderkey"] % len(order)]]
+        expected |= {(r["l_orderkey"], dyes[r["marker"]], px) for px in range(nearest(grid, low), nearest(grid, high))}
+    got = [tuple(r) for r in QUERIES["segmentation_mask"](spark, sf).collect()]
+    assert len(got) == len(expected) and set(got) == expected
