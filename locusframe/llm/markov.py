@@ -9,11 +9,11 @@ drawn from the smoothed counts of the rare words, so a text's score is a proper
 with at least ``lookup_share`` (again bounded by its inverse) have their counts broadcast; the rest
 go through a join by word, which therefore has no hot key.
 
-Training: Baum-Welch. Each task runs the scaled forward and backward recursions over its texts, all
-texts of a run in step (numpy, packed by time), and adds up expected starts, transitions and
+Training: Baum-Welch, every round over all training texts, whose symbols are written once. Each task
+runs the scaled forward and backward recursions over its texts, all texts of a run in step (numpy,
+packed by time; texts of like length share a run), and adds up expected starts, transitions and
 emissions; they are summed by symbol across tasks, and the new model comes to the driver (symbols x
-states numbers). The first rounds use a sample of the texts to break the symmetry, the last ones all
-training texts. Scoring is the exact scaled forward recursion.
+states numbers). Scoring is the exact scaled forward recursion.
 
 Defined cases: null and empty text is the end token alone. Null doc_id counts as the empty text in
 the hold-out hash. Without training rows every count is 0, N and V are 0 and the score equals the
@@ -33,16 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_bytes, table, text_batches, written
+from .common import row_bytes, table, text_batches, text_bytes, written
 
 END = " "  # no word holds a space
 STATES = 8
 SYMBOL_SHARE = 1e-5
 LOOKUP_SHARE = 1e-6
-SAMPLE_DOCS = 3000
-SAMPLE_ROUNDS = 6
-FULL_ROUNDS = 2
+ROUNDS = 8
 RUN_BYTES = 2 << 20
+RUN_TOKENS = 1 << 19
 
 
 def words(text: bytes) -> list[bytes]:
@@ -178,17 +177,43 @@ class Packed:
         return alpha[: self.at[1]].sum(axis=0), move, emit
 
 
-def baum_welch_round(docs: DataFrame, lexicon_, model: Model, unigram: np.ndarray) -> Model:
-    """One round over the texts of docs."""
-    shared, states = docs.sparkSession.sparkContext.broadcast(model), model.move.shape[0]
+def encoded(docs: DataFrame, lexicon_) -> DataFrame:
+    """The symbols of each text of docs, as bytes of int32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, model = lexicon_.value, shared.value
-        total = None
+        lexicon = lexicon_.value
         for batch in batches:
             for start, stop in text_batches(batch, "text", RUN_BYTES):
                 _, index, offsets = lexicon.read(row_bytes(batch.slice(start, stop - start).column("text")))
-                part = Packed(lexicon.symbols_of(index), offsets).expected(model)
+                raw, ends = lexicon.symbols_of(index).astype("<i4").tobytes(), (4 * offsets).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["symbols"])
+
+    return docs.select("text").mapInArrow(run, "symbols binary")
+
+
+def runs_of_texts(raw: np.ndarray, offsets: np.ndarray, limit: int = RUN_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and offsets of runs of about limit tokens, one text at least, from the shortest text to the longest."""
+    sizes = np.diff(offsets)
+    order = np.argsort(sizes, kind="stable")
+    total, start = np.concatenate([[0], np.cumsum(sizes[order])]), 0
+    while start < len(order):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + limit, side="right")) - 1)
+        kept = order[start:stop]
+        yield np.concatenate([raw[offsets[i] : offsets[i + 1]] for i in kept.tolist()]).astype(np.int64), total[start : stop + 1] - total[start]
+        start = stop
+
+
+def baum_welch_round(symbols: DataFrame, model: Model, unigram: np.ndarray) -> Model:
+    """One round over the encoded texts."""
+    shared, states = symbols.sparkSession.sparkContext.broadcast(model), model.move.shape[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        total = None
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column("symbols"))
+            for part_symbols, part_offsets in runs_of_texts(raw.view("<i4"), offsets // 4):
+                part = Packed(part_symbols, part_offsets).expected(model)
                 total = part if total is None else tuple(a + b for a, b in zip(total, part))
         if total is not None:
             begun, moved, emitted = total
@@ -197,7 +222,7 @@ def baum_welch_round(docs: DataFrame, lexicon_, model: Model, unigram: np.ndarra
             values = np.concatenate([begun[None], moved, emitted[used]])
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], names=["key", *(f"s{i}" for i in range(states))])
 
-    parts = docs.select("text").mapInArrow(run, ", ".join(["key long", *(f"s{i} double" for i in range(states))]))
+    parts = symbols.mapInArrow(run, ", ".join(["key long", *(f"s{i} double" for i in range(states))]))
     rows = parts.groupBy("key").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(states)]).toArrow()  # one row a symbol
     keys = rows.column("key").to_numpy()
     values = np.stack([rows.column(f"s{i}").to_numpy() for i in range(states)], axis=1) if len(keys) else np.zeros((0, states))
@@ -209,14 +234,17 @@ def baum_welch_round(docs: DataFrame, lexicon_, model: Model, unigram: np.ndarra
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(docs: DataFrame, lexicon_, unigram: np.ndarray, states: int = STATES, sample_docs: int = SAMPLE_DOCS, sample_rounds: int = SAMPLE_ROUNDS, full_rounds: int = FULL_ROUNDS) -> Model:
-    docs = docs.select("doc_id", "text")
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("hmm"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+def train(docs: DataFrame, lexicon_, unigram: np.ndarray, states: int = STATES, sample_docs: int = 0, sample_rounds: int = 0, full_rounds: int = ROUNDS) -> Model:
+    """``full_rounds`` over all docs; rounds on about ``sample_docs`` of them come first only if asked for."""
+    symbols = written(encoded(docs, lexicon_), "symbols")
     model = first_model(unigram, states)
-    for rows, rounds in ((sample, sample_rounds), (docs, full_rounds)):
-        for _ in range(rounds):
-            model = baum_welch_round(rows, lexicon_, model, unigram)
+    if sample_rounds:
+        share = min(1.0, sample_docs / max(1, symbols.count()))
+        sample = symbols.where(F.pmod(F.xxhash64(F.lit("hmm"), "symbols"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        for _ in range(sample_rounds):
+            model = baum_welch_round(sample, model, unigram)
+    for _ in range(full_rounds):
+        model = baum_welch_round(symbols, model, unigram)
     return model
 
 
