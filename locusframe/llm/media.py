@@ -8,7 +8,10 @@ through the shuffle; payloads are written once to the shared folder and read bac
 
 Defined cases: null html counts as empty and gives an empty sequence; null text gives 64 zero bytes.
 A reference without a stored payload keeps null features. Captions are the figcaption of the
-figure, else the alt text, else null. Markup that is not closed ends with the document. Repeated
+figure, before or after the media, else that of a figure around it, else the alt text, else null; a
+figcaption without media or outside a figure is a text passage. A head ends with its end tag or where
+the first thing stands that only a body can hold. Markup that is not closed ends with the element
+around it, at the latest with the document. Repeated
 rows give repeated references. An empty table gives an empty table. Payloads are whole, long ones
 included; columns other than those named are not read.
 """
@@ -32,7 +35,10 @@ WIDTH = 64
 LEVEL = 1
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
-SILENT = {"script", "style", "template", "head"}
+SILENT = {"script", "style", "template"}
+HEAD = {"head", "html", "title", "base", "basefont", "bgsound", "link", "meta", "noscript", "noframes"}
+HIDDEN = {"title", "noscript", "noframes"}  # their text is no content while they stand in a head
+CONTAINERS = {"figure", "figcaption", "div", "main", "aside", "article", "section", "nav", "header", "footer", "blockquote", "ul", "ol", "li", "table", "tr", "td", "th", "body", "html"}
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "article", "section", "nav", "footer", "header", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "blockquote", "pre"}
 
 
@@ -43,46 +49,82 @@ class Interleaver(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.silent, self.figure, self.caption = 0, None, None
+        self.silent, self.head, self.hidden, self.begun = 0, False, False, False
+        self.open: list[str] = []  # containers, the outermost first
+        self.figures: list[tuple[list[dict], list[tuple[dict, list[str]]]]] = []  # media, captions
+        self.captions: list[list[str]] = []  # words of the open figcaptions
 
     def passage(self) -> None:
-        text = " ".join("".join(self.words).split())
+        if self.captions:
+            self.captions[-1].append(" ")
+        text = joined(self.words)
         self.words = []
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_container(self) -> str:
+        tag = self.open.pop()
+        if tag == "figcaption":
+            self.captions.pop()
+        elif tag == "figure":
+            media, captions = self.figures.pop()
+            for item, words in captions:
+                if not media:
+                    item["text"] = joined(words)
+            for item in media if captions else ():
+                item["caption"] = joined([" ".join(["".join(words) for _, words in captions])])
+            if not captions and self.figures:
+                self.figures[-1][0].extend(media)
+        return tag
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "head":
+            self.head = not self.begun
+        elif tag not in HEAD and tag not in SILENT:
+            self.head, self.hidden, self.begun = False, False, True
+        if self.head and tag in HIDDEN:
+            self.hidden = True
         if tag in SILENT:
             self.silent += 1
         elif tag in ("img", "audio", "video", "source") and (src := dict(attrs).get("src")):
             self.passage()
             self.items.append({"kind": "media", "text": None, "digest": src.removeprefix("sha256:"), "caption": dict(attrs).get("alt")})
-            if self.figure is not None:
-                self.figure.append(self.items[-1])
-        elif tag == "figcaption":
+            if self.figures:
+                self.figures[-1][0].append(self.items[-1])
+        elif tag == "figcaption" and self.figures:
             self.passage()
-            self.caption = []
-        elif tag in BLOCKS:
+            self.items.append({"kind": "text", "text": "", "digest": None, "caption": None})  # filled if the figure has no media
+            self.captions.append([])
+            self.figures[-1][1].append((self.items[-1], self.captions[-1]))
+        elif tag in BLOCKS or tag == "figcaption":
             self.passage()
             if tag == "figure":
-                self.figure = []
+                self.figures.append(([], []))
+        if tag in CONTAINERS and (tag != "figcaption" or self.figures):
+            self.open.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "head":
+            self.head, self.hidden = False, False
+        elif tag in HIDDEN:
+            self.hidden = False
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.figure or []:
-                item["caption"] = text
-            self.caption = None
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag in CONTAINERS:
             self.passage()
-            if tag == "figure":
-                self.figure = None
+            while tag in self.open and self.end_container() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            (self.words if self.caption is None else self.caption).append(data)
+        if self.silent or self.hidden:
+            return
+        if data.strip():
+            self.head, self.begun = False, True
+        (self.captions[-1] if self.captions else self.words).append(data)
+
+
+def joined(words: list[str]) -> str:
+    return " ".join("".join(words).split())
 
 
 def interleave(html: str) -> list[dict]:
@@ -90,7 +132,10 @@ def interleave(html: str) -> list[dict]:
     parser.feed(html)
     parser.close()
     parser.passage()
-    return [{"position": i, **item} for i, item in enumerate(parser.items)]
+    while parser.open:
+        parser.end_container()
+    kept = [item for item in parser.items if item["kind"] == "media" or item["text"]]
+    return [{"position": i, **item} for i, item in enumerate(kept)]
 
 
 def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import markov
+from locusframe.llm import markov, media
 
 
 def test_every_round_of_the_markov_model_sees_every_text(spark):
@@ -30,3 +30,28 @@ def test_runs_hold_every_text_once():
     runs = list(markov.runs_of_texts(raw, offsets, 8))
     assert np.concatenate([s for s, _ in runs]).tolist() == np.repeat([1, 3, 4, 0, 5, 2], np.sort(sizes)).tolist()
     assert [np.diff(o).tolist() for _, o in runs] == [[1, 2, 2], [5], [9], [40]]
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<figure><figcaption>first</figcaption><img src=d></figure>after", ["d:first", "after"]),
+        ("<figure><img src=d><figcaption>a <b>b</b></figcaption><img src=e></figure>", ["d:a b", "e:a b"]),
+        ("<figure><figcaption>code</figcaption><pre>x = 1</pre></figure>", ["code", "x = 1"]),
+        ("one<figcaption>alone</figcaption>two", ["one", "alone", "two"]),
+        ("<figcaption>never closed<p>two<img src=d alt=x>three", ["never closed", "two", "d:x", "three"]),
+        ("<figure><img src=d><figcaption>open</figure><p>two", ["d:open", "two"]),
+        ("<div><figure><img src=d><figcaption>open</div>two", ["d:open", "two"]),
+        ("<figure><figcaption>to the end<p>of it", ["to the end of it"]),
+        ("<figure><figcaption>all</figcaption><figure><img src=d></figure><figure><img src=e><figcaption>own</figcaption></figure></figure>", ["d:all", "e:own"]),
+        ("<figure><figcaption>group</figcaption><figure><img src=e><figcaption>own</figcaption></figure></figure>", ["group", "e:own"]),
+        ("<html><head><title>no</title><meta charset=utf-8><style>p{}</style><body>text<p>more", ["text", "more"]),
+        ("<head><title>no</title><link href=x><p>one</p>two", ["one", "two"]),
+        ("<head><title>no</title> bare <b>text</b>", ["bare text"]),
+        ("<head><title>no</title></head><body><header>h</header><head>x", ["h", "x"]),
+        ("<head><script>no</script></script><title>no</title></head>yes<template>no</template>", ["yes"]),
+    ],
+)
+def test_no_text_of_a_page_is_dropped(html, expected):
+    got = [x["text"] if x["kind"] == "text" else f"{x['digest']}:{x['caption']}" for x in media.interleave(html)]
+    assert got == expected and [x["position"] for x in media.interleave(html)] == list(range(len(got)))
