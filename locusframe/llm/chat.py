@@ -6,10 +6,11 @@ same place shows which part of the span is the turn's own text. Where a longer p
 with the shorter one the template rewrites history; then every turn is located in the final output
 by a probe of its own and the conversation is marked.
 
-Conversations are dealt out by conv_id, sorted by turn and streamed. One of more than ``segment``
-turns is rendered in segments that start with the last turn before them, so neither memory nor the
-length of a prefix grows with the conversation; at each cut the addition is compared with the one
-under the full prefix, and a template for which they differ is rendered whole.
+Conversations are dealt out by conv_id, sorted by turn and streamed. A template that is declared
+append-only (its attribute ``append_only``: what a turn adds depends on it and the turn before alone)
+renders one of more than ``segment`` turns in segments that start with the last turn before them, so
+neither memory nor the length of a prefix grows with the conversation. Every other template is given
+the full prefix at each turn, however long, as it may rewrite or count turns at any point.
 
 The template given here marks turns by control strings. Inside texts and roles a backslash is
 doubled and a control string gets one after its first character, so no control string stands in
@@ -62,6 +63,9 @@ def render(turns: list[Turn]) -> str:
     return "".join(out)
 
 
+render.append_only = True
+
+
 def parse(formatted: str) -> list[Turn]:
     """The turns of a rendered conversation."""
     turns, at = [], 0
@@ -93,7 +97,7 @@ def own_part(template: Callable[[list[Turn]], str], turns: list[Turn], i: int, r
 class Rendering:
     """Segments of one conversation, turn by turn."""
 
-    def __init__(self, template: Callable[[list[Turn]], str], segment: int):
+    def __init__(self, template: Callable[[list[Turn]], str], segment: int | None):
         self.template, self.segment = template, segment
         self.turns: list[Turn] = []
         self.output, self.base, self.spans, self.rewrites, self.count = "", 0, [], False, 0
@@ -102,7 +106,7 @@ class Rendering:
         """Take a turn; a finished segment (text, spans, rewrites) when the turn begins another."""
         longer = self.template([*self.turns, turn])
         done = None
-        if len(self.turns) >= self.segment and not self.rewrites and longer.startswith(self.output):
+        if self.segment and len(self.turns) >= self.segment and not self.rewrites and longer.startswith(self.output):
             context = self.template(self.turns[-1:])
             short = self.template([self.turns[-1], turn])
             if short.startswith(context) and short[len(context) :] == longer[len(self.output) :]:
@@ -135,6 +139,7 @@ _TURNS = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int32()), ("end
 def format_conversations(conversations: DataFrame, template: Callable[[list[Turn]], str] = render, segment: int = SEGMENT, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per segment, in order within its partition: the formatted text, each turn's own part
     of it, whether the loss covers it, and whether the template rewrites history."""
+    cut = segment if getattr(template, "append_only", False) else None
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 
@@ -154,7 +159,7 @@ def format_conversations(conversations: DataFrame, template: Callable[[list[Turn
                 if open_ is None or conv != now:
                     if open_ is not None:
                         yield row(open_.finish())
-                    now, open_, number = conv, Rendering(template, segment), 0
+                    now, open_, number = conv, Rendering(template, cut), 0
                 if (done := open_.add((role, text))) is not None:
                     yield row(done)
                     number += 1

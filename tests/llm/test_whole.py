@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import markov, media
+from locusframe.llm import chat, markov, media
 
 
 def test_every_round_of_the_markov_model_sees_every_text(spark):
@@ -55,3 +55,20 @@ def test_runs_hold_every_text_once():
 def test_no_text_of_a_page_is_dropped(html, expected):
     got = [x["text"] if x["kind"] == "text" else f"{x['digest']}:{x['caption']}" for x in media.interleave(html)]
     assert got == expected and [x["position"] for x in media.interleave(html)] == list(range(len(got)))
+
+
+def test_chat_gives_templates_the_full_prefix(spark):
+    def last_hundred(turns):
+        return "".join(f"<{r}>{t}</{r}>" for r, t in turns[-100:])
+
+    def budgeted(turns):
+        return "".join(f"<{r}>{t[: 1 if sum(len(x) for _, x in turns) > 600 and i < len(turns) - 1 else None]}</{r}>" for i, (r, t) in enumerate(turns))
+
+    said = [(("user", "assistant")[t % 2], f"turn {t}") for t in range(150)]
+    df = spark.createDataFrame([(c, t, r, x) for c, n in ((1, 150), (2, 80)) for t, (r, x) in enumerate(said[:n])], "conv_id long, turn long, role string, text string")
+    for template in (last_hundred, budgeted):
+        got = {r["conv_id"]: r for r in chat.format_conversations(df, template).collect()}
+        assert {c: (r["formatted"], r["rewrites_history"]) for c, r in got.items()} == {1: (template(said), True), 2: (template(said[:80]), False)}
+        kept = [got[1]["formatted"][t["start"] : t["end"]] for t in got[1]["turns"]]
+        assert len(kept) == 150 and kept[-1] == "turn 149" and len(got[2]["turns"]) == 80
+    assert chat.format_conversations(df).groupBy("conv_id").count().where("count > 1").count() == 2  # append-only: in segments
