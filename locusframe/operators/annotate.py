@@ -90,10 +90,20 @@ def attach_ground_truth(calls: DataFrame, donors: DataFrame) -> DataFrame:
     return calls.select("hid", "marker", "allele", F.col("height").cast("double").alias("height")).withColumn("source", F.lit("analyst")).unionByName(truth)
 
 
+SOURCES = ("predicted", "analyst", "donor")
+
+
 def allele_comparison(calls: DataFrame, panel: DataFrame, truth: str = "donor") -> DataFrame:
-    """One row per hid, marker, allele of source predicted or ``truth``: bin, heights and TP, FP or FN."""
-    found = calls.where(F.col("source").isin("predicted", truth)).groupBy("hid", "marker", "allele").agg(
-        F.bool_or(F.col("source") == "predicted").alias("_p"), F.bool_or(F.col("source") == truth).alias("_t"), F.max(F.when(F.col("source") == "predicted", F.col("height"))).alias("height")
-    )
-    kind = F.when(F.col("_p") & F.col("_t"), "TP").when(F.col("_p"), "FP").otherwise("FN")
-    return allele_info(found.select("hid", "marker", "allele", "height", kind.alias("kind")), panel)
+    """One row per hid, marker, allele of any source: which sources have it, the heights of the
+    prediction and the analyst, TP, FP or FN against ``truth`` (null if neither has it), and the bin."""
+    has = {f"in_{x}": F.bool_or(F.col("source") == x) for x in SOURCES}
+    high = lambda x: F.max(F.when(F.col("source") == x, F.col("height")))
+    found = calls.where(F.col("source").isin(*SOURCES)).groupBy("hid", "marker", "allele").agg(*[c.alias(n) for n, c in has.items()], high("predicted").alias("height"), high("analyst").alias("analyst_height"))
+    p, t = F.col("in_predicted"), F.col(f"in_{truth}")
+    return allele_info(found.withColumn("kind", F.when(p & t, "TP").when(p, "FP").when(t, "FN")), panel)
+
+
+def comparison_masks(calls: DataFrame, panel: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:
+    """source, hid, dye, px: the segmentation mask of each source (calls: source, hid, dye, marker, allele), all in one pass."""
+    named = calls.where(F.col("source").isin(*SOURCES)).withColumn("_scaler", F.col(on)).withColumn("hid", F.struct(F.col("hid").alias("key"), "source"))
+    return segmentation_mask(named, panel, scaler.withColumnRenamed(on, "_scaler"), "_scaler").select("hid.source", F.col("hid.key").alias("hid"), "dye", "px")

@@ -108,7 +108,8 @@ def evaluation_suite(pixels: DataFrame, predicted: DataFrame, truth: DataFrame,
         return joined.select(F.explode(F.filter(F.array(*keep), lambda v: v.isNotNull())).alias("variant"), "hid", locus_allele_key(F.col("marker"), F.col("allele")).alias("key"))
 
     both = passing(predicted, True).select("*", F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(passing(truth, threshold_truth).select("*", F.lit(0).alias("p"), F.lit(1).alias("t")))
-    flags = both.groupBy("variant", "hid", "key").agg(F.max("p").alias("p"), F.max("t").alias("t"))
+    every = spark.range(1).select(F.explode(F.array(*map(F.lit, ("none", "between", "low", "high")))).alias("variant"), F.lit(0).alias("p"), F.lit(0).alias("t"))  # a variant without calls is 0
+    flags = both.unionByName(every, allowMissingColumns=True).groupBy("variant", "hid", "key").agg(F.max("p").alias("p"), F.max("t").alias("t"))
     sums = flags.groupBy("variant").agg(F.sum(F.col("p") * F.col("t")).alias("tp"), F.sum(F.col("p") * (1 - F.col("t"))).alias("fp"), F.sum((1 - F.col("p")) * F.col("t")).alias("fn"))
     rates = sums.select("variant", *both_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.lit(0.0)))
     alleles = rates.select("variant", F.explode(F.create_map(F.lit("allele_precision"), F.col("precision"), F.lit("allele_recall"), F.col("recall"), F.lit("allele_f1"), F.col("f1"))).alias("metric", "value"))
@@ -128,7 +129,8 @@ def binary_accuracy(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def fold_means(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("metric").agg(F.avg("value").alias("mean_value"))
+    keys = [c for c in ("metric", "variant") if c in metrics.columns]
+    return metrics.groupBy(*keys).agg(F.avg("value").alias("mean_value"))
 
 
 def load_report(profiles: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import average_binary_iou, fold_means, pixel_scores
+from .annotate import call_alleles
+from .metrics import average_binary_iou, evaluation_suite, fold_means, pixel_scores
 from .signal import along
 from .splits import grouped_holdout_split
 
@@ -59,15 +60,24 @@ def long_metrics(scored: DataFrame) -> DataFrame:
     return rates.unionByName(average_binary_iou(scored).select(F.lit("average_binary_iou").alias("metric"), F.col("iou").alias("value")))
 
 
-def cross_validate(folded: DataFrame, k: int) -> DataFrame:
-    """metric, mean_value over k folds (folded: pixels with fold); a fit per fold, never a row on the driver."""
-    each = [long_metrics(predict_pixels(fit_pixel_model(folded.where(F.col("fold") != i).drop("fold")), folded.where(F.col("fold") == i).drop("fold"))) for i in range(k)]
+def all_metrics(scored: DataFrame, panel: DataFrame | None, truth: DataFrame | None) -> DataFrame:
+    """metric, variant, value: all of the evaluation suite where a panel and the true calls (hid, marker,
+    allele, height) are given and pixels have bp; the pixel metrics alone otherwise."""
+    if panel is None or truth is None:
+        return long_metrics(scored).select("metric", F.lit("none").alias("variant"), "value")
+    own = truth.join(scored.select("hid").distinct(), "hid", "left_semi")
+    return evaluation_suite(scored, call_alleles(scored, panel), own)
+
+
+def cross_validate(folded: DataFrame, k: int, panel: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
+    """metric, variant, mean_value over k folds (folded: pixels with fold); a fit per fold, never a row on the driver."""
+    each = [all_metrics(predict_pixels(fit_pixel_model(folded.where(F.col("fold") != i).drop("fold")), folded.where(F.col("fold") == i).drop("fold")), panel, truth) for i in range(k)]
     return fold_means(reduce(DataFrame.unionByName, each))
 
 
-def evaluate(model: PipelineModel, pixels: DataFrame, fraction: float | None = None, seed: int | str = 0, profiles: DataFrame | None = None) -> DataFrame:
+def evaluate(model: PipelineModel, pixels: DataFrame, fraction: float | None = None, seed: int | str = 0, profiles: DataFrame | None = None, panel: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
     """Metrics of the model on the pixels, or on the second part of a grouped hold-out of the profiles (hid, noc, prefix)."""
     if fraction is not None:
         kept = grouped_holdout_split(profiles, fraction, seed).where("part = 2").select("hid")
         pixels = pixels.join(kept, "hid", "left_semi")
-    return long_metrics(predict_pixels(model, pixels))
+    return all_metrics(predict_pixels(model, pixels), panel, truth)

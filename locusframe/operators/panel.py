@@ -133,6 +133,11 @@ def bin_has_peak(spans: DataFrame, pixels: DataFrame, share: float = 0.8) -> Dat
     return spans.withColumn("_bin", F.struct(*names)).join(good.withColumn("_good", F.lit(True)), "_bin", "left").select(*names, F.coalesce("_good", F.lit(False)).alias("has_peak"))
 
 
+def ladder_candidates(profiles: DataFrame, ladders: DataFrame) -> DataFrame:
+    """hid, ladder_id: the ladders that lie in the folder of the profile (profiles: hid, folder; ladders: ladder_id, folder)."""
+    return profiles.select("hid", "folder").join(ladders.select("ladder_id", "folder").distinct(), "folder").select("hid", "ladder_id")
+
+
 def best_ladder(bins: DataFrame) -> DataFrame:
     """hid, ladder_id, n of the ladder under which most bins have a peak (ties: the first path); none if 0."""
     counts = bins.groupBy("hid", "ladder_id").agg(F.sum(F.col("has_peak").cast("bigint")).alias("n")).where("n > 0")

@@ -425,7 +425,8 @@ def attach_ground_truth(spark, d):
 def allele_comparison(spark, d):
     c = v.calls(spark, d)
     both = v.stacked(c.where("predicted").select("hid", "marker", "allele", "height", F.lit("predicted").alias("source")), c.where("truth").select("hid", "marker", "allele", "height", F.lit("donor").alias("source")))
-    return annotate.allele_comparison(both, v.panel(spark, d)).withColumns({x: F.round(x, 6) for x in ("bp", "bp_left", "bp_right")})
+    compared = annotate.allele_comparison(both, v.panel(spark, d)).select("hid", "marker", "allele", "height", "kind", "bp", "bp_left", "bp_right", "in_panel")
+    return compared.withColumns({x: F.round(x, 6) for x in ("bp", "bp_left", "bp_right")})
 
 
 # Metrics
@@ -734,21 +735,28 @@ def shuffle_rows(spark, d):
 # Model
 
 
+def measured(spark, d):
+    """Pixels with base pairs, a kit whose markers have thresholds, and the calls of the true mask."""
+    pixels = v.dense(spark, d).select("hid", "dye", "px", "rfu", "mask").withColumn("bp", 65.0 + F.col("px") * 6.4)
+    kit = v.panel(spark, d).withColumn("marker", F.when(F.col("ord") % 2 == 0, "FGA").otherwise("TH01"))
+    return pixels, kit, annotate.call_alleles(pixels.withColumn("prob", F.col("mask").cast("double")), kit)
+
+
 @query("cross_validate")
 def cross_validate(spark, d):
     from ..operators import model
 
-    pixels = v.dense(spark, d).select("hid", "dye", "px", "rfu", "mask")
-    return model.cross_validate(pixels.withColumn("fold", F.pmod(F.xxhash64("hid"), F.lit(3))), 3)
+    pixels, kit, truth = measured(spark, d)
+    return model.cross_validate(pixels.withColumn("fold", F.pmod(F.xxhash64("hid"), F.lit(3))), 3, kit, truth)
 
 
 @query("evaluate")
 def evaluate(spark, d):
     from ..operators import model
 
-    pixels = v.dense(spark, d).select("hid", "dye", "px", "rfu", "mask")
+    pixels, kit, truth = measured(spark, d)
     profiles = pixels.select("hid").distinct().select("hid", (F.col("hid") % 3).alias("noc"), (F.col("hid") / 4).cast("bigint").alias("prefix"))
-    return model.evaluate(model.fit_pixel_model(pixels), pixels, 0.8, 7, profiles)
+    return model.evaluate(model.fit_pixel_model(pixels), pixels, 0.8, 7, profiles, kit, truth)
 
 
 @query("predict_pixels")

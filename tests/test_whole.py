@@ -6,9 +6,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import signal
+from locusframe.operators import annotate, panel, signal
 from locusframe.plans import views as v
 from locusframe.plans.queries import QUERIES, asked, good_knots, scaler
+from locusframe.sources import files
 
 
 def nearest(grid, bp):
@@ -76,3 +77,28 @@ def test_segmentation_mask_takes_every_order(spark, sf, standards):
         expected |= {(r["l_orderkey"], dyes[r["marker"]], px) for px in range(nearest(grid, low), nearest(grid, high))}
     got = [tuple(r) for r in QUERIES["segmentation_mask"](spark, sf).collect()]
     assert len(got) == len(expected) and set(got) == expected
+
+
+def test_comparison_keeps_three_sources_with_a_mask_each(spark):
+    kit = files.panel_from_contents(spark, [(0, "D3", "15", 120.0, 0.4, 0.6, 0), (0, "D3", "16", 124.0, 0.4, 0.6, 1), (1, "D1", "13", 150.0, 0.5, 0.5, 2)])
+    rows = [("predicted", "D3", "15", 50.0), ("analyst", "D3", "15", 60.0), ("analyst", "D1", "13", 70.0), ("donor", "D3", "16", None), ("donor", "D3", "15", None)]
+    calls = spark.createDataFrame([(1, int(m == "D1"), *r) for r in rows for m in (r[1],)], "hid int, dye int, source string, marker string, allele string, height double")
+    got = {(r["marker"], r["allele"]): (r["in_predicted"], r["in_analyst"], r["in_donor"], r["height"], r["analyst_height"], r["kind"]) for r in annotate.allele_comparison(calls, kit).collect()}
+    assert got == {("D3", "15"): (True, True, True, 50.0, 60.0, "TP"), ("D3", "16"): (False, False, True, None, None, "FN"), ("D1", "13"): (False, True, False, None, 70.0, None)}
+    grid = spark.range(0, 4096).select(F.lit(1).alias("hid"), F.col("id").cast("int").alias("px"), (65 + F.col("id") * 410 / 4095).alias("bp"))
+    masks = sorted(tuple(r) for r in annotate.comparison_masks(calls, kit, grid).collect())
+    each = [annotate.segmentation_mask(calls.where(F.col("source") == x), kit, grid).withColumn("source", F.lit(x)).select("source", "hid", "dye", "px") for x in annotate.SOURCES]
+    assert masks == sorted(tuple(r) for x in each for r in x.collect()) and {m[0] for m in masks} == set(annotate.SOURCES)
+
+
+@pytest.mark.parametrize("name", ["evaluate", "cross_validate"])
+def test_model_is_judged_by_all_metrics(spark, sf, name):
+    got = {(r["metric"], r["variant"]) for r in QUERIES[name](spark, sf).collect()}
+    alleles = {(f"allele_{m}", x) for m in ("precision", "recall") for x in ("none", "between", "low", "high")} | {("allele_f1", "none")}
+    assert got == alleles | {(m, "none") for m in ("pixel_precision", "pixel_recall", "pixel_f1", "average_binary_iou")}
+
+
+def test_ladder_candidates_lie_in_the_folder_of_the_profile(spark):
+    profiles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "hid int, folder string")
+    ladders = spark.createDataFrame([("l1", "a"), ("l2", "a"), ("l3", "b")], "ladder_id string, folder string")
+    assert sorted(map(tuple, panel.ladder_candidates(profiles, ladders).collect())) == [(1, "l1"), (1, "l2"), (2, "l3")]
