@@ -124,9 +124,11 @@ def test_markov(spark, docs, rows, empty):
     count = Counter(w for r in rows if r[0] is not None and r[0] >= 100 for w in words(r[1]))
     n, types = sum(count.values()), len(count)
     found = markov.written(markov.counts(training), "counts")
-    lexicon = spark.sparkContext.broadcast(markov.lexicon(found, symbol_share=0.004, lookup_share=0.002))
-    model = markov.train(training, lexicon, lexicon.value.unigram, states=3, sample_docs=20, sample_rounds=2, full_rounds=1)
-    got = markov.score(docs, found, lexicon, model).collect()
+    lexicon = spark.sparkContext.broadcast(markov.lexicon(found, symbol_share=0.004, lookup_words=150))
+    assert lexicon.value.symbols < len(lexicon.value.index) <= 150 < types
+    texts = markov.written(markov.encoded(docs, lexicon, F.col("doc_id") >= 100), "texts")
+    model = markov.train(texts.where("training"), lexicon.value.unigram, states=3, rounds=3)
+    got = markov.score(texts, found, lexicon, model).collect()
     base = lambda t: sum(math.log10((count[w] + 0.1) / (n + 0.1 * (types + 1))) for w in words(t))
     expected = Counter((r[0], len(words(r[1])), sum(count[w] > 0 for w in words(r[1])), round(base(r[1]), 4)) for r in rows)
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in got) == expected
@@ -144,7 +146,7 @@ def test_markov(spark, docs, rows, empty):
         if alpha is not None and Counter(x[0] for x in rows)[r["doc_id"]] == 1:
             assert r["score"] == pytest.approx(total, rel=1e-9)
     assert model.emit.sum(axis=0) == pytest.approx(1) and model.move.sum(axis=1) == pytest.approx(1)
-    assert markov.score(empty, found, lexicon, model).count() == 0
+    assert markov.score(markov.encoded(empty, lexicon), found, lexicon, model).count() == 0
     none = markov.lexicon(markov.written(markov.counts(empty), "counts"))
     assert none.tokens == 0 and none.base == pytest.approx(math.log10(0.1))
 

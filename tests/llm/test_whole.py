@@ -13,7 +13,7 @@ def test_every_round_of_the_markov_model_sees_every_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     lexicon = spark.sparkContext.broadcast(markov.lexicon(markov.written(markov.counts(docs), "counts")))
     unigram = lexicon.value.unigram
-    got = markov.train(docs, lexicon, unigram, states=2)
+    got = markov.train(markov.written(markov.encoded(docs, lexicon), "texts"), unigram, states=2)
     _, index, offsets = lexicon.value.read([t.encode() for t in texts])
     packed, model = markov.Packed(lexicon.value.symbols_of(index), offsets), markov.first_model(unigram, 2)
     for _ in range(8):
