@@ -1,18 +1,18 @@
 """Corpus pipeline: language ID, exact dedup, near dedup, mixing, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents.
+of documents, whatever columns docs has besides and whatever they are called. What becomes of null and
+empty texts, null and repeated doc_ids and ties is stated by the operator that each stage calls; an
+empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from locusframe.llm import exact_dedup, language, mixing, pieces, similar
-from locusframe.llm.common import scratch_dir, table
+from locusframe.llm.common import scratch_path, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their source's Poisson draw, in shuffled order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each result is written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, row_bytes, table, text_batches, written
+from .common import lean, numbered_columns, row_bytes, table, text_batches, written
 
 MEMORY = 64 << 20
 
@@ -263,14 +263,18 @@ def exact_duplicates(docs: DataFrame, memory: int = MEMORY, doc_id: str = "doc_i
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns. Of repeated rows one stays; the join and that
-    choice have the same keys, so texts are shuffled once."""
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("own_id")
-    digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    kept = exact_duplicates(docs).where("kept").select(own, F.col("text_sha256").alias("own_sha256"))
+    """The rows of docs that stay, with their columns, whatever those are called: of equal texts (null
+    and empty ones are equal) that with the smallest doc_id, a null doc_id being the largest; of
+    repeated rows one. The join and that choice have the same keys, so texts are shuffled once."""
+    plain, name = numbered_columns(docs)
+    lowest = F.lit(-(1 << 63))
+    own = F.coalesce(F.col(name["doc_id"]).cast("bigint"), lowest).alias("own_id")
+    digest = F.sha2(F.regexp_replace(F.coalesce(name["text"], F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    found = exact_duplicates(plain, doc_id=name["doc_id"], text=name["text"])
+    kept = found.where("kept").select(F.coalesce("doc_id", lowest).alias("own_id"), F.col("text_sha256").alias("own_sha256"))
     keys = ["own_id", "own_sha256"]
-    stay = docs.select("*", own, digest.alias("own_sha256")).join(kept, keys, "left_semi")
-    return stay.dropDuplicates(keys).select(*docs.columns)
+    stay = plain.select("*", own, digest.alias("own_sha256")).join(kept, keys, "left_semi")
+    return stay.dropDuplicates(keys).select(*plain.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""

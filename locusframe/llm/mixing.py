@@ -12,8 +12,10 @@ lands in one task.
 
 Defined cases: a null source is the source ''. Null text has no characters. A null doc_id draws as
 the doc_id ''. Repeated rows draw the same count. An empty table gives an empty table. A source
-without a target weight (or with weight 0) gets no copies. Other columns pass through; columns of
-the input named copy_no, repetition_rate or shuffle_key are replaced.
+without a target weight (or with weight 0) gets no copies. Very long texts and ties need nothing of
+their own: a document's count depends on its source and doc_id alone. Other columns pass through,
+whatever they are called; columns of the input named copy_no, repetition_rate or shuffle_key are
+replaced in the result of ``mix`` and kept in that of ``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import numbered_columns, table, written
 
 SEED = "mix-1"
 BROADCAST_SOURCES = 10_000
 SALTS = 32
+RESULTS = ("copy_no", "repetition_rate", "shuffle_key")
 
 
 def uniform(*parts: Column) -> Column:
@@ -81,7 +84,29 @@ def mix(
 ) -> DataFrame:
     """The rows of docs, each repeated by its Poisson count, in shuffled order, with copy_no (from 1),
     repetition_rate (the mean of its source) and shuffle_key (the order of the mixture)."""
-    docs = docs.drop("copy_no", "repetition_rate", "shuffle_key", "mix_source", "thresholds", "mix_salt")
+    plain, name = numbered_columns(docs)
+    copies = replicated(plain, weights, temperature, seed, broadcast_sources, name[doc_id], name[source], name[text])
+    kept = [F.col(name[c]).alias(c) for c in docs.columns if c.lower() not in RESULTS]
+    return copies.select(*kept, *RESULTS)
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The copies with the columns of docs alone."""
+    plain, name = numbered_columns(docs)
+    return replicated(plain, doc_id=name["doc_id"], source=name["source"], text=name["text"]).select(*plain.columns).toDF(*docs.columns)
+
+
+def replicated(
+    docs: DataFrame,
+    weights: dict[str, float] | None = None,
+    temperature: float = 0.5,
+    seed: str = SEED,
+    broadcast_sources: int = BROADCAST_SOURCES,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+) -> DataFrame:
+    """mix() of a table with numbered columns."""
     rates = target_rates(written(source_sizes(docs, source, text), "source-sizes"), weights, temperature)
     keyed = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit("")))
     if rates.select("mix_source").limit(broadcast_sources + 1).count() <= broadcast_sources:

@@ -10,8 +10,10 @@ the same or a better rank; from the first one that does, the rest of that word w
 Characters outside the vocabulary become byte pieces. Decoding is the library's decode(ids).
 
 Defined cases: null text counts as empty; empty text gives the end id alone (or nothing without
-it). Repeated rows are encoded alike. Other columns pass through if named in ``keep``. Very long
-texts are whole: they are cut only where no piece of the vocabulary could join the two sides.
+it). Repeated rows are encoded alike, ties between pairs go to the leftmost. Other columns pass
+through if named in ``keep``; those called ids or decoded give way to the results. Very long texts
+are whole: they are cut only where no piece of the vocabulary could join the two sides. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, table, text_batches
+from .common import lean, mixed, numbered_columns, table, text_batches
 
 SPACE = "▁"
 SHIFT = 21
 NONE = np.int64(1) << np.int64(60)
-CACHED_UNITS = 600_000
+CACHED_BYTES = 96 << 20  # of units and their ids that a worker keeps
+UNIT_BYTES = 150  # of a unit beside its characters
 
 
 class PairTable:
@@ -106,7 +109,7 @@ class PieceModel:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.flat, self.used = [np.zeros(1, np.int64)], [], 0
+        self.starts, self.flat, self.held = np.zeros(1 << 12, np.int64), np.empty(1 << 12, np.int32), 0
 
     def cut(self, text: str) -> list[str]:
         """Units without their first meta space."""
@@ -119,23 +122,26 @@ class PieceModel:
         """Flat ids and the offsets of the texts into them."""
         units = [self.cut(t) if t else [] for t in texts]
         fresh = {u for row in units for u in row if u not in self.known}
-        if fresh and len(self.known) + len(fresh) > CACHED_UNITS:
+        size = sum(map(len, fresh)) * 6 + len(fresh) * UNIT_BYTES
+        if self.known and self.held + size > CACHED_BYTES:
             self.reset()
             fresh = {u for row in units for u in row}
         if fresh:
-            fresh = list(fresh)
+            fresh, n = list(fresh), len(self.known)
             ids, ends = self.merge([SPACE + u for u in fresh])
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.flat = [np.concatenate([*self.flat, ids.astype(np.int32)])]
-            self.starts = [np.concatenate([*self.starts, ends[1:] + self.used])]
-            self.used += len(ids)
+            used = int(self.starts[n])
+            self.flat, self.starts = grown(self.flat, used + len(ids)), grown(self.starts, n + len(fresh) + 1)
+            self.flat[used : used + len(ids)] = ids
+            self.starts[n + 1 : n + len(fresh) + 1] = ends[1:] + used
+            self.known.update(zip(fresh, range(n, n + len(fresh))))
+            self.held += sum(map(len, fresh)) * 6 + len(fresh) * UNIT_BYTES
         known = self.known
         index = np.fromiter((known[u] for row in units for u in row), np.int64)
         rows = np.concatenate([[0], np.cumsum([len(row) for row in units])]).astype(np.int64)
-        starts = self.starts[0]
+        starts = self.starts
         begin, length = starts[index], starts[index + 1] - starts[index]
         total = np.concatenate([[0], np.cumsum(length)])
-        flat = self.flat[0][np.repeat(begin - total[:-1], length) + np.arange(total[-1])] if total[-1] else np.empty(0, np.int32)
+        flat = self.flat[np.repeat(begin - total[:-1], length) + np.arange(total[-1])] if total[-1] else np.empty(0, np.int32)
         offsets = total[rows]
         if end:
             flat = np.insert(flat, offsets[1:], np.int32(self.end))
@@ -218,6 +224,15 @@ class PieceModel:
         return seen == np.repeat(seen[firsts], np.diff(np.append(firsts, len(chosen))))
 
 
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for size entries; twice the room when it has to move."""
+    if size <= len(array):
+        return array
+    more = np.empty(max(size, 2 * len(array)), array.dtype)
+    more[: len(array)] = array
+    return more
+
+
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -231,8 +246,10 @@ def model(path: str) -> PieceModel:
 def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", end: bool = True) -> DataFrame:
     """The kept columns with ids array<int> and decoded string (decode(ids) of the library)."""
     lean(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text).alias("piece_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "piece_text"), "ids array<int>", "decoded string"])
+    keep = tuple(c for c in keep if c.lower() not in ("ids", "decoded"))
+    plain, name = numbered_columns(docs)
+    rows = plain.select(*[name[c] for c in keep], F.col(name[text]).alias("piece_text"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "piece_text"), "ids array<int>", "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
@@ -244,9 +261,9 @@ def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
                 listed, ends = ids.tolist(), offsets.tolist()
                 decoded = [pieces.library.decode(listed[a:b]) if b > a else "" for a, b in zip(ends, ends[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(decoded, pa.string())], names=[*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(decoded, pa.string())], names=[*(name[c] for c in keep), "ids", "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, "ids", "decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
