@@ -8,17 +8,17 @@ language whose bits fill the share f of the slots answers a foreign n-gram with
 f**hashes; the counts are corrected for that, and the largest one decides.
 
 Learning counts the documents of each n-gram per language with partial sums in every task. An
-n-gram goes into the filters of the languages in which its share of documents is at least
-``relative`` of its largest share in any language. At most about ``max_docs`` documents of each
-language, picked by a hash of doc_id, are learnt from (a bound on fitting only; all documents are
-scored). The filter has a fixed size and is broadcast.
+n-gram goes into the filter of each language that has it in at least ``least_share`` of its learnt
+documents (one document at least). At most about ``max_docs`` documents of each language, picked by
+a hash of doc_id and text, are learnt from (a bound on fitting only; all documents are scored). The
+filter has a fixed size and is broadcast; a slot has as many 64-bit words as the languages need.
 
 Defined cases: null text or text without any letter: ``und`` with score 0. Texts with letters always
 get a learnt language; one whose n-grams are all unknown gets the first one with score 0. Ties go to
 the language that sorts first. Without a learnable row every text is ``und``. Rows with null lang or
-null text teach nothing; null doc_id counts as the empty text in the hash. Repeated rows are scored
-alike; an empty table gives an empty table. Texts are whole, long ones included. Other columns pass
-through if named in ``keep``.
+null text teach nothing; null doc_id counts as the empty text in the hold-out hash. Repeated rows are
+scored alike; an empty table gives an empty table. Texts are whole, long ones included. Other columns
+pass through if named in ``keep``; those called lang_pred or score give way to the results.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, powers, prefix_hashes, table, text_batches
+from .common import lean, mixed, numbered_columns, powers, prefix_hashes, table, text_batches
 
 NGRAM = 5
 SLOT_BITS = 20
 HASHES = 2
 MAX_DOCS = 4000
-RELATIVE = 0.2
+LEAST_SHARE = 0.0005
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -74,14 +74,15 @@ def has_letter(text: str) -> bool:
 
 
 class Filter:
+    """masks: a row of 64-bit words for each slot; bit i of a slot stands for language i."""
+
     def __init__(self, languages: list[str], masks: np.ndarray, bits: int, hashes: int):
         self.languages, self.masks, self.bits, self.hashes = languages, masks, bits, hashes
-        bytes_ = masks.view(np.uint8).reshape(len(masks), -1)
-        filled = np.unpackbits(bytes_, axis=1, bitorder="little").mean(axis=0)[: len(languages)] if languages else np.empty(0)
-        self.false_positive = filled**hashes
+        filled = [((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))]
+        self.false_positive = np.array(filled) ** hashes
 
     def masks_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram, as bit masks."""
+        """The languages that contain each n-gram, as bit masks (a row of words each)."""
         found = self.masks[slots(hashes, 0, self.bits)]
         for k in range(1, self.hashes):
             found = found & self.masks[slots(hashes, k, self.bits)]
@@ -94,7 +95,7 @@ class Filter:
         counts = np.zeros((rows, len(self.languages)))
         row = np.repeat(np.arange(rows), size)
         for first in range(0, len(self.languages), 8):
-            part = ((masks >> np.uint64(first)) & np.uint64(255)).astype(np.int64)
+            part = ((masks[:, first // 64] >> np.uint64(first % 64)) & np.uint64(255)).astype(np.int64)
             histogram = np.bincount((row << 8) | part, minlength=rows << 8).reshape(rows, 256)
             ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
             counts[:, first : first + 8] = (histogram @ ones)[:, : len(self.languages) - first]
@@ -106,17 +107,16 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 != 2
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, bits: int = SLOT_BITS, hashes: int = HASHES, relative: float = RELATIVE) -> Filter:
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, bits: int = SLOT_BITS, hashes: int = HASHES, least_share: float = LEAST_SHARE) -> Filter:
     """Learn from doc_id, text and lang of every given row (the caller leaves held-out rows away)."""
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     languages = sorted(sizes)
-    if len(languages) > 64:
-        raise ValueError(f"a mask has 64 bits; {len(languages)} languages were given")
+    masks = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), np.uint64)
     if not languages:
-        return Filter([], np.zeros(1 << bits, np.uint64), bits, hashes)
+        return Filter([], masks, bits, hashes)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     code = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,17 +140,15 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, bits: int = SLOT_BITS, hashes
 
     counts = docs.where(draw < share).mapInArrow(count, "gram long, lang int, docs long").groupBy("gram", "lang").agg(F.sum("docs").alias("docs"))
     learnt = docs.where(draw < share).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
-    total = F.create_map(*[F.lit(x) for r in learnt for x in (code[r["lang"]], float(r["n"]))])[F.col("lang")]
-    rates = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "docs", (F.col("docs") / total).alias("rate"))).alias("by"))  # 64 languages at most
-    largest = F.array_max(F.transform("by", lambda x: x["rate"]))
-    kept = F.filter("by", lambda x: (x["rate"] >= largest * relative) & (x["docs"] >= F.when(F.lit(min(r["n"] for r in learnt) >= 50), 2).otherwise(1)))
-    mask = F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"])))
-    gram = F.col("gram")
-    where = F.array(*[F.call_function("shiftrightunsigned", gram, F.lit(k * bits)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(hashes)])
-    # one row a slot at most: the fixed size of the filter bounds what comes to the driver
-    rows = rates.select(mask.alias("mask"), F.explode(where).alias("slot")).where("mask != 0").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros(1 << bits, np.uint64)
-    masks[rows.column("slot").to_numpy()] = rows.column("mask").to_numpy().astype(np.uint64)
+    if not learnt:
+        return Filter(languages, masks, bits, hashes)
+    least = F.create_map(*[F.lit(x) for r in learnt for x in (code[r["lang"]], r["n"] * least_share)])[F.col("lang")]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lang") % 64)
+    where = F.array(*[F.call_function("shiftrightunsigned", "gram", F.lit(k * bits)).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(hashes)])
+    kept = counts.where(F.col("docs") >= least).select((F.col("lang") / 64).cast("int").alias("word"), bit.alias("bit"), F.explode(where).alias("slot"))
+    # one row a slot and word at most: the fixed size of the filter bounds what comes to the driver
+    rows = kept.groupBy("slot", "word").agg(F.bit_or("bit").alias("mask")).toArrow()
+    masks[rows.column("slot").to_numpy(), rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
     return Filter(languages, masks, bits, hashes)
 
 
@@ -167,15 +165,18 @@ def predict(docs: DataFrame, filters: Filter, keep: tuple[str, ...] = ("doc_id",
     """The kept columns with lang_pred string and score double (the corrected share of the language)."""
     lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.bits, filters.hashes))
-    rows = docs.select(*keep, F.col(text).alias("lang_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "lang_text"), "lang_pred string", "score double"])
+    keep = tuple(c for c in keep if c.lower() not in ("lang_pred", "score"))
+    plain, name = numbered_columns(docs)
+    read = name[text]  # among the kept columns or the last one
+    rows = plain.select(*dict.fromkeys([*(name[c] for c in keep), read]))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learnt = Filter(*shared.value)
         for batch in batches:
-            for start, stop in text_batches(batch, "lang_text"):
+            for start, stop in text_batches(batch, read):
                 part = batch.slice(start, stop - start)
-                texts = [t or "" for t in part.column("lang_text").to_pylist()]
+                texts = [t or "" for t in part.column(read).to_pylist()]
                 known = np.array([bool(learnt.languages) and has_letter(t) for t in texts])
                 names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 if known.any():
@@ -183,9 +184,9 @@ def predict(docs: DataFrame, filters: Filter, keep: tuple[str, ...] = ("doc_id",
                     best = shares.argmax(axis=1)
                     names[known] = np.array(learnt.languages, object)[best]
                     scores[known] = shares[np.arange(len(best)), best]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores)], names=[*(name[c] for c in keep), "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
@@ -195,8 +196,10 @@ def op2_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """The rows of docs in a known language, with their columns; a text is rejected when it has no
-    letter or when its best language contains less than ``least`` of its n-grams."""
+    """The rows of docs in a known language, with their columns, whatever those are called; a text is
+    rejected when it has no letter (null and empty ones have none) or when its best language contains
+    less than ``least`` of its n-grams. Without a learnable row no text is known and all are rejected."""
     filters = fit(docs.where(learnable(F.col("doc_id"))))
-    columns = tuple(docs.columns)
-    return predict(docs, filters, columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    plain, name = numbered_columns(docs)
+    found = predict(plain, filters, tuple(plain.columns), name["text"])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*plain.columns).toDF(*docs.columns)
