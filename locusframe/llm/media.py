@@ -139,7 +139,7 @@ def interleave(html: str) -> list[dict]:
 
 
 def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key and sequence of every page."""
+    """key and sequence of every page. The key may be a struct of columns that go with the page."""
     kind = dict(pages.dtypes)[key]
     arrow = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
@@ -150,9 +150,29 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """One row per media reference, with position and caption."""
+    """One row per media reference, with its number among those of its page, position and caption."""
     keys = [c for c in found.columns if c != "sequence"]
-    return found.select(*keys, F.explode("sequence").alias("item")).where("item.kind = 'media'").select(*keys, "item.position", "item.digest", "item.caption")
+    media = F.filter("sequence", lambda item: item["kind"] == "media")
+    return found.select(*keys, F.posexplode(media).alias("reference", "item")).select(*keys, "reference", "item.position", "item.digest", "item.caption")
+
+
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+CAPTION = 60
+
+
+def article(text: Column, digest: Column) -> Column:
+    """A text as a page: its lines as paragraphs, after the first one a figure that shows the payload
+    with the beginning of that line as caption, and the payload once more at the end."""
+    whole = F.coalesce(text, F.lit(""))
+    first = F.substring_index(whole, "\n", 1)
+    rest = F.substring(whole, F.length(first) + 2, F.length(whole))
+    image = F.concat(F.lit('<img src="sha256:'), digest, F.lit('"'))
+    figure = F.concat(F.lit("<figure>"), image, F.lit("><figcaption>"), escaped(F.left(first, F.lit(CAPTION))), F.lit("</figcaption></figure>"))
+    paragraphs = lambda t: F.concat(F.lit("<p>"), F.replace(escaped(t), F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    return F.concat(F.lit("<article>"), paragraphs(first), figure, paragraphs(rest), image, F.lit(' alt="payload"></article>'))
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -249,12 +269,16 @@ def payload_column(text: Column) -> Column:
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Each document as a page with one figure, whose payload is the document's text."""
+    """Each document as a page that its text is interleaved in: passages, a figure and a second
+    reference, both of which show the text as payload. A document's row is that of its figure; position,
+    caption, passages and references tell where the figure stands in the page's sequence."""
     docs = table(spark, sf_dir, "documents")
     digest = F.sha2(payload_column(F.col("text")), 256)
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("string")
-    html = F.concat(F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), size, F.lit("</figcaption></figure></article>"))
-    found = references(sequences(docs.select("doc_id", html.alias("html")), "doc_id"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    pages = docs.select(F.struct("doc_id", size.alias("n_bytes")).alias("page"), article(F.col("text"), digest).alias("html"))
+    found = sequences(pages, "page")
+    media = F.size(F.filter("sequence", lambda item: item["kind"] == "media"))
+    counted = found.select(F.struct("page.doc_id", "page.n_bytes", (F.size("sequence") - media).alias("passages"), media.alias("references")).alias("page"), "sequence")
     described = written(features(store(docs)), "media-features")  # a plain side, so that a hot digest can be split
-    whole = resolve(found, described)
-    return whole.select("doc_id", F.col("caption").cast("bigint").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    whole = resolve(references(counted).where("reference = 0"), described)
+    return whole.select("page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "page.passages", "page.references")

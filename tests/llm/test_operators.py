@@ -80,11 +80,11 @@ def test_language(spark, docs, empty):
 
 
 def test_language_masks_hold_every_learnt_gram(spark, docs):
-    filters = language.fit(docs.where("doc_id >= 100"), relative=0.0, max_docs=10**6)
+    filters = language.fit(docs.where("doc_id >= 100"), max_docs=10**6)
     for r in docs.where("doc_id >= 100 and doc_id < 110").collect():
         grams, _ = language.gram_hashes([r["text"]])
-        often = filters.masks_of(grams) >> np.uint64(filters.languages.index(r["lang"])) & np.uint64(1)
-        assert often.mean() > 0.8
+        own = filters.masks_of(grams)[:, 0] >> np.uint64(filters.languages.index(r["lang"])) & np.uint64(1)
+        assert own.all()
 
 
 def brute_repeats(texts, size):
@@ -311,7 +311,41 @@ def test_media(spark, docs, rows, tmp_path):
 def test_media_query(spark, sf):
     got = {r["doc_id"]: r for r in media.op9_media_columns(spark, sf).collect()}
     docs = table(spark, sf, "documents").collect()
-    assert len(got) == len(docs) and all(got[d["doc_id"]]["n_bytes"] == len(raw(d["text"])) for d in docs)
+    assert len(got) == len(docs)
+    for d in docs:
+        r, b, lines = got[d["doc_id"]], raw(d["text"]), [" ".join(x.split()) for x in (d["text"] or "").split("\n")]
+        payload = b + bytes(-len(b) % 64 or (0 if b else 64))
+        assert (r["n_bytes"], r["payload_sha256"]) == (len(b), hashlib.sha256(payload).hexdigest())
+        assert (r["position"], r["passages"], r["references"]) == (int(bool(lines[0])), sum(map(bool, lines)), 2)
+        assert r["caption"] == " ".join((d["text"] or "").split("\n")[0][:60].split())
+
+
+def test_articles_of_awkward_texts(spark, docs, rows, empty):
+    digest = F.sha2(media.payload_column(F.col("text")), 256)
+    page = lambda df: df.select(F.struct("doc_id", "score").alias("page"), media.article(F.col("text"), digest).alias("html"))
+    got = Counter((r["page"]["doc_id"], tuple((i["kind"], i["text"]) for i in r["sequence"])) for r in media.sequences(page(docs), "page").collect())
+    expected = Counter()
+    for doc_id, text, *_ in rows:
+        first, *rest = [" ".join(x.split()) for x in (text or "").split("\n")]
+        passages = [("text", x) for x in rest if x]
+        expected[(doc_id, tuple([("text", first)] * bool(first) + [("media", None)] + passages + [("media", None)]))] += 1
+    assert got == expected
+    assert media.references(media.sequences(page(empty), "page")).count() == 0 and media.features(media.store(empty)).count() == 0
+    refs = media.references(media.sequences(page(docs), "page")).collect()
+    assert len(refs) == 2 * len(rows) and Counter(r["caption"] for r in refs)["payload"] == len(rows)
+
+
+def test_pages_lose_no_text(spark, sf):
+    import html as entities
+    import re
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    raw_html = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in media.sequences(pages, "page_id").collect():
+        body = re.sub(r"(?s)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>", "", raw_html[r["page_id"]])
+        said = entities.unescape(re.sub(r"<[^>]*>", " ", body)).split()
+        assert "".join(said) == "".join("".join(i["text"].split()) for i in r["sequence"] if i["kind"] == "text")
+        assert [i["position"] for i in r["sequence"]] == list(range(len(r["sequence"])))
 
 
 def test_interleaved_sequences(spark):
