@@ -2,22 +2,27 @@
 
 1. Texts become sets of hashed shingles (5 lower-cased words; shorter texts are one shingle). Equal
    sets form classes of copies, counted in every task before the shuffle; one of each goes on.
-2. A forest of ``trees`` prefix tries is filled with MinHash signatures: a trie node is the group of
-   texts that share a prefix. The matched prefix is shortened from ``deepest`` until a pair at the
-   threshold is expected to meet in some tree with the target recall. Groups with the same members
-   in several trees are taken once.
-3. In each group, sketches of 256 one-byte minima are compared pair by pair within a task; pairs far
-   below the threshold fall away, and the rest leaves the task as one star per connected part. Groups
-   over ``block`` members are compared block against block in tasks of their own.
-4. Connected parts of these stars are families. Their shingle sets are brought together once (again
-   block against block when large) and every pair is verified exactly; a task gives the number of
-   links of each text and a star per verified part, never the pairs.
+2. A forest of ``trees`` prefix tries holds the MinHash signatures, ``deepest`` values a tree. A trie
+   is its signatures in sorted order: entries that share a prefix of any length are neighbours. The
+   forest is one table, range-partitioned and sorted by prefix, so a hot prefix is spread like any
+   other. Entries alone under the shortest prefix that can be needed are left out before the sort.
+3. The matched prefix is shortened from ``deepest``, ``step`` values at a time, until a pair at the
+   threshold is expected to have met in some tree with the target recall. A trie node whose texts
+   longer prefixes have already connected is closed; in an open node only texts that are not connected
+   yet are compared. Nodes with the same texts in several trees are taken once. Sketches of 256
+   one-byte minima are compared in a task; pairs far below the threshold fall away, and the rest
+   leaves the task as one star per connected part. Nodes over ``block`` texts are compared block
+   against block in tasks of their own.
+4. Connected parts of these stars are families. Their texts are brought together once (again block
+   against block when large) and every pair is verified exactly, on shingles of the words themselves;
+   a task gives the number of links of each text and a star per verified part, never the pairs.
 5. Connected parts of the verified stars are the classes.
 
 Defined cases: null and empty texts have no shingle: a class of its own without links. Null doc_id
 counts as the least number. Rows with the same doc_id count as one document with the links of each
-row. Copies (equal shingle sets) share a class and count in n_copies, not in n_links. An empty table
-gives an empty table. Columns other than doc_id and text are not read.
+row. Copies (equal shingle sets) share a class and count in n_copies, not in n_links. Very long texts
+are whole. An empty table gives an empty table. Columns other than doc_id and text, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -29,26 +34,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mixed, table, text_bytes, word_hashes, written
+from .common import discard, mapped, mixed, numbered_columns, table, text_bytes, word_hashes, written
 
 WORDS = 5
 THRESHOLD = (4, 5)  # similarity of 4 / 5 or more
 TREES = 32
 DEEPEST = 10
+STEP = 2
 RECALL = 0.9999
 SKETCH = 256
 BLOCK = 512
-VERIFY_BLOCK = 128  # members whose shingle sets a task holds at once, twice that for two blocks
+VERIFY_BLOCK = 128  # texts that a task holds at once, twice that for two blocks
+VERIFY_BYTES = 4 << 20  # and about how long they are together
 MARGIN = 0.14  # of the sketch's estimate: over five standard deviations at the threshold
 
 
-def prefix_length(trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """Shorten the prefix until a pair at the threshold meets with the target recall."""
-    similarity = THRESHOLD[0] / THRESHOLD[1]
-    for length in range(deepest, 0, -1):
-        if 1 - (1 - similarity**length) ** trees >= recall:
-            return length
-    raise ValueError("the target recall needs more trees")
+def expected_recall(length: int, trees: int = TREES) -> float:
+    """How probable it is that a pair at the threshold shares a prefix of that length in some tree."""
+    return 1 - (1 - (THRESHOLD[0] / THRESHOLD[1]) ** length) ** trees
+
+
+def prefix_lengths(trees: int = TREES, deepest: int = DEEPEST, step: int = STEP, recall: float = RECALL) -> list[int]:
+    """The lengths that are matched, from the deepest to the first with the target recall."""
+    lengths = [deepest]
+    while expected_recall(lengths[-1], trees) < recall:
+        if lengths[-1] == 1:
+            raise ValueError("the target recall needs more trees")
+        lengths.append(max(1, lengths[-1] - step))
+    return lengths
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +95,14 @@ def signatures(shingles: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndar
     return out
 
 
-SIGNED = "doc_id long, set_a long, set_b long, shingles int, prefixes array<long>, sketch binary"
+SIGNED = "doc_id long, set_a long, set_b long, shingles int, roots array<long>, tails array<int>, sketch binary"
 
 
-def signed(docs: DataFrame, trees: int, length: int) -> DataFrame:
-    hashes = max(SKETCH, trees * length)
+def signed(docs: DataFrame, trees: int, shortest: int, deepest: int) -> DataFrame:
+    """Each text's shingle set as two hashes and a size, its place in each tree, and its sketch. A place
+    is a root (a hash of the tree and the first ``shortest`` values) and a tail (a byte for each later
+    value up to ``deepest``, at most four); entries with equal values have equal places."""
+    hashes = max(SKETCH, trees * deepest)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         shingles, ends = shingle_sets(*text_bytes(batch.column("text")))
@@ -95,19 +111,57 @@ def signed(docs: DataFrame, trees: int, length: int) -> DataFrame:
             return
         starts, sizes = ends[:-1][full], np.diff(ends)[full]
         minima = signatures(shingles, starts, hashes).T
-        keys = np.repeat(np.arange(trees, dtype=np.uint64)[None], len(full), axis=0)
-        for k in range(length):
-            keys = mixed(keys + minima[:, k * trees : (k + 1) * trees].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        sketch = ((minima[:, :SKETCH] * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * trees), pa.array(keys.reshape(-1).view(np.int64)))
+        labels = ((minima * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
+        roots = np.repeat(np.arange(trees, dtype=np.uint64)[None], len(full), axis=0)
+        tails = np.zeros((len(full), trees), np.uint32)
+        for k in range(deepest):
+            own = slice(k * trees, (k + 1) * trees)
+            if k < shortest:
+                roots = mixed(roots + minima[:, own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            else:
+                tails = (tails << np.uint32(8)) | labels[:, own]
+        offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * trees)
         yield {
             "doc_id": batch.column("doc_id").take(pa.array(full)), "set_a": np.add.reduceat(mixed(shingles), starts).view(np.int64), "set_b": np.bitwise_xor.reduceat(mixed(~shingles), starts).view(np.int64),
-            "shingles": sizes.astype(np.int32), "prefixes": lists, "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()),
+            "shingles": sizes.astype(np.int32), "roots": pa.ListArray.from_arrays(offsets, pa.array(roots.reshape(-1).view(np.int64))),
+            "tails": pa.ListArray.from_arrays(offsets, pa.array(tails.reshape(-1).view(np.int32))), "sketch": pa.array([x.tobytes() for x in labels[:, :SKETCH]], pa.binary()),
         }
 
     return mapped(docs, run, SIGNED)
 
 
+def sorted_forest(texts: DataFrame) -> DataFrame:
+    """node, root, tail of every entry that shares its root with another one, in sorted order."""
+    entries = texts.select("node", F.explode(F.arrays_zip("roots", "tails")).alias("e")).select("node", F.col("e.roots").alias("root"), F.col("e.tails").alias("tail"))
+    shared = written(entries.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "forest-roots")
+    live = entries.join(shared, "root", "left_semi").select("node", "root", "tail")
+    order = ["root", "tail", "node"]
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(live.repartitionByRange(partitions, *order).sortWithinPartitions(*order), "forest-tries")
+
+
+def trie_stars(texts: DataFrame, forest: DataFrame, lengths: list[int], block: int, least: float) -> DataFrame:
+    """Stars (a, b) of texts that may be similar, from the deepest matched prefix to the shortest."""
+    edges, labels = None, None
+    for length in lengths:
+        prefix = F.lit(0) if length == lengths[-1] else F.call_function("shiftrightunsigned", "tail", F.lit(8 * (lengths[0] - length)))
+        level = forest.select("node", "root", prefix.alias("prefix"))
+        if labels is not None:
+            level = level.join(labels, "node", "left")
+        level = level.withColumn("label", F.coalesce("label", "node") if labels is not None else F.col("node"))
+        nodes = level.groupBy("root", "prefix").agg(
+            F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")
+        )
+        open_ = nodes.where("n > 1 and low < high").groupBy("n", "first", "members").agg(F.min(F.struct("root", "prefix")).alias("at"))
+        once = written(open_.select("at.root", "at.prefix", "n"), "forest-open")
+        members = level.join(once, ["root", "prefix"]).join(texts.select("node", "sketch"), "node")
+        found = written(sketched_stars(members.withColumn("blocks", F.ceil(F.col("n") / float(block))), least), "forest-stars")
+        discard(once)
+        edges = found if edges is None else edges.unionByName(found)
+        labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    return edges
+
+
 def by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], most: int = 4096) -> DataFrame:
     """Deal rows out by keys and hand work a table of whole groups and the groups' offsets."""
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
@@ -138,12 +192,13 @@ def by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.T
     return dealt.mapInArrow(run, schema)
 
 
-def in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """Copies of each row for every pair of blocks that its block is in (one copy when one block holds the group)."""
-    blocks = F.ceil(F.col(size) / F.lit(float(block))).cast("int")
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Copies of each row for every pair of blocks that its block is in, of ``blocks`` blocks (one copy
+    when one block holds the group)."""
+    blocks = F.greatest(F.col("blocks").cast("int"), F.lit(1))
     own = F.pmod(F.xxhash64(F.col("node")), blocks).cast("int")
-    spread = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks", size)
+    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
 
 
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -183,8 +238,9 @@ def inner_pairs(starts: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.n
         yield np.concatenate(a), np.concatenate(b)
 
 
-def sketched_stars(members: DataFrame, block: int, least: float) -> DataFrame:
-    """Stars (a, b) over each trie group's pairs whose sketches agree in at least that share."""
+def sketched_stars(members: DataFrame, least: float) -> DataFrame:
+    """Stars (a, b) over those pairs of each trie node that have different labels and whose sketches
+    agree in at least that share."""
 
     def work(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         nodes = rows.column("node").to_numpy()
@@ -192,9 +248,11 @@ def sketched_stars(members: DataFrame, block: int, least: float) -> DataFrame:
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        own, low, high = (rows.column(c).to_numpy() for c in ("own", "low", "high"))
+        own, low, high, labels = (rows.column(c).to_numpy() for c in ("own", "low", "high", "label"))
         found_a, found_b = [], []
         for a, b in inner_pairs(starts, own, low, high):
+            apart = labels[a] != labels[b]
+            a, b = a[apart], b[apart]
             for i in range(0, len(a), 20_000):
                 x, y = a[i : i + 20_000], b[i : i + 20_000]
                 near = (sketch[x] == sketch[y]).sum(axis=1) >= least * SKETCH
@@ -204,7 +262,8 @@ def sketched_stars(members: DataFrame, block: int, least: float) -> DataFrame:
             label = stars(np.concatenate(found_a), np.concatenate(found_b), len(nodes))
             yield star_rows(nodes[order], label)
 
-    return by_group(in_blocks(members, "bucket", "n", block), ["bucket", "low", "high"], "a long, b long", work)
+    rows = in_blocks(members.select("node", "root", "prefix", "label", "sketch", "blocks"))
+    return by_group(rows, ["root", "prefix", "low", "high"], "a long, b long", work)
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -217,9 +276,11 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         # written: next to a plain side Spark can split the rows of a hub
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), "m").where("u != m").select("u", F.col("m").alias("v")).distinct()
-        now = written(small, name)
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(smallest, "u").select(F.explode(F.array("u", "v")).alias("u"), "m").where("u != m").select("u", F.col("m").alias("v")).distinct()
+        after = written(small, name)
+        discard(now, least)
+        now = after
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             roots = now.select(F.col("v").alias("node")).distinct()
@@ -227,25 +288,37 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         seen = state
 
 
-def verified(docs: DataFrame, families: DataFrame, block: int) -> DataFrame:
-    """Per text and task: node, links (verified neighbours there) and root (of its verified part)."""
-    sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    placed = families.join(sizes, "label").withColumnRenamed("label", "family").join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
+def word_shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """The shingle set of each text; a shingle's number stands for its words themselves, so equal
+    numbers are equal shingles."""
+    numbers: dict[bytes, int] = {}
+    number = numbers.setdefault
+    split = [np.array([number(w, len(numbers) + 1) for w in t.lower().split()], np.int64) for t in texts]
+    short = [np.concatenate([w, np.zeros(WORDS - len(w), np.int64)]) if 0 < len(w) < WORDS else w for w in split]
+    windows = [max(0, len(w) - WORDS + 1) for w in short]
+    at = np.cumsum([0, *windows])
+    whole = np.concatenate([w[: n] for w, n in zip(short, windows)]) if at[-1] else np.empty(0, np.int64)
+    for k in range(1, WORDS):  # pairs of numbers become numbers
+        following = np.concatenate([w[k : k + n] for w, n in zip(short, windows)]) if at[-1] else whole
+        whole = np.unique(whole * (len(numbers) + 1) + following, return_inverse=True)[1]
+    return [np.unique(whole[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
 
-    def sets(batch: pa.RecordBatch) -> Iterator[dict]:
-        shingles, ends = shingle_sets(*text_bytes(batch.column("text")))
-        yield {"node": batch.column("node"), "family": batch.column("family"), "size": batch.column("size"), "shingles": pa.array([shingles[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())}
 
-    spread = in_blocks(mapped(placed, sets, "node long, family long, size long, shingles binary").where("octet_length(shingles) > 0"), "family", "size", block)
+def verified(docs: DataFrame, families: DataFrame, block: int) -> DataFrame:
+    """Per text and task: node, links (verified neighbours there) and root (of its verified part)."""
+    placed = families.withColumnRenamed("label", "family").join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
+    held = placed.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("node", "family", F.col("text").cast("binary").alias("text"))
+    sizes = written(held.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "forest-sizes")
+    blocks = F.greatest(F.ceil(F.col("n") / float(block)), F.ceil(F.col("bytes") / float(VERIFY_BYTES)))
+    spread = in_blocks(held.join(sizes.select("family", blocks.alias("blocks")), "family"))
 
     def work(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nodes = rows.column("node").to_numpy()
-        sets = rows.column("shingles")
+        nodes, texts = rows.column("node").to_numpy(), rows.column("text")
         own, low, high = (rows.column(c).to_numpy() for c in ("own", "low", "high"))
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            once = {(int(nodes[i]), sets[i].as_py()): i for i in range(s, e)}  # repeated rows count once
+            once = {(int(nodes[i]), texts[i].as_py()): i for i in range(s, e)}  # repeated rows count once
             at = np.array(sorted(once.values(), key=lambda i: (nodes[i], i)))
-            close = near_pairs([np.frombuffer(sets[i].as_py(), np.uint64) for i in at.tolist()])
+            close = near_pairs(word_shingles([texts[i].as_py() for i in at.tolist()]))
             if low[s] != high[s]:
                 close &= own[at][:, None] != own[at][None, :]
             close &= nodes[at][:, None] != nodes[at][None, :]
@@ -279,16 +352,15 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, recall: float = RECALL,
     """One row per document: doc_id, class_id (least doc_id of its class), n_links (other texts of at
     least the threshold's similarity), copy_of (least doc_id with the same shingles), n_copies."""
     own = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
-    length = prefix_length(trees, recall=recall)
-    found = written(signed(own, trees, length), "forest-signatures")
-    picked = found.groupBy("set_a", "set_b", "shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"))
+    lengths = prefix_lengths(trees, recall=recall)
+    found = written(signed(own, trees, lengths[-1], lengths[0]), "forest-signatures")
+    firsts = [F.first(c).alias(c) for c in ("roots", "tails", "sketch")]
+    picked = found.groupBy("set_a", "set_b", "shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), *firsts)
     texts = written(picked, "forest-texts")
-    entries = texts.select("node", F.explode("prefixes").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    once = buckets.groupBy("n", "first", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = entries.join(once, "bucket").join(texts.select("node", "sketch"), "node")
-    least = THRESHOLD[0] / THRESHOLD[1] - MARGIN
-    families = written(connected(sketched_stars(members, block, least), "forest-families"), "forest-family")
+    forest = sorted_forest(texts)
+    stars_ = trie_stars(texts, forest, lengths, block, THRESHOLD[0] / THRESHOLD[1] - MARGIN)
+    families = written(connected(stars_, "forest-families"), "forest-family")
+    discard(forest)
     links = written(verified(own, families, min(block, VERIFY_BLOCK)), "forest-links")
     degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "forest-classes")
@@ -300,9 +372,13 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, recall: float = RECALL,
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id stands for its class, with their columns."""
-    stay = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("class_id")).distinct()
-    return docs.join(stay, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == stay["class_id"], "left_semi")
+    """The rows of docs whose doc_id stands for its class, with their columns, whatever those are
+    called. Null and empty texts are classes of their own and stay; rows with the same doc_id are one
+    document and stay or go together, and so are rows without one; of a tie the least doc_id stays."""
+    plain, name = numbered_columns(docs)
+    stay = near_duplicates(plain, doc_id=name["doc_id"], text=name["text"]).where("doc_id = class_id").select("class_id").distinct()
+    kept = plain.join(stay, F.coalesce(F.col(name["doc_id"]).cast("bigint"), F.lit(-(1 << 63))) == F.col("class_id"), "left_semi")
+    return kept.toDF(*docs.columns)
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
