@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import DETECTION_FLOOR, NON_AUTOSOMAL
 from ..functions.names import donors_of_sample, threshold_mask
 from .panel import allele_info, nearest_allele
-from .signal import KEYS, bp_to_pixel, peak_boundary, peak_in_or_near_run, runs_of_ones
+from .signal import KEYS, nearest_pixel, peak_boundary, peak_in_or_near_run, runs_of_ones, scaler_arrays
 
 
 def drop_non_autosomal(calls: DataFrame) -> DataFrame:
@@ -19,11 +19,9 @@ def drop_non_autosomal(calls: DataFrame) -> DataFrame:
 
 
 def allele_spans(calls: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:
-    """calls (hid, bp_left, bp_right, more) with l and r, the pixels of both ends."""
-    names = calls.columns
-    sides = calls.withColumn("_call", F.struct(*names)).withColumn("_s", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("bp_left").alias("bp")), F.struct(F.lit("r").alias("side"), F.col("bp_right").alias("bp")))))
-    placed = bp_to_pixel(sides.select(on, "_call", "_s.side", "_s.bp"), scaler, on=on)
-    return placed.groupBy("_call").agg(F.max(F.when(F.col("side") == "l", F.col("px"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("px"))).alias("r")).select("_call.*", "l", "r")
+    """calls (hid, bp_left, bp_right, more) with l and r, the pixels of both ends; repeated rows stay."""
+    ends = {name: nearest_pixel(F.col(bp), F.col("_bps")) for name, bp in (("l", "bp_left"), ("r", "bp_right"))}
+    return calls.join(scaler_arrays(scaler, on), on).select(*[F.col(c) for c in calls.columns], *[c.alias(n) for n, c in ends.items()])
 
 
 def spans_to_mask(spans: DataFrame) -> DataFrame:

@@ -38,8 +38,7 @@ def average_binary_iou(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def locus_table(spark) -> DataFrame:
-    rows = [(m, low, high) for (low, high), markers in LOCUS_THRESHOLDS.items() for m in markers]
-    return spark.createDataFrame(rows, "marker string, low int, high int")
+    return spark.createDataFrame([(marker, *limits) for marker, limits in LOCUS_THRESHOLDS.items()], "marker string, low int, high int")
 
 
 def locus_thresholds(spark, locus: str | None = None, low_or_high: str | None = None, min_rfu: int | None = None) -> DataFrame:
@@ -49,7 +48,7 @@ def locus_thresholds(spark, locus: str | None = None, low_or_high: str | None =
         raise ValueError(f"unknown mode {low_or_high}")
     rows = locus_table(spark)
     if locus is not None:
-        if not any(locus in markers for markers in LOCUS_THRESHOLDS.values()):
+        if locus not in LOCUS_THRESHOLDS:
             raise ValueError(f"unknown locus {locus}")
         rows = rows.where(F.col("marker") == locus)
     above = {"low": F.col("low"), "high": F.col("high"), "between": F.col("low")}.get(low_or_high, F.lit(min_rfu or None).cast("int"))
@@ -57,6 +56,13 @@ def locus_thresholds(spark, locus: str | None = None, low_or_high: str | None =
     return rows.select("marker", above.alias("above"), below.alias("below"))
 
 
+def passing(calls: DataFrame, height: Column | None = None) -> DataFrame:
+    """calls (height, above, below) that pass their thresholds; no threshold and one of 0 let all pass."""
+    h = F.col("height") if height is None else height
+    between = (h > F.col("above")) & (h < F.col("below"))
+    return calls.where(F.when(F.col("below").isNotNull(), between).otherwise(F.col("above").isNull() | (F.col("above") == 0) | (h >= F.col("above"))))
+
+
 def locus_allele_set(calls: DataFrame, thresholds: DataFrame | None = None, min_rfu: float | None = None, strict: bool = False) -> DataFrame:
     """hid (and source), key of the calls that pass the thresholds; duplicates are an error if strict."""
     keys = [c for c in ("hid", "source") if c in calls.columns]
@@ -65,8 +71,7 @@ def locus_allele_set(calls: DataFrame, thresholds: DataFrame | None = None, min_
         height = F.col("height")
         if strict:
             height = F.coalesce(height, F.raise_error(F.lit("a call without height has no threshold")).cast("double"))
-        ok = F.when(F.col("below").isNotNull(), (height > F.col("above")) & (height < F.col("below"))).otherwise(F.col("above").isNull() | (F.col("above") == 0) | (height >= F.col("above")))
-        kept = calls.join(thresholds, "marker").where(ok)
+        kept = passing(calls.join(thresholds, "marker"), height)
     elif min_rfu:
         kept = calls.where(F.col("height") >= min_rfu)
     sets = kept.select(*keys, locus_allele_key(F.col("marker"), F.col("allele")).alias("key")).groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("_n"))
@@ -128,6 +133,11 @@ def binary_accuracy(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     return pixels.agg(F.avg((threshold_mask(F.col("prob"), threshold) == F.col("mask").cast("int")).cast("double")).alias("accuracy"))
 
 
+def running_mean_loss(batches: DataFrame, keys: list[str], loss: str = "loss") -> DataFrame:
+    """The mean loss of the batches of each epoch (keys), which a running mean ends in."""
+    return batches.groupBy(*keys).agg(F.avg(loss).alias("loss"))
+
+
 def fold_means(metrics: DataFrame) -> DataFrame:
     keys = [c for c in ("metric", "variant") if c in metrics.columns]
     return metrics.groupBy(*keys).agg(F.avg("value").alias("mean_value"))

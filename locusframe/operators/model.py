@@ -47,6 +47,13 @@ def predict_pixels(model: PipelineModel, pixels: DataFrame) -> DataFrame:
     return scored.select(*pixels.columns, vector_to_array("probability")[1].alias("prob"))
 
 
+def weights(model: PipelineModel, spark) -> DataFrame:
+    """feature, weight of the classifier, with its intercept."""
+    fitted = model.stages[-1]
+    rows = [*zip(feature_names(), map(float, fitted.coefficients)), ("intercept", float(fitted.intercept))]
+    return spark.createDataFrame(rows, "feature string, weight double")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -1,17 +1,18 @@
 """Panel lookups and ladder adjustment.
 
-A panel has one row per allele: dye, marker, allele, base_pair, left_off, right_off, ord. Panels are
-small (some hundred alleles per kit), yet nothing here relies on it: joins are by equality on marker
-and allele or on dye, and only the per-dye arrays of nearest_allele (one row per dye) are broadcast.
+A panel has one row per allele: dye, marker, allele, base_pair, left_off, right_off, ord, and panel_id
+where a table holds several panels. Panels are small (some hundred alleles per kit), yet nothing here
+relies on it: joins are by equality, on marker and allele, on dye and a bucket of base pairs, or on
+panel_id, and none is forced to broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import NOT_IN_PANEL
-from .signal import bp_to_pixel, plateau_peaks
+from .signal import nearest_pixel, plateau_peaks, scaler_arrays
 
 
 def first_entries(panel: DataFrame) -> DataFrame:
@@ -67,40 +68,59 @@ def allele_at_dye_bp(points: DataFrame, panel: DataFrame, strict: bool = True) -
 
 
 def nearest_allele(points: DataFrame, panel: DataFrame, bp: str = "bp", digits: int | None = None) -> DataFrame:
-    """points (dye, bp, more) with the marker and allele of the nearest panel entry, the first on ties."""
-    entry = F.struct("base_pair", "ord", "marker", "allele")
-    per_dye = by_dye_bp(panel).groupBy("dye").agg(F.collect_list(entry).alias("_alleles"))
-    joined = points.join(F.broadcast(per_dye), "dye")  # one row a dye
+    """points (dye, bp, more) with the marker and allele of the nearest panel entry, the first on ties.
+    Points and entries meet by equality on dye and base pair bucket: a bucket holds its own entries and
+    the two before and after it, so a point is compared with a few entries whatever the panel's size."""
+    joined = points.withColumn("_bucket", bp_bucket(F.col(bp))).join(bp_buckets(by_dye_bp(panel)), ["dye", "_bucket"])
     gap = lambda a: F.abs(a["base_pair"] - F.col(bp))
     rounded = (lambda a: F.round(gap(a), digits)) if digits is not None else gap
     best = F.array_min(F.transform("_alleles", lambda a: F.struct(rounded(a).alias("d"), a["ord"].alias("ord"), a["marker"].alias("marker"), a["allele"].alias("allele"))))
     return joined.withColumn("_best", best).select(*[F.col(c) for c in points.columns], F.col("_best.marker").alias("marker"), F.col("_best.allele").alias("allele"))
 
 
+BUCKETS = 4096  # of one base pair each; what lies outside goes to the first or last one
+
+
+def bp_bucket(bp: Column) -> Column:
+    return F.least(F.greatest(F.floor(bp), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+
+
+def bp_buckets(entries: DataFrame) -> DataFrame:
+    """dye, _bucket, _alleles for every bucket of every dye: the entries (dye, base_pair, ord, marker,
+    allele) in it and the two nearest on each side of it."""
+    w = Window.partitionBy("dye").orderBy("base_pair")
+    before, after = F.lag("base_pair", 2).over(w), F.lead("base_pair", 2).over(w)
+    first = F.when(before.isNull(), F.lit(0)).otherwise(bp_bucket(before))
+    last = F.when(after.isNull(), F.lit(BUCKETS - 1)).otherwise(bp_bucket(after))
+    reach = entries.withColumn("_first", first).withColumn("_last", last).withColumn("_bucket", F.explode(F.sequence("_first", "_last")))
+    return reach.groupBy("dye", "_bucket").agg(F.collect_list(F.struct("base_pair", "ord", "marker", "allele")).alias("_alleles"))
+
+
 def marker_bins(panel: DataFrame) -> DataFrame:
     return panel.groupBy("marker").agg((F.min(F.col("base_pair") - F.col("left_off")) - 1).alias("bin_left"), (F.max(F.col("base_pair") + F.col("right_off")) + 1).alias("bin_right"))
 
 
-def marker_windows(pixels: DataFrame, panel: DataFrame, scaler: DataFrame, tail: int = 5, size: int = 4096) -> DataFrame:
-    """hid, marker, dye, px, rfu of each marker's stretch of the trace, with ``tail`` pixels on both sides."""
-    bins = marker_bins(panel).join(panel.groupBy("marker").agg(F.min("dye").alias("dye")), "marker")
-    edges = bins.select("marker", "dye", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("bin_left").alias("bp")), F.struct(F.lit("r").alias("side"), F.col("bin_right").alias("bp")))).alias("e"))
-    points = scaler.select("hid").distinct().withColumn("_k", F.lit(1)).join(edges.select("marker", "dye", "e.side", "e.bp").withColumn("_k", F.lit(1)), "_k").drop("_k")
-    placed = bp_to_pixel(points, scaler)
-    spans = placed.groupBy("hid", "marker", "dye").agg(F.max(F.when(F.col("side") == "l", F.col("px"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("px"))).alias("r"))
-    wide = spans.select("hid", "marker", "dye", F.explode(F.sequence(F.greatest(F.col("l") - tail, F.lit(0)), F.least(F.col("r") + tail, F.lit(size)) - 1)).alias("px"))
+def marker_windows(pixels: DataFrame, panel: DataFrame, scaler: DataFrame, profiles: DataFrame, tail: int = 5, size: int = 4096) -> DataFrame:
+    """hid, marker, dye, px, rfu of each marker's stretch of the trace, with ``tail`` pixels on both sides.
+    profiles: hid, panel_id (as resolve_panel gives it); panel: with panel_id."""
+    keys = ["panel_id", "marker"]
+    low, high = F.min(F.col("base_pair") - F.col("left_off")) - 1, F.max(F.col("base_pair") + F.col("right_off")) + 1
+    bins = panel.groupBy(*keys).agg(low.alias("bin_left"), high.alias("bin_right"), F.min("dye").alias("dye"))
+    by_panel = bins.groupBy("panel_id").agg(F.collect_list(F.struct("marker", "dye", "bin_left", "bin_right")).alias("_bins"))  # the markers of one kit
+    placed = profiles.join(by_panel, "panel_id").join(scaler_arrays(scaler), "hid").select("hid", "_bps", F.explode("_bins").alias("_b"))
+    l, r = (nearest_pixel(F.col(f"_b.bin_{side}"), F.col("_bps")) for side in ("left", "right"))
+    wide = placed.select("hid", "_b.marker", "_b.dye", F.explode(F.sequence(F.greatest(l - tail, F.lit(0)), F.least(r + tail, F.lit(size)) - 1)).alias("px"))
     return wide.join(pixels, ["hid", "dye", "px"]).select("hid", "marker", "dye", "px", "rfu")
 
 
-def adjust_panel(panel: DataFrame, ladder_alleles: DataFrame, ladder_peaks: DataFrame, scaler: DataFrame) -> DataFrame:
-    """Per ladder the panel with base pairs moved to its peaks. ladder_alleles: dye, k, marker, allele;
-    ladder_peaks: hid, dye, k, px; scaler: hid, px, bp. Alleles without a peak are placed on the line
-    through their neighbours with one; before the first of them through the first two, after the last
-    through the last two."""
-    located = ladder_peaks.join(ladder_alleles, ["dye", "k"]).join(scaler, ["hid", "px"]).select("hid", "marker", "allele", F.col("bp").alias("known"))
-    ladders = ladder_peaks.select("hid").distinct()
-    entries = first_entries(panel)
-    every = ladders.withColumn("_k", F.lit(1)).join(entries.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def adjust_panel(panel: DataFrame, ladder_alleles: DataFrame, ladder_peaks: DataFrame, scaler: DataFrame, ladders: DataFrame) -> DataFrame:
+    """Per ladder its kit's panel with base pairs moved to its peaks. ladders: hid, panel_id (its kit);
+    panel: with panel_id; ladder_alleles: panel_id, dye, k, marker, allele; ladder_peaks: hid, dye, k, px;
+    scaler: hid, px, bp. Alleles without a peak are placed on the line through their neighbours with one;
+    before the first of them through the first two, after the last through the last two."""
+    kit = ladders.select("hid", "panel_id")
+    located = ladder_peaks.join(kit, "hid").join(ladder_alleles, ["panel_id", "dye", "k"]).join(scaler, ["hid", "px"]).select("hid", "marker", "allele", F.col("bp").alias("known"))
+    every = kit.join(first_entries(panel), "panel_id").drop("panel_id")
     joined = every.join(located, ["hid", "marker", "allele"], "left")
     w = Window.partitionBy("hid", "marker").orderBy("ord")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import BP_RANGE, PIXELS, STANDARD_BPS
 
 KEYS = ["hid", "dye"]
+NEAR = 16
 
 
 def along(order: str = "px") -> Window:
@@ -20,12 +21,15 @@ def along(order: str = "px") -> Window:
 
 def local_maxima(pixels: DataFrame, order: str = "px", value: str = "rfu", keys: list[str] | None = None) -> DataFrame:
     """Rows higher than one neighbour and not lower than the other; outside counts as 0."""
+    return pixels.withColumn("_is", peak_flag(pixels, order, value, keys)).where("_is").drop("_is")
+
+
+def peak_flag(pixels: DataFrame, order: str = "px", value: str = "rfu", keys: list[str] | None = None) -> Column:
     w = Window.partitionBy(*(keys or KEYS)).orderBy(order)
     v = F.col(value)
     zero = F.lit(0).cast(pixels.schema[value].dataType)
     left, right = F.coalesce(F.lag(v).over(w), zero), F.coalesce(F.lead(v).over(w), zero)
-    held = pixels.withColumn("_left", left).withColumn("_right", right)
-    return held.where(((v >= F.col("_left")) & (v > F.col("_right"))) | ((v > F.col("_left")) & (v >= F.col("_right")))).drop("_left", "_right")
+    return ((v >= left) & (v > right)) | ((v > left) & (v >= right))
 
 
 def peaks_above(pixels: DataFrame, threshold: float, order: str = "px") -> DataFrame:
@@ -74,13 +78,24 @@ def peak_boundary(pixels: DataFrame, threshold: float) -> DataFrame:
 
 
 def nearest_peak(pixels: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (hid, dye, px, more): with peak, the nearest maximum that is at least as high as the pixel itself."""
-    tops = local_maxima(pixels).select(*KEYS, F.col("px").alias("_top"), F.col("rfu").alias("_high"))
-    own = pixels.select(*KEYS, "px", F.col("rfu").alias("_own"))
-    found = queries.join(own, [*KEYS, "px"]).join(tops, KEYS).where(F.col("_high") >= F.col("_own"))
-    names = queries.columns
-    best = F.min(F.struct(F.abs(F.col("_top") - F.col("px")).alias("d"), F.col("_top").alias("peak"), F.col("_high").alias("high")))
-    return found.groupBy(*names).agg(best.alias("_b")).select(*names, F.col("_b.peak").alias("peak"), F.col("_b.high").alias("peak_rfu"))
+    """queries (hid, dye, px, more): with peak, the nearest maximum that is at least as high as the pixel
+    itself, the first on ties. A trace's maxima are one sorted array (a trace has some thousand scans);
+    the NEAR maxima on both sides are looked at first, the others only where none of those will do."""
+    w = along().rowsBetween(Window.unboundedPreceding, 0)
+    top = peak_flag(pixels)
+    ranked = pixels.select(*KEYS, "px", F.col("rfu").alias("_own"), top.alias("_is")).withColumn("_rank", F.sum(F.col("_is").cast("int")).over(w))
+    tops = ranked.where("_is").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col("px").alias("peak"), F.col("_own").alias("high")))).alias("_tops"))
+    found = queries.join(ranked.drop("_is"), [*KEYS, "px"]).join(tops, KEYS)
+    high = lambda x: x["high"] >= F.col("_own")
+    n, rank = F.size("_tops"), F.col("_rank").cast("int")
+    first, after = F.greatest(rank - NEAR, F.lit(0)) + 1, F.least(rank + NEAR, n) - rank
+    last_of = lambda a: F.try_element_at(F.filter(a, high), F.lit(-1))
+    first_of = lambda a: F.try_element_at(F.filter(a, high), F.lit(1))
+    left = F.coalesce(last_of(F.slice("_tops", first, rank - first + 1)), last_of(F.slice("_tops", F.lit(1), first - 1)))
+    right = F.coalesce(first_of(F.slice("_tops", rank + 1, after)), first_of(F.slice("_tops", rank + after + 1, n - rank - after)))
+    sides = F.filter(F.array(left, right), lambda x: x.isNotNull())
+    best = F.array_min(F.transform(sides, lambda x: F.struct(F.abs(x["peak"] - F.col("px")).alias("d"), x["peak"].alias("peak"), x["high"].alias("high"))))
+    return found.withColumn("_b", best).where("_b is not null").select(*queries.columns, F.col("_b.peak").alias("peak"), F.col("_b.high").alias("peak_rfu"))
 
 
 def peak_in_or_near_run(pixels: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
@@ -186,16 +201,27 @@ def calibrated_profile(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return resample_profile(raw, grid), grid.select("hid", "px", "bp")
 
 
-def bp_to_pixel(points: DataFrame, scaler: DataFrame, bp: str = "bp", reach: int = 3, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE, on: str = "hid") -> DataFrame:
-    """points (hid, bp, more) with px, the pixel whose base pair is nearest, the first on ties. A
-    validated standard keeps it within ``reach`` of the evenly spaced place, so the join is by equality.
-    ``on`` names the scaler of a point where several profiles share one."""
+def scaler_arrays(scaler: DataFrame, on: str = "hid") -> DataFrame:
+    """hid and the base pairs of its pixels 0, 1, ... as one array (a scaler has every pixel once)."""
+    return scaler.groupBy(on).agg(F.transform(F.array_sort(F.collect_list(F.struct("px", "bp"))), lambda x: x["bp"]).alias("_bps"))
+
+
+def nearest_pixel(bp: Column, scaler: Column, reach: int = 3, bp_range: tuple[int, int] = BP_RANGE) -> Column:
+    """The place in a scaler's array whose base pair is nearest, the first on ties. A validated standard
+    keeps it within ``reach`` of the evenly spaced place, so no more than that is looked at."""
     first, last = bp_range
-    middle = F.round((F.col(bp) - first) * (pixels - 1) / (last - first)).cast("int")
-    spread = points.withColumn("_id", F.struct(*points.columns)).withColumn("_c", F.explode(F.array(*[F.least(F.greatest(middle + F.lit(k), F.lit(0)), F.lit(pixels - 1)) for k in range(-reach, reach + 1)])))
-    near = spread.join(scaler.select(on, F.col("px").alias("_c"), F.col("bp").alias("_bp")), [on, "_c"])
-    best = near.groupBy("_id").agg(F.min(F.struct(F.abs(F.col("_bp") - F.col(f"_id.{bp}")).alias("d"), F.col("_c").alias("px"))).alias("_b"))
-    return best.select("_id.*", F.col("_b.px").alias("px"))
+    n = F.size(scaler)
+    middle = F.round((bp - first) * (n - 1) / (last - first))
+    begin = F.least(F.greatest(middle - reach, F.lit(0)), n - 1 - 2 * reach).cast("int")
+    gaps = F.transform(F.slice(scaler, F.greatest(begin, F.lit(0)) + 1, F.lit(2 * reach + 1)), lambda x, i: F.struct(F.abs(x - bp).alias("d"), (i + F.greatest(begin, F.lit(0))).alias("px")))
+    return F.array_min(gaps)["px"].cast("int")
+
+
+def bp_to_pixel(points: DataFrame, scaler: DataFrame, bp: str = "bp", on: str = "hid") -> DataFrame:
+    """points (hid, bp, more) with px, the pixel whose base pair is nearest; each row has its own result,
+    repeated rows too. ``on`` names the scaler of a point where several profiles share one."""
+    placed = points.join(scaler_arrays(scaler, on), on)
+    return placed.select(*[F.col(c) for c in points.columns], nearest_pixel(F.col(bp), F.col("_bps")).alias("px"))
 
 
 def ladder_peaks(pixels: DataFrame, expected: DataFrame, share: float = 0.6) -> DataFrame:

@@ -1,7 +1,7 @@
 """Seeded splits and batches. Order comes from md5(seed|id), so membership is the same anywhere.
 
-Global ranks are taken over profiles or prefixes, never over pixels. Each stratum is ranked by a
-window; the unstratified hold-out ranks by a distributed sort (range partitions and their sizes).
+Global ranks are taken over profiles or prefixes, never over pixels, by a distributed sort (range
+partitions and their sizes), which no stratum and no single task has to hold.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def seeded(seed: int | str, *ids: str) -> list[Column]:
     return [F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids])), *map(F.col, ids)]
@@ -16,8 +18,10 @@ def seeded(seed: int | str, *ids: str) -> list[Column]:
 
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """rows with their place (from 1) in a global order, without one task sorting all of them: a range
-    partitioned sort, the partitions' sizes, and the place within the partition."""
-    ordered = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    partitioned sort, the partitions' sizes, and the place within the partition. The rows are written
+    with their partition, so both reads see the same one."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = written(rows.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     placed = ordered.withColumn("_within", within)
     sizes = placed.groupBy("_part").agg(F.max("_within").alias("_size"))
@@ -41,29 +45,36 @@ def holdout_split(rows: DataFrame, fraction: float, seed: int | str, key: str) -
 def grouped_holdout_split(rows: DataFrame, fraction: float, seed: int | str, stratum: str = "noc", group: str = "prefix") -> DataFrame:
     """Groups (replicas) stay together; each stratum gives the first floor(m * fraction) of its groups to part 1."""
     check_fraction(fraction)
-    groups = rows.select(stratum, group).distinct()
-    w = Window.partitionBy(stratum)
-    rank, many = F.row_number().over(w.orderBy(*seeded(seed, group))), F.count(F.lit(1)).over(w)
-    parts = groups.withColumn("part", F.when(rank <= F.floor(many * fraction), 1).otherwise(2))
+    rank, many = F.col("_rank"), F.col("_many")
+    parts = ranked_groups(rows, seed, stratum, group).select(stratum, group, F.when(rank <= F.floor(many * fraction), 1).otherwise(2).alias("part"))
     return rows.join(parts, [stratum, group])
 
 
+def ranked_groups(rows: DataFrame, seed: int | str, stratum: str, group: str) -> DataFrame:
+    """The distinct groups of each stratum with _rank (from 1, in seeded order) and _many, their number there."""
+    placed = ranked(rows.select(stratum, group).distinct(), [F.col(stratum), *seeded(seed, group)], "_place")
+    strata = placed.groupBy(stratum).agg(F.count(F.lit(1)).alias("_many"), (F.min("_place") - 1).alias("_before"))
+    return placed.join(strata, stratum).select(stratum, group, (F.col("_place") - F.col("_before")).alias("_rank"), "_many")
+
+
+def fold_of(at: Column, many: Column, k: int) -> Column:
+    """The fold of place at (from 0) when ``many`` places are dealt to k folds, larger ones first."""
+    small, rest = F.floor(many / k), many % k
+    edge = rest * (small + 1)
+    return F.when(at < edge, F.floor(at / (small + 1))).otherwise(rest + F.floor((at - edge) / F.greatest(small, F.lit(1)))).cast("bigint")
+
+
 def kfold_split(rows: DataFrame, k: int, seed: int | str, key: str) -> DataFrame:
     """rows with fold 0 .. k-1 of floor(n / k) rows each, the remainder one each to the first folds."""
     n = rows.count()
     if n < k:
         raise ValueError("fewer rows than folds")
-    small, rest = divmod(n, k)
-    at = F.col("_rank") - 1
-    edge = rest * (small + 1)
-    fold = F.when(at < edge, F.floor(at / (small + 1))).otherwise(rest + F.floor((at - edge) / small))
-    return ranked(rows, seeded(seed, key), "_rank").withColumn("fold", fold.cast("bigint")).drop("_rank")
+    return ranked(rows, seeded(seed, key), "_rank").withColumn("fold", fold_of(F.col("_rank") - 1, F.lit(n), k)).drop("_rank")
 
 
 def grouped_kfold_split(rows: DataFrame, k: int, seed: int | str, stratum: str = "noc", group: str = "prefix") -> DataFrame:
-    groups = rows.select(stratum, group).distinct()
-    fold = (F.ntile(k).over(Window.partitionBy(stratum).orderBy(*seeded(seed, group))) - 1).cast("bigint")
-    return rows.join(groups.withColumn("fold", fold), [stratum, group])
+    folds = ranked_groups(rows, seed, stratum, group).select(stratum, group, fold_of(F.col("_rank") - 1, F.col("_many"), k).alias("fold"))
+    return rows.join(folds, [stratum, group])
 
 
 def train_test_folds(folded: DataFrame, k: int) -> DataFrame:

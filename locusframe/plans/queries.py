@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as fn
+from ..functions.constants import DYE_ROWS, LOCUS_THRESHOLDS
 from ..operators import annotate, loading, metrics, panel, signal, splits
 from ..sources import abif, files
 from . import views as v
@@ -45,7 +46,11 @@ for _key, _column in (("is_rd_sample", "is_rd_sample"), ("sample_prefix", "prefi
     query(_key, f"SELECT key, {_column} FROM ({ORACLES['name_functions']})")(lambda spark, d, c=_column: name_functions(spark, d).select("key", c))
 
 
-@query("path_hash")
+CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: xor(c >> 1, 3988292384::BIGINT * (c & 1))))"""
+
+
+@query("path_hash", sql(f"SELECT key, xor({CRC}, 4294967295::BIGINT) AS hash FROM names", NAMES))
 def path_hash(spark, d):
     return v.names(spark, d).select("key", fn.path_hash(F.concat(F.lit("a/b c/"), "name")).alias("hash"))
 
@@ -216,9 +221,24 @@ def good_knots(spark, d):
     return k.join(signal.validate_size_standard(k).where("valid"), "hid", "left_semi")
 
 
-@query("rescale_to_grid")
+GRID = """good AS (SELECT hid FROM (SELECT hid, (scan - lag(scan) OVER w) / (bp - lag(bp) OVER w) AS s FROM knots WINDOW w AS (PARTITION BY hid ORDER BY scan)) GROUP BY hid HAVING bool_and(coalesce(s BETWEEN 7 AND 13, true)) AND count(*) = 19),
+  slots AS (SELECT hid AS supplier, row_number() OVER (ORDER BY hid) - 1 AS slot, count(*) OVER () AS n FROM good),
+  sides AS (SELECT hid, scan::DOUBLE AS s0, lead(scan) OVER w::DOUBLE AS s1, bp AS b0, lead(bp) OVER w AS b1 FROM knots SEMI JOIN good USING (hid) WINDOW w AS (PARTITION BY hid ORDER BY scan)),
+  targets AS (SELECT px, 65e0 + px * 410e0 / 4095e0 AS t FROM (SELECT unnest(range(0, 4096)) AS px)),
+  lower AS (SELECT hid, px, t, s0, s1, b0, (b1 - b0) / (s1 - s0) AS step, least(floor(s0 + (t - b0) / ((b1 - b0) / (s1 - s0)) + 1e-9), s1) AS lo FROM sides JOIN targets ON t >= b0 AND (t < b1 OR b1 = 475) WHERE s1 IS NOT NULL),
+  both_sides AS (SELECT *, b0 + (lo - s0) * step AS low FROM lower),
+  grid AS (SELECT hid, px, CASE WHEN up THEN lo + 1 ELSE lo END::BIGINT AS scan, CASE WHEN up THEN low + step ELSE low END AS bp FROM (SELECT *, t - low > low + step - t AND lo < s1 AS up FROM both_sides))"""
+
+
+def nearest_sql(points: str, keys: str) -> str:
+    """px of the pixel nearest each point (keys, supplier, bp), found among those around its even place."""
+    return f"""(SELECT {keys}, px FROM (SELECT p.*, g.px, row_number() OVER (PARTITION BY {", ".join("p." + k for k in keys.split(", "))} ORDER BY abs(g.bp - p.bp), g.px) AS r
+    FROM (SELECT DISTINCT q.*, greatest(0, least(4095, round((bp - 65) * 4095 / 410)::BIGINT + k)) AS c FROM {points} q, (SELECT unnest(range(-4, 5)) AS k)) p JOIN grid g ON g.hid = p.supplier AND g.px = p.c) WHERE r = 1)"""
+
+
+@query("rescale_to_grid", sql("SELECT hid, px, scan, round(bp, 6) AS bp FROM grid", KNOTS, GRID))
 def rescale_to_grid(spark, d):
-    return signal.rescale_to_grid(good_knots(spark, d))
+    return big(signal.rescale_to_grid(good_knots(spark, d)), "px", "scan").withColumn("bp", F.round("bp", 6))
 
 
 def scaler(spark, d):
@@ -232,20 +252,39 @@ def with_supplier(spark, d, rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_slot", F.pmod(F.col(key), F.lit(good.count()))).join(slots, "_slot").drop("_slot")
 
 
-@query("resample_profile")
+@query("resample_profile", sql("""SELECT t.hid, t.dye, g.px, t.rfu FROM (SELECT hid, dye, 3000 + hid * 37 % 4000 + px AS scan, rfu FROM trace) t JOIN slots s ON s.slot = t.hid % s.n
+  JOIN grid g ON g.hid = s.supplier AND g.scan = t.scan""", TRACE, KNOTS, GRID))
 def resample_profile(spark, d):
     """The trace of every user laid over the scans of a standard of its own, a copy of its supplier's."""
     trace = v.trace(spark, d)
     users = with_supplier(spark, d, v.table(spark, d, "events").select(F.col("user_id").alias("hid")).distinct(), "hid")
     knots = users.join(good_knots(spark, d).withColumnRenamed("hid", "supplier"), "supplier").select("hid", "scan", "bp")
     raw = trace.select("hid", "dye", (3000 + F.col("hid") * 37 % 4000 + F.col("px")).alias("scan"), "rfu")
-    return signal.resample_profile(raw, signal.rescale_to_grid(knots))
+    return big(signal.resample_profile(raw, signal.rescale_to_grid(knots)), "px")
+
+
+def raw_traces(spark, d):
+    """Six dyes of every supplier: a size standard with a peak at each knot, one before and one after,
+    and five dyes whose values follow from the scan."""
+    knots = v.knots(spark, d)
+    ends = knots.groupBy("hid").agg(F.min("scan").alias("first"), F.max("scan").alias("last"))
+    tops = knots.select("hid", "scan").unionByName(ends.select("hid", F.explode(F.array(F.col("first") - 150, F.col("last") + 200)).alias("scan")))
+    shape = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(x).alias("rfu")) for o, x in ((-1, 100), (0, 900), (1, 100))])
+    standard = tops.select("hid", "scan", F.explode(shape).alias("s")).select("hid", F.lit(5).cast("bigint").alias("dye"), (F.col("scan") + F.col("s.o")).alias("scan"), F.col("s.rfu").cast("bigint").alias("rfu"))
+    dyes = ends.select("hid", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>")).alias("dye"), "first", "last").select("hid", "dye", F.explode(F.sequence("first", "last")).alias("scan"))
+    return standard.unionByName(dyes.withColumn("rfu", (F.col("scan") * 7 + F.col("dye")) % 500))
+
+
+@query("calibrated_profile", sql("SELECT hid, dye, px, (scan * 7 + dye) % 500 AS rfu, round(bp, 6) AS bp FROM grid, (SELECT unnest(range(0, 5)) AS dye)", KNOTS, GRID))
+def calibrated_profile(spark, d):
+    pixels, grid = signal.calibrated_profile(raw_traces(spark, d))
+    return big(pixels.join(grid, ["hid", "px"]), "px").select("hid", "dye", "px", "rfu", F.round("bp", 6).alias("bp"))
 
 
-@query("bp_to_pixel")
+@query("bp_to_pixel", sql(f"SELECT supplier AS hid, key, px FROM {nearest_sql('points', 'supplier, key')}", KNOTS, GRID, "points AS (SELECT o_orderkey AS key, supplier, 50e0 + o_totalprice % 450 AS bp FROM orders JOIN slots ON slot = o_orderkey % n)"))
 def bp_to_pixel(spark, d):
     points = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.lit(50.0) + F.col("o_totalprice") % 450).alias("bp"))
-    return signal.bp_to_pixel(with_supplier(spark, d, points, "key").withColumnRenamed("supplier", "hid"), scaler(spark, d)).select("hid", "key", "px")
+    return big(signal.bp_to_pixel(with_supplier(spark, d, points, "key").withColumnRenamed("supplier", "hid"), scaler(spark, d)), "px").select("hid", "key", "px")
 
 
 @query("ladder_peaks", sql("""SELECT p.hid, p.dye, row_number() OVER (PARTITION BY p.hid, p.dye ORDER BY p.px) - 1 AS k, p.px FROM ltops p JOIN (SELECT hid FROM (SELECT a.hid, a.dye, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT hid, dye FROM trace) a
@@ -307,15 +346,23 @@ def marker_bins(spark, d):
     return panel.marker_bins(v.panel(spark, d)).withColumns({c: F.round(c, 6) for c in ("bin_left", "bin_right")})
 
 
-@query("marker_windows")
+KITBINS = """kitbins AS (SELECT p_partkey % 5 AS panel_id, p_brand AS marker, any_value(regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT % 5) AS dye, min(100e0 + p_partkey % 40 - 0.5e0) - 1 AS low, max(100e0 + p_partkey % 40 + 0.75e0) + 1 AS high FROM part GROUP BY ALL),
+  ends AS (SELECT g.hid AS supplier, b.marker, b.dye, e.side, CASE e.side WHEN 'l' THEN b.low ELSE b.high END AS bp FROM good g JOIN kitbins b ON b.panel_id = g.hid % 5, (SELECT unnest(['l', 'r']) AS side) e)"""
+
+
+@query("marker_windows", sql(f"""SELECT hid, marker, dye, px, px % 97 AS rfu FROM (SELECT hid, marker, dye, unnest(range(greatest(l - 5, 0), least(r + 5, 4096))) AS px FROM (SELECT supplier AS hid, marker, dye, max(px) FILTER (WHERE side = 'l') AS l, max(px) FILTER (WHERE side = 'r') AS r
+  FROM {nearest_sql('ends', 'supplier, marker, dye, side')} GROUP BY ALL))""", KNOTS, GRID, KITBINS))
 def marker_windows(spark, d):
-    kit = v.panel(spark, d).withColumn("base_pair", F.lit(100.0) + F.col("ord") % 40)
+    """Five kits, each with its own parts; a supplier's profile uses one of them."""
+    kit = v.panel(spark, d).withColumn("base_pair", F.lit(100.0) + F.col("ord") % 40).withColumn("panel_id", F.col("ord") % 5)
     pixels = scaler(spark, d).withColumn("dye", F.explode(F.array(*map(F.lit, range(5))).cast("array<bigint>"))).withColumn("rfu", F.col("px") % 97)
-    return panel.marker_windows(pixels, kit, scaler(spark, d))
+    profiles = good_knots(spark, d).select("hid", (F.col("hid") % 5).alias("panel_id")).distinct()
+    return big(panel.marker_windows(pixels, kit, scaler(spark, d), profiles), "px", "rfu")
 
 
-LADDERS = """located AS (SELECT l.hid, p.marker, p.allele, p.base_pair + 0.1e0 * l.hid AS known FROM (SELECT s_suppkey AS hid FROM supplier WHERE s_suppkey < 5) l, panel p WHERE p.ord % 3 = 0),
-  everyp AS (SELECT l.hid, p.*, k.known, count(k.known) OVER (PARTITION BY l.hid, p.marker ORDER BY p.ord) AS seen, count(k.known) OVER (PARTITION BY l.hid, p.marker) AS n FROM (SELECT s_suppkey AS hid FROM supplier WHERE s_suppkey < 5) l, panel p LEFT JOIN located k ON k.hid = l.hid AND k.marker = p.marker AND k.allele = p.allele),
+LADDERS = """ladders AS (SELECT s_suppkey AS hid, s_suppkey % (SELECT max(p_partkey) // 400 + 1 FROM part) AS kit FROM supplier),
+  located AS (SELECT l.hid, p.marker, p.allele, p.base_pair + 0.1e0 * l.hid AS known FROM ladders l JOIN panel p ON p.ord // 400 = l.kit WHERE p.ord % 3 = 0),
+  everyp AS (SELECT l.hid, p.*, k.known, count(k.known) OVER (PARTITION BY l.hid, p.marker ORDER BY p.ord) AS seen, count(k.known) OVER (PARTITION BY l.hid, p.marker) AS n FROM ladders l JOIN panel p ON p.ord // 400 = l.kit LEFT JOIN located k ON k.hid = l.hid AND k.marker = p.marker AND k.allele = p.allele),
   anchors AS (SELECT hid, marker, base_pair AS x, known AS y, row_number() OVER (PARTITION BY hid, marker ORDER BY ord) AS k FROM everyp WHERE known IS NOT NULL)"""
 
 
@@ -323,13 +370,14 @@ LADDERS = """located AS (SELECT l.hid, p.marker, p.allele, p.base_pair + 0.1e0 *
   LEFT JOIN anchors a ON a.hid = e.hid AND a.marker = e.marker AND a.k = least(greatest(e.seen, 1), greatest(e.n - 1, 1)) LEFT JOIN anchors b ON b.hid = e.hid AND b.marker = e.marker AND b.k = a.k + 1""",
   PANEL.replace("p_retailprice - 900e0", "p_partkey").replace("* 4.1e0", "* 0.2e0"), LADDERS))
 def adjust_panel(spark, d):
-    p = v.panel(spark, d).withColumn("base_pair", F.round(65.0 + F.col("ord") * 0.2, 6))
-    ladders = v.table(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("hid"))
-    k = F.row_number().over(Window.partitionBy("dye").orderBy("ord")) - 1
-    alleles = p.where("ord % 3 = 0").select("dye", k.alias("k"), "marker", "allele", "base_pair")
-    peaks = alleles.join(F.broadcast(ladders)).select("hid", "dye", "k", (F.col("dye") * 1_000_000 + F.col("k")).alias("px"))
-    places = alleles.join(F.broadcast(ladders)).select("hid", (F.col("dye") * 1_000_000 + F.col("k")).alias("px"), (F.col("base_pair") + 0.1 * F.col("hid")).alias("bp"))
-    moved = panel.adjust_panel(p, alleles.select("dye", "k", "marker", "allele"), peaks, places)
+    """Every supplier is a ladder; kits hold 400 parts each."""
+    p = v.panel(spark, d).withColumn("base_pair", F.round(65.0 + F.col("ord") * 0.2, 6)).withColumn("panel_id", F.floor(F.col("ord") / 400))
+    kits = p.agg(F.max("panel_id") + 1).first()[0]
+    ladders = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("hid"), (F.col("s_suppkey") % kits).alias("panel_id"))
+    k = F.row_number().over(Window.partitionBy("panel_id", "dye").orderBy("ord")) - 1
+    alleles = p.where("ord % 3 = 0").select("panel_id", "dye", k.alias("k"), "marker", "allele", "base_pair")
+    peaks = ladders.join(alleles, "panel_id").select("hid", "dye", "k", (F.col("dye") * 1_000_000 + F.col("k")).alias("px"), (F.col("base_pair") + 0.1 * F.col("hid")).alias("bp"))
+    moved = panel.adjust_panel(p, alleles.drop("base_pair"), peaks.drop("bp"), peaks.select("hid", "px", "bp"), ladders)
     return moved.select("panel_id", "dye", "marker", "allele", F.round("base_pair", 4).alias("base_pair"))
 
 
@@ -391,11 +439,18 @@ def call_alleles(spark, d):
     return flagship(spark, d)
 
 
-@query("segmentation_mask")
+ENDS = """info AS (SELECT DISTINCT q.l_orderkey AS hid, m.dye, coalesce(e.base_pair - e.left_off, b.base_pair - b.left_off + 2, 9 + x) AS low, coalesce(e.base_pair + e.right_off, b.base_pair + b.right_off + 2, 11 + x) AS high
+    FROM (SELECT *, CASE WHEN l_linenumber % 4 = 0 THEN 2 ELSE 0 END AS x FROM asked) q JOIN (SELECT DISTINCT marker, dye FROM panel) m ON m.marker = q.marker LEFT JOIN panel e ON e.marker = q.marker AND e.allele = q.allele
+    LEFT JOIN panel b ON q.x = 2 AND e.allele IS NULL AND b.marker = q.marker AND b.allele = split_part(q.allele, '.', 1)),
+  ends AS (SELECT hid, dye, low, high, supplier, s.side, CASE s.side WHEN 'l' THEN low ELSE high END AS bp FROM info JOIN slots ON slot = hid % n, (SELECT unnest(['l', 'r']) AS side) s)"""
+
+
+@query("segmentation_mask", sql(f"""SELECT DISTINCT hid, dye, unnest(range(l, r)) AS px FROM (SELECT hid, dye, low, high, max(px) FILTER (WHERE side = 'l') AS l, max(px) FILTER (WHERE side = 'r') AS r
+  FROM {nearest_sql('ends', 'hid, dye, low, high, side')} GROUP BY ALL)""", KNOTS, GRID, PANEL, ASKED, ENDS))
 def segmentation_mask(spark, d):
     """Every order is a profile; the orders of a supplier share its scaler."""
     called = panel.dye_row_of_marker(asked(spark, d).select(F.col("l_orderkey").alias("hid"), "marker", "allele"), v.panel(spark, d))
-    return annotate.segmentation_mask(with_supplier(spark, d, called, "hid"), v.panel(spark, d), scaler(spark, d).withColumnRenamed("hid", "supplier"), "supplier")
+    return big(annotate.segmentation_mask(with_supplier(spark, d, called, "hid"), v.panel(spark, d), scaler(spark, d).withColumnRenamed("hid", "supplier"), "supplier"), "px")
 
 
 @query("human_baseline", sql("SELECT hid, marker, allele, height, 'predicted' AS source FROM calls WHERE truth AND marker NOT IN ('AMEL', 'DYS391', 'DYS576', 'DYS570')", CALLS))
@@ -404,11 +459,16 @@ def human_baseline(spark, d):
     return annotate.human_baseline(c)
 
 
-@query("donor_alleles")
+LETTERS = [k + letter for k, ls in fn.DONORS.items() for letter in ls]
+DONATED = f"""wanted AS (SELECT key AS hid, unnest(list_transform(list_slice(list_filter({LETTERS}, lambda x: x[1] = substr(name, 1, 1)), 1, substr(name, 3, 1)::INT), lambda x: x)) AS donor FROM names WHERE regexp_matches(substr(name, 1, 3), '^[0-9][A-F][0-9]$')),
+  donors AS (SELECT ({LETTERS})[p_partkey % 30 + 1] AS donor, p_brand AS marker, p_size::VARCHAR AS allele FROM part UNION ALL SELECT ({LETTERS})[p_partkey % 30 + 1], p_brand, (p_size + 1)::VARCHAR FROM part)"""
+
+
+@query("donor_alleles", sql("""SELECT w.hid, m.dye, d.marker, string_agg(DISTINCT d.allele, ',' ORDER BY d.allele) AS alleles FROM wanted w JOIN donors d ON d.donor = w.donor JOIN (SELECT DISTINCT marker, dye FROM panel) m ON m.marker = d.marker
+  GROUP BY w.hid, m.dye, d.marker""", NAMES, PANEL, DONATED))
 def donor_alleles(spark, d):
-    letters = [x for k, ls in fn.DONORS.items() for x in (k + letter for letter in ls)]
     parts = v.table(spark, d, "part")
-    donors = parts.select(F.element_at(F.array(*map(F.lit, letters)), (F.col("p_partkey") % 30 + 1).cast("int")).alias("donor"), F.col("p_brand").alias("marker"), F.col("p_size").cast("string").alias("allele1"), (F.col("p_size") + 1).cast("string").alias("allele2"))
+    donors = parts.select(F.element_at(F.array(*map(F.lit, LETTERS)), (F.col("p_partkey") % 30 + 1).cast("int")).alias("donor"), F.col("p_brand").alias("marker"), F.col("p_size").cast("string").alias("allele1"), (F.col("p_size") + 1).cast("string").alias("allele2"))
     found = annotate.donor_alleles(v.names(spark, d).select(F.col("key").alias("hid"), "name"), donors, v.panel(spark, d))
     return found.select("hid", "dye", "marker", F.array_join("alleles", ",").alias("alleles"))
 
@@ -460,13 +520,20 @@ def average_binary_iou(spark, d):
     return rounded(metrics.average_binary_iou(v.dense(spark, d)), "iou")
 
 
-@query("locus_thresholds")
+LOCI = f"""loci AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {low}, {high})" for m, (low, high) in LOCUS_THRESHOLDS.items())}) t(marker, low, high)),
+  items AS (SELECT l_orderkey, l_linenumber, l_quantity * 3 AS height, ({list(LOCUS_THRESHOLDS)})[l_partkey % 27 + 1] AS marker FROM lineitem)"""
+
+
+@query("locus_thresholds", sql("""SELECT mode, i.marker, count(*) AS n FROM items i JOIN loci t ON t.marker = i.marker, (SELECT unnest(['low', 'high', 'between', 'min_rfu', 'one locus', 'none']) AS mode) m
+  WHERE CASE mode WHEN 'low' THEN height >= low WHEN 'high' THEN height >= high WHEN 'between' THEN height > low AND height < high WHEN 'min_rfu' THEN height >= 100 WHEN 'one locus' THEN i.marker = 'FGA' AND height >= high ELSE true END GROUP BY ALL""", LOCI))
 def locus_thresholds(spark, d):
-    """The thresholds of every mode, joined to the parts that stand for their loci."""
-    loci = metrics.locus_table(spark).select("marker").withColumn("k", F.crc32("marker") % 25)
-    modes = v.stacked(*[metrics.locus_thresholds(spark, low_or_high=m).withColumn("mode", F.lit(m)) for m in ("low", "high", "between")])
-    parts = v.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 25).alias("k"), F.col("p_retailprice"))
-    return parts.join(loci, "k").join(modes, "marker").groupBy("mode", "marker").agg(F.sum(F.when(F.col("p_retailprice") - 900 >= F.col("above"), 1).otherwise(0)).alias("n"))
+    """How many line items, as calls of the 27 loci, pass the thresholds of every mode."""
+    names = F.array(*map(F.lit, LOCUS_THRESHOLDS))
+    calls = v.table(spark, d, "lineitem").select((F.col("l_quantity") * 3).alias("height"), F.element_at(names, (F.col("l_partkey") % 27 + 1).cast("int")).alias("marker"), F.lit("x").alias("allele"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("hid"))
+    modes = {"low": {"low_or_high": "low"}, "high": {"low_or_high": "high"}, "between": {"low_or_high": "between"}, "min_rfu": {"min_rfu": 100}, "one locus": {"locus": "FGA", "low_or_high": "high", "min_rfu": 5}, "none": {"min_rfu": 0}}
+    limits = v.stacked(*[metrics.locus_thresholds(spark, **how).withColumn("mode", F.lit(mode)) for mode, how in modes.items()])
+    kept = metrics.passing(calls.join(limits, "marker"))
+    return kept.groupBy("mode", "marker").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("locus_allele_set", sql("SELECT hid, marker || '_' || allele AS key FROM calls WHERE predicted AND height >= 20", CALLS))
@@ -503,7 +570,8 @@ def binary_accuracy(spark, d):
 
 @query("running_mean_loss", "SELECT l_returnflag AS epoch, round(avg(l_discount), 6) AS loss FROM lineitem GROUP BY 1")
 def running_mean_loss(spark, d):
-    return v.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("epoch")).agg(F.round(F.avg("l_discount"), 6).alias("loss"))
+    batches = v.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("epoch"), F.col("l_discount").alias("loss"))
+    return rounded(metrics.running_mean_loss(batches, ["epoch"]), "loss")
 
 
 @query("fold_means", "SELECT l_linestatus AS metric, round(avg(m), 6) AS mean_value FROM (SELECT l_linestatus, l_linenumber, avg(l_tax) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -686,6 +754,56 @@ def markers_json_round_trip(spark, d):
     return back.select(F.col("m.name").alias("marker"), F.size("m.alleles").cast("bigint").alias("alleles"), F.round(F.aggregate("m.alleles", F.lit(0.0), lambda a, x: a + x["base_pair"]), 3).alias("total"))
 
 
+FOLDERS = "paths AS (SELECT key, 'file:/data/run%20' || (key % 7)::VARCHAR || '/' || name || '.hid' AS path FROM names)"
+
+
+@query("scan_profiles", sql("SELECT 'run ' || (key % 7)::VARCHAR AS folder, name || '.hid' AS name, name AS stem FROM names WHERE regexp_matches(substr(name, 1, 3), '^[0-9][A-F][0-9]$')", NAMES))
+def scan_profiles(spark, d):
+    """The listing of a folder tree with a file for every customer."""
+    n = v.names(spark, d)
+    listing = n.select(F.concat(F.lit("file:/data/run%20"), (F.col("key") % 7).cast("string"), F.lit("/"), "name", F.lit(".hid")).alias("path"), F.lit(b"ABIF").alias("content"))
+    return files.sample_files(listing).select("folder", "name", "stem")
+
+
+@query("panel_from_contents", sql("SELECT dye, marker, allele, base_pair, left_off, right_off, ord FROM panel", PANEL))
+def panel_from_contents(spark, d):
+    return big(files.panel_from_contents(spark, v.panel(spark, d)), "dye")
+
+
+@query("read_panel", sql("SELECT dye, marker, allele, base_pair, left_off, right_off, row_number() OVER (PARTITION BY marker ORDER BY ord) - 1 AS place FROM panel", PANEL))
+def read_panel(spark, d):
+    """The panel written as XML, a locus for every brand, and read again."""
+    kit = {row: index for index, row in DYE_ROWS.items()}
+    index = F.element_at(F.create_map(*[F.lit(x) for pair in kit.items() for x in pair]), F.col("dye").cast("int"))
+    entry = F.struct("ord", F.col("allele").alias("_Label"), F.col("base_pair").alias("_Size"), F.col("left_off").alias("_Left_Binning"), F.col("right_off").alias("_Right_Binning"))
+    loci = v.panel(spark, d).groupBy(index.alias("DyeIndex"), F.col("marker").alias("MarkerTitle")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("ord")).alias("Allele"))  # one kit
+    path = v.scratch(spark, "panel")
+    loci.write.format("xml").option("rootTag", "Panel").option("rowTag", "Locus").save(path)
+    back = files.read_panel(spark, path)
+    place = F.row_number().over(Window.partitionBy("marker").orderBy("ord")) - 1
+    return big(back.select("dye", "marker", "allele", "base_pair", "left_off", "right_off", place.alias("place")), "dye", "place")
+
+
+@query("read_ladder_alleles", sql("SELECT dye, row_number() OVER (PARTITION BY dye ORDER BY ord) - 1 AS k, marker, allele FROM panel", PANEL))
+def read_ladder_alleles(spark, d):
+    """The panel's alleles written as a ladder file, which is one file in order, and read again."""
+    path = v.scratch(spark, "ladder-alleles")
+    rows = v.panel(spark, d).orderBy("ord").select(F.col("marker").alias("Marker"), F.col("allele").alias("Allele"), F.col("dye").cast("int").alias("Dye"))
+    rows.coalesce(1).write.option("header", True).csv(path)
+    return big(files.read_ladder_alleles(spark, path), "dye", "k")
+
+
+@query("read_donor_profiles", f"SELECT ({LETTERS})[p_partkey % 30 + 1] AS donor, p_brand AS marker, p_size::VARCHAR AS allele1, (p_size + 0.3)::VARCHAR AS allele2 FROM part")
+def read_donor_profiles(spark, d):
+    """The parts written as donor rows and read again; a row's file is named after its donor."""
+    size = F.col("p_size").cast("string")
+    donor = F.element_at(F.array(*map(F.lit, LETTERS)), (F.col("p_partkey") % 30 + 1).cast("int"))
+    path = v.scratch(spark, "donors")
+    rows = v.table(spark, d, "part").select(donor.alias("donor"), donor.alias("SampleName"), F.col("p_brand").alias("Marker"), size.alias("Allele1"), F.concat(size, F.lit(".3")).alias("Allele2"))
+    rows.write.partitionBy("donor").option("header", True).option("sep", ";").csv(path)
+    return files.read_donor_profiles(spark, path)
+
+
 # Splits
 
 
@@ -727,7 +845,7 @@ def fixed_batches(spark, d):
     return splits.fixed_batches(v.strata(spark, d).select("key"), 7, "key", drop_last=True)
 
 
-@query("shuffle_rows")
+@query("shuffle_rows", sql("SELECT * FROM strata", STRATA))
 def shuffle_rows(spark, d):
     return splits.shuffle_rows(v.strata(spark, d), 5)
 
@@ -759,6 +877,24 @@ def evaluate(spark, d):
     return model.evaluate(model.fit_pixel_model(pixels), pixels, 0.8, 7, profiles, kit, truth)
 
 
+@query("fit_pixel_model")
+def fit_pixel_model(spark, d):
+    """The weight of each feature."""
+    from ..operators import model
+
+    return model.weights(model.fit_pixel_model(v.dense(spark, d).select("hid", "dye", "px", "rfu", "mask")), spark)
+
+
+@query("model_round_trip")
+def model_round_trip(spark, d):
+    """The scores of a model that was saved and loaded again."""
+    from ..operators import model
+
+    pixels, path = v.dense(spark, d).select("hid", "dye", "px", "rfu", "mask"), v.scratch(spark, "model")
+    model.save_model(model.fit_pixel_model(pixels), path)
+    return model.predict_pixels(model.load_model(path), pixels)
+
+
 @query("predict_pixels")
 def predict_pixels(spark, d):
     from ..operators import model

@@ -7,14 +7,14 @@ panel: one allele per part. calls: line items as truth (not returned 'N') and pr
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import STANDARD_BPS
 from ..functions.names import sigmoid
+from ..sources.scratch import scratch_path as scratch  # noqa: F401
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -88,15 +88,14 @@ NAMES = """names AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 11 = 0 THEN
 
 def knots(spark: SparkSession, d: str) -> DataFrame:
     """hid, scan, bp: a size standard per supplier, 9 to 11 scans a base pair, some of them out of range."""
-    bps = [65, 80, 100, 120, 140, 160, 180, 200, 225, 250, 275, 300, 325, 350, 375, 400, 425, 450, 475]
     k = F.col("s_suppkey")
     pace = F.when(k % 10 == 7, 14).otherwise(8 + k % 4)
-    rows = table(spark, d, "supplier").select(k.alias("hid"), pace.alias("pace"), F.explode(F.array(*map(F.lit, bps))).alias("b"))
+    rows = table(spark, d, "supplier").select(k.alias("hid"), pace.alias("pace"), F.explode(F.array(*map(F.lit, STANDARD_BPS))).alias("b"))
     return rows.select("hid", (3000 + (F.col("b") - 65) * F.col("pace") + (F.col("hid") * F.col("b")) % 7).cast("bigint").alias("scan"), F.col("b").cast("double").alias("bp"))
 
 
-KNOTS = """knots AS (SELECT hid, (3000 + (b - 65) * pace + (hid * b) % 7)::BIGINT AS scan, b::DOUBLE AS bp FROM (SELECT s_suppkey AS hid, CASE WHEN s_suppkey % 10 = 7 THEN 14 ELSE 8 + s_suppkey % 4 END AS pace,
-  unnest([65,80,100,120,140,160,180,200,225,250,275,300,325,350,375,400,425,450,475]) AS b FROM supplier))"""
+KNOTS = f"""knots AS (SELECT hid, (3000 + (b - 65) * pace + (hid * b) % 7)::BIGINT AS scan, b::DOUBLE AS bp FROM (SELECT s_suppkey AS hid, CASE WHEN s_suppkey % 10 = 7 THEN 14 ELSE 8 + s_suppkey % 4 END AS pace,
+  unnest({STANDARD_BPS}) AS b FROM supplier))"""
 
 
 def strata(spark: SparkSession, d: str) -> DataFrame:
@@ -106,15 +105,6 @@ def strata(spark: SparkSession, d: str) -> DataFrame:
 STRATA = "strata AS (SELECT lang AS noc, concat_ws('-', source, lang) AS prefix, doc_id AS key FROM documents)"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; in a folder of our own where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-profiles-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def sql(select: str, *views: str) -> str:
     """A query over the given views; views: TRACE and the like, or further WITH entries."""
     return "WITH " + ",\n".join(views) + "\n" + select

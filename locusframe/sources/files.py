@@ -19,15 +19,28 @@ def scan_profiles(spark: SparkSession, root: str, ladders: bool = False) -> Data
     the names reads no bytes."""
     glob = "*adder*.hid" if ladders else "[0-9][A-F][0-9]*.hid"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return named_files(files) if ladders else sample_files(files)
+
+
+def named_files(files: DataFrame) -> DataFrame:
+    """path, folder, name, stem and content of listed files (path, content)."""
     path = F.regexp_replace("path", "%20", " ")
     name = F.regexp_extract(path, "([^/]+)$", 1)
-    named = files.select(path.alias("path"), F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("folder"), name.alias("name"), F.regexp_replace(name, r"\.hid$", "").alias("stem"), "content")
-    return named if ladders else named.where(is_rd_sample(F.col("name")))
+    return files.select(path.alias("path"), F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("folder"), name.alias("name"), F.regexp_replace(name, r"\.hid$", "").alias("stem"), "content")
+
+
+def sample_files(files: DataFrame) -> DataFrame:
+    """Those of them that are R&D samples."""
+    named = named_files(files)
+    return named.where(F.col("name").endswith(".hid") & is_rd_sample(F.col("name")))
 
 
-def panel_from_contents(spark: SparkSession, rows: list[tuple] | None) -> DataFrame:
+def panel_from_contents(spark: SparkSession, rows: list[tuple] | DataFrame | None) -> DataFrame:
+    """A panel from rows or from a table with its columns."""
     if rows is None:
         raise ValueError("a panel needs a file or its contents")
+    if isinstance(rows, DataFrame):
+        return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in (x.split() for x in PANEL.split(", "))])
     return spark.createDataFrame(rows, PANEL)
 
 
@@ -109,9 +122,10 @@ def read_ladder_alleles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_donor_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """donor (file stem), marker, allele1, allele2 of all donor files."""
-    rows = spark.read.schema("SampleName string, Marker string, Allele1 string, Allele2 string").option("header", True).option("sep", ";").csv(path)
-    donor = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    """donor, marker, allele1, allele2 of all donor files: <donor>.csv, or any files in donor=<donor>."""
+    rows = spark.read.schema("SampleName string, Marker string, Allele1 string, Allele2 string").option("header", True).option("sep", ";").option("recursiveFileLookup", True).csv(path)
+    donor = F.regexp_extract(F.col("_metadata.file_path"), r"(?:donor=([^/]+)/[^/]+|([^/]+)\.csv)$", 1)
+    donor = F.when(donor != "", donor).otherwise(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
     return rows.select(donor.alias("donor"), F.col("Marker").alias("marker"), F.col("Allele1").alias("allele1"), F.col("Allele2").alias("allele2"))
 
 

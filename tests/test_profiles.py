@@ -1,5 +1,6 @@
 """Names, panels, metrics, splits, sources and the pixel model."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,11 +43,12 @@ def test_lookup_errors(spark, kit):
 
 
 def test_adjusted_panel_extrapolates(spark):
-    kit = files.panel_from_contents(spark, [(0, "M", "a", 93.47, 0.5, 0.5, 0), (0, "M", "b", 96.0, 0.5, 0.5, 1), (0, "M", "c", 97.82, 0.5, 0.5, 2)])
-    alleles = spark.createDataFrame([(0, 0, "M", "a"), (0, 1, "M", "b")], "dye int, k int, marker string, allele string")
+    kit = files.panel_from_contents(spark, [(0, "M", "a", 93.47, 0.5, 0.5, 0), (0, "M", "b", 96.0, 0.5, 0.5, 1), (0, "M", "c", 97.82, 0.5, 0.5, 2)]).withColumn("panel_id", F.lit("kit"))
+    alleles = spark.createDataFrame([("kit", 0, 0, "M", "a"), ("kit", 0, 1, "M", "b")], "panel_id string, dye int, k int, marker string, allele string")
+    ladders = spark.createDataFrame([("L", "kit")], "hid string, panel_id string")
     peaks = spark.createDataFrame([("L", 0, 0, 10), ("L", 0, 1, 20)], "hid string, dye int, k int, px int")
     scaler = spark.createDataFrame([("L", 10, 93.12), ("L", 20, 95.74)], "hid string, px int, bp double")
-    got = {r["allele"]: r["base_pair"] for r in panel.adjust_panel(kit, alleles, peaks, scaler).collect()}
+    got = {r["allele"]: r["base_pair"] for r in panel.adjust_panel(kit, alleles, peaks, scaler, ladders).collect()}
     assert got["a"] == 93.12 and got["b"] == 95.74 and got["c"] == pytest.approx(97.62474308300393)
 
 
@@ -147,3 +149,37 @@ def test_model(spark, tmp_path):
     model.save_model(fitted, str(tmp_path / "model"))
     value = {r["metric"]: r["value"] for r in model.evaluate(model.load_model(str(tmp_path / "model")), pixels).collect()}
     assert value["pixel_f1"] > 0.95
+
+
+def test_scores_by_numpy_on_the_fitted_weights(spark):
+    rng = np.random.default_rng(6)
+    rows = [(h, d, i, int(rng.integers(0, 300)) + 900 * (i % 11 == 5), i % 11 == 5) for h in range(3) for d in range(2) for i in range(50)]
+    pixels = spark.createDataFrame(rows, "hid int, dye int, px int, rfu int, mask boolean")
+    fitted = model.fit_pixel_model(pixels)
+    weight = {r["feature"]: r["weight"] for r in model.weights(fitted, spark).collect()}
+    v = {(h, d, i): np.sign(x) * np.log1p(abs(x)) for h, d, i, x, _ in rows}
+    for r in model.predict_pixels(fitted, pixels).collect():
+        h, d, i = r["hid"], r["dye"], r["px"]
+        z = weight["intercept"] + sum(weight[f"f{k + model.REACH}"] * v.get((h, d, i + k), 0.0) for k in range(-model.REACH, model.REACH + 1))
+        z += weight["fmax"] * max(v[h, d, k] for k in range(50)) + weight["fother"] * sum(v[h, o, i] for o in range(2) if o != d)
+        assert r["prob"] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
+def test_metrics_of_the_model_by_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = [(h, 0, i, int(rng.integers(0, 300)) + 500 * (rng.random() < 0.2), bool(rng.random() < 0.3)) for h in range(6) for i in range(60)]
+    pixels = spark.createDataFrame(rows, "hid int, dye int, px int, rfu int, mask boolean")
+
+    def by_hand(scored):
+        y, p = np.array([r["mask"] for r in scored]), np.array([r["prob"] for r in scored])
+        tp, fp, fn = (y & (p >= 0.5)).sum(), (~y & (p >= 0.5)).sum(), (y & (p < 0.5)).sum()
+        return (tp / (tp + fp) if tp + fp else None), tp / (tp + fn)
+
+    fitted = model.fit_pixel_model(pixels)
+    value = {r["metric"]: r["value"] for r in model.evaluate(fitted, pixels).collect()}
+    precision, recall = by_hand(model.predict_pixels(fitted, pixels).collect())
+    assert value["pixel_recall"] == pytest.approx(recall) and (value["pixel_precision"] == pytest.approx(precision) if precision is not None else value["pixel_precision"] is None)
+    folded = pixels.withColumn("fold", F.col("hid") % 2)
+    got = {r["metric"]: r["mean_value"] for r in model.cross_validate(folded, 2).collect()}
+    each = [by_hand(model.predict_pixels(model.fit_pixel_model(pixels.where(F.col("hid") % 2 != i)), pixels.where(F.col("hid") % 2 == i)).collect()) for i in range(2)]
+    assert got["pixel_recall"] == pytest.approx(np.mean([r for _, r in each]))

@@ -1,5 +1,7 @@
 """Every profile query against its SQL on the smallest tables; those without SQL must give rows."""
 
+import re
+
 import pytest
 from conftest import canonical
 
@@ -18,10 +20,19 @@ def test_query(spark, sf, duck, name):
     assert canonical(rows, df.columns) == canonical(found.fetchall(), found.columns)
 
 
-@pytest.mark.parametrize("name", ["peaks_above", "call_alleles", "allele_confusion", "decode_hid_values", "bp_to_pixel"])
-def test_plan_stays_in_the_jvm(spark, sf, name):
-    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+#: Operators that pair tables; none of them may do so without a key or by a constant one.
+PAIRING = ["peaks_above", "call_alleles", "allele_confusion", "decode_hid_values", "bp_to_pixel", "marker_windows", "adjust_panel", "nearest_allele", "nearest_peak", "segmentation_mask", "best_ladder", "resample_profile"]
+
+
+@pytest.mark.parametrize("name", PAIRING)
+def test_plan_stays_in_the_jvm_and_joins_by_keys(spark, sf, name):
+    df = QUERIES[name](spark, sf)
+    execution = df._jdf.queryExecution()
+    plan, logical = execution.executedPlan().toString(), execution.analyzed().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
+    for column in re.findall(r"Join \w+, \((\w+#\d+) = (\w+#\d+)\)", logical):
+        for side in column:  # a key that is a literal makes a cross join
+            assert not re.search(rf"(?<![#\w])(\d+|true|null) AS {side}\b", logical), (name, side)
 
 
 def test_entry_points():

@@ -53,10 +53,12 @@ def test_marker_windows_takes_every_marker_and_supplier(spark, sf, standards):
     order, grids = standards
     bins = defaultdict(list)
     for r in v.panel(spark, sf).collect():
-        bins[r["marker"], r["dye"]].append(100.0 + r["ord"] % 40)
+        bins[r["ord"] % 5, r["marker"], r["dye"]].append(100.0 + r["ord"] % 40)
     expected = {}
     for h in order:
-        for (marker, dye), bps in bins.items():
+        for (kit, marker, dye), bps in bins.items():
+            if kit != h % 5:
+                continue
             l, r = nearest(grids[h], min(bps) - 0.5 - 1), nearest(grids[h], max(bps) + 0.75 + 1)
             expected[h, marker, dye] = (max(l - 5, 0), min(r + 5, 4096) - 1, min(r + 5, 4096) - max(l - 5, 0))
     spans = QUERIES["marker_windows"](spark, sf).groupBy("hid", "marker", "dye").agg(F.min("px"), F.max("px"), F.count("px")).collect()
