@@ -28,19 +28,23 @@ def text(content: Column, at: Column | int, size: Column | int) -> Column:
 
 
 def decode_hid_elements(files: DataFrame, key: str = "hid") -> DataFrame:
-    """key, i, name, tag, type, element_size, n, data_size, start of each directory entry of known
-    type. Data of up to four bytes lie in the entry itself. Files that are not ABIF have no entries."""
+    """key, i, name, tag, type, element_size, n, data_size, start and data of each directory entry of
+    known type. Data of up to four bytes lie in the entry itself. Files that are not ABIF have no
+    entries. The entries are cut out of the file before they become rows, so no row holds the file."""
     c = F.col("content")
     head = files.where(text(c, 0, 4) == "ABIF").select(key, "content", signed(c, 16, 2).alias("_size"), signed(c, 18, 4).alias("_n"), signed(c, 26, 4).alias("_at"))
-    entries = head.where("_n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"))
-    at = F.col("_at") + F.col("i") * F.col("_size")
-    fields = entries.withColumn("_e", at).select(
-        key, "content", F.col("i").cast("int").alias("i"), text(c, F.col("_e"), 4).alias("name"), signed(c, F.col("_e") + 4, 4).alias("tag"), signed(c, F.col("_e") + 8, 2).alias("type"),
-        signed(c, F.col("_e") + 10, 2).alias("element_size"), signed(c, F.col("_e") + 12, 4).alias("n"), signed(c, F.col("_e") + 16, 4).alias("data_size"),
-        F.when(signed(c, F.col("_e") + 16, 4) <= 4, F.col("_e") + 20).otherwise(signed(c, F.col("_e") + 20, 4)).alias("start"),
-    )
-    data = F.substring(c, (F.col("start") + 1).cast("int"), F.greatest(F.col("data_size"), F.lit(0)).cast("int"))
-    return fields.where(KNOWN_TYPES).withColumn("data", data).drop("content")
+
+    def entry(i: Column) -> Column:
+        at = F.col("_at") + i * F.col("_size")
+        size = signed(c, at + 16, 4)
+        start = F.when(size <= 4, at + 20).otherwise(signed(c, at + 20, 4))
+        return F.struct(
+            i.cast("int").alias("i"), text(c, at, 4).alias("name"), signed(c, at + 4, 4).alias("tag"), signed(c, at + 8, 2).alias("type"), signed(c, at + 10, 2).alias("element_size"),
+            signed(c, at + 12, 4).alias("n"), size.alias("data_size"), start.alias("start"), F.substring(c, (start + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int")).alias("data"),
+        )
+
+    entries = head.where("_n > 0").select(key, F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), entry)).alias("_e"))
+    return entries.select(key, "_e.*").where(KNOWN_TYPES)
 
 
 def numbers(data: Column, n: Column, size: int, is_signed: bool) -> Column:
