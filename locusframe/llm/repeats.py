@@ -15,8 +15,10 @@ windows. Digits are chosen by content, so that a pass over all suffixes needs fe
    core has several kinds of sides, of each window.
 
 A hot string costs one row per run in the first passes, which are counted before the shuffle, and
-joins are with one row per digit, so Spark can split their hot side. Digits are compared by 64-bit
-hashes (the last ones byte by byte), a later pass within the groups of the one before it.
+joins are with one row per digit, so Spark can split their hot side. A later pass works within the
+groups of the one before it. The first digit only selects and is a 64-bit hash; what decides that
+bytes are equal is compared as bytes (the sides of a core) or by SHA-256 of the bytes, cut to 128 bits
+(stretches and cores). Digits are grouped, not put in order: the result needs the groups alone.
 
 Defined cases: null text counts as empty. Texts under ``threshold`` bytes keep everything. A null
 doc_id is a value of its own. Repeated rows are documents of their own, so their texts repeat.
@@ -27,6 +29,7 @@ window. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mixed, powers, prefix_hashes, row_bytes, table, text_bytes, written
+from .common import discard, mapped, mixed, powers, prefix_hashes, row_bytes, table, text_bytes, written
 
 THRESHOLD = 400
 DIGIT = 128
@@ -69,12 +72,13 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, threshold: int) -> Iterator[tup
 
 
 def runs(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -> tuple[np.ndarray, ...]:
-    """Of each run of windows with the same first digit: that digit's hash, the stretch's hash, the
+    """Of each run of windows with the same first digit: that digit's hash, the stretch's digest, the
     text it lies in, the first and last start, and the digit's place (in the given bytes)."""
     n = len(raw)
     empty = np.empty(0, np.int64)
+    none = empty, pa.array([], pa.binary()), empty, empty, empty, empty
     if n < threshold:
-        return empty, empty, empty, empty, empty, empty
+        return none
     sums, down = prefix_hashes(_VALUES[raw]), powers(n + 1)[1]
     grams = mixed((sums[digit:] - sums[:-digit]) * down[: n - digit + 1])
     low = np.uint64((1 << 24) - 1)
@@ -86,16 +90,21 @@ def runs(raw: np.ndarray, offsets: np.ndarray, threshold: int, digit: int) -> tu
     np.add.at(room, (offsets[1:] - threshold + 1)[full], -1)
     starts = np.flatnonzero(np.cumsum(room[: len(least)]) > 0)
     if not len(starts):
-        return empty, empty, empty, empty, empty, empty
+        return none
     where = (least[starts] & low).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
-    stretch = mixed((sums[last + threshold] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    return grams[where[new]].view(np.int64), stretch.view(np.int64), np.searchsorted(offsets, first, side="right") - 1, first, last, where[new]
+    return grams[where[new]].view(np.int64), digests(raw, first, last + threshold), np.searchsorted(offsets, first, side="right") - 1, first, last, where[new]
 
 
-RUNS = "own_id long, own_text long, digit long, stretch long, first long, last long, anchor long"
-CELLS = "own_id long, own_text long, digit long, cell int, core long, low int, high int, anchor long, before binary, after binary"
+def digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The first 16 bytes of the SHA-256 of each part of raw."""
+    whole = memoryview(raw.tobytes())
+    return pa.array([hashlib.sha256(whole[a:b]).digest()[:16] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())
+
+
+RUNS = "own_id long, own_text long, digit long, stretch binary, first long, last long, anchor long"
+CELLS = "own_id long, own_text long, digit long, cell int, core binary, low int, high int, anchor long, before binary, after binary"
 
 
 def all_runs(docs: DataFrame, threshold: int, digit: int) -> DataFrame:
@@ -117,7 +126,6 @@ def cells(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         raw, offsets = text_bytes(batch.column("text"))
-        sums, down = prefix_hashes(_VALUES[raw]), powers(len(raw) + 1)[1]
         flat, many = batch.column("runs").flatten(), np.diff(np.asarray(batch.column("runs").offsets))
         digit, first, last, anchor = (flat.field(k).to_numpy() for k in ("digit", "first", "last", "anchor"))
         near, far = anchor - last, anchor - first
@@ -128,7 +136,7 @@ def cells(docs: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
         row = np.repeat(np.arange(len(many)), many)[of]
         begin = anchor[of] - cell * CELL + offsets[row]
         end = begin - (CELL - 1) + threshold
-        core = mixed((sums[end] - sums[begin]) * down[begin]).view(np.int64)
+        core = digests(raw, begin, end)
         whole = raw.tobytes()
         before = [whole[b - h : b] for b, h in zip(begin.tolist(), high.tolist())]
         after = [whole[e : e + CELL - 1 - k] for e, k in zip(end.tolist(), low.tolist())]
@@ -152,7 +160,9 @@ def again(rows: DataFrame, *digits: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, threshold: int, digit: int) -> DataFrame:
     """own_id, own_text, spans: the covered intervals of each text that has any, not yet merged."""
     found = written(all_runs(docs, threshold, digit), "suffix-runs")
-    left = written(found.join(again(found, "digit"), "digit", "left_semi"), "suffix-first-digit")
+    twice = again(found, "digit")
+    left = written(found.join(twice, "digit", "left_semi"), "suffix-first-digit")
+    discard(found, twice)
 
     one = left.groupBy("digit", "stretch").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*KEY, "first", "last", "anchor")])
     stretches = written(one, "suffix-second-digit")
@@ -161,8 +171,10 @@ def repeated_spans(docs: DataFrame, threshold: int, digit: int) -> DataFrame:
 
     several = stretches.join(again(stretches, "digit"), "digit", "left_semi")
     group = ["digit", "cell", "core"]
-    parts = written(cells(docs, several, threshold), "suffix-cells")
-    parts = written(parts.join(again(parts, *group), group, "left_semi"), "suffix-third-digit")
+    every = written(cells(docs, several, threshold), "suffix-cells")
+    twice = again(every, *group)
+    parts = written(every.join(twice, group, "left_semi"), "suffix-third-digit")
+    discard(every, twice)
     sides = [*group, "low", "high", "before", "after"]
     one = parts.groupBy(*sides).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*KEY, "anchor")])
     kinds = written(one, "suffix-fourth-digit")
