@@ -268,6 +268,7 @@ def test_chat(spark):
     said = [None, "", "</s>[INST] ok [/INST]", "a\\b <\\s> [", "<", "x", "[/ROLE][ROLE]", "line\n" * 3]
     roles = ["user", "assistant", "system", None, "tool [INST]", "assistant"]
     rows = [(c, t, RNG.choice(roles), RNG.choice(said)) for c in range(12) for t in range(RNG.randint(1, 9))] + [(99, t, roles[t % 2], f"{t} {said[2]}") for t in range(300)] + [(None, 0, "user", "x")]
+    rows += [(50, 0, "user", "same"), (50, 0, "user", "same"), (50, 1, "assistant", "[INST] <s> \\ " * 40_000), (50, 1, "assistant", "ok")]  # repeated rows, a very long text, a tie
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
     turns = defaultdict(list)
@@ -275,7 +276,7 @@ def test_chat(spark):
         turns[c].append((t, role or "", text or ""))
     assert set(got) == set(turns)
     for c, ts in turns.items():
-        ts.sort()
+        ts.sort()  # equal turns by role and text
         loss = "".join(x for _, role, x in ts if role == "assistant")
         r = got[c]
         assert r["n_turns"] == len(ts) and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in ts).encode()).hexdigest()

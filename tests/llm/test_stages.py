@@ -1,6 +1,8 @@
 """The pipeline's stages on awkward tables: clashing names, nulls, ties, repeated rows, long texts, no rows."""
 
+import hashlib
 import importlib.util
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -119,6 +121,44 @@ def test_sentencepiece_stage(spark, sf, docs, rows):
     assert got == Counter((i, (*library.encode(t or ""), 2), library.decode([*library.encode(t or ""), 2])) for i, t in rows)
 
 
+def brute_copies(kept):
+    """How often each (doc_id, text, source) is repeated: the inverse Poisson distribution at an md5 draw."""
+    size = Counter()
+    for _, text, source in kept:
+        size[source or ""] += len(text or "") + 1
+    whole, weight = sum(size.values()), sum(math.sqrt(n) for n in size.values())
+    copies = Counter()
+    for doc_id, text, source in kept:
+        n = size[source or ""]
+        rate = math.sqrt(n) * whole / (weight * n)
+        draw = int(hashlib.md5(f"mix-1|{'' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        mass, total, k = math.exp(-rate), 0.0, 0
+        while total + mass <= draw:
+            total, k = total + mass, k + 1
+            mass *= rate / k
+        copies[doc_id, text] += k
+    return copies
+
+
+def test_pipeline_by_brute_force(spark, tmp_path, docs):
+    import corpus_pipeline
+    import public_tokenizers
+
+    source = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")))  # repeated rows are alike
+    docs = docs.select("doc_id", "text", "lang", source.alias("source"), "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if r["doc_id"] not in (1, 2, 3, 4, 13) and r["text"]]
+    exact, _ = brute_stages([r[:2] for r in kept])
+    kept = list({(i, exact_dedup.normalised(t.encode())): (i, t, s) for i, t, s in kept if (i, exact_dedup.normalised(t.encode())) in exact}.values())
+    _, near = brute_stages([r[:2] for r in kept])
+    copies = brute_copies([r for r in kept if r[:2] in near])
+    library = pieces.model(public_tokenizers.path("piece_bpe_32k.model")).library
+    expected = Counter()
+    for (doc_id, text), n in copies.items():
+        expected[doc_id, (*library.encode(text), 2)] += n
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == +expected
+
+
 def test_operators_that_name_results_after_input_columns(docs):
     filters = language.fit(docs.where("doc_id >= 100"))
     named = language.predict(docs, filters, keep=("doc_id", "score", "lang_text"))
