@@ -7,7 +7,8 @@
    rows more.
 2. Those rows are dealt out by length and content hash. Each partition inserts the full byte strings
    into a trie whose terminal nodes keep the smallest identifier; a trie over its memory limit
-   spills its heaviest subtree to a file of its own, which is read back as a trie of its own.
+   spills its heaviest subtree to a file of its own, which is read back as a trie of its own. Such a
+   file has no name, so nothing of it stays when its task ends, however it ends.
 3. The owners go back to the documents by the row key of step 1; such a key never has more rows
    than one task read.
 
@@ -19,7 +20,6 @@ gives no rows. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
-import os
 import pickle
 import shutil
 import tempfile
@@ -53,12 +53,37 @@ class Node:
         self.label, self.children, self.owner = label, {}, owner
 
 
+class Spill:
+    """A subtree's strings in a file without a name."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile(prefix="subtree-")
+
+    def add(self, *entry: object) -> None:
+        pickle.dump(entry, self.file)
+
+    def take(self, other: Spill) -> None:
+        other.file.seek(0)
+        shutil.copyfileobj(other.file, self.file)
+        other.file.close()
+
+    def entries(self) -> Iterator[tuple]:
+        """All entries, once; the file goes."""
+        with self.file as lines:
+            lines.seek(0)
+            while True:
+                try:
+                    yield pickle.load(lines)
+                except EOFError:
+                    return
+
+
 class PatriciaOwners:
     """Byte strings with the smallest identifier, the summed count and the members of each."""
 
     def __init__(self, memory: int = MEMORY):
         self.root, self.memory, self.held = Node(b""), memory, 0
-        self.files: list[str] = []
+        self.files: list[Spill] = []
 
     def insert(self, text: bytes, identifier: tuple, count: int, members: list[int]) -> list | None:
         """The owner record [identifier, count, members], or None when the text went to a spill file."""
@@ -69,9 +94,8 @@ class PatriciaOwners:
                 child = node.children[text[at]] = Node(text[at:])
                 self.held += len(child.label) + 300
                 node, at = child, len(text)
-            elif isinstance(child, str):
-                with open(child, "ab") as out:
-                    pickle.dump((text, identifier, count, members), out)
+            elif isinstance(child, Spill):
+                child.add(text, identifier, count, members)
                 return None
             elif text.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -101,17 +125,14 @@ class PatriciaOwners:
             self.memory *= 2  # one string, or nothing but spilled subtrees
             return
         first = max(live, key=live.get)
-        handle, name = tempfile.mkstemp(prefix="subtree-")
-        with os.fdopen(handle, "wb") as out:
-            for text, owner in terminals(node.children[first], path):
-                pickle.dump((text, *owner), out)
-            for inner in spilled(node.children[first]):  # their strings come here from now on
-                with open(inner, "rb") as part:
-                    shutil.copyfileobj(part, out)
-                os.unlink(inner)
-                self.files.remove(inner)
-        node.children[first] = name
-        self.files.append(name)
+        out = Spill()
+        for text, owner in terminals(node.children[first], path):
+            out.add(text, *owner)
+        for inner in spilled(node.children[first]):  # their strings come here from now on
+            out.take(inner)
+            self.files.remove(inner)
+        node.children[first] = out
+        self.files.append(out)
         self.held -= live[first]
 
     def owners(self) -> Iterator[list]:
@@ -119,16 +140,10 @@ class PatriciaOwners:
         for _, owner in terminals(self.root, b""):
             yield owner
         self.root = Node(b"")
-        for name in self.files:
+        for spill in self.files:
             part = PatriciaOwners(self.memory)
-            with open(name, "rb") as lines:
-                while True:
-                    try:
-                        text, identifier, count, members = pickle.load(lines)
-                    except EOFError:
-                        break
-                    part.insert(text, identifier, count, members)
-            os.unlink(name)
+            for entry in spill.entries():
+                part.insert(*entry)
             yield from part.owners()
 
 
@@ -141,11 +156,11 @@ def weight(node: Node) -> int:
     return total
 
 
-def spilled(node: Node) -> list[str]:
+def spilled(node: Node) -> list[Spill]:
     found, left = [], [node]
     while left:
         x = left.pop()
-        found += [c for c in x.children.values() if isinstance(c, str)]
+        found += [c for c in x.children.values() if isinstance(c, Spill)]
         left += [c for c in x.children.values() if isinstance(c, Node)]
     return found
 
