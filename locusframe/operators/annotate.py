@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import DETECTION_FLOOR, NON_AUTOSOMAL
 from ..functions.names import donors_of_sample, threshold_mask
 from .panel import allele_info, nearest_allele
-from .signal import KEYS, nearest_pixel, peak_boundary, peak_in_or_near_run, runs_of_ones, scaler_arrays
+from .signal import KEYS, peak_boundary, peak_in_or_near_run, runs_of_ones, scaler_places, with_pixel
 
 
 def drop_non_autosomal(calls: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def drop_non_autosomal(calls: DataFrame) -> DataFrame:
 
 def allele_spans(calls: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:
     """calls (hid, bp_left, bp_right, more) with l and r, the pixels of both ends; repeated rows stay."""
-    ends = {name: nearest_pixel(F.col(bp), F.col("_bps")) for name, bp in (("l", "bp_left"), ("r", "bp_right"))}
-    return calls.join(scaler_arrays(scaler, on), on).select(*[F.col(c) for c in calls.columns], *[c.alias(n) for n, c in ends.items()])
+    places = scaler_places(scaler, on)
+    return with_pixel(with_pixel(calls, places, F.col("bp_left"), "l", on), places, F.col("bp_right"), "r", on)
 
 
 def spans_to_mask(spans: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import NOT_IN_PANEL
-from .signal import nearest_pixel, plateau_peaks, scaler_arrays
+from .signal import plateau_peaks, scaler_places, with_pixel
 
 
 def first_entries(panel: DataFrame) -> DataFrame:
@@ -107,9 +107,10 @@ def marker_windows(pixels: DataFrame, panel: DataFrame, scaler: DataFrame, profi
     low, high = F.min(F.col("base_pair") - F.col("left_off")) - 1, F.max(F.col("base_pair") + F.col("right_off")) + 1
     bins = panel.groupBy(*keys).agg(low.alias("bin_left"), high.alias("bin_right"), F.min("dye").alias("dye"))
     by_panel = bins.groupBy("panel_id").agg(F.collect_list(F.struct("marker", "dye", "bin_left", "bin_right")).alias("_bins"))  # the markers of one kit
-    placed = profiles.join(by_panel, "panel_id").join(scaler_arrays(scaler), "hid").select("hid", "_bps", F.explode("_bins").alias("_b"))
-    l, r = (nearest_pixel(F.col(f"_b.bin_{side}"), F.col("_bps")) for side in ("left", "right"))
-    wide = placed.select("hid", "_b.marker", "_b.dye", F.explode(F.sequence(F.greatest(l - tail, F.lit(0)), F.least(r + tail, F.lit(size)) - 1)).alias("px"))
+    ends = profiles.join(by_panel, "panel_id").select("hid", F.explode("_bins").alias("_b")).select("hid", "_b.*")
+    places = scaler_places(scaler)
+    placed = with_pixel(with_pixel(ends, places, F.col("bin_left"), "l"), places, F.col("bin_right"), "r")
+    wide = placed.select("hid", "marker", "dye", F.explode(F.sequence(F.greatest(F.col("l") - tail, F.lit(0)), F.least(F.col("r") + tail, F.lit(size)) - 1)).alias("px"))
     return wide.join(pixels, ["hid", "dye", "px"]).select("hid", "marker", "dye", "px", "rfu")
 
 

@@ -201,27 +201,30 @@ def calibrated_profile(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return resample_profile(raw, grid), grid.select("hid", "px", "bp")
 
 
-def scaler_arrays(scaler: DataFrame, on: str = "hid") -> DataFrame:
-    """hid and the base pairs of its pixels 0, 1, ... as one array (a scaler has every pixel once)."""
-    return scaler.groupBy(on).agg(F.transform(F.array_sort(F.collect_list(F.struct("px", "bp"))), lambda x: x["bp"]).alias("_bps"))
+REACH = 3
 
 
-def nearest_pixel(bp: Column, scaler: Column, reach: int = 3, bp_range: tuple[int, int] = BP_RANGE) -> Column:
-    """The place in a scaler's array whose base pair is nearest, the first on ties. A validated standard
-    keeps it within ``reach`` of the evenly spaced place, so no more than that is looked at."""
+def scaler_places(scaler: DataFrame, on: str = "hid") -> DataFrame:
+    """hid, _place, _near: each pixel of a scaler with the base pairs of those up to REACH around it."""
+    w = Window.partitionBy(on).orderBy("px")
+    near = [F.lag("bp", k, float("inf")).over(w) for k in range(REACH, 0, -1)] + [F.col("bp")] + [F.lead("bp", k, float("inf")).over(w) for k in range(1, REACH + 1)]
+    return scaler.select(on, F.col("px").cast("int").alias("_place"), F.array(*near).alias("_near"))
+
+
+def with_pixel(points: DataFrame, places: DataFrame, bp: Column, name: str = "px", on: str = "hid", pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> DataFrame:
+    """points with the pixel whose base pair is nearest, the first on ties. A validated standard keeps it
+    within REACH of the evenly spaced place, so points meet that place by equality."""
     first, last = bp_range
-    n = F.size(scaler)
-    middle = F.round((bp - first) * (n - 1) / (last - first))
-    begin = F.least(F.greatest(middle - reach, F.lit(0)), n - 1 - 2 * reach).cast("int")
-    gaps = F.transform(F.slice(scaler, F.greatest(begin, F.lit(0)) + 1, F.lit(2 * reach + 1)), lambda x, i: F.struct(F.abs(x - bp).alias("d"), (i + F.greatest(begin, F.lit(0))).alias("px")))
-    return F.array_min(gaps)["px"].cast("int")
+    place = F.least(F.greatest(F.round((bp - first) * (pixels - 1) / (last - first)), F.lit(0)), F.lit(pixels - 1)).cast("int")
+    found = points.withColumn("_bp", bp).withColumn("_place", place).join(places, [on, "_place"])
+    best = F.array_min(F.transform("_near", lambda x, i: F.struct(F.abs(x - F.col("_bp")).alias("d"), (F.col("_place") - REACH + i).alias("px"))))
+    return found.select(*[F.col(c) for c in points.columns], best["px"].cast("int").alias(name))
 
 
 def bp_to_pixel(points: DataFrame, scaler: DataFrame, bp: str = "bp", on: str = "hid") -> DataFrame:
     """points (hid, bp, more) with px, the pixel whose base pair is nearest; each row has its own result,
     repeated rows too. ``on`` names the scaler of a point where several profiles share one."""
-    placed = points.join(scaler_arrays(scaler, on), on)
-    return placed.select(*[F.col(c) for c in points.columns], nearest_pixel(F.col(bp), F.col("_bps")).alias("px"))
+    return with_pixel(points, scaler_places(scaler, on), F.col(bp), on=on)
 
 
 def ladder_peaks(pixels: DataFrame, expected: DataFrame, share: float = 0.6) -> DataFrame:
