@@ -164,7 +164,9 @@ def trie_stars(texts: DataFrame, forest: DataFrame, lengths: list[int], block: i
 
 def by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], most: int = 4096) -> DataFrame:
     """Deal rows out by keys and hand work a table of whole groups and the groups' offsets."""
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    # a number of partitions keeps Spark from merging these few, small and slow groups into a few tasks
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
