@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +35,17 @@ def average_binary_iou(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     return each.agg(F.avg(F.coalesce(F.try_divide("i", "u"), F.lit(0.0))).alias("iou"))
 
 
+def pixel_metrics(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """metric, value of precision, recall, F1 and IoU of the pixels, all from one aggregate by profile."""
+    y, p, q = F.col("mask").cast("int"), threshold_mask(F.col("prob"), threshold), threshold_mask(F.col("prob"), threshold, inclusive=False)
+    each = pixels.groupBy("hid").agg(F.sum(y * p).alias("tp"), F.sum((1 - y) * p).alias("fp"), F.sum(y * (1 - p)).alias("fn"), F.sum(y * q).alias("i"), F.sum(y + q - y * q).alias("u"))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    whole = each.agg(count("tp"), count("fp"), count("fn"), F.avg(F.coalesce(F.try_divide("i", "u"), F.lit(0.0))).alias("iou"))
+    rates = whole.select("iou", *both_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.lit(None).cast("double")))
+    named = {"pixel_precision": "precision", "pixel_recall": "recall", "pixel_f1": "f1", "average_binary_iou": "iou"}
+    return rates.select(F.explode(F.create_map(*[x for k, c in named.items() for x in (F.lit(k), F.col(c))])).alias("metric", "value"))
+
+
 def locus_table(spark) -> DataFrame:
     return spark.createDataFrame([(marker, *limits) for marker, limits in LOCUS_THRESHOLDS.items()], "marker string, low int, high int")
 
@@ -119,9 +128,8 @@ def evaluation_suite(pixels: DataFrame, predicted: DataFrame, truth: DataFrame,
     rates = sums.select("variant", *both_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.lit(0.0)))
     alleles = rates.select("variant", F.explode(F.create_map(F.lit("allele_precision"), F.col("precision"), F.lit("allele_recall"), F.col("recall"), F.lit("allele_f1"), F.col("f1"))).alias("metric", "value"))
     alleles = alleles.where("variant = 'none' or metric <> 'allele_f1'")
-    pixel = pixel_scores(pixels).select(F.lit("none").alias("variant"), F.explode(F.create_map(F.lit("pixel_precision"), F.col("precision"), F.lit("pixel_recall"), F.col("recall"), F.lit("pixel_f1"), F.col("f1"))).alias("metric", "value"))
-    iou = average_binary_iou(pixels).select(F.lit("none").alias("variant"), F.lit("average_binary_iou").alias("metric"), F.col("iou").alias("value"))
-    return reduce(DataFrame.unionByName, [iou, pixel, alleles]).select("metric", "variant", "value")
+    pixel = pixel_metrics(pixels).withColumn("variant", F.lit("none"))
+    return pixel.unionByName(alleles).select("metric", "variant", "value")
 
 
 def dice_loss(pixels: DataFrame) -> DataFrame:

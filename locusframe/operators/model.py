@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .annotate import call_alleles
-from .metrics import average_binary_iou, evaluation_suite, fold_means, pixel_scores
+from .metrics import evaluation_suite, fold_means, pixel_metrics
 from .signal import along
 from .splits import grouped_holdout_split
 
@@ -62,16 +62,11 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def long_metrics(scored: DataFrame) -> DataFrame:
-    rates = pixel_scores(scored).select(F.explode(F.create_map(F.lit("pixel_precision"), F.col("precision"), F.lit("pixel_recall"), F.col("recall"), F.lit("pixel_f1"), F.col("f1"))).alias("metric", "value"))
-    return rates.unionByName(average_binary_iou(scored).select(F.lit("average_binary_iou").alias("metric"), F.col("iou").alias("value")))
-
-
 def all_metrics(scored: DataFrame, panel: DataFrame | None, truth: DataFrame | None) -> DataFrame:
     """metric, variant, value: all of the evaluation suite where a panel and the true calls (hid, marker,
     allele, height) are given and pixels have bp; the pixel metrics alone otherwise."""
     if panel is None or truth is None:
-        return long_metrics(scored).select("metric", F.lit("none").alias("variant"), "value")
+        return pixel_metrics(scored).select("metric", F.lit("none").alias("variant"), "value")
     own = truth.join(scored.select("hid").distinct(), "hid", "left_semi")
     return evaluation_suite(scored, call_alleles(scored, panel), own)
 
