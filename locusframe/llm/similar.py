@@ -43,7 +43,7 @@ DEEPEST = 10
 STEP = 2
 RECALL = 0.9999
 SKETCH = 256
-BLOCK = 512
+BLOCK = 256
 VERIFY_BLOCK = 128  # texts that a task holds at once, twice that for two blocks
 VERIFY_BYTES = 4 << 20  # and about how long they are together
 MARGIN = 0.14  # of the sketch's estimate: over five standard deviations at the threshold
