@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, markov, media, mixing, pieces, quality, repeats, similar
+from . import chat, exact_dedup, filling, language, markov, media, mixing, pieces, quality, repeats, similar, spelling
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_media_columns": media.op9_media_columns,
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_fill_in_middle": filling.op12_fill_in_middle,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_poisson_mixing": mixing.ORACLE_SQL,
+    "op12_fill_in_middle": filling.ORACLE_SQL,
 }

@@ -14,8 +14,8 @@ def test_against_sql(spark, sf, duck, name):
     assert canonical(df.collect(), df.columns) == canonical(found.fetchall(), found.columns)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, len(QUERIES) + 1))
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
