@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, filling, language, markov, media, mixing, pieces, quality, repeats, similar, spelling
+from . import chat, exact_dedup, filling, language, markov, media, mixing, near, pieces, quality, repeats, similar, spelling
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_poisson_mixing": mixing.op10_poisson_mixing,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_fill_in_middle": filling.op12_fill_in_middle,
+    "op13_near_dedup": near.op13_near_dedup,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_poisson_mixing": mixing.ORACLE_SQL,
     "op12_fill_in_middle": filling.ORACLE_SQL,
+    "op13_near_dedup": near.ORACLE_SQL,
 }

@@ -1,33 +1,40 @@
-"""Jaccard self-join on word 5-grams: MinHash LSH forest with exact verification.
+"""Jaccard self-join on word n-grams: MinHash LSH forest with exact verification.
 
 1. Texts become sets of hashed shingles (5 lower-cased words; shorter texts are one shingle). Equal
-   sets form classes of copies, counted in every task before the shuffle; one of each goes on.
+   sets are one node, counted in every task before the shuffle; the row with the least key stands for it.
+   A row's key is its doc_id, a hash of its text and the text's length, so rows are told apart whatever
+   their ids are.
 2. A forest of ``trees`` prefix tries holds the MinHash signatures, ``deepest`` values a tree. A trie
    is its signatures in sorted order: entries that share a prefix of any length are neighbours. The
-   forest is one table, range-partitioned and sorted by prefix, so a hot prefix is spread like any
-   other. Entries alone under the shortest prefix that can be needed are left out before the sort.
-3. The matched prefix is shortened from ``deepest``, ``step`` values at a time, until a pair at the
-   threshold is expected to have met in some tree with the target recall. A trie node whose texts
-   longer prefixes have already connected is closed; in an open node only texts that are not connected
-   yet are compared. Nodes with the same texts in several trees are taken once. Sketches of 256
-   one-byte minima are compared in a task; pairs far below the threshold fall away, and the rest
-   leaves the task as one star per connected part. Nodes over ``block`` texts are compared block
-   against block in tasks of their own.
-4. Connected parts of these stars are families. Their texts are brought together once (again block
+   forest is one table, range-partitioned and sorted, so a hot prefix is spread like any other. Entries
+   alone under the shortest prefix that can be needed are left out before the sort.
+3. The sorted forest is walked once, in its order, by ``window``: an entry is compared with the next ones
+   as long as they share the shortest prefix, which are those with the longest common prefixes. So the
+   prefix is as short as it must be where few texts share it and longer where many do. Sketches of 256
+   one-byte minima are compared; what is connected already is not compared again, and pairs leave the
+   task as stars.
+4. Regions (entries that share the shortest prefix) that the window did not hold whole, or that lie in
+   two partitions, are looked at again: one whose texts are all connected by now is closed, since its
+   pairs meet in step 5 anyway. In an open one only texts that are not connected yet are compared, in
+   blocks of at most ``block`` texts, block against block in tasks of their own. With this every
+   pair that shares the shortest prefix in some tree is compared or connected, and that prefix is so short
+   that a pair at the threshold shares it in some tree with the target recall.
+5. Connected parts of these stars are families. Their texts are brought together once (again block
    against block when large) and every pair is verified exactly, on shingles of the words themselves;
    a task gives the number of links of each text and a star per verified part, never the pairs.
-5. Connected parts of the verified stars are the classes.
+6. Connected parts of the verified stars are the classes.
 
 Defined cases: null and empty texts have no shingle: a class of its own without links. Null doc_id
-counts as the least number. Rows with the same doc_id count as one document with the links of each
-row. Copies (equal shingle sets) share a class and count in n_copies, not in n_links. Very long texts
-are whole. An empty table gives an empty table. Columns other than doc_id and text, whatever their
-names, are not read.
+counts as the least number. Rows with the same doc_id are rows of their own: each has the class and the
+links of its own text. Copies (equal shingle sets) share a class and count in n_copies, not in n_links.
+Very long texts are whole. An empty table gives an empty table. Columns other than doc_id and text,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,38 +50,63 @@ DEEPEST = 10
 STEP = 2
 RECALL = 0.9999
 SKETCH = 256
+WINDOW = 12  # following entries that an entry is compared with
 BLOCK = 256
 VERIFY_BLOCK = 128  # texts that a task holds at once, twice that for two blocks
 VERIFY_BYTES = 4 << 20  # and about how long they are together
+HAS_WORD = r"[^\x20\x09-\x0D]"
 MARGIN = 0.14  # of the sketch's estimate: over five standard deviations at the threshold
 
 
-def expected_recall(length: int, trees: int = TREES) -> float:
+class Likeness(NamedTuple):
+    """When texts are similar, and how they are looked for."""
+
+    words: int = WORDS  # of a shingle
+    threshold: tuple[int, int] = THRESHOLD  # similarity, as a fraction
+    margin: float = MARGIN
+    trees: int = TREES
+    deepest: int = DEEPEST
+    recall: float = RECALL
+
+    @property
+    def lengths(self) -> list[int]:
+        return prefix_lengths(self.trees, self.deepest, recall=self.recall, threshold=self.threshold)
+
+    @property
+    def least(self) -> float:
+        """The share of a sketch that has to agree."""
+        return self.threshold[0] / self.threshold[1] - self.margin
+
+
+FIVE_WORDS = Likeness()
+
+
+def expected_recall(length: int, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD) -> float:
     """How probable it is that a pair at the threshold shares a prefix of that length in some tree."""
-    return 1 - (1 - (THRESHOLD[0] / THRESHOLD[1]) ** length) ** trees
+    return 1 - (1 - (threshold[0] / threshold[1]) ** length) ** trees
 
 
-def prefix_lengths(trees: int = TREES, deepest: int = DEEPEST, step: int = STEP, recall: float = RECALL) -> list[int]:
+def prefix_lengths(trees: int = TREES, deepest: int = DEEPEST, step: int = STEP, recall: float = RECALL, threshold: tuple[int, int] = THRESHOLD) -> list[int]:
     """The lengths that are matched, from the deepest to the first with the target recall."""
     lengths = [deepest]
-    while expected_recall(lengths[-1], trees) < recall:
+    while expected_recall(lengths[-1], trees, threshold) < recall:
         if lengths[-1] == 1:
             raise ValueError("the target recall needs more trees")
         lengths.append(max(1, lengths[-1] - step))
     return lengths
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, and their offsets."""
     hashes, ends = word_hashes(raw, offsets)
     sizes = np.diff(ends)
-    padded = np.concatenate([hashes, np.zeros(WORDS, np.uint64)])
+    padded = np.concatenate([hashes, np.zeros(words, np.uint64)])
     rolled = np.zeros(len(hashes), np.uint64)
     place = np.arange(len(hashes)) - np.repeat(ends[:-1], sizes)
     left = np.repeat(sizes, sizes) - place  # words from here to the end of the text
-    for k in range(WORDS):
+    for k in range(words):
         rolled = np.where(left > k, mixed(rolled + padded[k : k + len(hashes)] + np.uint64(k + 1)), rolled)
-    whole = (left >= WORDS) | (place == 0)
+    whole = (left >= words) | (place == 0)
     row = np.repeat(np.arange(len(sizes)), sizes)[whole]
     shingles = rolled[whole]
     order = np.lexsort((shingles, row))
@@ -95,17 +127,27 @@ def signatures(shingles: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndar
     return out
 
 
-SIGNED = "doc_id long, set_a long, set_b long, shingles int, roots array<long>, tails array<int>, sketch binary"
+KEY = "struct<doc_id:bigint,mark:bigint,bytes:bigint>"
+SIGNED = f"key {KEY}, set_a long, set_b long, shingles int, roots array<long>, tails array<int>, sketch binary"
+SET = ["set_a", "set_b", "shingles"]
+
 
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """key and text of every row; null doc_id as the least number."""
+    number = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)))
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.struct(number.alias("doc_id"), F.xxhash64(body).alias("mark"), F.octet_length(body).cast("bigint").alias("bytes")).alias("key"), body.alias("text"))
 
-def signed(docs: DataFrame, trees: int, shortest: int, deepest: int) -> DataFrame:
+
+def signed(rows: DataFrame, like: Likeness) -> DataFrame:
     """Each text's shingle set as two hashes and a size, its place in each tree, and its sketch. A place
-    is a root (a hash of the tree and the first ``shortest`` values) and a tail (a byte for each later
-    value up to ``deepest``, at most four); entries with equal values have equal places."""
+    is a root (a hash of the tree and the first values, as many as the shortest prefix has) and a tail (a
+    byte for each later value up to the deepest, at most four); entries with equal values have equal places."""
+    trees, shortest, deepest = like.trees, like.lengths[-1], like.deepest
     hashes = max(SKETCH, trees * deepest)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        shingles, ends = shingle_sets(*text_bytes(batch.column("text")))
+        shingles, ends = shingle_sets(*text_bytes(batch.column("text")), like.words)
         full = np.flatnonzero(np.diff(ends))
         if not len(full):
             return
@@ -122,44 +164,86 @@ def signed(docs: DataFrame, trees: int, shortest: int, deepest: int) -> DataFram
                 tails = (tails << np.uint32(8)) | labels[:, own]
         offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * trees)
         yield {
-            "doc_id": batch.column("doc_id").take(pa.array(full)), "set_a": np.add.reduceat(mixed(shingles), starts).view(np.int64), "set_b": np.bitwise_xor.reduceat(mixed(~shingles), starts).view(np.int64),
+            "key": batch.column("key").take(pa.array(full)), "set_a": np.add.reduceat(mixed(shingles), starts).view(np.int64), "set_b": np.bitwise_xor.reduceat(mixed(~shingles), starts).view(np.int64),
             "shingles": sizes.astype(np.int32), "roots": pa.ListArray.from_arrays(offsets, pa.array(roots.reshape(-1).view(np.int64))),
             "tails": pa.ListArray.from_arrays(offsets, pa.array(tails.reshape(-1).view(np.int32))), "sketch": pa.array([x.tobytes() for x in labels[:, :SKETCH]], pa.binary()),
         }
 
-    return mapped(docs, run, SIGNED)
+    return mapped(rows, run, SIGNED)
+
+
+def distinct_sets(found: DataFrame) -> DataFrame:
+    """One row for each shingle set: key (the least), rows, and node, a number that is new in each table."""
+    firsts = [F.first(c).alias(c) for c in ("roots", "tails", "sketch")]
+    return found.groupBy(*SET).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"), *firsts).withColumn("node", F.monotonically_increasing_id())
 
 
-def sorted_forest(texts: DataFrame) -> DataFrame:
-    """node, root, tail of every entry that shares its root with another one, in sorted order."""
+def live_entries(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """root, n of every region of more than one entry, and root, tail, node of its entries; both written."""
     entries = texts.select("node", F.explode(F.arrays_zip("roots", "tails")).alias("e")).select("node", F.col("e.roots").alias("root"), F.col("e.tails").alias("tail"))
-    shared = written(entries.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "forest-roots")
-    live = entries.join(shared, "root", "left_semi").select("node", "root", "tail")
+    regions = written(entries.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "forest-roots")
+    return regions, written(entries.join(regions, "root", "left_semi").select("node", "root", "tail"), "forest-entries")
+
+
+def sorted_forest(texts: DataFrame, live: DataFrame) -> DataFrame:
+    """The entries with their sketches, each partition in order and after the one before it."""
     order = ["root", "tail", "node"]
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(live.repartitionByRange(partitions, *order).sortWithinPartitions(*order), "forest-tries")
-
-
-def trie_stars(texts: DataFrame, forest: DataFrame, lengths: list[int], block: int, least: float) -> DataFrame:
-    """Stars (a, b) of texts that may be similar, from the deepest matched prefix to the shortest."""
-    edges, labels = None, None
-    for length in lengths:
-        prefix = F.lit(0) if length == lengths[-1] else F.call_function("shiftrightunsigned", "tail", F.lit(8 * (lengths[0] - length)))
-        level = forest.select("node", "root", prefix.alias("prefix"))
-        if labels is not None:
-            level = level.join(labels, "node", "left")
-        level = level.withColumn("label", F.coalesce("label", "node") if labels is not None else F.col("node"))
-        nodes = level.groupBy("root", "prefix").agg(
-            F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        open_ = nodes.where("n > 1 and low < high").groupBy("n", "first", "members").agg(F.min(F.struct("root", "prefix")).alias("at"))
-        once = written(open_.select("at.root", "at.prefix", "n"), "forest-open")
-        members = level.join(once, ["root", "prefix"]).join(texts.select("node", "sketch"), "node")
-        found = written(sketched_stars(members.withColumn("blocks", F.ceil(F.col("n") / float(block))), least), "forest-stars")
-        discard(once)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    return edges
+    return live.join(texts.select("node", "sketch"), "node").select(*order, "sketch").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+
+
+def neighbour_stars(forest: DataFrame, least: float, window: int) -> DataFrame:
+    """Walk the sorted forest. Rows (a, b): texts that may be similar, as stars; rows (root): the regions at
+    both ends of each partition."""
+
+    def compared(root: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        label = np.arange(len(node))
+        one, two = [label[:0]], [label[:0]]
+        for step in range(1, window + 1):
+            i = np.flatnonzero(root[step:] == root[:-step])
+            i = i[(label[i] != label[i + step]) & (node[i] != node[i + step])]
+            if not len(i):
+                continue
+            near = np.concatenate([(sketch[x] == sketch[x + step]).sum(axis=1) >= least * SKETCH for x in np.array_split(i, -(-len(i) // 20_000))])
+            one.append(i[near])
+            two.append(i[near] + step)
+            label = stars(np.concatenate(one), np.concatenate(two), len(node))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return node[moved], node[label[moved]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, ends = None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                own = (part.column("root").to_numpy(), part.column("node").to_numpy(), np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+                ends = [*ends[:1], int(own[0][0]), int(own[0][-1])]
+                root, node, sketch = own if carried is None else (np.concatenate(x) for x in zip(carried, own))
+                carried = root[-window:], node[-window:], sketch[-window:].copy()
+                a, b = compared(root, node, sketch)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "root"])
+        rest = sorted({ends[0], ends[-1]}) if ends else []
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.int64()), pa.array(rest, pa.int64())], names=["a", "b", "root"])
+
+    return forest.mapInArrow(run, "a long, b long, root long")
+
+
+def forest_stars(texts: DataFrame, like: Likeness, block: int = BLOCK, window: int = WINDOW) -> DataFrame:
+    """Stars (a, b) over all pairs of nodes that share the shortest prefix and may be similar."""
+    regions, live = live_entries(texts)
+    walked = written(neighbour_stars(sorted_forest(texts, live), like.least, window), "forest-walk")
+    edges = walked.where("root is null").select("a", "b")
+    ends = walked.where("root is not null").select("root").distinct()  # two a partition at most
+    partly = regions.where(F.col("n") > window + 1).select("root").unionByName(ends.join(regions, "root", "left_semi")).distinct()
+    labels = connected(edges, "forest-labels")
+    level = live.join(partly, "root", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = level.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    once = written(nodes.where("low < high").groupBy("n", "first", "members").agg(F.min("root").alias("root")).select("root", "n"), "forest-open")
+    members = level.join(once, "root").join(texts.select("node", "sketch"), "node")
+    found = written(sketched_stars(members.withColumn("blocks", F.ceil(F.col("n") / float(block))), like.least), "forest-stars")
+    both = written(edges.unionByName(found).distinct(), "forest-edges")
+    discard(regions, live, walked, labels, once, found)
+    return both
 
 
 def by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], most: int = 4096) -> DataFrame:
@@ -264,13 +348,13 @@ def sketched_stars(members: DataFrame, least: float) -> DataFrame:
             label = stars(np.concatenate(found_a), np.concatenate(found_b), len(nodes))
             yield star_rows(nodes[order], label)
 
-    rows = in_blocks(members.select("node", "root", "prefix", "label", "sketch", "blocks"))
-    return by_group(rows, ["root", "prefix", "low", "high"], "a long, b long", work)
+    rows = in_blocks(members.select("node", "root", "label", "sketch", "blocks"))
+    return by_group(rows, ["root", "low", "high"], "a long, b long", work)
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
-    """node, label: the least node of each node's connected part; nodes without an edge are left out.
-    Alternates large and small stars until nothing moves."""
+    """node, label: the least node of each node's connected part, written; nodes without an edge are left
+    out. Alternates large and small stars until nothing moves."""
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     seen = None
     while True:
@@ -286,51 +370,61 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             roots = now.select(F.col("v").alias("node")).distinct()
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
+            labelled = written(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node"))), name)
+            discard(now)
+            return labelled
         seen = state
 
 
-def word_shingles(texts: list[bytes]) -> list[np.ndarray]:
+def word_shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The shingle set of each text; a shingle's number stands for its words themselves, so equal
     numbers are equal shingles."""
     numbers: dict[bytes, int] = {}
     number = numbers.setdefault
     split = [np.array([number(w, len(numbers) + 1) for w in t.lower().split()], np.int64) for t in texts]
-    short = [np.concatenate([w, np.zeros(WORDS - len(w), np.int64)]) if 0 < len(w) < WORDS else w for w in split]
-    windows = [max(0, len(w) - WORDS + 1) for w in short]
+    short = [np.concatenate([w, np.zeros(words - len(w), np.int64)]) if 0 < len(w) < words else w for w in split]
+    windows = [max(0, len(w) - words + 1) for w in short]
     at = np.cumsum([0, *windows])
     whole = np.concatenate([w[: n] for w, n in zip(short, windows)]) if at[-1] else np.empty(0, np.int64)
-    for k in range(1, WORDS):  # pairs of numbers become numbers
+    for k in range(1, words):  # pairs of numbers become numbers
         following = np.concatenate([w[k : k + n] for w, n in zip(short, windows)]) if at[-1] else whole
         whole = np.unique(whole * (len(numbers) + 1) + following, return_inverse=True)[1]
     return [np.unique(whole[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
-def verified(docs: DataFrame, families: DataFrame, block: int) -> DataFrame:
-    """Per text and task: node, links (verified neighbours there) and root (of its verified part)."""
-    placed = families.withColumnRenamed("label", "family").join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
-    held = placed.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("node", "family", F.col("text").cast("binary").alias("text"))
+def family_texts(rows: DataFrame, texts: DataFrame, families: DataFrame) -> DataFrame:
+    """node, key, family and text (binary) of every node that has a family; rows are (key, text)."""
+    places = families.select("node", F.col("label").alias("family")).join(texts.select("node", "key"), "node")
+    return places.join(rows, "key").select("node", "key", "family", F.col("text").cast("binary").alias("text"))
+
+
+def verified(held: DataFrame, like: Likeness, block: int) -> DataFrame:
+    """Per node and task: key, links (verified neighbours there) and root (the key of its verified part)."""
     sizes = written(held.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "forest-sizes")
     blocks = F.greatest(F.ceil(F.col("n") / float(block)), F.ceil(F.col("bytes") / float(VERIFY_BYTES)))
     spread = in_blocks(held.join(sizes.select("family", blocks.alias("blocks")), "family"))
 
     def work(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nodes, texts = rows.column("node").to_numpy(), rows.column("text")
-        own, low, high = (rows.column(c).to_numpy() for c in ("own", "low", "high"))
+        texts, keys = rows.column("text"), rows.column("key")
+        nodes, own, low, high = (rows.column(c).to_numpy() for c in ("node", "own", "low", "high"))
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            once = {(int(nodes[i]), texts[i].as_py()): i for i in range(s, e)}  # repeated rows count once
-            at = np.array(sorted(once.values(), key=lambda i: (nodes[i], i)))
-            close = near_pairs(word_shingles([texts[i].as_py() for i in at.tolist()]))
+            at = s + np.unique(nodes[s:e], return_index=True)[1]  # repeated rows count once
+            close = near_pairs(word_shingles([texts[i].as_py() for i in at.tolist()], like.words), like.threshold)
+            np.fill_diagonal(close, False)
             if low[s] != high[s]:
                 close &= own[at][:, None] != own[at][None, :]
-            close &= nodes[at][:, None] != nodes[at][None, :]
             label = stars(*np.nonzero(close), len(at))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(close.sum(axis=1).astype(np.int64)), pa.array(nodes[at][label])], names=["node", "links", "root"])
+            yield pa.RecordBatch.from_arrays([taken(keys, at), pa.array(close.sum(axis=1).astype(np.int64)), taken(keys, at[label])], names=["key", "links", "root"])
 
-    return by_group(spread, ["family", "low", "high"], "node long, links long, root long", work, most=128)
+    return by_group(spread, ["family", "low", "high"], f"key {KEY}, links long, root {KEY}", work, most=128)
 
 
-def near_pairs(sets: list[np.ndarray]) -> np.ndarray:
+def taken(column: pa.ChunkedArray, places: np.ndarray) -> pa.Array:
+    found = column.take(pa.array(places))
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def near_pairs(sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
     """Which pairs of sets reach the threshold, exactly; shingles that one set alone holds cannot be shared."""
     sizes = np.array([len(x) for x in sets])
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -346,41 +440,71 @@ def near_pairs(sets: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((len(sets), width), np.float32)
         part[row[a:b], column[a:b] - first] = 1
         common += part @ part.T
-    top, bottom = THRESHOLD
+    top, bottom = threshold
     return (top + bottom) * common >= top * (sizes[:, None] + sizes[None, :])
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES, recall: float = RECALL, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class Indexed(NamedTuple):
+    """What the stages of a search have in common; all but rows are written tables."""
+
+    rows: DataFrame  # key, text
+    signs: DataFrame  # of every row with a shingle
+    texts: DataFrame  # of every shingle set
+
+    def drop(self) -> None:
+        discard(self.signs, self.texts)
+
+
+def indexed(docs: DataFrame, like: Likeness, doc_id: str, text: str) -> Indexed:
+    rows = keyed(docs, doc_id, text)
+    signs = written(signed(rows, like), "forest-signatures")
+    return Indexed(rows, signs, written(distinct_sets(signs), "forest-texts"))
+
+
+def classes_of(index: Indexed, like: Likeness, block: int) -> tuple[DataFrame, DataFrame]:
+    """key, links of every verified node, and node (a key), label (the least key of its class); both written."""
+    edges = forest_stars(index.texts, like, block)
+    families = connected(edges, "forest-families")
+    links = written(verified(family_texts(index.rows, index.texts, families), like, min(block, VERIFY_BLOCK)), "forest-links")
+    degrees = written(links.groupBy("key").agg(F.sum("links").alias("links")), "forest-degrees")
+    classes = connected(links.select(F.col("key").alias("a"), F.col("root").alias("b")), "forest-classes")
+    discard(edges, families, links)
+    return degrees, classes
+
+
+def near_duplicates(docs: DataFrame, like: Likeness = FIVE_WORDS, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), n_links (other texts of at
     least the threshold's similarity), copy_of (least doc_id with the same shingles), n_copies."""
-    own = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
-    lengths = prefix_lengths(trees, recall=recall)
-    found = written(signed(own, trees, lengths[-1], lengths[0]), "forest-signatures")
-    firsts = [F.first(c).alias(c) for c in ("roots", "tails", "sketch")]
-    picked = found.groupBy("set_a", "set_b", "shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), *firsts)
-    texts = written(picked, "forest-texts")
-    forest = sorted_forest(texts)
-    stars_ = trie_stars(texts, forest, lengths, block, THRESHOLD[0] / THRESHOLD[1] - MARGIN)
-    families = written(connected(stars_, "forest-families"), "forest-family")
-    discard(forest)
-    links = written(verified(own, families, min(block, VERIFY_BLOCK)), "forest-links")
-    degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = connected(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "forest-classes")
-    nodes = texts.select("set_a", "set_b", "shingles", "node", "rows").join(degrees, "node", "left").join(classes, "node", "left")
-    placed = found.select("doc_id", "set_a", "set_b", "shingles").join(nodes, ["set_a", "set_b", "shingles"])
-    with_set = placed.select("doc_id", F.coalesce("label", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("node").alias("copy_of"), (F.col("rows") - 1).alias("n_copies"))
-    empty = own.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("bigint").alias("n_copies"))
-    return with_set.unionByName(empty)
-
-
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id stands for its class, with their columns, whatever those are
-    called. Null and empty texts are classes of their own and stay; rows with the same doc_id are one
-    document and stay or go together, and so are rows without one; of a tie the least doc_id stays."""
+    index = indexed(docs, like, doc_id, text)
+    degrees, classes = classes_of(index, like, block)
+    nodes = index.texts.select(*SET, "key", "rows").join(degrees, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
+    placed = index.signs.select(F.col("key.doc_id").alias("doc_id"), *SET).join(nodes, SET)
+    number = F.lit(0).cast("bigint")
+    with_set = placed.select("doc_id", F.coalesce("label", "key").getField("doc_id").alias("class_id"), F.coalesce("links", number).alias("n_links"), F.col("key.doc_id").alias("copy_of"), (F.col("rows") - 1).alias("n_copies"))
+    own = index.rows.where(~F.col("text").rlike(HAS_WORD)).select("key.doc_id")
+    result = written(with_set.unionByName(own.select("doc_id", F.col("doc_id").alias("class_id"), number.alias("n_links"), F.col("doc_id").alias("copy_of"), number.alias("n_copies"))), "forest-result")
+    index.drop()
+    discard(degrees, classes)
+    return result
+
+
+def keep_one_of_each(docs: DataFrame, like: Likeness = FIVE_WORDS, block: int = BLOCK) -> DataFrame:
+    """Of each class of similar texts one row, with its columns, whatever those are called: that with the
+    least doc_id (null counts as least; of a tie the least text hash; of rows with equal doc_id and text any
+    one). Null and empty texts are classes of their own and stay, every row of them."""
     plain, name = numbered_columns(docs)
-    stay = near_duplicates(plain, doc_id=name["doc_id"], text=name["text"]).where("doc_id = class_id").select("class_id").distinct()
-    kept = plain.join(stay, F.coalesce(F.col(name["doc_id"]).cast("bigint"), F.lit(-(1 << 63))) == F.col("class_id"), "left_semi")
-    return kept.toDF(*docs.columns)
+    index = indexed(plain, like, name["doc_id"], name["text"])
+    degrees, classes = classes_of(index, like, block)
+    gone = classes.where("node != label").select(F.col("node").alias("key"))
+    # the next stages are asked for lazily: what they read stays, the rest goes
+    stay = written(index.texts.select("key").join(gone, "key", "left_anti"), "forest-kept")
+    index.drop()
+    discard(degrees, classes)
+    body = F.coalesce(F.col(name["text"]), F.lit(""))
+    own = plain.withColumns({"doc_id": F.coalesce(F.col(name["doc_id"]).cast("bigint"), F.lit(-(1 << 63))), "mark": F.xxhash64(body), "bytes": F.octet_length(body).cast("bigint")})
+    keys = ["doc_id", "mark", "bytes"]
+    kept = own.where(body.rlike(HAS_WORD)).join(stay.select("key.*"), keys, "left_semi").dropDuplicates(keys)
+    return kept.unionByName(own.where(~body.rlike(HAS_WORD))).select(*plain.columns).toDF(*docs.columns)
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -27,21 +27,22 @@ def brute_stages(rows):
         rank = (doc_id is None, doc_id or 0)
         least[key] = min(least.get(key, rank), rank)
     exact = Counter((None if missing else doc_id, key) for key, (missing, doc_id) in least.items())
-    sets = [(doc_id, frozenset(shingles(t))) for doc_id, t in rows]
-    parent = {-(1 << 63) if i is None else i: None for i, _ in rows}
-    parent = {i: i for i in parent}
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
             if x and y and 5 * len(x & y) >= 4 * len(x | y):
-                one, two = (root(-(1 << 63) if k is None else k) for k in (a, b))
-                parent[max(one, two)] = min(one, two)
-    near = Counter((i, t) for i, t in rows if root(-(1 << 63) if i is None else i) == (-(1 << 63) if i is None else i))
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    groups = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        groups[root(i)].append((-(1 << 63) if doc_id is None else doc_id, i))
+    near = Counter(rows[min(group)[1]] for group in groups.values())
     return exact, near
 
 
@@ -311,20 +312,39 @@ def test_prefixes_are_shortened_until_the_recall_is_met():
         similar.prefix_lengths(trees=1)
 
 
-def test_forest_is_sorted_and_open_nodes_alone_are_compared(spark):
+def test_the_walk_of_the_sorted_forest_connects_and_open_regions_alone_are_compared(spark):
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = [(i, " ".join(base[:100] + [f"x{i}"] + base[101:])) for i in range(20)] + [(100 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(50))) for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = similar.written(similar.signed(docs, 32, 6, 10).withColumnRenamed("doc_id", "node"), "texts")
-    forest = similar.sorted_forest(texts)
-    held = [tuple(r) for r in forest.select("root", "tail", "node", F.input_file_name()).collect()]
-    assert {h[2] for h in held} == set(range(20)) and len(held) > 100
-    files = {name: [h[:3] for h in held if h[3] == name] for name in {h[3] for h in held}}
-    parts = sorted(files.values())
-    assert [h for part in parts for h in part] == sorted(h[:3] for h in held)  # each part and all of them
-    found = similar.trie_stars(texts, forest, [10, 8, 6], 512, 0.66)
-    assert {r["label"] for r in similar.connected(found, "t").collect()} == {0}
+    index = similar.indexed(spark.createDataFrame(rows, "doc_id long, text string"), similar.FIVE_WORDS, "doc_id", "text")
+    number = {r["node"]: r["doc_id"] for r in index.texts.select("node", "key.doc_id").collect()}
+    regions, live = similar.live_entries(index.texts)
+    forest = similar.sorted_forest(index.texts, live)
+    held = [tuple(r) for r in forest.select(F.spark_partition_id(), "root", "tail", "node").collect()]
+    assert {number[h[3]] for h in held} == set(range(20)) and len(held) > 100 and held == sorted(held)
+    assert [h[1:] for h in held] == sorted(h[1:] for h in held)  # each partition and all of them
+    walked = similar.neighbour_stars(forest, 0.66, 12).collect()
+    ends = {r["root"] for r in walked if r["root"] is not None}
+    parts = {h[0]: [x[1] for x in held if x[0] == h[0]] for h in held}
+    assert ends == {x for own in parts.values() for x in (own[0], own[-1])}
+    for window in (1, 3, 30):
+        found = similar.connected(similar.forest_stars(index.texts, similar.FIVE_WORDS, 512, window), "t").collect()
+        assert {number[r["node"]] for r in found} == set(range(20)) and len({r["label"] for r in found}) == 1
+
+
+def test_rows_with_one_id_are_told_apart(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    text, other = words(100), words(80)
+    near = " ".join([*text[:60], "changed", *text[61:]])
+    rows = [(1, " ".join(text)), (5, near), (5, " ".join(other)), (5, " ".join(text)), (7, None), (None, ""), (None, " "), (5, " ".join(other))]
+    rows += [(None, " ".join(words(30))) for _ in range(300)] + [(None, near + " more")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = {r["n"] for r in similar.keep_one_of_each(docs).collect()}
+    assert got - {2, 7} == set(range(len(rows))) - {0, 1, 2, 3, 7} and len(got & {2, 7}) == 1  # the null id is the least
+    found = similar.near_duplicates(docs, block=16).collect()
+    assert sum(r["n_links"] for r in found) == 8 and len(found) == len(rows)  # three texts, one of them twice: two links each
+    assert Counter(r["class_id"] for r in found if r["doc_id"] == 5) == {-(1 << 63): 2, 5: 2}
 
 
 def test_shingles_are_the_words_themselves():
