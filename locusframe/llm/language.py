@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import lean, mixed, numbered_columns, powers, prefix_hashes, table, text_batches
 
@@ -169,7 +170,7 @@ def predict(docs: DataFrame, filters: Filter, keep: tuple[str, ...] = ("doc_id",
     plain, name = numbered_columns(docs)
     read = name[text]  # among the kept columns or the last one
     rows = plain.select(*dict.fromkeys([*(name[c] for c in keep), read]))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "lang_pred string", "score double"])
+    schema = StructType(rows.schema.fields[: len(keep)]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learnt = Filter(*shared.value)

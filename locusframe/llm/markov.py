@@ -21,8 +21,8 @@ symbol across tasks, and the new model comes to the driver (symbols x states num
 the exact scaled forward recursion.
 
 Defined cases: null and empty text is the end token alone. Null doc_id counts as the empty text in
-the hold-out hash. Without training rows every count is 0, N and V are 0 and the score equals the
-base score. Repeated rows count and are scored as rows of their own. An empty table gives an empty
+the hold-out hash. Without training rows every count is 0, N and V are 0, no model is learnt and the score
+is the base score. Training texts without words teach the end token alone. Repeated rows count and are scored as rows of their own. An empty table gives an empty
 table. Texts are whole; other columns, whatever their names, are not read.
 """
 
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_bytes, table, text_batches, text_bytes, written
+from .common import discard, row_bytes, table, text_batches, text_bytes, written
 
 END = " "  # no word holds a space
 STATES = 8
@@ -83,7 +83,7 @@ class Lexicon:
 
     def __init__(self, names: list[str], found: list[int], symbols: int, tokens: int, types: int, ends: int):
         self.index = {w.encode(): i for i, w in enumerate(names)}
-        self.counts = np.append(np.array(found, float), 0.0)  # the last one is for words that are not here
+        self.counts = np.append(np.array(found, float), [0.0, 0.0])  # the last two are for ends (-2), counted apart, and words that are not here (-1)
         self.symbols, self.tokens, self.types, self.ends = symbols, tokens, types, ends
         self.end, self.rare = symbols, symbols + 1
         self.base = np.log10(tokens + 0.1 * (types + 1))
@@ -322,8 +322,10 @@ def score(texts: DataFrame, table_of_counts: DataFrame, lexicon_, model: Model)
     none = F.lit(0)
     known, logs, many = F.coalesce("rare_known", none), F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare", none)
     learnt = lexicon_.value
+    base = F.col("base") + logs - many * float(learnt.base)
+    modelled = F.col("score") + logs - many * float(learnt.rest) if learnt.tokens else base
     return parts.join(rare, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + known).alias("n_known"), (F.col("base") + logs - many * float(learnt.base)).alias("base_score"), (F.col("score") + logs - many * float(learnt.rest)).alias("score")
+        "doc_id", "n_tokens", (F.col("known") + known).alias("n_known"), base.alias("base_score"), modelled.alias("score")
     )
 
 
@@ -339,4 +341,7 @@ def op4_hmm_scores(spark, sf_dir: str) -> DataFrame:
     texts = written(encoded(docs, lexicon_, keep), "encoded-texts")
     model = train(texts.where("training"), lexicon_.value.unigram)
     scored = score(texts, found, lexicon_, model)
-    return scored.select("doc_id", (~keep).alias("held_out"), "n_tokens", "n_known", F.lit(int(lexicon_.value.tokens)).cast("bigint").alias("train_tokens"), "base_score", "score")
+    result = scored.select("doc_id", (~keep).alias("held_out"), "n_tokens", "n_known", F.lit(int(lexicon_.value.tokens)).cast("bigint").alias("train_tokens"), "base_score", "score")
+    result = written(result, "hmm-scores")
+    discard(found, texts)
+    return result

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import lean, mixed, numbered_columns, table, text_batches
 
@@ -249,7 +250,7 @@ def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
     keep = tuple(c for c in keep if c.lower() not in ("ids", "decoded"))
     plain, name = numbered_columns(docs)
     rows = plain.select(*[name[c] for c in keep], F.col(name[text]).alias("piece_text"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "piece_text"), "ids array<int>", "decoded string"])
+    schema = StructType(rows.schema.fields[:-1]).add("ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is N
 #: Columns that operators use inside, or give to their results, and some that need quoting.
 INNER = """score lang_pred lang_text held_out gram own_id own_sha256 own_text row_key local_key keep_id keep_row kept group_size text_sha256 copies body length content_hash
 thresholds mix_source mix_salt copy_no repetition_rate shuffle_key node label class_id n_links copy_of n_copies root roots tail tails prefix blocks own other low high family links
-a b u v m set_a set_b shingles sketch ids decoded piece_text row training symbols rare word c c0 c1 c2""".split() + ["a.b", "with space", "_metadata"]
+a b u v m set_a set_b shingles sketch ids decoded piece_text row training symbols rare word c c0 c1 c2""".split() + ["a.b", "with space", "_metadata"]  # and a struct with field names to quote: ``odd``
 
 
 def brute_stages(rows):
@@ -67,7 +67,8 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     plain = spark.createDataFrame([(i, t, ("aa" if k % 2 else "bb") if i and i >= 100 else None, f"s{k % 3}" if k % 5 else None, len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
-    return plain.withColumns({c: F.concat(F.lit(c + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in INNER}).repartition(4).cache()
+    odd = F.struct(F.col("doc_id").alias("a-b"), F.array(F.struct(F.lit(1).alias("x y"), F.lit("z").alias("c:d"))).alias("`q`"))
+    return plain.withColumns({c: F.concat(F.lit(c + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in INNER} | {"odd": odd}).repartition(4).cache()
 
 
 def stages():
@@ -81,6 +82,7 @@ def taken(df):
     got = df.collect()
     for r in got:
         assert all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for c in INNER)
+        assert r["odd"]["a-b"] == r["doc_id"] and r["odd"]["`q`"][0]["x y"] == 1
     return Counter((r["doc_id"], r["text"]) for r in got)
 
 
@@ -166,8 +168,9 @@ def test_operators_that_name_results_after_input_columns(docs):
     assert named.columns == ["doc_id", "lang_text", "lang_pred", "score"] and named.schema["score"].dataType.simpleString() == "double"
     import public_tokenizers
 
-    coded = pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "ids", "decoded", "piece_text"))
-    assert coded.columns == ["doc_id", "piece_text", "ids", "decoded"] and coded.schema["ids"].dataType.simpleString() == "array<int>"
+    coded = pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "ids", "decoded", "odd", "piece_text"))
+    assert coded.first()["odd"]["`q`"][0]["c:d"] == "z"
+    assert coded.columns == ["doc_id", "odd", "piece_text", "ids", "decoded"] and coded.schema["ids"].dataType.simpleString() == "array<int>"
 
 
 # Brute force of the quality classifier's features and of the language filters
@@ -186,11 +189,11 @@ def rolled(values):
     return sum(v * pow(K, i, 1 << 64) for i, v in enumerate(values)) & MASK
 
 
-def brute_features(text, buckets):
+def brute_features(text, buckets, repetition=False):
     low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
     words = low.split()
     made = [finish(rolled([finish(b + 1) for b in w])) for w in words]
-    for i, w in enumerate(words):
+    for i, w in enumerate(words if repetition else []):
         token = 0
         for period in range(1, quality.PERIODS + 1):
             if i >= period and words[i - period] == w:
@@ -214,6 +217,9 @@ def test_quality_features_and_scores_by_brute_force(spark, sf):
     found, row = quality.features(pa.array(texts, pa.string()), buckets)
     for i, t in enumerate(texts):
         assert Counter(found[row == i].tolist()) == brute_features(t, buckets), t
+    found, row = quality.features(pa.array(texts, pa.string()), buckets, repetition=True)
+    for i, t in enumerate(texts):
+        assert Counter(found[row == i].tolist()) == brute_features(t, buckets, repetition=True), t
     for r in quality.score(docs, classifier).collect():
         counted = brute_features(texts[r["doc_id"]], buckets)
         total = sum(counted.values())

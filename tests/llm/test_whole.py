@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import chat, markov, media
+from locusframe.llm import chat, markov, media, quality
 
 
 def test_every_round_of_the_markov_model_sees_every_text(spark):
@@ -72,3 +72,49 @@ def test_chat_gives_templates_the_full_prefix(spark):
         kept = [got[1]["formatted"][t["start"] : t["end"]] for t in got[1]["turns"]]
         assert len(kept) == 150 and kept[-1] == "turn 149" and len(got[2]["turns"]) == 80
     assert chat.format_conversations(df).groupBy("conv_id").count().where("count > 1").count() == 2  # append-only: in segments
+
+
+@pytest.mark.parametrize(
+    ("texts", "expected"),
+    [
+        ({1: None, 4: "", 5: " \n"}, {i: (1, 1, 3, 0.0) for i in (1, 4, 5)}),  # 10 % of ids do not teach; these do
+        ({1: "", 4: " ", 29: "held out"}, {1: (1, 1, 2, None), 4: (1, 1, 2, None), 29: (3, 1, 2, None)}),
+        ({29: "a b a", 37: None}, {29: (4, 0, 0, 0.0), 37: (1, 0, 0, 0.0)}),
+        ({}, {}),
+    ],
+)
+def test_markov_scores_without_training_words(spark, tmp_path, texts, expected):
+    import math
+    import zlib
+
+    taught = {i for i in texts if zlib.crc32(str(i).encode()) % 10}
+    assert taught == {i for i in texts if i < 29}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in markov.op4_hmm_scores(spark, str(tmp_path)).collect()}
+    assert got.keys() == expected.keys()
+    tokens = len(taught)
+    for i, (n, known, train, score) in expected.items():
+        r = got[i]
+        base = sum(math.log10(((tokens if k == 0 else 0) + 0.1) / (tokens + 0.1 * ((tokens > 0) + 1))) for k in range(n))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, train, i not in taught)
+        assert r["base_score"] == pytest.approx(base, abs=1e-9) and math.isfinite(r["score"]) and r["score"] <= 1e-9
+        if not tokens:
+            assert r["score"] == r["base_score"] == score
+
+
+def test_fitting_is_bounded_before_anything_is_collected(spark):
+    rng = np.random.default_rng(1)
+    say = lambda n: " ".join(rng.choice(["good", "bad", "word", "text", "other"], n))
+    docs = spark.createDataFrame([(7, say(30) + f" {i}") for i in range(500)] + [(i, say(20)) for i in range(100, 130)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1), (7, 0), *((i, i % 2) for i in range(100, 130))], "doc_id long, quality int")
+    assert quality.sampled(docs, labels, 10).count() == 10 and quality.sampled(docs, labels).count() == 31
+    assert quality.sampled(docs.unionByName(docs).repartition(3), labels).where("doc_id = 7").first() == quality.sampled(docs, labels).where("doc_id = 7").first()
+    trained = []
+    real, quality.train = quality.train, lambda rows, *a, **k: (trained.append(rows), real(rows, *a, **k))[1]
+    try:
+        for bound in (1 << 25, 400, 3, 0):
+            quality.fit(docs, labels, epochs=1, max_features=bound)
+    finally:
+        quality.train = real
+    sizes = [sum(len(w) for w, *_ in rows) for rows in trained]
+    assert len(trained[0]) == 31 and 0 < len(trained[1]) < 31 and sizes[1] <= 400 and trained[2:] == [[], []]
