@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import NOT_IN_PANEL
-from .signal import plateau_peaks, scaler_places, with_pixel
+from .signal import KEYS, along, backwards, scaler_places, with_pixel
 
 
 def first_entries(panel: DataFrame) -> DataFrame:
@@ -123,18 +123,21 @@ def adjust_panel(panel: DataFrame, ladder_alleles: DataFrame, ladder_peaks: Data
     located = ladder_peaks.join(kit, "hid").join(ladder_alleles, ["panel_id", "dye", "k"]).join(scaler, ["hid", "px"]).select("hid", "marker", "allele", F.col("bp").alias("known"))
     every = kit.join(first_entries(panel), "panel_id").drop("panel_id")
     joined = every.join(located, ["hid", "marker", "allele"], "left")
-    w = Window.partitionBy("hid", "marker").orderBy("ord")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marker = Window.partitionBy("hid", "marker")
     anchor = F.when(F.col("known").isNotNull(), F.struct(F.col("base_pair").alias("x"), F.col("known").alias("y")))
-    anchors = F.collect_list(anchor).over(whole)  # of one marker, in panel order
-    seen = F.count("known").over(w)
-    with_anchors = joined.withColumn("_a", anchors).withColumn("_seen", seen)
-    n = F.size("_a")
-    k = F.least(F.greatest(F.col("_seen").cast("int"), F.lit(1)), F.greatest(n - 1, F.lit(1)))
-    a, b = F.try_element_at("_a", k), F.try_element_at("_a", k + 1)
+    both = joined.withColumn("_at", anchor)
+    for side, order in (("_before", F.col("ord")), ("_after", F.desc("ord"))):  # the nearest two anchors on each side
+        w = marker.orderBy(order)
+        further = F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        pair = F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("one"), further.alias("two")))
+        both = both.withColumn("_pair", pair).withColumn(side, F.last("_pair", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.col("_before").isNull()
+    last = F.col("_after").isNull()
+    a = F.when(first, F.col("_after.one")).when(last, F.col("_before.two")).otherwise(F.col("_before.one"))
+    b = F.when(first, F.col("_after.two")).when(last, F.col("_before.one")).otherwise(F.col("_after.one"))
     line = a["y"] + (F.col("base_pair") - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"])
-    moved = F.coalesce("known", F.when(n >= 2, line), F.col("base_pair"))
-    return with_anchors.select(F.col("hid").alias("panel_id"), "dye", "marker", "allele", moved.alias("base_pair"), "left_off", "right_off", "ord")
+    moved = F.coalesce("known", line, "base_pair")
+    return both.select(F.col("hid").alias("panel_id"), "dye", "marker", "allele", moved.alias("base_pair"), "left_off", "right_off", "ord")
 
 
 def resolve_panel(profiles: DataFrame, valid_ladders: DataFrame, default: str) -> DataFrame:
@@ -143,15 +146,56 @@ def resolve_panel(profiles: DataFrame, valid_ladders: DataFrame, default: str) -
     return profiles.join(known, "ladder_id", "left").select(*profiles.columns, F.coalesce("_valid", F.lit(default)).alias("panel_id"))
 
 
+def doubled(rows: DataFrame, levels: int, **columns: tuple[str, int]) -> DataFrame:
+    """rows with an array for each name: the maxima of its column over 1, 2, 4, ... rows from here on
+    (direction 1) or up to here (-1), 2 ** levels at most. Each length follows from two of the one before."""
+    names = {f"_{n}_0": F.col(c) for n, (c, _) in columns.items()}
+    made = rows.withColumns(names)
+    for j in range(levels):
+        step = lambda n, way: (F.lead if way > 0 else F.lag)(f"_{n}_{j}", 1 << j).over(along())  # noqa: B023, E731
+        made = made.withColumns({f"_{n}_{j + 1}": F.greatest(f"_{n}_{j}", step(n, way)) for n, (_, way) in columns.items()})
+    return made.withColumns({n: F.array(*[F.col(f"_{n}_{j}") for j in range(levels + 1)]) for n in columns}).drop(*[f"_{n}_{j}" for n in columns for j in range(levels + 1)])
+
+
+def highest(first: Column, last: Column, n: Column) -> Column:
+    """The maximum over n rows: of two runs of the greatest power of two below n, one from the first row on and one up to the last."""
+    level = F.length(F.bin(n)).cast("int")
+    return F.greatest(F.get(first, level - 1), F.get(last, level - 1))
+
+
 def bin_has_peak(spans: DataFrame, pixels: DataFrame, share: float = 0.8) -> DataFrame:
     """spans (ladder_id, hid, dye, marker, allele, l, r) with has_peak: a strict maximum of at least
-    ``share`` of the largest value lies in pixels l to r - 1."""
+    ``share`` of the largest value lies in pixels l to r - 1 (a flat top with both its sides; edges never).
+
+    One sweep of each trace serves all spans on it, however many overlap: pixels carry maxima over doubling
+    lengths, of values and of tops, both ways; a span is two rows merged into the trace, of which its first
+    takes what lies ahead and its last what lies behind. No pixel is copied for a span."""
     names = spans.columns
-    inside = spans.where("l < r").withColumn("_bin", F.struct(*names)).withColumn("px", F.explode(F.sequence("l", F.col("r") - 1))).join(pixels.select("hid", "dye", "px", "rfu"), ["hid", "dye", "px"])
-    flat = inside.select(F.col("_bin").alias("hid"), "dye", "px", "rfu")
-    tops = plateau_peaks(flat, 0).join(flat.groupBy("hid", "dye").agg(F.max("rfu").alias("_most")), ["hid", "dye"]).where(F.col("rfu") >= share * F.col("_most"))
-    good = tops.select(F.col("hid").alias("_bin")).distinct()
-    return spans.withColumn("_bin", F.struct(*names)).join(good.withColumn("_good", F.lit(True)), "_bin", "left").select(*names, F.coalesce("_good", F.lit(False)).alias("has_peak"))
+    widest = spans.agg(F.max(F.col("r") - F.col("l"))).first()[0] or 1
+    w = along()
+    v, before, after = F.col("rfu"), F.lag("rfu").over(w), F.lead("rfu").over(w)
+    shaped = pixels.select(*KEYS, "px", "rfu").withColumns({"_n": F.row_number().over(w), "_new": ~before.eqNullSafe(v), "_rise": F.coalesce(v > before, F.lit(False)), "_fall": F.coalesce(v > after, F.lit(False))})
+    began = F.last(F.when(F.col("_new"), F.col("_rise")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    topped = shaped.withColumn("_top", F.when(began & F.col("_fall"), v))  # at the last pixel of a top
+    levels = doubled(topped, max(1, int(widest).bit_length() - 1), _on=("rfu", 1), _back=("rfu", -1), _tops_on=("_top", 1), _tops_back=("_top", -1))
+    # what follows the run of a span's first pixel begins with the next run
+    next_run = F.last(F.when(F.col("_new"), F.struct("_n", "_tops_on")), ignorenulls=True).over(backwards().rowsBetween(Window.unboundedPreceding, -1))
+    ready = levels.withColumn("_behind", F.struct("_n", "_back", F.lag("_tops_back").over(w).alias("_tops_back"))).withColumn("_ahead", F.struct("_n", "_on", next_run.alias("_run")))
+    traced = ready.select(*KEYS, "px", F.lit(1).alias("_kind"), "_ahead", "_behind")
+    kinds = {c: traced.schema[c].dataType for c in ("_ahead", "_behind")}
+    marks = spans.withColumn("_span", F.struct(*names)).withColumn("_side", F.explode(F.array(F.lit("l"), F.lit("r"))))
+    events = marks.select(*KEYS, F.when(F.col("_side") == "l", F.col("l")).otherwise(F.col("r")).cast(traced.schema["px"].dataType).alias("px"), F.lit(0).alias("_kind"), *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], "_side", "_span")
+    merged = traced.withColumn("_side", F.lit(None).cast("string")).withColumn("_span", F.lit(None).cast(events.schema["_span"].dataType)).unionByName(events)
+    up, down = Window.partitionBy(*KEYS).orderBy("px", "_kind"), Window.partitionBy(*KEYS).orderBy(F.desc("px"), F.desc("_kind"))
+    until = (Window.unboundedPreceding, 0)
+    swept = merged.withColumn("_behind", F.last("_behind", ignorenulls=True).over(up.rowsBetween(*until))).withColumn("_ahead", F.last("_ahead", ignorenulls=True).over(down.rowsBetween(*until))).where("_kind = 0")
+    side = lambda s, c: F.first(F.when(F.col("_side") == s, F.col(c)), ignorenulls=True)
+    met = swept.groupBy("_span").agg(side("l", "_ahead").alias("a"), side("r", "_behind").alias("b"), F.count(F.lit(1)).alias("_rows"))
+    n, inner = F.col("b._n") - F.col("a._n") + 1, F.col("b._n") - F.col("a._run._n")
+    most = F.when(n > 0, highest(F.col("a._on"), F.col("b._back"), n))
+    best = F.when(inner > 0, highest(F.col("a._run._tops_on"), F.col("b._tops_back"), inner))
+    found = F.coalesce((F.col("_span.l") < F.col("_span.r")) & (best >= share * most), F.lit(False))
+    return met.withColumn("has_peak", found).withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_rows") / 2).cast("int")))).select("_span.*", "has_peak")
 
 
 def ladder_candidates(profiles: DataFrame, ladders: DataFrame) -> DataFrame:

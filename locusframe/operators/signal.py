@@ -10,15 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BP_RANGE, PIXELS, STANDARD_BPS
+from ..sources.scratch import written
 
 KEYS = ["hid", "dye"]
-NEAR = 16
+NEAR = 3
+PEAK_BLOCK = 64
 
 
 def along(order: str = "px") -> Window:
     return Window.partitionBy(*KEYS).orderBy(order)
 
 
+def backwards(order: str = "px") -> Window:
+    return Window.partitionBy(*KEYS).orderBy(F.desc(order))
+
+
 def local_maxima(pixels: DataFrame, order: str = "px", value: str = "rfu", keys: list[str] | None = None) -> DataFrame:
     """Rows higher than one neighbour and not lower than the other; outside counts as 0."""
     return pixels.withColumn("_is", peak_flag(pixels, order, value, keys)).where("_is").drop("_is")
@@ -69,33 +75,59 @@ def runs_of_ones(pixels: DataFrame, on: Column) -> DataFrame:
 
 def peak_boundary(pixels: DataFrame, threshold: float) -> DataFrame:
     """For every pixel taken as a peak: left and right end of the stretch at or above threshold around it."""
-    w = along()
     below = F.when(F.col("rfu") < threshold, F.col("px"))
-    left = F.last(below, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(below, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    left = F.last(below, ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, -1))
+    right = F.last(below, ignorenulls=True).over(backwards().rowsBetween(Window.unboundedPreceding, -1))
     whole = Window.partitionBy(*KEYS)
     return pixels.select("*", F.coalesce(left + 1, F.min("px").over(whole)).alias("left"), F.coalesce(right - 1, F.max("px").over(whole)).alias("right"))
 
 
 def nearest_peak(pixels: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (hid, dye, px, more): with peak, the nearest maximum that is at least as high as the pixel
-    itself, the first on ties. A trace's maxima are one sorted array (a trace has some thousand scans);
-    the NEAR maxima on both sides are looked at first, the others only where none of those will do."""
-    w = along().rowsBetween(Window.unboundedPreceding, 0)
-    top = peak_flag(pixels)
-    ranked = pixels.select(*KEYS, "px", F.col("rfu").alias("_own"), top.alias("_is")).withColumn("_rank", F.sum(F.col("_is").cast("int")).over(w))
-    tops = ranked.where("_is").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col("px").alias("peak"), F.col("_own").alias("high")))).alias("_tops"))
-    found = queries.join(ranked.drop("_is"), [*KEYS, "px"]).join(tops, KEYS)
-    high = lambda x: x["high"] >= F.col("_own")
-    n, rank = F.size("_tops"), F.col("_rank").cast("int")
-    first, after = F.greatest(rank - NEAR, F.lit(0)) + 1, F.least(rank + NEAR, n) - rank
-    last_of = lambda a: F.try_element_at(F.filter(a, high), F.lit(-1))
-    first_of = lambda a: F.try_element_at(F.filter(a, high), F.lit(1))
-    left = F.coalesce(last_of(F.slice("_tops", first, rank - first + 1)), last_of(F.slice("_tops", F.lit(1), first - 1)))
-    right = F.coalesce(first_of(F.slice("_tops", rank + 1, after)), first_of(F.slice("_tops", rank + after + 1, n - rank - after)))
-    sides = F.filter(F.array(left, right), lambda x: x.isNotNull())
-    best = F.array_min(F.transform(sides, lambda x: F.struct(F.abs(x["peak"] - F.col("px")).alias("d"), x["peak"].alias("peak"), x["high"].alias("high"))))
-    return found.withColumn("_b", best).where("_b is not null").select(*queries.columns, F.col("_b.peak").alias("peak"), F.col("_b.high").alias("peak_rfu"))
+    itself, the first on ties.
+
+    Queries are merged into the trace as rows, so one sorted pass gives each of them its pixel, the NEAR
+    maxima up to it and the NEAR after it. Uphill from a pixel lies a maximum that will do, so almost always
+    these settle the matter. A query is open where a side's maxima are all too low and a further one could
+    still be nearer than what the other side has; ``far_peaks`` settles those, block by block."""
+    names = queries.columns
+    own = F.struct(F.col("px").alias("peak"), F.col("rfu").alias("high"))
+    rows = pixels.select(*KEYS, "px", "rfu", F.lit(0).alias("_kind"), own.alias("_pixel"), F.lit(None).cast(queries.select(F.struct(*names)).schema[0].dataType).alias("_q"))
+    asked = queries.select(*KEYS, "px", F.lit(None).cast(pixels.schema["rfu"].dataType).alias("rfu"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_pixel"].dataType).alias("_pixel"), F.struct(*names).alias("_q"))
+    over = "OVER (PARTITION BY hid, dye ORDER BY px, _kind)"
+    near = lambda f, what, k: F.expr(f"{f}({what}, {k}) IGNORE NULLS {over}")
+    value, zero = F.col("rfu"), F.lit(0).cast(pixels.schema["rfu"].dataType)
+    left, right = (F.coalesce(near(f, "rfu", 1), zero) for f in ("lag", "lead"))
+    top = ((value >= left) & (value > right)) | ((value > left) & (value >= right))
+    ends = Window.partitionBy(*KEYS)
+    tops = rows.unionByName(asked).withColumn("_top", F.when(top, F.col("_pixel"))).withColumns({"_first": F.min("px").over(ends), "_last": F.max("px").over(ends)})
+    found = tops.withColumns({"_own": near("lag", "_pixel", 1)} | {f"_{f}{k}": near(f, "_top", k) for f in ("lag", "lead") for k in range(1, NEAR + 1)}).where("_kind = 1 and _own.peak = px")
+    high = lambda x: x["high"] >= F.col("_own.high")
+    sides = {f: F.coalesce(*[F.when(high(F.col(f"_{f}{k}")), F.col(f"_{f}{k}")) for k in range(1, NEAR + 1)]) for f in ("lag", "lead")}
+    sided = found.withColumns({f"_{f}": c for f, c in sides.items()}).withColumn("_d", F.least(F.col("px") - F.col("_lag.peak"), F.col("_lead.peak") - F.col("px")))
+    further = {f: F.col(f"_{f}").isNull() & F.col(f"_{f}{NEAR}").isNotNull() for f in ("lag", "lead")}
+    reach = F.coalesce("_d", F.greatest(F.col("px") - F.col("_first"), F.col("_last") - F.col("px")))
+    open_ = (further["lag"] & (F.col("px") - F.col(f"_lag{NEAR}.peak") < reach)) | (further["lead"] & (F.col(f"_lead{NEAR}.peak") - F.col("px") + 1 < reach))
+    best = F.when((F.col("px") - F.col("_lag.peak") == F.col("_d")), F.col("_lag")).otherwise(F.col("_lead"))
+    settled = written(sided.select(*KEYS, "px", "_q", "_own.high", open_.alias("_open"), reach.cast("bigint").alias("_reach"), best.alias("_b")), "nearest-peaks")
+    done = settled.where("not _open").select("_q", "_b")
+    if not (rest := settled.where("_open")).isEmpty():
+        done = done.unionByName(rest.drop("_b").join(far_peaks(pixels, rest.select(*KEYS, "px", "high", "_reach").distinct()), [*KEYS, "px"]).select("_q", "_b"))
+    return done.where("_b is not null").select("_q.*", F.col("_b.peak").alias("peak"), F.col("_b.high").alias("peak_rfu"))
+
+
+def far_peaks(pixels: DataFrame, queries: DataFrame) -> DataFrame:
+    """hid, dye, px, _b: the nearest maximum of at least ``high`` within ``_reach`` pixels of each query, by
+    the highest maxima of blocks of PEAK_BLOCK pixels; a block's own maxima (at most as many) are looked at in
+    those blocks alone that have a high enough one."""
+    block = lambda c: F.floor(c / PEAK_BLOCK)
+    tops = local_maxima(pixels).select(*KEYS, block(F.col("px")).alias("_block"), F.struct(F.col("px").alias("peak"), F.col("rfu").alias("high")).alias("_t"))
+    blocks = tops.groupBy(*KEYS, "_block").agg(F.max("_t.high").alias("_most"), F.collect_list("_t").alias("_tops"))
+    places = F.sequence(block(F.col("px") - F.col("_reach")), block(F.col("px") + F.col("_reach")))
+    met = queries.withColumn("_block", F.explode(places)).join(blocks, [*KEYS, "_block"]).where("_most >= high")
+    good = F.filter("_tops", lambda t: t["high"] >= F.col("high"))
+    nearest = F.array_min(F.transform(good, lambda t: F.struct(F.abs(t["peak"] - F.col("px")).alias("d"), t.alias("t"))))
+    return met.withColumn("_n", nearest).groupBy(*KEYS, "px").agg(F.min("_n").alias("_n")).select(*KEYS, "px", F.col("_n.t").alias("_b"))
 
 
 def peak_in_or_near_run(pixels: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
