@@ -8,11 +8,10 @@ block against block where texts are not connected yet. Connected candidates are
 Only components are asked for, not every link, so a family is not compared in full:
 
 1. Families are dealt into blocks; each block is verified exactly, on whole sets of shingles that stand
-   for the words themselves. A family of one block is settled with that.
-2. Larger families whose parts are not one yet are dealt ``deals`` times anew, each time otherwise, so that
-   parts meet in most blocks. Each deal moves a family's texts once. Mutually similar texts, a third of
-   the corpus say, become one part here.
-3. What is left apart is settled exactly: all texts outside a family's largest part, in blocks, against
+   for the words themselves. A family of one block is settled with that. Larger ones are dealt ``deals``
+   times more, each time otherwise, so that parts meet in other blocks: 1 + ``deals`` copies of each of their
+   texts, whatever the family's size. Mutually similar texts, a third of the corpus say, become one part here.
+2. What is left apart is settled exactly: all texts outside a family's largest part, in blocks, against
    every block of the family; texts of one part are not compared with each other.
 
 Links are never rows: a task returns stars of its verified parts. Only links are lost whose texts never
@@ -73,51 +72,47 @@ def blocks_of(rows: Column, size: Column, block: int) -> Column:
     return F.greatest(F.ceil(rows / float(block)), F.ceil(size / float(VERIFY_BYTES))).cast("int")
 
 
-def place(blocks: str | Column, salt: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(blocks) if isinstance(blocks, str) else blocks).cast("int")
-
-
 def open_families(held: DataFrame, parts: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts of those large families that are not one part yet, with ``label``, a number of their part;
-    and per family of these the largest part (biggest). Both written."""
+    """The texts of large families with ``label``, a number of their part so far; and family, biggest (the
+    label of its largest part) of those that have more than one. Both written."""
     marked = held.join(large, "family").join(parts.select(F.col("node").alias("key"), F.col("label").alias("part")), "key", "left")
-    # a hash of the part is enough: two parts under one number would be looked at as one, which 64 bits rule out in a family
+    # a hash of the part's least key: two parts of one family would need the same 64 bits
     labelled = written(marked.withColumn("label", F.xxhash64(F.coalesce("part", "key"))).drop("part"), "near-members")
     sizes = labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
     biggest = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("top")).where("parts > 1")
     return labelled, written(biggest.select("family", F.col("top.label").alias("biggest")), "near-open")
 
 
-def component_edges(held: DataFrame, like: Likeness, block: int, deals: int) -> DataFrame:
-    """Written stars (a, b) of keys that join every component."""
+def components(held: DataFrame, like: Likeness, block: int, deals: int) -> DataFrame:
+    """node (a key), label (the least key of its component), written; keys without a link are left out."""
     sizes = written(held.groupBy("family").agg(blocks_of(F.count(F.lit(1)), F.sum(F.octet_length("text")), block).alias("blocks")), "near-sizes")
     large = sizes.where("blocks > 1")
-    found = written(block_stars(held.join(sizes, "family").withColumn("own", place("blocks", 0)), ["family", "own"], like), "near-stars")
-    if large.isEmpty():
-        return found
-    edges, scratch = found, [found]
-    for deal in range(1, deals + 1):
-        parts = connected(edges, "near-parts")
-        labelled, still = open_families(held, parts, large)
-        going = labelled.join(still.select("family"), "family", "left_semi").withColumn("own", place("blocks", deal))
-        found = written(block_stars(going, ["family", "own"], like), "near-stars")
-        edges = edges.unionByName(found)
-        scratch.append(found)
-        discard(parts, labelled, still)
+    times = F.when(F.col("blocks") > 1, deals).otherwise(0)
+    dealt = held.join(sizes, "family").withColumn("deal", F.explode(F.sequence(F.lit(0), times)))
+    own = F.pmod(F.xxhash64("deal", "node"), F.col("blocks")).cast("int")
+    edges = written(block_stars(dealt.withColumn("own", own), ["family", "deal", "own"], like), "near-stars")
     parts = connected(edges, "near-parts")
+    if large.isEmpty():
+        discard(edges, sizes)
+        return parts
     labelled, still = open_families(held, parts, large)
+    if still.isEmpty():
+        discard(edges, sizes, labelled, still)
+        return parts
     going = labelled.join(still, "family")
     outside = going.where("label != biggest")
     counts = written(outside.groupBy("family").agg(blocks_of(F.count(F.lit(1)), F.sum(F.octet_length("text")), block).alias("outer")), "near-outside")
     both = going.join(counts, "family")
     every = {name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name) for name, n in (("one", "outer"), ("two", "blocks"))}
     kept = ["node", "key", "family", "text", "label"]
-    left = both.where("label != biggest").select(*kept, place("outer", deals + 1).alias("one"), every["two"], F.lit(True).alias("first"))
-    right = both.select(*kept, every["one"], place("blocks", deals + 2).alias("two"), F.lit(False).alias("first"))
+    place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
+    left = both.where("label != biggest").select(*kept, place("outer", 1).alias("one"), every["two"], F.lit(True).alias("first"))
+    right = both.select(*kept, every["one"], place("blocks", 2).alias("two"), F.lit(False).alias("first"))
     found = written(block_stars(left.unionByName(right), ["family", "one", "two"], like), "near-stars")
-    edges = written(edges.unionByName(found), "near-edges")
-    discard(parts, labelled, still, counts, found, *scratch, sizes)
-    return edges
+    joined = parts.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
+    whole = connected(joined, "near-components")
+    discard(edges, sizes, parts, labelled, still, counts, found)
+    return whole
 
 
 def near_components(docs: DataFrame, like: Likeness = THREE_WORDS, block: int = VERIFY_BLOCK, deals: int = DEALS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,17 +122,16 @@ def near_components(docs: DataFrame, like: Likeness = THREE_WORDS, block: int =
     candidates = forest_stars(index.texts, like)
     families = connected(candidates, "near-families")
     held = written(family_texts(index.rows, index.texts, families), "near-texts")
-    edges = component_edges(held, like, block, deals)
-    components = connected(edges, "near-components")
-    discard(candidates, families, held, edges)
-    sets = index.texts.select(*SET, "key").join(components.withColumnRenamed("node", "key"), "key", "left").select(*SET, F.coalesce("label", "key").getField("doc_id").alias("component_id"))
+    parts = components(held, like, block, deals)
+    discard(candidates, families, held)
+    sets = index.texts.select(*SET, "key").join(parts.withColumnRenamed("node", "key"), "key", "left").select(*SET, F.coalesce("label", "key").getField("doc_id").alias("component_id"))
     linked = index.signs.select(F.col("key.doc_id").alias("doc_id"), *SET).join(sets, SET).select("doc_id", F.col("shingles").cast("bigint").alias("n_shingles"), "component_id")
     alone = index.rows.where(~F.col("text").rlike(HAS_WORD)).select(F.col("key.doc_id").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), F.col("key.doc_id").alias("component_id"))
     none = F.lit(-(1 << 63))
     result = linked.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     result = written(result.withColumns({c: F.nullif(c, none) for c in ("doc_id", "component_id")}), "near-result")
     index.drop()
-    discard(components)
+    discard(parts)
     return result
 
 

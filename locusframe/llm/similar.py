@@ -354,10 +354,9 @@ def sketched_stars(members: DataFrame, least: float) -> DataFrame:
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """node, label: the least node of each node's connected part, written; nodes without an edge are left
-    out. Alternates large and small stars until nothing moves."""
+    out. Alternates large and small stars until only stars are left."""
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    seen = None
-    while True:
+    while not is_forest_of_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written: next to a plain side Spark can split the rows of a hub
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
@@ -367,13 +366,17 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         after = written(small, name)
         discard(now, least)
         now = after
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
-            roots = now.select(F.col("v").alias("node")).distinct()
-            labelled = written(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node"))), name)
-            discard(now)
-            return labelled
-        seen = state
+    roots = now.select(F.col("v").alias("node")).distinct()
+    labelled = written(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node"))), name)
+    discard(now)
+    return labelled
+
+
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every u of (u, v), u > v, has one v and no v is a u: then each v is the least of its part."""
+    sides = edges.select("u", F.lit(1).alias("n"), F.lit(False).alias("end")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(True).alias("end")))
+    seen = sides.groupBy("u").agg(F.sum("n").alias("n"), F.bool_or("end").alias("end"))
+    return seen.where("n > 1 or (n = 1 and end)").count() == 0
 
 
 def word_shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
