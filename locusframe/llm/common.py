@@ -49,6 +49,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df of narrow rows, to be written: two tasks a core at most, each of which takes its partitions one after
+    the other, so that small tables do not become a file for every partition of a shuffle."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, narrow, table, written
 from .similar import HAS_WORD, KEY, SET, VERIFY_BLOCK, VERIFY_BYTES, Likeness, by_group, connected, family_texts, forest_stars, indexed, near_pairs, stars, taken, word_shingles
 
 THREE_WORDS = Likeness(words=3, threshold=(85, 100), margin=0.12, deepest=12)
@@ -80,12 +80,12 @@ def open_families(held: DataFrame, parts: DataFrame, large: DataFrame) -> tuple[
     labelled = written(marked.withColumn("label", F.xxhash64(F.coalesce("part", "key"))).drop("part"), "near-members")
     sizes = labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
     biggest = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("top")).where("parts > 1")
-    return labelled, written(biggest.select("family", F.col("top.label").alias("biggest")), "near-open")
+    return labelled, written(narrow(biggest.select("family", F.col("top.label").alias("biggest"))), "near-open")
 
 
 def components(held: DataFrame, like: Likeness, block: int, deals: int) -> DataFrame:
     """node (a key), label (the least key of its component), written; keys without a link are left out."""
-    sizes = written(held.groupBy("family").agg(blocks_of(F.count(F.lit(1)), F.sum(F.octet_length("text")), block).alias("blocks")), "near-sizes")
+    sizes = written(narrow(held.groupBy("family").agg(blocks_of(F.count(F.lit(1)), F.sum(F.octet_length("text")), block).alias("blocks"))), "near-sizes")
     large = sizes.where("blocks > 1")
     times = F.when(F.col("blocks") > 1, deals).otherwise(0)
     dealt = held.join(sizes, "family").withColumn("deal", F.explode(F.sequence(F.lit(0), times)))
@@ -101,7 +101,7 @@ def components(held: DataFrame, like: Likeness, block: int, deals: int) -> DataF
         return parts
     going = labelled.join(still, "family")
     outside = going.where("label != biggest")
-    counts = written(outside.groupBy("family").agg(blocks_of(F.count(F.lit(1)), F.sum(F.octet_length("text")), block).alias("outer")), "near-outside")
+    counts = written(narrow(outside.groupBy("family").agg(blocks_of(F.count(F.lit(1)), F.sum(F.octet_length("text")), block).alias("outer"))), "near-outside")
     both = going.join(counts, "family")
     every = {name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name) for name, n in (("one", "outer"), ("two", "blocks"))}
     kept = ["node", "key", "family", "text", "label"]

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mapped, mixed, numbered_columns, table, text_bytes, word_hashes, written
+from .common import discard, mapped, mixed, narrow, numbered_columns, table, text_bytes, word_hashes, written
 
 WORDS = 5
 THRESHOLD = (4, 5)  # similarity of 4 / 5 or more
@@ -238,10 +238,10 @@ def forest_stars(texts: DataFrame, like: Likeness, block: int = BLOCK, window: i
     labels = connected(edges, "forest-labels")
     level = live.join(partly, "root", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = level.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-    once = written(nodes.where("low < high").groupBy("n", "first", "members").agg(F.min("root").alias("root")).select("root", "n"), "forest-open")
+    once = written(narrow(nodes.where("low < high").groupBy("n", "first", "members").agg(F.min("root").alias("root")).select("root", "n")), "forest-open")
     members = level.join(once, "root").join(texts.select("node", "sketch"), "node")
     found = written(sketched_stars(members.withColumn("blocks", F.ceil(F.col("n") / float(block))), like.least), "forest-stars")
-    both = written(edges.unionByName(found).distinct(), "forest-edges")
+    both = written(narrow(edges.unionByName(found)), "forest-edges")
     discard(regions, live, walked, labels, once, found)
     return both
 
@@ -355,30 +355,25 @@ def sketched_stars(members: DataFrame, least: float) -> DataFrame:
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """node, label: the least node of each node's connected part, written; nodes without an edge are left
     out. Alternates large and small stars until only stars are left."""
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    while not is_forest_of_stars(now):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now = written(narrow(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), name)
+    while True:
+        both = now.select("u", "v", F.lit(True).alias("down")).unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False).alias("down")))
+        down = F.when(F.col("down"), F.col("v"))
+        seen = both.groupBy("u").agg(F.min("v").alias("m"), F.min(down).alias("low"), F.max(down).alias("high"), F.bool_and("down").alias("leaf"))
         # written: next to a plain side Spark can split the rows of a hub
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        least = written(narrow(seen.select("u", F.least("u", "m").alias("m"), (F.col("low").isNotNull() & ((F.col("low") != F.col("high")) | ~F.col("leaf"))).alias("moves"))), name)
+        if least.where("moves").isEmpty():  # every node with a smaller neighbour has that one alone: stars
+            break
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.explode(F.array("u", "v")).alias("u"), "m").where("u != m").select("u", F.col("m").alias("v")).distinct()
-        after = written(small, name)
+        after = written(narrow(large.join(smallest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v")), name)
         discard(now, least)
         now = after
-    roots = now.select(F.col("v").alias("node")).distinct()
-    labelled = written(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.withColumn("label", F.col("node"))), name)
-    discard(now)
+    labelled = written(narrow(least.select(F.col("u").alias("node"), F.col("m").alias("label"))), name)
+    discard(now, least)
     return labelled
 
 
-def is_forest_of_stars(edges: DataFrame) -> bool:
-    """Whether every u of (u, v), u > v, has one v and no v is a u: then each v is the least of its part."""
-    sides = edges.select("u", F.lit(1).alias("n"), F.lit(False).alias("end")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(True).alias("end")))
-    seen = sides.groupBy("u").agg(F.sum("n").alias("n"), F.bool_or("end").alias("end"))
-    return seen.where("n > 1 or (n = 1 and end)").count() == 0
-
-
 def word_shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The shingle set of each text; a shingle's number stands for its words themselves, so equal
     numbers are equal shingles."""
@@ -403,7 +398,7 @@ def family_texts(rows: DataFrame, texts: DataFrame, families: DataFrame) -> Data
 
 def verified(held: DataFrame, like: Likeness, block: int) -> DataFrame:
     """Per node and task: key, links (verified neighbours there) and root (the key of its verified part)."""
-    sizes = written(held.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "forest-sizes")
+    sizes = written(narrow(held.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))), "forest-sizes")
     blocks = F.greatest(F.ceil(F.col("n") / float(block)), F.ceil(F.col("bytes") / float(VERIFY_BYTES)))
     spread = in_blocks(held.join(sizes.select("family", blocks.alias("blocks")), "family"))
 
@@ -469,7 +464,7 @@ def classes_of(index: Indexed, like: Likeness, block: int) -> tuple[DataFrame, D
     edges = forest_stars(index.texts, like, block)
     families = connected(edges, "forest-families")
     links = written(verified(family_texts(index.rows, index.texts, families), like, min(block, VERIFY_BLOCK)), "forest-links")
-    degrees = written(links.groupBy("key").agg(F.sum("links").alias("links")), "forest-degrees")
+    degrees = written(narrow(links.groupBy("key").agg(F.sum("links").alias("links"))), "forest-degrees")
     classes = connected(links.select(F.col("key").alias("a"), F.col("root").alias("b")), "forest-classes")
     discard(edges, families, links)
     return degrees, classes
