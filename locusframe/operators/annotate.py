@@ -19,9 +19,13 @@ def drop_non_autosomal(calls: DataFrame) -> DataFrame:
 
 
 def allele_spans(calls: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:
-    """calls (hid, bp_left, bp_right, more) with l and r, the pixels of both ends; repeated rows stay."""
-    places = scaler_places(scaler, on)
-    return with_pixel(with_pixel(calls, places, F.col("bp_left"), "l", on), places, F.col("bp_right"), "r", on)
+    """The distinct rows of calls (hid, bp_left, bp_right, more) with l and r, the pixels of both ends. Both
+    ends are looked up in one join."""
+    names = calls.columns
+    ends = calls.distinct().withColumn("_end", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("bp_left").alias("bp")), F.struct(F.lit(False).alias("left"), F.col("bp_right").alias("bp")))))
+    placed = with_pixel(ends, scaler_places(scaler, on), F.col("_end.bp"), "_px", on)
+    side = lambda left: F.max(F.when(F.col("_end.left") == left, F.col("_px")))
+    return placed.groupBy(*names).agg(side(True).alias("l"), side(False).alias("r"))
 
 
 def spans_to_mask(spans: DataFrame) -> DataFrame:
@@ -31,9 +35,10 @@ def spans_to_mask(spans: DataFrame) -> DataFrame:
 
 def segmentation_mask(calls: DataFrame, panel: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:
     """hid, dye, px inside the bin of a called allele (calls: hid, dye, marker, allele). ``on`` names
-    the scaler of a call where several profiles share one."""
+    the scaler of a call where several profiles share one. Alleles that are not in the panel lie below the
+    range, where a bin is empty; they are left out before anything is joined."""
     keys = dict.fromkeys([*KEYS, on])
-    return spans_to_mask(allele_spans(allele_info(calls, panel).select(*keys, "bp_left", "bp_right").distinct(), scaler, on))
+    return spans_to_mask(allele_spans(allele_info(calls, panel).where("in_panel").select(*keys, "bp_left", "bp_right"), scaler, on))
 
 
 def later_runs_win(mask_runs: DataFrame, covers: DataFrame) -> DataFrame:

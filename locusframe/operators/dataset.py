@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import sample_noc, sample_prefix
 from ..sources.abif import decode_hid_elements, decode_hid_values, select_dye_channels
 from ..sources.scratch import written
 from .annotate import adjust_complete, adjust_top, attach_ground_truth, donor_alleles, segmentation_mask
 from .loading import drop_incomplete_profiles, profiles_with_annotation, profiles_with_ladder, skip_missing_ladder
 from .panel import dye_row_of_marker, resolve_panel
 from .signal import KEYS, calibrated_profile
+from .splits import grouped_holdout_split, limit_profiles
 
 DEFAULT = "default"
 ADJUSTMENTS = {"top": adjust_top, "complete": adjust_complete}
@@ -24,6 +27,21 @@ class Dataset(NamedTuple):
     scaler: DataFrame  # hid, px, bp
     calls: DataFrame  # hid, marker, allele, height, source
     mask: DataFrame  # hid, dye, px
+    outcomes: DataFrame  # hid, status: kept, or the first reason why not
+
+
+#: Why a file is no profile, in the order in which the reasons are looked at.
+REASONS = ("no annotation", "no ladder", "not chosen", "not ABIF", "channels missing", "standard invalid", "no calls")
+
+
+def chosen_files(listed: DataFrame, limit: int | None, holdout: tuple[float, int] | None, seed: int | str | None) -> DataFrame:
+    """The hid of the files that are to be read: one part of a grouped hold-out, then the first ``limit``,
+    by name or in seeded order. Nothing is decoded for this."""
+    if holdout is not None:
+        fraction, part = holdout
+        named = listed.select("hid", sample_noc(F.col("hid")).alias("noc"), sample_prefix(F.col("hid")).alias("prefix"))
+        listed = grouped_holdout_split(named, fraction, 0 if seed is None else seed).where(F.col("part") == part)
+    return (listed if limit is None else limit_profiles(listed, limit, "hid", seed)).select("hid")
 
 
 def load_profiles(
@@ -36,12 +54,17 @@ def load_profiles(
     skip_without_ladder: bool = False,
     adjustment: str | None = None,
     donors: DataFrame | None = None,
+    limit: int | None = None,
+    holdout: tuple[float, int] | None = None,
+    seed: int | str | None = None,
 ) -> Dataset:
     """samples: stem, content (scan_profiles); annotations: stem, annotation, report; reported: sample,
     marker, allele, height (read_allele_report); panel: the kit's panel; ladders: stem, ladder_path, and
     ladder_panels: the adjusted panels of valid ladders with panel_id, the ladder's path; donors: donor,
-    marker, allele1, allele2. Files without annotation, whose data cannot be decoded or calibrated, or
-    without any call of a marker of the kit are left out. Traces are decoded once and written."""
+    marker, allele1, allele2. ``limit`` and ``holdout`` (fraction, part) choose files before they are decoded.
+    Files without annotation, whose data cannot be decoded or calibrated, or without any call of a marker
+    of the kit are left out; ``outcomes`` has every file with what became of it. Traces are decoded once and
+    written."""
     if adjustment is not None and adjustment not in ADJUSTMENTS:
         raise ValueError(f"unknown adjustment {adjustment}")
     named = profiles_with_annotation(samples, annotations).withColumnRenamed("stem", "hid")
@@ -50,6 +73,9 @@ def load_profiles(
         with_path = profiles_with_ladder(listed.drop("ladder_id").withColumnRenamed("hid", "stem"), ladders)
         kept = skip_missing_ladder(with_path) if skip_without_ladder else with_path
         listed = kept.withColumnRenamed("stem", "hid").withColumnRenamed("ladder_path", "ladder_id")
+    with_ladder = listed.select("hid")
+    if limit is not None or holdout is not None:
+        listed = listed.join(written(chosen_files(listed, limit, holdout, seed), "chosen-files"), "hid", "left_semi")
     panels = panel.withColumn("panel_id", F.lit(DEFAULT))
     if ladder_panels is not None:
         panels = panels.unionByName(ladder_panels.select(panels.columns))
@@ -57,14 +83,12 @@ def load_profiles(
     profiles = resolve_panel(listed, valid, DEFAULT).drop("ladder_id")
 
     wanted = named.join(profiles.select("hid"), "hid", "left_semi").select("hid", "content")
-    raw = written(select_dye_channels(decode_hid_values(decode_hid_elements(wanted))), "raw-traces")
-    pixels, scaler = calibrated_profile(raw)
-    pixels, scaler = written(pixels, "pixels"), written(scaler, "scaler")
+    entries, pixels, scaler = read_traces(wanted)
 
     own = reported.withColumnRenamed("sample", "annotation").join(profiles.select("hid", "annotation", "panel_id"), "annotation")
     called = dye_row_of_marker(own.select("hid", "panel_id", "marker", "allele", "height"), panel).where("dye is not null")
-    complete = drop_incomplete_profiles(profiles, pixels, called)
-    called = written(called.join(complete.select("hid"), "hid", "left_semi"), "calls")
+    called = written(called.join(scaler.select("hid").distinct(), "hid", "left_semi"), "calls")
+    complete = drop_incomplete_profiles(profiles, scaler, called)
     mask = segmentation_mask(called, panels, scaler)
     if adjustment is not None:
         marked = pixels.join(mask.withColumn("mask", F.lit(True)), [*KEYS, "px"], "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
@@ -73,4 +97,26 @@ def load_profiles(
     if donors is not None:
         calls = attach_ground_truth(calls, donor_alleles(complete.select("hid", F.col("hid").alias("name")), donors, panel))
     have = complete.select("hid")
-    return Dataset(complete, pixels.join(have, "hid", "left_semi"), scaler.join(have, "hid", "left_semi"), calls, mask)
+    passed = [named.select("hid"), with_ladder, profiles.select("hid"), entries.where("abif").select("hid"), entries.where("whole").select("hid"), scaler.select("hid"), have]
+    outcomes = outcomes_of(samples.select(F.col("stem").alias("hid")), passed)
+    return Dataset(complete, pixels.join(have, "hid", "left_semi"), scaler.join(have, "hid", "left_semi"), calls, mask, outcomes)
+
+
+def read_traces(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files (hid, content) decoded once: hid, abif, whole (all six channels are there) of each file, and the
+    pixels and scalers of those with a valid standard; all written."""
+    values = decode_hid_values(decode_hid_elements(files, every=True))
+    data = written(values.select("hid", "abif", "name", "tag", F.when(F.col("name") == "DATA", F.col("v_array")).alias("v_array")), "entries")
+    raw = written(select_dye_channels(data), "raw-traces")
+    whole = raw.select("hid").distinct().withColumn("whole", F.lit(True))
+    read = data.groupBy("hid").agg(F.bool_or("abif").alias("abif")).join(whole, "hid", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    pixels, scaler = calibrated_profile(raw)
+    return written(read, "read-files"), written(pixels, "pixels"), written(scaler, "scaler")
+
+
+def outcomes_of(files: DataFrame, passed: list[DataFrame]) -> DataFrame:
+    """hid, status of every file: the first of REASONS whose table (hid of those that passed) lacks it, else kept."""
+    marks = reduce(DataFrame.unionByName, [t.select("hid", F.lit(i).alias("_step")) for i, t in enumerate(passed)]).distinct()
+    every = files.join(marks.groupBy("hid").agg(F.collect_set("_step").alias("_steps")), "hid", "left")
+    missing = [F.when(~F.coalesce(F.array_contains("_steps", i), F.lit(False)), reason) for i, reason in enumerate(REASONS)]
+    return every.select("hid", F.coalesce(*missing, F.lit("kept")).alias("status"))

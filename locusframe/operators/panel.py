@@ -204,9 +204,9 @@ def ladder_candidates(profiles: DataFrame, ladders: DataFrame) -> DataFrame:
 
 
 def best_ladder(bins: DataFrame) -> DataFrame:
-    """hid, ladder_id, n of the ladder under which most bins have a peak (ties: the first path); none if 0."""
-    counts = bins.groupBy("hid", "ladder_id").agg(F.sum(F.col("has_peak").cast("bigint")).alias("n")).where("n > 0")
-    w = Window.partitionBy("hid").orderBy(F.desc("n"), "ladder_id")
-    return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
+    """hid, ladder_id, n of the ladder under which most bins have a peak (ties: the first path); none if 0.
+    A bin counts once, or as often as its column times says."""
+    times = F.col("times") if "times" in bins.columns else F.lit(1)
+    counts = bins.groupBy("hid", "ladder_id").agg(F.sum(F.when(F.col("has_peak"), times).otherwise(0)).cast("bigint").alias("n")).where("n > 0")
+    best = counts.groupBy("hid").agg(F.min(F.struct((-F.col("n")).alias("rank"), "ladder_id")).alias("_b"))
+    return best.select("hid", F.col("_b.ladder_id").alias("ladder_id"), (-F.col("_b.rank")).alias("n"))

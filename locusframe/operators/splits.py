@@ -6,6 +6,9 @@ partitions and their sizes), which no stratum and no single task has to hold.
 
 from __future__ import annotations
 
+import hashlib
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +86,45 @@ def train_test_folds(folded: DataFrame, k: int) -> DataFrame:
     return turns.withColumn("role", F.when(F.col("turn") == F.col("fold"), "test").otherwise("train"))
 
 
-def shuffle_rows(rows: DataFrame, seed: int | None = None) -> DataFrame:
-    return rows.orderBy(F.rand() if seed is None else F.rand(seed))
+ROUNDS = 64
+_WORD = (1 << 31) - 1
+
+
+def round_keys(seed: int | str, rounds: int = ROUNDS) -> list[tuple[int, int]]:
+    """Two numbers for each round of a shuffle, below 2**61 and 2**31."""
+    digests = [hashlib.md5(f"{seed}|{i}".encode()).hexdigest() for i in range(rounds)]
+    return [(int(d[:15], 16), int(d[16:24], 16) & _WORD) for d in digests]
+
+
+def permuted(place: Column, n: Column, keys: list[tuple[int, int]]) -> Column:
+    """A seeded bijection of 0 .. n - 1, for any n: a round pairs each place with another one (which pairs it
+    with the first in turn) and swaps the two or not, by a bit of a hash of the larger. With the keys in
+    reverse order it is undone."""
+    rounds = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in keys])
+
+    def swap(x: Column, key: Column) -> Column:
+        other = F.pmod(F.pmod(key["a"], n) - x, n)
+        top = F.greatest(x, other)
+        mixed = ((top % _WORD + F.floor(top / _WORD)).bitwiseXOR(key["b"]) * F.lit(1_640_531_527)) % (1 << 31)
+        mixed = (mixed.bitwiseXOR(F.shiftright(mixed, 15)) * F.lit(1_779_033_703)) % (1 << 31)
+        return F.when(F.shiftright(mixed, 17) % 2 == 1, other).otherwise(x)
+
+    return F.aggregate(rounds, place.cast("bigint"), swap)
+
+
+def shuffle_rows(rows: DataFrame, key: str | list[str], seed: int | str | None = None) -> DataFrame:
+    """rows with place, 0 .. n - 1 in random order: a bijection of the ranks by key, so the order depends on
+    the keys and the seed alone, never on partitions. Order by place, or take a page of it by a filter; rows
+    with equal keys share their places in any order. Without a seed one is drawn."""
+    keys = round_keys(random.SystemRandom().getrandbits(60) if seed is None else seed)
+    placed = ranked(rows, [F.col(c) for c in ([key] if isinstance(key, str) else key)], "_rank")
+    n = rows.agg(F.count(F.lit(1))).first()[0]
+    return placed.withColumn("place", permuted(F.col("_rank") - 1, F.lit(n).cast("bigint"), keys)).drop("_rank")
+
+
+def rank_of_place(place: Column, n: int, seed: int | str) -> Column:
+    """The rank by key (from 0) of the row that shuffle_rows put at place."""
+    return permuted(place, F.lit(n).cast("bigint"), round_keys(seed)[::-1])
 
 
 def limit_profiles(rows: DataFrame, n: int, key: str, seed: int | None = None) -> DataFrame:

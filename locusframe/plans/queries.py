@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names as fn
 from ..functions.constants import DYE_ROWS, LOCUS_THRESHOLDS
-from ..operators import annotate, loading, metrics, panel, signal, splits
+from ..operators import annotate, dataset, ladders, loading, metrics, panel, signal, splits
 from ..sources import abif, files
 from . import views as v
-from .views import CALLS, DENSE, KNOTS, NAMES, PANEL, STRATA, TRACE, sql
+from .views import CALLS, DENSE, FILES, KIT, KNOTS, NAMES, PANEL, STRATA, TRACE, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -412,6 +412,54 @@ def best_ladder(spark, d):
     return panel.best_ladder(bins(spark, d))
 
 
+def loaded(spark, d):
+    """The suppliers' raw files, listed and loaded; annotations are named after them."""
+    listed = v.files(spark, d)
+    samples = listed.where("not ladder")
+    stems = samples.where("hid % 13 <> 1").select("hid", "stem")
+    annotations = stems.select("stem", F.concat(F.lit("S"), "stem").alias("annotation"), F.lit("report").alias("report"))
+    kit = v.kit(spark, d)
+    pairs = stems.where("hid % 13 <> 4").withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(24)).cast("array<bigint>"))).where("(hid + ord) % 3 <> 0")
+    reported = pairs.join(kit.select("ord", "marker", "allele"), "ord").select(F.concat(F.lit("S"), "stem").alias("sample"), "marker", "allele", (100.0 + F.col("ord")).alias("height"))
+    return listed, samples, dataset.load_profiles(samples.select("stem", "content"), annotations, reported, kit)
+
+
+@query("load_outcomes", sql("SELECT hid::VARCHAR AS hid, status FROM files", FILES))
+def load_outcomes(spark, d):
+    return loaded(spark, d)[2].outcomes
+
+
+@query("load_report_of_files", sql("SELECT status, count(*) AS n FROM files GROUP BY status", FILES))
+def load_report_of_files(spark, d):
+    return metrics.load_report(loaded(spark, d)[2].outcomes)
+
+
+SELECTED = """centres AS (SELECT f.hid, f.ladder, a.dye, a.k, a.ord, floor(3000 + (a.base_pair + 0.4e0 * (f.hid % 3) - 65) * (8 + f.hid % 4) + 3)::BIGINT AS c
+    FROM (SELECT hid, false AS ladder FROM files WHERE status = 'kept' UNION ALL SELECT s_suppkey, true FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 4 <> 0) f, kit a
+    WHERE CASE WHEN f.ladder THEN a.k <> 2 ELSE (2 * f.hid + a.ord) % 5 <> 0 END),
+  shaped AS (SELECT c.hid, c.ladder, c.dye, c.k, g.px, g.bp, 1000 - 60 * abs(g.scan - c.c) AS rfu FROM centres c JOIN grid g ON g.hid = c.hid AND g.scan BETWEEN c.c - 15 AND c.c + 15),
+  tops AS (SELECT hid, dye, k, (min(px) + max(px)) // 2 AS px FROM (SELECT *, max(rfu) OVER (PARTITION BY hid, dye, k) AS most FROM shaped WHERE ladder) WHERE rfu = most GROUP BY ALL),
+  known AS (SELECT t.hid, t.dye, t.k, g.bp FROM tops t JOIN grid g ON g.hid = t.hid AND g.px = t.px),
+  moved AS (SELECT l.hid, a.dye, a.k, a.marker, a.allele, a.ord, coalesce(o.bp, b.bp + (a.base_pair - pb.base_pair) * (n.bp - b.bp) / (pn.base_pair - pb.base_pair)) AS bp FROM (SELECT DISTINCT hid FROM known) l CROSS JOIN kit a
+    LEFT JOIN known o ON o.hid = l.hid AND o.dye = a.dye AND o.k = a.k LEFT JOIN known b ON b.hid = l.hid AND b.dye = a.dye AND b.k = 1 LEFT JOIN known n ON n.hid = l.hid AND n.dye = a.dye AND n.k = 3
+    LEFT JOIN kit pb ON pb.dye = a.dye AND pb.k = 1 LEFT JOIN kit pn ON pn.dye = a.dye AND pn.k = 3),
+  lends AS (SELECT f.hid AS supplier, m.hid AS ladder, m.dye, m.k AS step, e.side, m.bp + CASE e.side WHEN 'l' THEN -0.6e0 ELSE 0.6e0 END AS bp FROM files f JOIN moved m ON m.hid % 4 = f.hid % 4 AND (f.hid + m.ord) % 3 <> 0, (SELECT unnest(['l', 'r']) AS side) e WHERE f.status = 'kept')"""
+FITTED = f"""placed AS (SELECT supplier AS hid, ladder, dye, step AS k, max(px) FILTER (WHERE side = 'l') AS l, max(px) FILTER (WHERE side = 'r') AS r FROM {nearest_sql("lends", "supplier, ladder, dye, step, side")} GROUP BY ALL),
+  within AS (SELECT u.hid, u.ladder, u.dye, u.k, u.px, coalesce(s.rfu, 5) AS rfu FROM (SELECT *, unnest(range(l, r)) AS px FROM placed) u LEFT JOIN shaped s ON s.hid = u.hid AND NOT s.ladder AND s.dye = u.dye AND s.px = u.px),
+  wruns AS (SELECT hid, ladder, dye, k, g, any_value(rfu) AS rfu FROM (SELECT *, sum(n) OVER (PARTITION BY hid, ladder, dye, k ORDER BY px) AS g FROM (SELECT *, CASE WHEN lag(rfu) OVER (PARTITION BY hid, ladder, dye, k ORDER BY px) = rfu THEN 0 ELSE 1 END AS n FROM within)) GROUP BY ALL),
+  fits AS (SELECT DISTINCT hid, ladder, dye, k FROM (SELECT *, lag(rfu) OVER w AS a, lead(rfu) OVER w AS b, max(rfu) OVER (PARTITION BY hid, ladder, dye, k) AS most FROM wruns WINDOW w AS (PARTITION BY hid, ladder, dye, k ORDER BY g)) WHERE rfu > a AND rfu > b AND rfu >= 0.8e0 * most),
+  ranked AS (SELECT hid, 'runs/' || (ladder % 4)::VARCHAR || '/Ladder_' || ladder::VARCHAR || '.hid' AS path, count(*) AS n FROM fits GROUP BY ALL)"""
+
+
+@query("select_ladders", sql("SELECT f.hid::VARCHAR AS image_path, b.path AS ladder_path FROM files f LEFT JOIN (SELECT hid, path FROM (SELECT *, row_number() OVER (PARTITION BY hid ORDER BY n DESC, path) AS i FROM ranked) WHERE i = 1) b ON b.hid = f.hid WHERE f.status = 'kept'", KNOTS, GRID, KIT, FILES, SELECTED, FITTED))
+def select_ladders(spark, d):
+    """From the raw files of profiles and ladders to the ladder of each profile."""
+    listed, samples, profiles = loaded(spark, d)
+    kit = v.kit(spark, d)
+    alleles = kit.where("floor(ord / 5) <> 2").select("dye", (F.row_number().over(Window.partitionBy("dye").orderBy("ord")) - 1).alias("k"), "marker", "allele")
+    return ladders.select_ladders(samples.select("stem", "path"), profiles, listed.where("ladder").select("path", "name", "content"), kit, alleles)
+
+
 # Annotation and calling
 
 
@@ -730,6 +778,23 @@ def report_round_trip(spark, d):
     return files.read_allele_report(spark, path).withColumn("height", F.round("height", 4))
 
 
+MIXED = """wide AS (SELECT o_orderkey AS key, o_custkey::VARCHAR AS sample, o_orderpriority AS marker, o_totalprice AS price, 1 + o_orderkey % 3 AS many FROM orders)"""
+
+
+@query("read_allele_reports", sql("""SELECT sample, marker, i::INT AS k, key::VARCHAR || '.' || (i + 1)::VARCHAR AS allele, round(price / (i + 1), 4) AS height FROM (SELECT *, unnest(range(0, many)) AS i FROM wide) WHERE (key + i) % 4 <> 0""", MIXED))
+def read_allele_reports(spark, d):
+    """Reports of one, two and three alleles a row, with commas, semicolons and tabs, in one folder."""
+    path, o = v.scratch(spark, "reports"), v.table(spark, d, "orders")
+    for many, sep in ((1, ","), (2, ";"), (3, "\t")):
+        of = o.where(F.col("o_orderkey") % 3 == many - 1)
+        allele = lambda i: F.when((F.col("o_orderkey") + i) % 4 != 0, F.concat(F.lit("OB_"), F.col("o_orderkey").cast("string"), F.lit(f".{i + 1}"))).otherwise("").alias(f"Allele#{i + 1}")
+        high = lambda i: (F.col("o_totalprice") / (i + 1)).alias(f"Height#{i + 1}")
+        columns = [x for i in range(many) for x in (allele(i), high(i))] if many != 2 else [*map(allele, range(many)), *map(high, range(many))]
+        lead = [F.col("o_custkey").cast("string").alias("Sample Name"), F.col("o_orderpriority").alias("Marker")]
+        of.select(*lead, *columns).write.option("header", True).option("sep", sep).csv(f"{path}/{many}")
+    return files.read_allele_report(spark, path).withColumn("height", F.round("height", 4))
+
+
 @query("best_ladders_round_trip", sql("SELECT name AS image_path, CASE WHEN key % 3 = 0 THEN 'ladder ' || key::VARCHAR END AS ladder_path FROM names", NAMES))
 def best_ladders_round_trip(spark, d):
     path = v.scratch(spark, "ladders")
@@ -845,9 +910,16 @@ def fixed_batches(spark, d):
     return splits.fixed_batches(v.strata(spark, d).select("key"), 7, "key", drop_last=True)
 
 
-@query("shuffle_rows", sql("SELECT * FROM strata", STRATA))
+SHUFFLED = f"""SELECT noc, prefix, key, list_reduce(list_prepend(struct_pack(x := rank - 1, n := n, a := 0::BIGINT, b := 0::BIGINT), list_transform({[list(k) for k in splits.round_keys(5)]}, lambda k: struct_pack(x := 0::BIGINT, n := 0::BIGINT, a := k[1]::BIGINT, b := k[2]::BIGINT))),
+  lambda s, k: struct_pack(x := CASE WHEN (xor({{mixed}}, {{mixed}} >> 15) * 1779033703 % 2147483648 >> 17) % 2 = 1 THEN {{other}} ELSE s.x END, n := s.n, a := 0::BIGINT, b := 0::BIGINT)).x AS place
+  FROM (SELECT *, row_number() OVER (ORDER BY key) AS rank, count(*) OVER () AS n FROM strata)"""
+_OTHER = "((k.a % s.n - s.x + s.n) % s.n)"
+_MIXED = f"(xor(greatest(s.x, {_OTHER}) % 2147483647 + greatest(s.x, {_OTHER}) // 2147483647, k.b) * 1640531527 % 2147483648)"
+
+
+@query("shuffle_rows", sql(SHUFFLED.replace("{mixed}", _MIXED).replace("{other}", _OTHER), STRATA))
 def shuffle_rows(spark, d):
-    return splits.shuffle_rows(v.strata(spark, d), 5)
+    return splits.shuffle_rows(v.strata(spark, d), "key", 5)
 
 
 # Model
@@ -860,12 +932,18 @@ def measured(spark, d):
     return pixels, kit, annotate.call_alleles(pixels.withColumn("prob", F.col("mask").cast("double")), kit)
 
 
+def replicas(pixels: DataFrame) -> DataFrame:
+    """hid, noc, prefix: four profiles in a row are replicas."""
+    return pixels.select("hid").distinct().select("hid", (F.col("hid") % 3).alias("noc"), (F.col("hid") / 4).cast("bigint").alias("prefix"))
+
+
 @query("cross_validate")
 def cross_validate(spark, d):
     from ..operators import model
 
     pixels, kit, truth = measured(spark, d)
-    return model.cross_validate(pixels.withColumn("fold", F.pmod(F.xxhash64("hid"), F.lit(3))), 3, kit, truth)
+    folds = splits.grouped_kfold_split(replicas(pixels), 3, 42).select("hid", "fold")
+    return model.cross_validate(pixels.join(folds, "hid"), 3, kit, truth)
 
 
 @query("evaluate")
@@ -873,8 +951,7 @@ def evaluate(spark, d):
     from ..operators import model
 
     pixels, kit, truth = measured(spark, d)
-    profiles = pixels.select("hid").distinct().select("hid", (F.col("hid") % 3).alias("noc"), (F.col("hid") / 4).cast("bigint").alias("prefix"))
-    return model.evaluate(model.fit_pixel_model(pixels), pixels, 0.8, 7, profiles, kit, truth)
+    return model.evaluate(model.fit_pixel_model(pixels), pixels, 0.8, 7, replicas(pixels), kit, truth)
 
 
 @query("fit_pixel_model")

@@ -112,3 +112,69 @@ def sql(select: str, *views: str) -> str:
 
 def stacked(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+# Raw files of suppliers
+
+
+def kit(spark: SparkSession, d: str) -> DataFrame:
+    """A kit of one allele per nation, five on each dye."""
+    n = F.col("n_nationkey").cast("bigint")
+    dye, k = n % 5, F.floor(n / 5)
+    return table(spark, d, "nation").select(
+        dye.alias("dye"), F.concat(F.lit("M"), dye.cast("string")).alias("marker"), (k + 10).cast("string").alias("allele"), (100.0 + 60 * k + 7 * dye).cast("double").alias("base_pair"),
+        F.lit(0.6).alias("left_off"), F.lit(0.6).alias("right_off"), n.alias("ord"),
+    )
+
+
+KIT = """kit AS (SELECT n % 5 AS dye, n // 5 AS k, 'M' || (n % 5)::VARCHAR AS marker, (n // 5 + 10)::VARCHAR AS allele, 100e0 + 60 * (n // 5) + 7 * (n % 5) AS base_pair, n AS ord FROM (SELECT n_nationkey::BIGINT AS n FROM nation))"""
+
+#: A peak of a dye, 31 scans wide, and of the size standard, three scans wide.
+PEAK = [1000 - 60 * abs(i - 15) for i in range(31)]
+SPIKE = [100, 900, 100]
+
+
+def channel(centres, shape: list[int], base: int, length):
+    """Hex digits of big-endian 16-bit values: ``shape`` around each of the sorted centres, ``base`` elsewhere."""
+    digits = "".join(f"{x:04X}" for x in shape)
+    reach, gap = len(shape) // 2, lambda n: F.repeat(F.lit(f"{base:04X}"), n.cast("int"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("made"))
+    whole = F.aggregate(centres, start, lambda acc, c: F.struct((c + reach + 1).cast("bigint").alias("at"), F.concat(acc["made"], gap(c - reach - acc["at"]), F.lit(digits)).alias("made")))
+    return F.concat(whole["made"], gap(length - whole["at"]))
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """hid, ladder, path, name, stem, content: the raw file of every supplier, and the ladder of every fifth.
+
+    A file has its supplier's size standard and a peak for alleles of the kit, moved by 0.4 base pairs for
+    each of hid % 3: a profile for those with (2 hid + ord) % 5 <> 0, a ladder for those that ladders have (k
+    <> 2), but one on dye 0 is missing where hid % 4 = 0. Profiles of hid % 13 = 2 are no ABIF files, those of
+    hid % 13 = 3 lack a channel."""
+    s = knots(spark, d).groupBy("hid").agg(F.sort_array(F.collect_list("scan")).alias("scans"), (F.max("scan") + 250).alias("length"), F.min("scan").alias("first"))
+    pace = F.when(F.col("hid") % 10 == 7, 14).otherwise(8 + F.col("hid") % 4)
+    both = s.withColumn("pace", pace).withColumn("ladder", F.explode(F.when(F.col("hid") % 5 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    alleles = kit(spark, d).agg(F.collect_list(F.struct("dye", "ord", "base_pair")).alias("alleles"))
+    one = both.withColumn("_one", F.lit(0)).join(F.broadcast(alleles.withColumn("_one", F.lit(0))), "_one")  # one row of 25 alleles
+    centre = lambda a: F.floor(3000 + (a["base_pair"] + 0.4 * (F.col("hid") % 3) - 65) * F.col("pace") + 3)
+    k = lambda a: F.floor(a["ord"] / 5)
+    missing = lambda a: (F.col("hid") % 4 == 0) & (a["ord"] == 0)
+    there = lambda a: F.when(F.col("ladder"), (k(a) != 2) & ~missing(a)).otherwise((2 * F.col("hid") + a["ord"]) % 5 != 0)
+    centres = lambda dye: F.array_sort(F.transform(F.filter("alleles", lambda a: (a["dye"] == dye) & there(a)), centre))
+    tops = F.concat(F.array(F.col("first") - 150), "scans", F.array(F.element_at("scans", -1) + 200))
+    data = [*[channel(centres(i), PEAK, 5, F.col("length")) for i in range(5)], channel(tops, SPIKE, 0, F.col("length"))]
+    hex_of = lambda x, n: F.lpad(F.hex(x.cast("bigint")), n, "0")
+    lit = lambda x, n: F.lit(f"{x:0{2 * n}X}")
+    size = 2 * F.col("length")
+    entry = lambda i, tag: F.concat(F.hex(F.lit("DATA")), lit(tag, 4), lit(4, 2), lit(2, 2), hex_of(F.col("length"), 8), hex_of(size, 8), hex_of(128 + i * size, 8), lit(0, 4))
+    lacks = ~F.col("ladder") & (F.col("hid") % 13 == 3)
+    tags = [F.when(lacks, entry(i, 7)).otherwise(entry(i, tag)) if tag == 4 else entry(i, tag) for i, tag in enumerate((1, 2, 3, 4, 106, 205))]
+    head = F.concat(F.hex(F.lit("ABIF")), lit(101, 2), F.hex(F.lit("tdir")), lit(1, 4), lit(1023, 2), lit(28, 2), lit(6, 4), lit(168, 4), hex_of(128 + 6 * size, 8), lit(0, 4))
+    content = F.when(~F.col("ladder") & (F.col("hid") % 13 == 2), F.lit("00")).otherwise(F.concat(F.rpad(head, 256, "0"), *data, *tags))
+    name = F.concat(F.when(F.col("ladder"), "Ladder_").otherwise(""), F.col("hid").cast("string"), F.lit(".hid"))
+    path = F.concat(F.lit("runs/"), (F.col("hid") % 4).cast("string"), F.lit("/"), name)
+    return one.select("hid", "ladder", path.alias("path"), name.alias("name"), F.col("hid").cast("string").alias("stem"), F.unhex(content).alias("content"))
+
+
+#: What becomes of each profile's file; its calls are those of the kit with (hid + ord) % 3 <> 0.
+FILES = """files AS (SELECT s_suppkey AS hid, CASE WHEN s_suppkey % 13 = 1 THEN 'no annotation' WHEN s_suppkey % 13 = 2 THEN 'not ABIF' WHEN s_suppkey % 13 = 3 THEN 'channels missing'
+  WHEN s_suppkey % 10 = 7 THEN 'standard invalid' WHEN s_suppkey % 13 = 4 THEN 'no calls' ELSE 'kept' END AS status FROM supplier)"""

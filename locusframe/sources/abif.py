@@ -27,12 +27,14 @@ def text(content: Column, at: Column | int, size: Column | int) -> Column:
     return F.try_validate_utf8(F.substring(content, start.cast("int"), (size if isinstance(size, Column) else F.lit(size)).cast("int")).cast("string"))
 
 
-def decode_hid_elements(files: DataFrame, key: str = "hid") -> DataFrame:
+def decode_hid_elements(files: DataFrame, key: str = "hid", every: bool = False) -> DataFrame:
     """key, i, name, tag, type, element_size, n, data_size, start and data of each directory entry of
     known type. Data of up to four bytes lie in the entry itself. Files that are not ABIF have no
-    entries. The entries are cut out of the file before they become rows, so no row holds the file."""
+    entries. The entries are cut out of the file before they become rows, so no row holds the file.
+    With ``every`` a column abif tells which files are, and a file without entries has one row of nulls."""
     c = F.col("content")
-    head = files.where(text(c, 0, 4) == "ABIF").select(key, "content", signed(c, 16, 2).alias("_size"), signed(c, 18, 4).alias("_n"), signed(c, 26, 4).alias("_at"))
+    is_abif = F.coalesce(text(c, 0, 4) == "ABIF", F.lit(False))
+    head = files.select(key, "content", is_abif.alias("abif"), signed(c, 16, 2).alias("_size"), signed(c, 18, 4).alias("_n"), signed(c, 26, 4).alias("_at"))
 
     def entry(i: Column) -> Column:
         at = F.col("_at") + i * F.col("_size")
@@ -43,14 +45,21 @@ def decode_hid_elements(files: DataFrame, key: str = "hid") -> DataFrame:
             signed(c, at + 12, 4).alias("n"), size.alias("data_size"), start.alias("start"), F.substring(c, (start + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int")).alias("data"),
         )
 
-    entries = head.where("_n > 0").select(key, F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), entry)).alias("_e"))
-    return entries.select(key, "_e.*").where(KNOWN_TYPES)
+    some = F.col("abif") & (F.col("_n") > 0)
+    if not every:
+        entries = head.where(some).select(key, F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), entry)).alias("_e"))
+        return entries.select(key, "_e.*").where(KNOWN_TYPES)
+    listed = F.when(some, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), entry))
+    return head.select(key, "abif", F.explode_outer(listed).alias("_e")).select(key, "abif", "_e.*").where(f"i is null or i = 0 or {KNOWN_TYPES}")
 
 
 def numbers(data: Column, n: Column, size: int, is_signed: bool) -> Column:
-    read = signed if is_signed else unsigned
-    many = F.least(n, F.floor(F.octet_length(data) / size)).cast("int")
-    return F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda k: read(data, k * size, size))).otherwise(F.array().cast("array<bigint>"))
+    """The first n big-endian numbers of ``size`` bytes in data, or those that it holds whole: the data as one
+    hex string, cut at fixed width, with signs by arithmetic."""
+    cells = F.slice(F.regexp_extract_all(F.hex(data), F.lit(f"([0-9A-F]{{{2 * size}}})"), F.lit(1)), F.lit(1), F.greatest(n, F.lit(0)).cast("int"))
+    read = lambda cell: F.conv(cell, 16, 10).cast("bigint")
+    half = 1 << (8 * size - 1)
+    return F.transform(cells, (lambda cell: (read(cell) + half) % (2 * half) - half) if is_signed else read)
 
 
 def decode_hid_values(elements: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.constants import DYE_ROWS
 from ..functions.names import is_rd_sample, sample_noc, sample_prefix, strip_ob
@@ -17,14 +18,15 @@ PREDICTION = "hid string, classification map<string,double>, image array<array<f
 def scan_profiles(spark: SparkSession, root: str, ladders: bool = False) -> DataFrame:
     """path, folder, name, stem and content of the sample files (or ladders) under root. Reading only
     the names reads no bytes."""
-    glob = "*adder*.hid" if ladders else "[0-9][A-F][0-9]*.hid"
+    glob = "*[lL][aA][dD][dD][eE][rR]*.hid" if ladders else "[0-9][A-F][0-9]*.hid"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return named_files(files) if ladders else sample_files(files)
 
 
 def named_files(files: DataFrame) -> DataFrame:
     """path, folder, name, stem and content of listed files (path, content)."""
-    path = F.regexp_replace("path", "%20", " ")
+    # listed paths are escaped as in URLs, where a plus is no blank; a path that is none stays as it is
+    path = F.coalesce(F.try_url_decode(F.regexp_replace("path", r"\+", "%2B")), F.col("path"))
     name = F.regexp_extract(path, "([^/]+)$", 1)
     return files.select(path.alias("path"), F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("folder"), name.alias("name"), F.regexp_replace(name, r"\.hid$", "").alias("stem"), "content")
 
@@ -56,29 +58,63 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def sniff_delimiter(header: str) -> str | None:
-    """The first of comma, semicolon and tab under which a column starts with Allele."""
-    return next((d for d in ",;\t" if any(c.strip().startswith("Allele") for c in header.split(d)[1:])), None)
-
-
 def wide_to_long(report: DataFrame, sample: str = "Sample Name", marker: str = "Marker") -> DataFrame:
     """sample, marker, k, allele, height: Allele* and Height* columns paired in order, empty alleles left out."""
     alleles = [c for c in report.columns if c.strip().startswith("Allele")]
     heights = [c for c in report.columns if c.strip().startswith("Height")]
     pairs = F.array(*[F.struct(F.col(f"`{a}`").cast("string").alias("allele"), F.col(f"`{h}`").try_cast("double").alias("height")) for a, h in zip(alleles, heights)])
-    long = report.select(F.col(f"`{sample}`").alias("sample"), F.col(f"`{marker}`").alias("marker"), F.posexplode(pairs).alias("k", "_p"))
-    return long.where(F.trim("_p.allele") != "").select("sample", "marker", "k", strip_ob(F.col("_p.allele")).alias("allele"), F.col("_p.height").alias("height"))
+    return called(report.select(F.col(f"`{sample}`").alias("sample"), F.col(f"`{marker}`").alias("marker"), F.posexplode(pairs).alias("k", "_p")))
+
+
+def called(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.trim("_p.allele") != "").select("sample", "marker", "k", strip_ob(F.col("_p.allele")).alias("allele"), F.col("_p.height").alias("height"))
+
+
+DELIMITERS = ",;\t"
+
+
+def cells(line: Column, delimiter: str) -> Column:
+    """The fields of a line; quoted ones may hold the delimiter and doubled quotes."""
+    outside = F.split(line, f'{delimiter}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"(.*)"\s*$', "$1"), '""', '"')
+    return F.when(F.contains(line, F.lit('"')), F.transform(outside, bare)).otherwise(F.split(line, delimiter, -1))
+
+
+def starting(header: Column, what: str) -> Column:
+    """The places (from 0) of the columns whose name starts so, in order."""
+    return F.filter(F.transform(header, lambda x, i: F.when(F.trim(x).startswith(what), i)), lambda i: i.isNotNull())
+
+
+def report_headers(lines: DataFrame) -> DataFrame:
+    """Per file (lines: file, block, line, in the order of the file within a block) its first line, the
+    delimiter, and where its samples, markers, alleles and heights stand; files without a delimiter under
+    which a column after the first starts with Allele are left out."""
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("line", "at").alias("header"))
+    bare = F.regexp_replace("header", "^\ufeff", "")
+    kinds = [F.struct(F.lit(d).alias("delimiter"), cells(bare, d).alias("names")) for d in DELIMITERS]
+    sniffed = first.withColumn("_k", F.get(F.filter(F.array(*kinds), lambda k: F.exists(F.slice(k["names"], 2, 1 << 20), lambda x: F.trim(x).startswith("Allele"))), F.lit(0))).where("_k is not null")
+    names = F.col("_k.names")
+    named = lambda what, place: F.coalesce(F.get(F.filter(F.transform(names, lambda x, i: F.when(F.trim(x) == what, i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(place))
+    return sniffed.select(
+        "file", "header", F.col("_k.delimiter").alias("delimiter"), named("Sample Name", 0).alias("_sample"), named("Marker", 1).alias("_marker"),
+        F.arrays_zip(starting(names, "Allele").alias("a"), starting(names, "Height").alias("h")).alias("_pairs"),
+    )
 
 
 def read_allele_report(spark: SparkSession, path: str) -> DataFrame | None:
-    """Calls of a report (one file, or files with the same header); none for an empty or unreadable one."""
-    first = spark.read.text(path).head(1)
-    delimiter = sniff_delimiter(first[0][0]) if first else None
-    if delimiter is None:
+    """sample, marker, k, allele, height of the reports in a file or folder. Every file has its own header:
+    delimiter (the first of comma, semicolon and tab that fits), number and order of its columns. Files
+    that are empty or no reports are left out; none if no file is left."""
+    read = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    headers = report_headers(lines)
+    if headers.isEmpty():
         return None
-    names = first[0][0].split(delimiter)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return wide_to_long(spark.read.schema(schema).option("header", True).option("sep", delimiter).csv(path))
+    rows = lines.drop("block", "at").join(headers, "file").where("line <> header and trim(line) <> ''")
+    split = reduce(lambda made, d: made.when(F.col("delimiter") == d, cells(F.col("line"), d)), DELIMITERS[1:], F.when(F.col("delimiter") == DELIMITERS[0], cells(F.col("line"), DELIMITERS[0])))
+    cut = rows.withColumn("_c", split)
+    pairs = F.transform(F.filter("_pairs", lambda p: p["a"].isNotNull() & p["h"].isNotNull()), lambda p: F.struct(F.get("_c", p["a"]).alias("allele"), F.get("_c", p["h"]).try_cast("double").alias("height")))
+    return called(cut.select(F.get("_c", F.col("_sample")).alias("sample"), F.get("_c", F.col("_marker")).alias("marker"), F.posexplode(pairs).alias("k", "_p")))
 
 
 def select_sample_annotation(calls: DataFrame, sample: str) -> DataFrame:
