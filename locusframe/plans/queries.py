@@ -589,6 +589,27 @@ def locus_allele_set(spark, d):
     return metrics.locus_allele_set(v.calls(spark, d).where("predicted"), min_rfu=20)
 
 
+@query("allele_comparison_of_three", sql("""SELECT c.hid, c.marker, c.allele, predicted AS in_predicted, c.height >= 20 AS in_analyst, truth AS in_donor, CASE WHEN c.predicted THEN c.height END AS height, CASE WHEN c.height >= 20 THEN c.height + 1 END AS analyst_height,
+  CASE WHEN truth AND predicted THEN 'TP' WHEN predicted THEN 'FP' WHEN truth THEN 'FN' END AS kind, round(p.base_pair, 6) AS bp FROM calls c JOIN panel p ON p.marker = c.marker AND p.allele = c.allele WHERE truth OR predicted OR c.height >= 20""", CALLS, PANEL))
+def allele_comparison_of_three(spark, d):
+    c = v.calls(spark, d)
+    of = lambda where, height, source: c.where(where).select("hid", "marker", "allele", height.cast("double").alias("height"), F.lit(source).alias("source"))
+    every = v.stacked(of("predicted", F.col("height"), "predicted"), of("height >= 20", F.col("height") + 1, "analyst"), of("truth", F.lit(None), "donor"))
+    return annotate.allele_comparison(every, v.panel(spark, d)).select("hid", "marker", "allele", "in_predicted", "in_analyst", "in_donor", "height", "analyst_height", "kind", F.round("bp", 6).alias("bp"))
+
+
+SOURCE_ENDS = ENDS.replace("SELECT DISTINCT q.l_orderkey AS hid", "SELECT DISTINCT ['predicted', 'analyst', 'donor'][q.l_linenumber % 3 + 1] AS source, q.l_orderkey AS hid").replace("ends AS (SELECT hid", "ends AS (SELECT source, hid")
+
+
+@query("comparison_masks", sql(f"""SELECT DISTINCT source, hid, dye, unnest(range(l, r)) AS px FROM (SELECT source, hid, dye, low, high, max(px) FILTER (WHERE side = 'l') AS l, max(px) FILTER (WHERE side = 'r') AS r
+  FROM {nearest_sql('ends', 'source, hid, dye, low, high, side')} GROUP BY ALL)""", KNOTS, GRID, PANEL, ASKED, SOURCE_ENDS))
+def comparison_masks(spark, d):
+    """The line items of an order are dealt to the three sources."""
+    source = F.element_at(F.array(*map(F.lit, annotate.SOURCES)), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    called = panel.dye_row_of_marker(asked(spark, d).select(source.alias("source"), F.col("l_orderkey").alias("hid"), "marker", "allele"), v.panel(spark, d))
+    return big(annotate.comparison_masks(with_supplier(spark, d, called, "hid"), v.panel(spark, d), scaler(spark, d).withColumnRenamed("hid", "supplier"), "supplier"), "px")
+
+
 @query("allele_confusion", sql("SELECT * FROM al", CALLS, ALLELES))
 def allele_confusion(spark, d):
     return metrics.allele_confusion(*sets(spark, d))
@@ -778,6 +799,16 @@ def report_round_trip(spark, d):
     return files.read_allele_report(spark, path).withColumn("height", F.round("height", 4))
 
 
+@query("pixel_cache", ORACLES["call_alleles"])
+def pixel_cache(spark, d):
+    """Alleles called from traces that were written in buckets."""
+    t, path = v.trace(spark, d), v.scratch(spark, "pixel-cache")
+    scale = t.select("hid", "px").distinct().withColumn("bp", 65.0 + 20.0 * F.col("px"))
+    files.write_pixel_cache(t, scale, t.where("rfu >= 40").select("hid", "dye", "px"), path, buckets=8)
+    pixels = files.read_pixel_cache(spark, path).withColumn("prob", F.col("mask").cast("double"))
+    return annotate.call_alleles(pixels, v.panel(spark, d), digits=6)
+
+
 MIXED = """wide AS (SELECT o_orderkey AS key, o_custkey::VARCHAR AS sample, o_orderpriority AS marker, o_totalprice AS price, 1 + o_orderkey % 3 AS many FROM orders)"""
 
 

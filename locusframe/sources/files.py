@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -191,6 +193,31 @@ def cached_pixels(profiles: DataFrame) -> DataFrame:
     return dyes.select("hid", "d.dye", F.posexplode("d.values").alias("px", "rfu"))
 
 
+TRACE = ["hid", "dye"]
+
+
+def write_pixel_cache(pixels: DataFrame, scaler: DataFrame, mask: DataFrame, path: str, buckets: int = 64) -> None:
+    """hid, dye, px, rfu, bp and mask of every pixel, in buckets by (hid, dye), one sorted file each: windows
+    along traces and joins on (hid, dye) read it without a shuffle. The layout is kept beside the data."""
+    spark = pixels.sparkSession
+    rows = pixels.join(scaler, ["hid", "px"]).join(mask.withColumn("mask", F.lit(True)), [*TRACE, "px"], "left").select(*TRACE, "px", "rfu", "bp", F.coalesce("mask", F.lit(False)).alias("mask"))
+    name = f"pixel_cache_{uuid.uuid4().hex}"
+    rows.repartition(buckets, *TRACE).write.format("parquet").mode("overwrite").bucketBy(buckets, *TRACE).sortBy(*TRACE, "px").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: readers register them for themselves
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    spark.createDataFrame([(buckets, columns)], "buckets int, columns string").coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
+
+
+def read_pixel_cache(spark: SparkSession, path: str) -> DataFrame:
+    """What write_pixel_cache wrote, with its buckets."""
+    layout = spark.read.schema("buckets int, columns string").json(f"{path}/_layout").first()
+    name = f"pixel_cache_{hashlib.md5(path.encode()).hexdigest()}"
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({layout['columns']}) USING parquet CLUSTERED BY ({', '.join(TRACE)}) SORTED BY ({', '.join(TRACE)}, px) INTO {layout['buckets']} BUCKETS LOCATION '{place}'")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").json(path)
 
