@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from locusframe.llm import exact_dedup, language, mixing, pieces, similar
-from locusframe.llm.common import scratch_path, table
+from locusframe.llm.common import discard, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
-    base = scratch_path(spark, "pipeline")
+    """The stages over documents; each result is written and read again as the next one's input, and deleted
+    when that one has been written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
