@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
@@ -25,6 +25,7 @@ from ..functions.names import sigmoid
 from ..sources.scratch import written
 from .annotate import call_alleles
 from .metrics import evaluation_suite, fold_means, pixel_metrics
+from .panel import BUCKETS, bp_bucket, bp_buckets, by_dye_bp
 from .signal import along
 from .splits import grouped_holdout_split
 
@@ -58,6 +59,58 @@ def predict_pixels(model: PipelineModel, pixels: DataFrame) -> DataFrame:
     return scored.select(*pixels.columns, vector_to_array("probability")[1].alias("prob"))
 
 
+WIDTHS = (2, 4, 8, 16, 32, 64)
+
+
+def multi_scale_features(pixels: DataFrame, panel: DataFrame | None = None) -> DataFrame:
+    """pixels with own (log scale), the mean over each of WIDTHS pixels around it and how far it rises above
+    that mean, the dye's maximum, how far the pixel lies from its place, the highest other dye at px (the mean
+    of the others where the pixel's own is the highest), and, with a panel and pixels with bp, the distance to
+    the dye's nearest allele. Means come from running sums, so a width costs the same whatever it is."""
+    w, dye, at = along(), Window.partitionBy("hid", "dye"), Window.partitionBy("hid", "px")
+    v = F.signum("rfu") * F.log1p(F.abs(F.col("rfu")).cast("double"))
+    base = pixels.withColumn("own", v)
+    summed = base.withColumns({"_sum": F.sum("own").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(w)})
+    whole = summed.withColumns({"_all": F.sum("own").over(dye), "_many": F.count("own").over(dye), "top": F.max("own").over(dye), "_at": F.max_by("px", F.struct("own", -F.col("px"))).over(dye)})
+    made = whole
+    for size in WIDTHS:
+        half = size // 2
+        until, before = F.coalesce(F.lead("_sum", half).over(w), F.col("_all")), F.coalesce(F.lag("_sum", half + 1).over(w), F.lit(0.0))
+        many = F.least(F.col("_n") + half, F.col("_many")) - F.greatest(F.col("_n") - half - 1, F.lit(0))
+        made = made.withColumn(f"mean{size}", (until - before) / many)
+    rises = {f"rise{size}": F.col("own") - F.col(f"mean{size}") for size in WIDTHS}
+    made = made.withColumns(rises | {"off_top": F.abs(F.col("px") - F.col("_at")).cast("double")})
+    ranked = made.withColumns({"_most": F.max(F.struct("own", "dye")).over(at), "_dyes": F.count("own").over(at)})
+    # the highest other dye: the pixel's own one does not count where it is itself the highest
+    ranked = ranked.withColumn("other", F.when(F.col("_most.dye") != F.col("dye"), F.col("_most.own")).otherwise(F.coalesce((F.sum("own").over(at) - F.col("own")) / F.nullif(F.col("_dyes") - 1, F.lit(0)), F.lit(0.0))))
+    found = ranked.drop("_sum", "_n", "_all", "_many", "_at", "_most", "_dyes")
+    return found if panel is None else with_allele_distance(found, panel)
+
+
+def with_allele_distance(pixels: DataFrame, panel: DataFrame) -> DataFrame:
+    """pixels (dye, bp, more) with bin_distance to the nearest allele of their dye, at most BUCKETS base pairs."""
+    near = pixels.withColumn("_bucket", bp_bucket(F.col("bp"))).join(bp_buckets(by_dye_bp(panel)), ["dye", "_bucket"], "left")
+    gap = F.array_min(F.transform("_alleles", lambda a: F.abs(a["base_pair"] - F.col("bp"))))
+    return near.withColumn("bin_distance", F.least(F.coalesce(gap, F.lit(float(BUCKETS))), F.lit(float(BUCKETS)))).drop("_bucket", "_alleles")
+
+
+def multi_scale_names(panel: bool = False) -> list[str]:
+    return ["own", *[f"{n}{size}" for n in ("mean", "rise") for size in WIDTHS], "top", "off_top", "other", *(["bin_distance"] if panel else [])]
+
+
+def fit_boosted_model(pixels: DataFrame, panel: DataFrame | None = None, rounds: int = 20, depth: int = 5, seed: int = 7) -> PipelineModel:
+    """Boosted trees on multi-scale features; pixels: hid, dye, px, rfu, mask, and bp where a panel is given."""
+    features = multi_scale_features(pixels, panel).withColumn("label", F.col("mask").cast("double"))
+    steps = [VectorAssembler(inputCols=multi_scale_names(panel is not None), outputCol="features"), GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed)]
+    return Pipeline(stages=steps).fit(features)
+
+
+def predict_boosted(model: PipelineModel, pixels: DataFrame, panel: DataFrame | None = None) -> DataFrame:
+    """pixels with prob."""
+    scored = model.transform(multi_scale_features(pixels, panel))
+    return scored.select(*pixels.columns, vector_to_array("probability")[1].alias("prob"))
+
+
 def weights(model: PipelineModel, spark) -> DataFrame:
     """feature, weight of the classifier, with its intercept."""
     fitted = model.stages[-1]

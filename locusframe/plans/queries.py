@@ -1009,3 +1009,15 @@ def predict_pixels(spark, d):
 
     pixels = v.dense(spark, d).select("hid", "dye", "px", "rfu", "mask")
     return model.predict_pixels(model.fit_pixel_model(pixels), pixels)
+
+
+@query("predict_boosted")
+def predict_boosted(spark, d):
+    """Scores of boosted trees, fitted on one part of a hold-out by replicas, for the pixels of the other."""
+    from ..operators import model
+
+    pixels, kit, _ = measured(spark, d)
+    parts = splits.grouped_holdout_split(replicas(pixels), 0.7, 7).select("hid", "part")
+    parted = pixels.join(parts, "hid")
+    fitted = model.fit_boosted_model(parted.where("part = 1").drop("part"), kit, rounds=10, depth=4)
+    return model.predict_boosted(fitted, parted.where("part = 2").drop("part"), kit)
