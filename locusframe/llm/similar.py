@@ -366,7 +366,8 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
             break
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        after = written(narrow(large.join(smallest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v")), name)
+        others = large.join(smallest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = written(narrow(others.unionByName(smallest.withColumnRenamed("m", "v"))), name)  # as many rows as large has
         discard(now, least)
         now = after
     labelled = written(narrow(least.select(F.col("u").alias("node"), F.col("m").alias("label"))), name)
