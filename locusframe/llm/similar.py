@@ -208,8 +208,10 @@ def neighbour_stars(forest: DataFrame, least: float, window: int) -> DataFrame:
             one.append(i[near])
             two.append(i[near] + step)
             label = stars(np.concatenate(one), np.concatenate(two), len(node))
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return node[moved], node[label[moved]]
+        centre = np.full(len(node), np.iinfo(np.int64).max)  # the least node of a part, so that trees agree on it
+        np.minimum.at(centre, label, node)
+        moved = np.flatnonzero(centre[label] != node)
+        return node[moved], centre[label[moved]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried, ends = None, []
