@@ -156,4 +156,6 @@ def load_report(profiles: DataFrame) -> DataFrame:
 
 
 def profiles_per_noc(profiles: DataFrame) -> DataFrame:
-    return profiles.groupBy("noc", "prefix").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    """noc, prefix, name, n: every profile with the number of profiles of its prefix."""
+    counts = profiles.groupBy("noc", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    return profiles.select("noc", "prefix", "name").join(counts, ["noc", "prefix"])

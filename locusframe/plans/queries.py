@@ -654,7 +654,7 @@ def load_report(spark, d):
     return metrics.load_report(v.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")))
 
 
-@query("profiles_per_noc", sql("SELECT substr(name, 3, 1) || 'p' AS noc, split_part(name, '_', 1) AS prefix, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM names WHERE regexp_matches(substr(name, 1, 3), '^[0-9][A-F][0-9]$') GROUP BY 1, 2", NAMES))
+@query("profiles_per_noc", sql("SELECT substr(name, 3, 1) || 'p' AS noc, split_part(name, '_', 1) AS prefix, name, count(*) OVER (PARTITION BY split_part(name, '_', 1)) AS n FROM names WHERE regexp_matches(substr(name, 1, 3), '^[0-9][A-F][0-9]$')", NAMES))
 def profiles_per_noc(spark, d):
     n = F.col("name")
     return metrics.profiles_per_noc(v.names(spark, d).where(fn.is_rd_sample(n)).select(fn.sample_noc(n).alias("noc"), fn.sample_prefix(n).alias("prefix"), "name"))
