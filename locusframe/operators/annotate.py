@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import DETECTION_FLOOR, NON_AUTOSOMAL
 from ..functions.names import donors_of_sample, threshold_mask
 from .panel import allele_info, nearest_allele
-from .signal import KEYS, peak_boundary, peak_in_or_near_run, runs_of_ones, scaler_places, with_pixel
+from .signal import KEYS, peak_boundary, peak_in_or_near_run, runs_of_ones, scaler_places, with_pixels
 
 
 def drop_non_autosomal(calls: DataFrame) -> DataFrame:
@@ -19,18 +19,16 @@ def drop_non_autosomal(calls: DataFrame) -> DataFrame:
 
 
 def allele_spans(calls: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:
-    """The distinct rows of calls (hid, bp_left, bp_right, more) with l and r, the pixels of both ends. Both
-    ends are looked up in one join."""
-    names = calls.columns
-    ends = calls.distinct().withColumn("_end", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("bp_left").alias("bp")), F.struct(F.lit(False).alias("left"), F.col("bp_right").alias("bp")))))
-    placed = with_pixel(ends, scaler_places(scaler, on), F.col("_end.bp"), "_px", on)
-    side = lambda left: F.max(F.when(F.col("_end.left") == left, F.col("_px")))
-    return placed.groupBy(*names).agg(side(True).alias("l"), side(False).alias("r"))
+    """The distinct rows of calls (hid, bp_left, bp_right, more) with l and r, the pixels of both ends."""
+    return with_pixels(calls.distinct(), scaler_places(scaler, on), on, l=F.col("bp_left"), r=F.col("bp_right"))
 
 
 def spans_to_mask(spans: DataFrame) -> DataFrame:
-    """Distinct pixels l to r - 1; equal ends make an empty bin."""
-    return spans.where("l < r").select(*KEYS, F.explode(F.sequence("l", F.col("r") - 1)).alias("px")).distinct()
+    """Distinct pixels l to r - 1; equal ends make an empty bin. Of spans that overlap, each gives the pixels after
+    the furthest one before it, so no pixel is made twice."""
+    before = F.max("r").over(Window.partitionBy(*KEYS).orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.where("l < r").select(*KEYS, F.greatest(F.col("l"), before).alias("l"), "r").where("l < r")
+    return new.select(*KEYS, F.explode(F.sequence("l", F.col("r") - 1)).alias("px"))
 
 
 def segmentation_mask(calls: DataFrame, panel: DataFrame, scaler: DataFrame, on: str = "hid") -> DataFrame:

@@ -111,7 +111,7 @@ def read_traces(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     whole = raw.select("hid").distinct().withColumn("whole", F.lit(True))
     read = data.groupBy("hid").agg(F.bool_or("abif").alias("abif")).join(whole, "hid", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     pixels, scaler = calibrated_profile(raw)
-    return written(read, "read-files"), written(pixels, "pixels"), written(scaler, "scaler")
+    return written(read, "read-files"), written(pixels.drop("bp"), "pixels"), written(scaler, "scaler")
 
 
 def outcomes_of(files: DataFrame, passed: list[DataFrame]) -> DataFrame:

@@ -202,61 +202,133 @@ def interpolate_bp(points: DataFrame, knots: DataFrame, x: str = "scan", extrapo
     return points.join(knot_arrays(knots), "hid").withColumn("bp", piecewise(F.col(x).cast("double"), F.col("knots"), extrapolate)).drop("knots")
 
 
-def rescale_to_grid(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> DataFrame:
-    """hid, px, scan, bp: for each of evenly spaced base pairs the scan with the nearest one, the lower
-    on ties. Each segment between two knots makes its own pixels, so no range join is needed."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions by keys: the 19 rows of a standard become thousands of pixels, which Spark
+    does not foresee when it merges small partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def segments(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> DataFrame:
+    """hid, s0, s1, b0, b1, step, p0, p1 of each stretch between two knots: scans, base pairs, base pairs a scan and the pixels on it."""
     first, last = bp_range
     w = Window.partitionBy("hid").orderBy("scan")
     place = lambda bp: F.ceil((F.col(bp) - first) * (pixels - 1) / (last - first))
-    sides = knots.select("hid", F.col("scan").cast("double").alias("s0"), F.lead(F.col("scan").cast("double")).over(w).alias("s1"), F.col("bp").alias("b0"), F.lead("bp").over(w).alias("b1"))
+    sides = spread(knots, "hid").select("hid", F.col("scan").cast("double").alias("s0"), F.lead(F.col("scan").cast("double")).over(w).alias("s1"), F.col("bp").alias("b0"), F.lead("bp").over(w).alias("b1"))
     ends = sides.where("s1 is not null").withColumn("p0", place("b0")).withColumn("p1", F.when(F.col("b1") == last, pixels - 1).otherwise(place("b1") - 1))
-    grid = ends.where("p0 <= p1").select("hid", "s0", "s1", "b0", "b1", F.explode(F.sequence("p0", "p1")).alias("px"))
-    target = F.lit(float(first)) + F.col("px") * F.lit(float(last - first)) / F.lit(float(pixels - 1))
-    step = (F.col("b1") - F.col("b0")) / (F.col("s1") - F.col("s0"))
-    near = grid.withColumn("t", target).withColumn("step", step).withColumn("lo", F.least(F.floor(F.col("s0") + (F.col("t") - F.col("b0")) / F.col("step") + 1e-9).cast("double"), F.col("s1")))
-    low = F.col("b0") + (F.col("lo") - F.col("s0")) * F.col("step")
-    up = (F.col("t") - low > low + F.col("step") - F.col("t")) & (F.col("lo") < F.col("s1"))
-    return near.select("hid", F.col("px").cast("int").alias("px"), (F.col("lo") + up.cast("int")).cast("int").alias("scan"), (low + F.when(up, F.col("step")).otherwise(0.0)).alias("bp"))
+    return ends.withColumn("step", (F.col("b1") - F.col("b0")) / (F.col("s1") - F.col("s0")))
+
+
+def target_bp(px: Column, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> Column:
+    """The evenly spaced base pair of a pixel."""
+    first, last = bp_range
+    return F.lit(float(first)) + px * F.lit(float(last - first)) / F.lit(float(pixels - 1))
+
+
+def scan_below(t: Column) -> Column:
+    """Of a segment: the last scan that is not after base pair t."""
+    return F.least(F.floor(F.col("s0") + (t - F.col("b0")) / F.col("step") + 1e-9).cast("double"), F.col("s1"))
+
 
+def nearest_scan(t: Column, lo: Column) -> tuple[Column, Column]:
+    """Of a segment: the scan nearest base pair t, lo (scan_below) on ties or the next one, and its base pair."""
+    low = F.col("b0") + (lo - F.col("s0")) * F.col("step")
+    up = (t - low > low + F.col("step") - t) & (lo < F.col("s1"))
+    return lo + up.cast("int"), low + F.when(up, F.col("step")).otherwise(0.0)
 
-def resample_profile(raw: DataFrame, grid: DataFrame, size_standard: bool = False) -> DataFrame:
-    """hid, dye, px, rfu: raw traces at the scans of the grid; dye 5 is the size standard."""
+
+def rescale_to_grid(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE, ranges: DataFrame | None = None) -> DataFrame:
+    """hid, px, scan, bp: for each of evenly spaced base pairs the scan with the nearest one, the lower
+    on ties. Each segment between two knots makes its own pixels, so no range join is needed. With ranges (hid,
+    low, high) at least the pixels of those scans, and few others."""
+    own = segments(knots, pixels, bp_range)
+    if ranges is not None:
+        place = lambda scan: (F.col("b0") + (scan - F.col("s0")) * F.col("step") - bp_range[0]) * (pixels - 1) / (bp_range[1] - bp_range[0])
+        low, high = F.floor(place(F.col("low") - 1)) - 1, F.ceil(place(F.col("high") + 1)) + 1
+        own = own.join(ranges.hint("shuffle_hash"), "hid").withColumn("p0", F.greatest(F.col("p0"), low)).withColumn("p1", F.least(F.col("p1"), high))
+    grid = own.where("p0 <= p1").select("hid", "s0", "s1", "b0", "b1", "step", F.explode(F.sequence("p0", "p1")).alias("px"))
+    near = grid.withColumn("t", target_bp(F.col("px"), pixels, bp_range)).withColumn("lo", scan_below(F.col("t")))
+    scan, bp = nearest_scan(F.col("t"), F.col("lo"))
+    return near.select("hid", F.col("px").cast("int").alias("px"), scan.cast("int").alias("scan"), bp.alias("bp"))
+
+
+def pixel_arrays(grid: DataFrame, on: str, *columns: str) -> DataFrame:
+    """on, first and _rows (px and columns, in order of px) of a grid: one row per profile, whose pixels lie side by side."""
+    rows = grid.groupBy(on).agg(F.sort_array(F.collect_list(F.struct("px", *columns))).alias("_rows"))
+    return rows.select(on, F.get("_rows", F.lit(0))["px"].alias("first"), "_rows")
+
+
+def scaler_arrays(knots: DataFrame) -> DataFrame:
+    """hid, first, bps: the scaler of rescale_to_grid as one row per profile, its first pixel and all base pairs."""
+    return pixel_arrays(rescale_to_grid(knots), "hid", "bp").select("hid", "first", F.col("_rows")["bp"].alias("bps"))
+
+
+def pixel_places(knots: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """hid, at, starts, first, bps: for each scan from ``at`` on the first pixel of the grid whose scan is not
+    before it, with one more at the end; and the base pairs of the pixels from ``first`` on. With ranges (hid, low,
+    high) the pixels of those scans alone are made."""
+    whole = pixel_arrays(rescale_to_grid(knots, ranges=ranges), "hid", "scan", "bp")
+    # each pixel is the first one for its scan and those since the scan of the pixel before
+    since = lambda x, i: F.when(i == 0, 1).otherwise(x["scan"] - F.get("_rows", i - 1)["scan"])
+    starts = F.flatten(F.transform("_rows", lambda x, i: F.array_repeat(x["px"], since(x, i))))
+    return whole.select("hid", F.get("_rows", F.lit(0))["scan"].alias("at"), F.array_append(starts, F.element_at("_rows", -1)["px"] + 1).alias("starts"), "first", F.col("_rows")["bp"].alias("bps"))
+
+
+def resample_profile(raw: DataFrame, places: DataFrame, size_standard: bool = False) -> DataFrame:
+    """hid, dye, px, rfu, bp: raw traces at the scans of the grid (places: pixel_places); dye 5 is the size
+    standard. A profile's grid is one row, so it meets the trace by hid alone; it is never broadcast."""
     kept = raw if size_standard else raw.where("dye < 5")
-    return kept.join(grid.select("hid", "scan", "px"), ["hid", "scan"]).select("hid", "dye", "px", "rfu")
+    i = (F.col("scan") - F.col("at")).cast("int")
+    met = kept.join(places.hint("shuffle_hash"), "hid").where(i >= 0).withColumns({"_from": F.get("starts", i), "_to": F.get("starts", i + 1)}).where("_from < _to")
+    return met.withColumn("px", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1))).select("hid", "dye", "px", "rfu", F.get("bps", F.col("px") - F.col("first")).alias("bp"))
 
 
-def calibrated_profile(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pixels, scaler) of the raw traces (hid, dye, scan, rfu); profiles whose standard fails are left out."""
+def valid_knots(raw: DataFrame) -> DataFrame:
+    """hid, k, scan, bp of the raw traces' size standards (dye 5) that are valid."""
     knots = select_standard_peaks(size_standard_peaks(raw.where("dye = 5")))
-    valid = knots.join(validate_size_standard(knots).where("valid"), "hid", "left_semi")
-    grid = rescale_to_grid(valid)
-    return resample_profile(raw, grid), grid.select("hid", "px", "bp")
+    return knots.join(validate_size_standard(knots).where("valid"), "hid", "left_semi")
 
 
-REACH = 3
+def calibrated_profile(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pixels, scaler) of the raw traces (hid, dye, scan, rfu); profiles whose standard fails are left out.
+    Pixels have their base pair, too."""
+    valid = valid_knots(raw)
+    return resample_profile(raw, pixel_places(valid)), rescale_to_grid(valid).select("hid", "px", "bp")
 
 
-def scaler_places(scaler: DataFrame, on: str = "hid") -> DataFrame:
-    """hid, _place, _near: each pixel of a scaler with the base pairs of those up to REACH around it."""
-    w = Window.partitionBy(on).orderBy("px")
-    near = [F.lag("bp", k, float("inf")).over(w) for k in range(REACH, 0, -1)] + [F.col("bp")] + [F.lead("bp", k, float("inf")).over(w) for k in range(1, REACH + 1)]
-    return scaler.select(on, F.col("px").cast("int").alias("_place"), F.array(*near).alias("_near"))
+REACH = 3
 
 
-def with_pixel(points: DataFrame, places: DataFrame, bp: Column, name: str = "px", on: str = "hid", pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> DataFrame:
-    """points with the pixel whose base pair is nearest, the first on ties. A validated standard keeps it
-    within REACH of the evenly spaced place, so points meet that place by equality."""
+def scaler_places(scaler: DataFrame, on: str = "hid") -> DataFrame:
+    """One row per scaler: on, first, bps. scaler: on, px, bp, or already so (scaler_arrays)."""
+    if "bps" in scaler.columns:
+        return scaler.select(on, "first", "bps")
+    rows = pixel_arrays(scaler.select(on, F.col("px").cast("int").alias("px"), F.col("bp").cast("double").alias("bp")), on, "bp")
+    ends = rows.withColumn("_last", F.element_at("_rows", -1)["px"])
+    # pixels that a scaler lacks are never nearest
+    filled = F.transform(F.sequence("first", "_last"), lambda p: F.coalesce(F.array_min(F.transform(F.filter("_rows", lambda x: x["px"] == p), lambda x: x["bp"])), F.lit(float("inf"))))
+    return ends.select(on, "first", F.when(F.size("_rows") == F.col("_last") - F.col("first") + 1, F.col("_rows")["bp"]).otherwise(filled).alias("bps"))
+
+
+def with_pixels(points: DataFrame, places: DataFrame, on: str = "hid", pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE, **ends: Column) -> DataFrame:
+    """points with the pixel (name) whose base pair is nearest each of ends, the first on ties. A validated
+    standard keeps it within REACH of the evenly spaced place. Points meet the scaler's one row by ``on``; it is never
+    broadcast, as Spark takes it for much smaller than it is."""
     first, last = bp_range
-    place = F.least(F.greatest(F.round((bp - first) * (pixels - 1) / (last - first)), F.lit(0)), F.lit(pixels - 1)).cast("int")
-    found = points.withColumn("_bp", bp).withColumn("_place", place).join(places, [on, "_place"])
-    best = F.array_min(F.transform("_near", lambda x, i: F.struct(F.abs(x - F.col("_bp")).alias("d"), (F.col("_place") - REACH + i).alias("px"))))
-    return found.select(*[F.col(c) for c in points.columns], best["px"].cast("int").alias(name))
+    places_of = {f"_at_{n}": F.least(F.greatest(F.round((bp - first) * (pixels - 1) / (last - first)), F.lit(0)), F.lit(pixels - 1)).cast("int") for n, bp in ends.items()}
+    met = points.withColumns(places_of).join(places.hint("shuffle_hash"), on)
+    # the few base pairs are taken out of the scaler's row first, one by one, so that it is not copied for every point
+    near = F.struct(*[F.array(*[F.get("bps", F.col(f"_at_{n}") - F.col("first") + k) for k in range(-REACH, REACH + 1)]).alias(n) for n in ends])
+    found = met.select(*points.columns, *places_of, F.explode(F.array(near)).alias("_near"))
+    for name, bp in ends.items():
+        pixel = lambda x, i: F.struct(F.abs(x - bp).alias("d"), (F.col(f"_at_{name}") - REACH + i).alias("px"))  # noqa: B023, E731
+        found = found.withColumn(name, F.array_min(F.transform(F.col("_near")[name], lambda x, i: F.when(x.isNotNull(), pixel(x, i))))["px"])  # noqa: B023
+    return found.dropna(subset=list(ends)).select(*points.columns, *ends)
 
 
 def bp_to_pixel(points: DataFrame, scaler: DataFrame, bp: str = "bp", on: str = "hid") -> DataFrame:
     """points (hid, bp, more) with px, the pixel whose base pair is nearest; each row has its own result,
-    repeated rows too. ``on`` names the scaler of a point where several profiles share one."""
-    return with_pixel(points, scaler_places(scaler, on), F.col(bp), on=on)
+    repeated rows too. ``on`` names the scaler of a point where several profiles share one; scaler as scaler_places takes it."""
+    return with_pixels(points, scaler_places(scaler, on), on, px=F.col(bp))
 
 
 def ladder_peaks(pixels: DataFrame, expected: DataFrame, share: float = 0.6) -> DataFrame:

@@ -245,6 +245,11 @@ def scaler(spark, d):
     return signal.rescale_to_grid(good_knots(spark, d)).select("hid", "px", "bp")
 
 
+def scalers(spark, d):
+    """The same with one row per supplier."""
+    return signal.scaler_arrays(good_knots(spark, d))
+
+
 def with_supplier(spark, d, rows: DataFrame, key: str) -> DataFrame:
     """rows with supplier: the keys are dealt in turn over all suppliers with a valid standard."""
     good = good_knots(spark, d).select(F.col("hid").alias("supplier")).distinct()
@@ -260,14 +265,15 @@ def resample_profile(spark, d):
     users = with_supplier(spark, d, v.table(spark, d, "events").select(F.col("user_id").alias("hid")).distinct(), "hid")
     knots = users.join(good_knots(spark, d).withColumnRenamed("hid", "supplier"), "supplier").select("hid", "scan", "bp")
     raw = trace.select("hid", "dye", (3000 + F.col("hid") * 37 % 4000 + F.col("px")).alias("scan"), "rfu")
-    return big(signal.resample_profile(raw, signal.rescale_to_grid(knots)), "px")
+    ranges = raw.groupBy("hid").agg(F.min("scan").alias("low"), F.max("scan").alias("high"))
+    return big(signal.resample_profile(raw, signal.pixel_places(knots, ranges)), "px").drop("bp")
 
 
 def raw_traces(spark, d):
     """Six dyes of every supplier: a size standard with a peak at each knot, one before and one after,
     and five dyes whose values follow from the scan."""
     knots = v.knots(spark, d)
-    ends = knots.groupBy("hid").agg(F.min("scan").alias("first"), F.max("scan").alias("last"))
+    ends = signal.spread(knots, "hid").groupBy("hid").agg(F.min("scan").alias("first"), F.max("scan").alias("last"))
     tops = knots.select("hid", "scan").unionByName(ends.select("hid", F.explode(F.array(F.col("first") - 150, F.col("last") + 200)).alias("scan")))
     shape = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(x).alias("rfu")) for o, x in ((-1, 100), (0, 900), (1, 100))])
     standard = tops.select("hid", "scan", F.explode(shape).alias("s")).select("hid", F.lit(5).cast("bigint").alias("dye"), (F.col("scan") + F.col("s.o")).alias("scan"), F.col("s.rfu").cast("bigint").alias("rfu"))
@@ -277,14 +283,14 @@ def raw_traces(spark, d):
 
 @query("calibrated_profile", sql("SELECT hid, dye, px, (scan * 7 + dye) % 500 AS rfu, round(bp, 6) AS bp FROM grid, (SELECT unnest(range(0, 5)) AS dye)", KNOTS, GRID))
 def calibrated_profile(spark, d):
-    pixels, grid = signal.calibrated_profile(raw_traces(spark, d))
-    return big(pixels.join(grid, ["hid", "px"]), "px").select("hid", "dye", "px", "rfu", F.round("bp", 6).alias("bp"))
+    pixels = signal.calibrated_profile(raw_traces(spark, d))[0]
+    return big(pixels, "px").select("hid", "dye", "px", "rfu", F.round("bp", 6).alias("bp"))
 
 
 @query("bp_to_pixel", sql(f"SELECT supplier AS hid, key, px FROM {nearest_sql('points', 'supplier, key')}", KNOTS, GRID, "points AS (SELECT o_orderkey AS key, supplier, 50e0 + o_totalprice % 450 AS bp FROM orders JOIN slots ON slot = o_orderkey % n)"))
 def bp_to_pixel(spark, d):
     points = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.lit(50.0) + F.col("o_totalprice") % 450).alias("bp"))
-    return big(signal.bp_to_pixel(with_supplier(spark, d, points, "key").withColumnRenamed("supplier", "hid"), scaler(spark, d)), "px").select("hid", "key", "px")
+    return big(signal.bp_to_pixel(with_supplier(spark, d, points, "key").withColumnRenamed("supplier", "hid"), scalers(spark, d)), "px").select("hid", "key", "px")
 
 
 @query("ladder_peaks", sql("""SELECT p.hid, p.dye, row_number() OVER (PARTITION BY p.hid, p.dye ORDER BY p.px) - 1 AS k, p.px FROM ltops p JOIN (SELECT hid FROM (SELECT a.hid, a.dye, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT hid, dye FROM trace) a
@@ -357,7 +363,7 @@ def marker_windows(spark, d):
     kit = v.panel(spark, d).withColumn("base_pair", F.lit(100.0) + F.col("ord") % 40).withColumn("panel_id", F.col("ord") % 5)
     pixels = scaler(spark, d).withColumn("dye", F.explode(F.array(*map(F.lit, range(5))).cast("array<bigint>"))).withColumn("rfu", F.col("px") % 97)
     profiles = good_knots(spark, d).select("hid", (F.col("hid") % 5).alias("panel_id")).distinct()
-    return big(panel.marker_windows(pixels, kit, scaler(spark, d), profiles), "px", "rfu")
+    return big(panel.marker_windows(pixels, kit, scalers(spark, d), profiles), "px", "rfu")
 
 
 LADDERS = """ladders AS (SELECT s_suppkey AS hid, s_suppkey % (SELECT max(p_partkey) // 400 + 1 FROM part) AS kit FROM supplier),
@@ -498,7 +504,7 @@ ENDS = """info AS (SELECT DISTINCT q.l_orderkey AS hid, m.dye, coalesce(e.base_p
 def segmentation_mask(spark, d):
     """Every order is a profile; the orders of a supplier share its scaler."""
     called = panel.dye_row_of_marker(asked(spark, d).select(F.col("l_orderkey").alias("hid"), "marker", "allele"), v.panel(spark, d))
-    return big(annotate.segmentation_mask(with_supplier(spark, d, called, "hid"), v.panel(spark, d), scaler(spark, d).withColumnRenamed("hid", "supplier"), "supplier"), "px")
+    return big(annotate.segmentation_mask(with_supplier(spark, d, called, "hid"), v.panel(spark, d), scalers(spark, d).withColumnRenamed("hid", "supplier"), "supplier"), "px")
 
 
 @query("human_baseline", sql("SELECT hid, marker, allele, height, 'predicted' AS source FROM calls WHERE truth AND marker NOT IN ('AMEL', 'DYS391', 'DYS576', 'DYS570')", CALLS))
@@ -607,7 +613,7 @@ def comparison_masks(spark, d):
     """The line items of an order are dealt to the three sources."""
     source = F.element_at(F.array(*map(F.lit, annotate.SOURCES)), (F.col("l_linenumber") % 3 + 1).cast("int"))
     called = panel.dye_row_of_marker(asked(spark, d).select(source.alias("source"), F.col("l_orderkey").alias("hid"), "marker", "allele"), v.panel(spark, d))
-    return big(annotate.comparison_masks(with_supplier(spark, d, called, "hid"), v.panel(spark, d), scaler(spark, d).withColumnRenamed("hid", "supplier"), "supplier"), "px")
+    return big(annotate.comparison_masks(with_supplier(spark, d, called, "hid"), v.panel(spark, d), scalers(spark, d).withColumnRenamed("hid", "supplier"), "supplier"), "px")
 
 
 @query("allele_confusion", sql("SELECT * FROM al", CALLS, ALLELES))
