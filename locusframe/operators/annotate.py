@@ -79,10 +79,13 @@ def human_baseline(calls: DataFrame) -> DataFrame:
 def donor_alleles(samples: DataFrame, donors: DataFrame, panel: DataFrame) -> DataFrame:
     """hid, marker, alleles (distinct, sorted as text) of each sample's donors, with the marker's dye.
     samples: hid, name; donors: donor, marker, allele1, allele2."""
-    wanted = samples.select("hid", F.explode(donors_of_sample(F.col("name"))).alias("donor"))
-    both = wanted.join(donors, "donor").select("hid", "marker", F.explode(F.array("allele1", "allele2")).alias("allele"))
-    sets = both.groupBy("hid", "marker").agg(F.array_sort(F.collect_set("allele")).alias("alleles"))
-    return sets.join(panel.groupBy("marker").agg(F.min("dye").alias("dye")), "marker", "left").select("hid", "dye", "marker", "alleles")
+    wanted = samples.select("hid", F.explode(donors_of_sample(F.col("name"))).alias("donor")).groupBy("hid").agg(F.array_sort(F.collect_set("donor")).alias("_donors"))
+    known = donors.select("donor", "marker", F.explode(F.array("allele1", "allele2")).alias("allele")).distinct()
+    # samples of the same donors have the same alleles, which are put together once
+    both = wanted.select("_donors").distinct().withColumn("donor", F.explode("_donors")).join(known, "donor")
+    sets = both.groupBy("_donors", "marker").agg(F.array_sort(F.collect_set("allele")).alias("alleles"))
+    with_dye = sets.join(panel.groupBy("marker").agg(F.min("dye").alias("dye")), "marker", "left")
+    return wanted.join(with_dye, "_donors").select("hid", "dye", "marker", "alleles")
 
 
 def attach_ground_truth(calls: DataFrame, donors: DataFrame) -> DataFrame:

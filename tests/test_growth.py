@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.operators import annotate, signal
+from locusframe.plans import views as v
 from locusframe.plans.queries import QUERIES, good_knots, scaler, scalers
 
 
@@ -31,3 +32,11 @@ def test_masks_of_overlapping_spans(spark):
     spans = spark.createDataFrame([(1, 0, 3, 6), (1, 0, 4, 5), (1, 0, 5, 8), (1, 0, 9, 9), (1, 0, 3, 6), (1, 1, 4, 5)], "hid long, dye long, l int, r int")
     assert sorted(map(tuple, annotate.spans_to_mask(spans).collect())) == [(1, 0, x) for x in range(3, 8)] + [(1, 1, 4)]
 
+
+def test_samples_of_the_same_donors_share_their_alleles(spark, sf):
+    donors = spark.createDataFrame([("1A", "m", "7", "8")] * 3 + [("1B", "m", "7", "9")], "donor string, marker string, allele1 string, allele2 string")
+    samples = spark.range(500).select(F.col("id").alias("hid"), F.lit("1A2_x").alias("name"))
+    found = annotate.donor_alleles(samples, donors, v.panel(spark, sf).withColumn("marker", F.lit("m")))
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (_donors" in plan  # samples meet the finished sets, not each donor's rows
