@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import sample_noc, sample_prefix
-from ..sources.abif import decode_hid_elements, decode_hid_values, select_dye_channels
+from ..sources.abif import any_number, channel_samples, channel_tops, file_channels
 from ..sources.scratch import written
 from .annotate import adjust_complete, adjust_top, attach_ground_truth, donor_alleles, segmentation_mask
 from .loading import drop_incomplete_profiles, profiles_with_annotation, profiles_with_ladder, skip_missing_ladder
 from .panel import dye_row_of_marker, resolve_panel
-from .signal import KEYS, calibrated_profile
+from .signal import KEYS, grid_of, scaler_arrays, scaler_rows, segment_arrays, spread, trace_rows, valid_knots
 from .splits import grouped_holdout_split, limit_profiles
 
 DEFAULT = "default"
@@ -28,6 +28,8 @@ class Dataset(NamedTuple):
     calls: DataFrame  # hid, marker, allele, height, source
     mask: DataFrame  # hid, dye, px
     outcomes: DataFrame  # hid, status: kept, or the first reason why not
+    traces: DataFrame  # hid, dye, first, rfu: the pixels as one row per dye
+    places: DataFrame  # hid, first, bps: the scaler as one row per profile
 
 
 #: Why a file is no profile, in the order in which the reasons are looked at.
@@ -63,8 +65,8 @@ def load_profiles(
     ladder_panels: the adjusted panels of valid ladders with panel_id, the ladder's path; donors: donor,
     marker, allele1, allele2. ``limit`` and ``holdout`` (fraction, part) choose files before they are decoded.
     Files without annotation, whose data cannot be decoded or calibrated, or without any call of a marker
-    of the kit are left out; ``outcomes`` has every file with what became of it. Traces are decoded once and
-    written."""
+    of the kit are left out; ``outcomes`` has every file with what became of it. For the outcomes standards alone are
+    decoded; the other channels are when pixels are asked for, from the files again."""
     if adjustment is not None and adjustment not in ADJUSTMENTS:
         raise ValueError(f"unknown adjustment {adjustment}")
     named = profiles_with_annotation(samples, annotations).withColumnRenamed("stem", "hid")
@@ -79,17 +81,19 @@ def load_profiles(
     panels = panel.withColumn("panel_id", F.lit(DEFAULT))
     if ladder_panels is not None:
         panels = panels.unionByName(ladder_panels.select(panels.columns))
-    valid = panels.where(F.col("panel_id") != DEFAULT).select(F.col("panel_id").alias("ladder_id")).distinct()
-    profiles = resolve_panel(listed, valid, DEFAULT).drop("ladder_id")
+    own_panels = panels.where(F.col("panel_id") != DEFAULT).select(F.col("panel_id").alias("ladder_id")).distinct()
+    profiles = resolve_panel(listed, own_panels, DEFAULT).drop("ladder_id")
 
     wanted = named.join(profiles.select("hid"), "hid", "left_semi").select("hid", "content")
-    entries, pixels, scaler = read_traces(wanted)
+    read, knots, traces = read_traces(wanted)
+    places, valid = scaler_arrays(knots), knots.select("hid").distinct()
+    pixels, scaler = trace_rows(traces), scaler_rows(places)
 
     own = reported.withColumnRenamed("sample", "annotation").join(profiles.select("hid", "annotation", "panel_id"), "annotation")
     called = dye_row_of_marker(own.select("hid", "panel_id", "marker", "allele", "height"), panel).where("dye is not null")
-    called = written(called.join(scaler.select("hid").distinct(), "hid", "left_semi"), "calls")
-    complete = drop_incomplete_profiles(profiles, scaler, called)
-    mask = segmentation_mask(called, panels, scaler)
+    called = written(called.join(valid, "hid", "left_semi"), "calls")
+    complete = written(drop_incomplete_profiles(profiles, valid, called), "profiles")
+    mask = segmentation_mask(called, panels, places)
     if adjustment is not None:
         marked = pixels.join(mask.withColumn("mask", F.lit(True)), [*KEYS, "px"], "left").withColumn("mask", F.coalesce("mask", F.lit(False)))
         mask = ADJUSTMENTS[adjustment](marked)
@@ -97,21 +101,32 @@ def load_profiles(
     if donors is not None:
         calls = attach_ground_truth(calls, donor_alleles(complete.select("hid", F.col("hid").alias("name")), donors, panel))
     have = complete.select("hid")
-    passed = [named.select("hid"), with_ladder, profiles.select("hid"), entries.where("abif").select("hid"), entries.where("whole").select("hid"), scaler.select("hid"), have]
+    passed = [named.select("hid"), with_ladder, profiles.select("hid"), read.where("abif").select("hid"), read.where("whole").select("hid"), valid, have]
     outcomes = outcomes_of(samples.select(F.col("stem").alias("hid")), passed)
-    return Dataset(complete, pixels.join(have, "hid", "left_semi"), scaler.join(have, "hid", "left_semi"), calls, mask, outcomes)
+    return Dataset(complete, *[t.join(have, "hid", "left_semi") for t in (pixels, scaler)], calls, mask, outcomes, *[t.join(have, "hid", "left_semi") for t in (traces, places)])
+
+
+#: The least height of a peak of the size standard (size_standard_peaks).
+LOW = 120
 
 
 def read_traces(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files (hid, content) decoded once: hid, abif, whole (all six channels are there) of each file, and the
-    pixels and scalers of those with a valid standard; all written."""
-    values = decode_hid_values(decode_hid_elements(files, every=True))
-    data = written(values.select("hid", "abif", "name", "tag", F.when(F.col("name") == "DATA", F.col("v_array")).alias("v_array")), "entries")
-    raw = written(select_dye_channels(data), "raw-traces")
-    whole = raw.select("hid").distinct().withColumn("whole", F.lit(True))
-    read = data.groupBy("hid").agg(F.bool_or("abif").alias("abif")).join(whole, "hid", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    pixels, scaler = calibrated_profile(raw)
-    return written(read, "read-files"), written(pixels.drop("bp"), "pixels"), written(scaler, "scaler")
+    """files (hid, content): hid, abif, whole (all six channels are there) of each file and the knots of valid
+    standards, both written; and the traces (hid, dye, first, rfu) of the files with one, whose channels are
+    decoded when they are read. A file stays one row: of its standard the tops and what lies beside them become
+    rows, among which size_standard_peaks finds the same peaks; of its dyes none."""
+    channels = file_channels(files)
+    of = lambda on: F.filter("channels", on)
+    standard = channels.select("hid", "abif", any_number(F.col("channels")).alias("whole"), of(lambda e: e["dye"] == 5).alias("_standard"))
+    asked = standard.select("hid", "abif", "whole", (F.size("_standard") > 1).alias("every"), F.explode_outer("_standard").alias("channel"))
+    read = written(channel_tops(asked, LOW), "read-files")
+    tops = read.select("hid", F.explode(F.arrays_zip("scan", "rfu")).alias("_t")).select("hid", F.lit(5).alias("dye"), "_t.scan", "_t.rfu")
+    knots = written(valid_knots(tops), "knots")
+    # no filter on channels: Spark would copy all that makes them into it; files without six have no knots anyway
+    grids = spread(channels, "hid").join(segment_arrays(knots).hint("shuffle_hash"), "hid").select("hid", "channels", grid_of(F.col("_segments")).alias("_grid"))
+    dyes = grids.select("hid", F.get("_grid", F.lit(0))["px"].alias("first"), F.col("_grid")["scan"].alias("scans"), F.explode(of(lambda e: e["dye"] < 5)).alias("channel"))
+    traces = channel_samples(dyes.select("hid", "channel.dye", "first", "scans", "channel"))
+    return read.select("hid", "abif", "whole").distinct(), knots, traces
 
 
 def outcomes_of(files: DataFrame, passed: list[DataFrame]) -> DataFrame:

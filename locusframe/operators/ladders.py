@@ -10,7 +10,7 @@ from ..sources.scratch import written
 from .annotate import allele_spans
 from .dataset import DEFAULT, Dataset, read_traces
 from .panel import adjust_panel, allele_info, best_ladder, bin_has_peak, dye_row_of_marker, ladder_candidates
-from .signal import ladder_peaks
+from .signal import ladder_peaks, scaler_arrays, scaler_rows, trace_rows
 
 
 def folder_of(path: Column) -> Column:
@@ -22,7 +22,8 @@ def ladder_panels(ladder_files: DataFrame, panel: DataFrame, ladder_alleles: Dat
     ladder_files: path, content; ladder_alleles: dye, k, marker, allele (read_ladder_alleles). Every
     ladder is decoded, calibrated and re-based once, however many profiles it serves. A ladder is valid if
     it can be calibrated and has as many peaks on each dye as alleles."""
-    pixels, scaler = read_traces(ladder_files.select(F.col("path").alias("hid"), "content"))[1:]
+    _, knots, traces = read_traces(ladder_files.select(F.col("path").alias("hid"), "content"))
+    pixels, scaler = trace_rows(traces), scaler_rows(scaler_arrays(knots))
     peaks = written(ladder_peaks(pixels, ladder_alleles.groupBy("dye").agg(F.count(F.lit(1)).alias("n"))), "ladder-peaks")
     kit = F.lit(DEFAULT).alias("panel_id")
     valid = peaks.select("hid").distinct().select("hid", kit)

@@ -6,6 +6,8 @@ partitioned by hid need no further shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,16 +226,16 @@ def target_bp(px: Column, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_R
     return F.lit(float(first)) + px * F.lit(float(last - first)) / F.lit(float(pixels - 1))
 
 
-def scan_below(t: Column) -> Column:
-    """Of a segment: the last scan that is not after base pair t."""
-    return F.least(F.floor(F.col("s0") + (t - F.col("b0")) / F.col("step") + 1e-9).cast("double"), F.col("s1"))
+def scan_below(t: Column, of: Callable[[str], Column] = F.col) -> Column:
+    """Of a segment (its fields by ``of``): the last scan that is not after base pair t."""
+    return F.least(F.floor(of("s0") + (t - of("b0")) / of("step") + 1e-9).cast("double"), of("s1"))
 
 
-def nearest_scan(t: Column, lo: Column) -> tuple[Column, Column]:
+def nearest_scan(t: Column, lo: Column, of: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
     """Of a segment: the scan nearest base pair t, lo (scan_below) on ties or the next one, and its base pair."""
-    low = F.col("b0") + (lo - F.col("s0")) * F.col("step")
-    up = (t - low > low + F.col("step") - t) & (lo < F.col("s1"))
-    return lo + up.cast("int"), low + F.when(up, F.col("step")).otherwise(0.0)
+    low = of("b0") + (lo - of("s0")) * of("step")
+    up = (t - low > low + of("step") - t) & (lo < of("s1"))
+    return lo + up.cast("int"), low + F.when(up, of("step")).otherwise(0.0)
 
 
 def rescale_to_grid(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE, ranges: DataFrame | None = None) -> DataFrame:
@@ -251,6 +253,42 @@ def rescale_to_grid(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int,
     return near.select("hid", F.col("px").cast("int").alias("px"), scan.cast("int").alias("scan"), bp.alias("bp"))
 
 
+def segment_arrays(knots: DataFrame) -> DataFrame:
+    """hid and _segments, its few stretches between knots that have pixels, in order."""
+    fields = F.struct("p0", "p1", "s0", "s1", "b0", "b1", "step")
+    return segments(knots).where("p0 <= p1").groupBy("hid").agg(F.sort_array(F.collect_list(fields)).alias("_segments"))
+
+
+def grid_of(stretches: Column) -> Column:
+    """The pixels of rescale_to_grid as an array of px, scan, bp, out of a profile's own row (segment_arrays)."""
+
+    def stretch(s: Column) -> Column:
+        below = lambda px: F.struct(px.cast("int").alias("px"), target_bp(px).alias("t"), scan_below(target_bp(px), lambda n: s[n]).alias("lo"))
+
+        def placed(x: Column) -> Column:
+            scan, bp = nearest_scan(x["t"], x["lo"], lambda n: s[n])
+            return F.struct(x["px"].alias("px"), scan.cast("int").alias("scan"), bp.alias("bp"))
+
+        return F.transform(F.transform(F.sequence(s["p0"], s["p1"]), below), placed)
+
+    return F.flatten(F.transform(stretches, stretch))
+
+
+def trace_rows(traces: DataFrame) -> DataFrame:
+    """hid, dye, px, rfu of traces that lie in arrays (hid, dye, first, rfu); places without a value are no rows."""
+    rows = traces.select("hid", "dye", "first", F.posexplode("rfu").alias("_i", "rfu")).where("rfu is not null")
+    return rows.select("hid", "dye", (F.col("first") + F.col("_i")).alias("px"), "rfu")
+
+
+def high_rows(traces: DataFrame, share: float = 0.6) -> DataFrame:
+    """Of trace_rows those of at least ``share`` of the dye's maximum, that maximum, and the rows beside them: all that ladder_peaks looks at."""
+    most = traces.select("hid", "dye", "first", F.filter("rfu", lambda x: x.isNotNull()).alias("_v"), F.transform("rfu", lambda x, i: F.struct((F.col("first") + i).alias("px"), x.alias("rfu"))).alias("_rows"))
+    there = most.select("hid", "dye", "_v", F.filter("_rows", lambda x: x["rfu"].isNotNull()).alias("_rows")).withColumn("_high", F.least(share * F.array_max("_v"), F.array_max("_v").cast("double")))
+    at = lambda i: F.when(i >= 0, F.get("_v", i))
+    near = lambda x, i: F.greatest(x["rfu"], at(i - 1), at(i + 1)) >= F.col("_high")
+    return there.select("hid", "dye", F.explode(F.filter("_rows", near)).alias("_x")).select("hid", "dye", "_x.px", "_x.rfu")
+
+
 def pixel_arrays(grid: DataFrame, on: str, *columns: str) -> DataFrame:
     """on, first and _rows (px and columns, in order of px) of a grid: one row per profile, whose pixels lie side by side."""
     rows = grid.groupBy(on).agg(F.sort_array(F.collect_list(F.struct("px", *columns))).alias("_rows"))
@@ -258,8 +296,15 @@ def pixel_arrays(grid: DataFrame, on: str, *columns: str) -> DataFrame:
 
 
 def scaler_arrays(knots: DataFrame) -> DataFrame:
-    """hid, first, bps: the scaler of rescale_to_grid as one row per profile, its first pixel and all base pairs."""
-    return pixel_arrays(rescale_to_grid(knots), "hid", "bp").select("hid", "first", F.col("_rows")["bp"].alias("bps"))
+    """hid, first, bps: the scaler of rescale_to_grid as one row per profile, its first pixel and all base pairs, made
+    in that row out of its few segments."""
+    grids = segment_arrays(knots).select("hid", grid_of(F.col("_segments")).alias("_grid"))
+    return grids.select("hid", F.get("_grid", F.lit(0))["px"].alias("first"), F.col("_grid")["bp"].alias("bps"))
+
+
+def scaler_rows(places: DataFrame) -> DataFrame:
+    """hid, px, bp of scaler_arrays."""
+    return places.select("hid", "first", F.posexplode("bps").alias("_i", "bp")).select("hid", (F.col("first") + F.col("_i")).alias("px"), "bp")
 
 
 def pixel_places(knots: DataFrame, ranges: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import STANDARD_BPS
 from ..functions.names import sigmoid
+from ..operators.signal import spread
 from ..sources.scratch import scratch_path as scratch  # noqa: F401
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -150,7 +151,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     each of hid % 3: a profile for those with (2 hid + ord) % 5 <> 0, a ladder for those that ladders have (k
     <> 2), but one on dye 0 is missing where hid % 4 = 0. Profiles of hid % 13 = 2 are no ABIF files, those of
     hid % 13 = 3 lack a channel."""
-    s = knots(spark, d).groupBy("hid").agg(F.sort_array(F.collect_list("scan")).alias("scans"), (F.max("scan") + 250).alias("length"), F.min("scan").alias("first"))
+    s = spread(knots(spark, d), "hid").groupBy("hid").agg(F.sort_array(F.collect_list("scan")).alias("scans"), (F.max("scan") + 250).alias("length"), F.min("scan").alias("first"))
     pace = F.when(F.col("hid") % 10 == 7, 14).otherwise(8 + F.col("hid") % 4)
     both = s.withColumn("pace", pace).withColumn("ladder", F.explode(F.when(F.col("hid") % 5 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     alleles = kit(spark, d).agg(F.collect_list(F.struct("dye", "ord", "base_pair")).alias("alleles"))

@@ -1,11 +1,14 @@
 """Steps whose work must not outgrow the input."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import annotate, signal
+from locusframe.operators import annotate, dataset, signal
 from locusframe.plans import views as v
-from locusframe.plans.queries import QUERIES, good_knots, scaler, scalers
+from locusframe.plans.queries import QUERIES, good_knots, loaded, scaler, scalers
+from locusframe.sources import abif
 
 
 @pytest.mark.parametrize("name", ["bp_to_pixel", "calibrated_profile", "comparison_masks", "marker_windows", "segmentation_mask", "resample_profile"])
@@ -40,3 +43,21 @@ def test_samples_of_the_same_donors_share_their_alleles(spark, sf):
     assert found.count() == 500
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (_donors" in plan  # samples meet the finished sets, not each donor's rows
+
+
+def test_outcomes_make_no_rows_of_dyes(spark, sf):
+    place = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(place))
+    loaded(spark, sf)
+    made = {x.rsplit("-", 1)[0] for x in set(os.listdir(place)) - before}
+    assert made and not made & {"raw-traces", "pixels", "entries"}
+
+
+def test_traces_in_arrays_are_the_calibrated_profiles(spark, sf):
+    files = v.files(spark, sf).where("not ladder").select(F.col("hid").cast("string").alias("hid"), "content").localCheckpoint()
+    raw = abif.select_dye_channels(abif.decode_hid_values(abif.decode_hid_elements(files))).localCheckpoint()
+    pixels, grid = signal.calibrated_profile(raw)
+    _, knots, traces = dataset.read_traces(files)
+    got, places = signal.trace_rows(traces), signal.scaler_rows(signal.scaler_arrays(knots))
+    assert got.count() == pixels.count() > 0 and got.exceptAll(pixels.select(got.columns)).isEmpty()
+    assert places.count() == grid.count() and places.exceptAll(grid.select(places.columns)).isEmpty()
