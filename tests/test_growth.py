@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import annotate, dataset, signal
+from locusframe.operators import annotate, dataset, ladders, panel, signal
 from locusframe.plans import views as v
 from locusframe.plans.queries import QUERIES, good_knots, loaded, scaler, scalers
 from locusframe.sources import abif
@@ -61,3 +61,18 @@ def test_traces_in_arrays_are_the_calibrated_profiles(spark, sf):
     got, places = signal.trace_rows(traces), signal.scaler_rows(signal.scaler_arrays(knots))
     assert got.count() == pixels.count() > 0 and got.exceptAll(pixels.select(got.columns)).isEmpty()
     assert places.count() == grid.count() and places.exceptAll(grid.select(places.columns)).isEmpty()
+
+
+def test_spans_on_arrays_and_on_rows_have_the_same_peaks(spark):
+    pixels = spark.range(600).select((F.col("id") % 3).alias("hid"), F.lit(0).alias("dye"), F.floor(F.col("id") / 3).alias("px"), (F.crc32(F.col("id").cast("string")) % 7).cast("bigint").alias("rfu"))
+    spans = spark.range(400).select(F.lit("a").alias("ladder_id"), (F.col("id") % 3).alias("hid"), F.lit(0).alias("dye"), F.lit("m").alias("marker"), F.col("id").cast("string").alias("allele"), (F.col("id") % 150).alias("l"), (F.col("id") % 150 + F.col("id") % 9).alias("r"))
+    traces = pixels.groupBy("hid", "dye").agg(F.lit(0).alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("px", "rfu"))), lambda x: x["rfu"]).alias("rfu"))
+    rows = {(r["hid"], r["l"], r["r"]): r["has_peak"] for r in panel.bin_has_peak(spans, pixels).collect()}
+    arrays = {(r["hid"], r["l"], r["r"]): r["has_peak"] for r in panel.spans_have_peak(spans, traces).collect()}
+    assert rows == arrays and set(rows.values()) == {True, False}
+
+
+def test_ladders_with_the_same_panel_count_once(spark):
+    panels = spark.createDataFrame([(x, "m", "1", 0, bp, 0.5, 0.5, 0) for x, bp in (("f/a", 90.0), ("f/b", 90.0), ("f/c", 91.0), ("g/d", 90.0))], "panel_id string, marker string, allele string, dye int, base_pair double, left_off double, right_off double, ord int")
+    here = spark.createDataFrame([(x, x[0]) for x in ("f/b", "f/a", "f/c", "g/d", "g/invalid")], "ladder_id string, folder string")
+    assert sorted(map(tuple, ladders.distinct_ladders(here, panels).collect())) == [("f/a", "f"), ("f/c", "f"), ("g/d", "g")]
