@@ -59,7 +59,8 @@ def decode_hid_elements(files: DataFrame, key: str = "hid", every: bool = False)
     With ``every`` a column abif tells which files are, and a file without entries has one row of nulls."""
     listed = entry_arrays(files, key)
     if not every:
-        return listed.select(key, F.explode("entries").alias("_e")).select(key, "_e.*").where(KNOWN_TYPES)
+        # not the bare column: Spark would infer a filter on it and copy all that makes the entries into that
+        return listed.select(key, F.explode(F.filter("entries", lambda e: F.lit(True))).alias("_e")).select(key, "_e.*").where(KNOWN_TYPES)
     return listed.select(key, "abif", F.explode_outer("entries").alias("_e")).select(key, "abif", "_e.*").where(f"i is null or i = 0 or {KNOWN_TYPES}")
 
 
