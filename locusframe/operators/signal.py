@@ -204,10 +204,15 @@ def interpolate_bp(points: DataFrame, knots: DataFrame, x: str = "scan", extrapo
     return points.join(knot_arrays(knots), "hid").withColumn("bp", piecewise(F.col(x).cast("double"), F.col("knots"), extrapolate)).drop("knots")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+TASK_ROWS = 1 << 18
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """df over all shuffle partitions by keys: the 19 rows of a standard become thousands of pixels, which Spark
-    does not foresee when it merges small partitions."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    does not foresee when it merges small partitions. Where df has a known number of rows, a partition holds about
+    TASK_ROWS at most, so that the memory of a task does not grow with the input."""
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(many, -(-rows // TASK_ROWS)), *keys)
 
 
 def segments(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> DataFrame:

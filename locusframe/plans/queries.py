@@ -534,11 +534,17 @@ def attach_ground_truth(spark, d):
     return annotate.attach_ground_truth(c.where("truth"), donors)
 
 
+def by_source(calls: DataFrame, **sources) -> DataFrame:
+    """calls (hid, marker, allele, more) once for each source (its condition and height) that has them; they are made once for all sources."""
+    each = F.array(*[F.when(F.expr(where), F.struct(height.cast("double").alias("height"), F.lit(name).alias("source"))) for name, (where, height) in sources.items()])
+    return calls.select("hid", "marker", "allele", F.explode(F.filter(each, lambda s: s.isNotNull())).alias("_s")).select("hid", "marker", "allele", "_s.*")
+
+
 @query("allele_comparison", sql("""SELECT c.hid, c.marker, c.allele, CASE WHEN c.predicted THEN c.height END AS height, CASE WHEN truth AND predicted THEN 'TP' WHEN predicted THEN 'FP' ELSE 'FN' END AS kind, round(p.base_pair, 6) AS bp, round(p.base_pair - 0.5e0, 6) AS bp_left,
   round(p.base_pair + 0.75e0, 6) AS bp_right, true AS in_panel FROM calls c JOIN panel p ON p.marker = c.marker AND p.allele = c.allele WHERE truth OR predicted""", CALLS, PANEL))
 def allele_comparison(spark, d):
     c = v.calls(spark, d)
-    both = v.stacked(c.where("predicted").select("hid", "marker", "allele", "height", F.lit("predicted").alias("source")), c.where("truth").select("hid", "marker", "allele", "height", F.lit("donor").alias("source")))
+    both = by_source(c, predicted=("predicted", F.col("height")), donor=("truth", F.col("height")))
     compared = annotate.allele_comparison(both, v.panel(spark, d)).select("hid", "marker", "allele", "height", "kind", "bp", "bp_left", "bp_right", "in_panel")
     return compared.withColumns({x: F.round(x, 6) for x in ("bp", "bp_left", "bp_right")})
 
@@ -599,8 +605,7 @@ def locus_allele_set(spark, d):
   CASE WHEN truth AND predicted THEN 'TP' WHEN predicted THEN 'FP' WHEN truth THEN 'FN' END AS kind, round(p.base_pair, 6) AS bp FROM calls c JOIN panel p ON p.marker = c.marker AND p.allele = c.allele WHERE truth OR predicted OR c.height >= 20""", CALLS, PANEL))
 def allele_comparison_of_three(spark, d):
     c = v.calls(spark, d)
-    of = lambda where, height, source: c.where(where).select("hid", "marker", "allele", height.cast("double").alias("height"), F.lit(source).alias("source"))
-    every = v.stacked(of("predicted", F.col("height"), "predicted"), of("height >= 20", F.col("height") + 1, "analyst"), of("truth", F.lit(None), "donor"))
+    every = by_source(c, predicted=("predicted", F.col("height")), analyst=("height >= 20", F.col("height") + 1), donor=("truth", F.lit(None)))
     return annotate.allele_comparison(every, v.panel(spark, d)).select("hid", "marker", "allele", "in_predicted", "in_analyst", "in_donor", "height", "analyst_height", "kind", F.round("bp", 6).alias("bp"))
 
 

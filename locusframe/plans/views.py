@@ -64,11 +64,13 @@ PANEL = """panel AS (SELECT (regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT % 5
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """hid, marker, allele, height, truth, predicted: one row per distinct hid, marker and allele."""
     items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag")
-    parts = table(spark, d, "part").select("p_partkey", "p_brand")
-    joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("l_orderkey").alias("hid"), F.col("p_brand").alias("marker"), F.col("l_partkey").cast("string").alias("allele")).agg(
-        F.max("l_quantity").alias("height"), F.bool_or(F.col("l_returnflag") != "N").alias("truth"), F.bool_or(F.col("l_discount") >= 0.05).alias("predicted")
-    )
+    parts = table(spark, d, "part").select("p_partkey", "p_brand").hint("shuffle_hash")
+    named = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("hid"), F.col("p_brand").alias("marker"), F.col("l_partkey").cast("string").alias("allele"),
+        F.col("l_quantity").alias("height"), (F.col("l_returnflag") != "N").alias("truth"), (F.col("l_discount") >= 0.05).alias("predicted"),
+    )
+    # nothing is aggregated before the rows of an order are together: hardly any are equal, and a task's map of them grows with the input
+    return spread(named, "hid", rows=items.count()).groupBy("hid", "marker", "allele").agg(F.max("height").alias("height"), F.bool_or("truth").alias("truth"), F.bool_or("predicted").alias("predicted"))
 
 
 CALLS = """calls AS (SELECT l_orderkey AS hid, p_brand AS marker, l_partkey::VARCHAR AS allele, max(l_quantity) AS height, bool_or(l_returnflag <> 'N') AS truth,

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from locusframe.functions.constants import NOT_IN_PANEL
 from locusframe.operators import annotate, dataset, ladders, panel, signal
 from locusframe.plans import views as v
 from locusframe.plans.queries import QUERIES, good_knots, loaded, scaler, scalers
@@ -76,3 +77,31 @@ def test_ladders_with_the_same_panel_count_once(spark):
     panels = spark.createDataFrame([(x, "m", "1", 0, bp, 0.5, 0.5, 0) for x, bp in (("f/a", 90.0), ("f/b", 90.0), ("f/c", 91.0), ("g/d", 90.0))], "panel_id string, marker string, allele string, dye int, base_pair double, left_off double, right_off double, ord int")
     here = spark.createDataFrame([(x, x[0]) for x in ("f/b", "f/a", "f/c", "g/d", "g/invalid")], "ladder_id string, folder string")
     assert sorted(map(tuple, ladders.distinct_ladders(here, panels).collect())) == [("f/a", "f"), ("f/c", "f"), ("g/d", "g")]
+
+
+def test_calls_are_put_together_in_tasks_of_bounded_size(spark, sf, monkeypatch):
+    monkeypatch.setattr(signal, "TASK_ROWS", 100)
+    calls = v.calls(spark, sf)
+    rows = v.table(spark, sf, "lineitem").count()
+    assert calls.rdd.getNumPartitions() == -(-rows // 100) > 8
+    plan = calls._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("REPARTITION_BY_NUM") and "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM") :].split("== Initial Plan ==")[0]
+
+
+def test_sources_share_one_pass_over_the_calls(spark, sf):
+    for name in ("allele_comparison", "allele_comparison_of_three"):
+        assert "Union" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alleles_and_their_fallbacks_are_looked_up_in_one_join(spark):
+    kit = spark.createDataFrame([("m", "9", 100.0, 0), ("m", "9", 500.0, 4), ("m", "9.2", 102.5, 1), ("m", "x.y", 110.0, 2), ("n", "9", 200.0, 3), ("m", None, 300.0, 5)], "marker string, allele string, base_pair double, ord int")
+    kit = kit.select("*", F.lit(0.5).alias("left_off"), F.lit(0.75).alias("right_off"))
+    alleles = ["9", "9.2", "9.3", "9.x", "9.3.1", "x", "x.y", "x.1", "7", "7.2", "", ".5", None]
+    found = panel.allele_info(spark.createDataFrame([("m", a) for a in alleles], "marker string, allele string"), kit)
+    got = {r["allele"]: (r["bp"], r["in_panel"]) for r in found.collect()}
+    low = NOT_IN_PANEL[0]
+    known = {"9": 100.0, "9.2": 102.5, "9.3": 103.0, "9.x": 100.0, "x.y": 110.0}
+    unknown = {"9.3.1": low, "x": low, "x.1": low + 1, "7": low, "7.2": low + 2, "": low, ".5": low + 5, None: low}
+    assert got == {a: (b, True) for a, b in known.items()} | {a: (b, False) for a, b in unknown.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1  # alleles without a fallback do not gather on an empty key
