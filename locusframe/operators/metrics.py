@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,26 +107,31 @@ def allele_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return allele_confusion(predicted, truth).select(*both_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.lit(0.0)))
 
 
+VARIANTS = ("none", "between", "low", "high")
+
+
 def evaluation_suite(pixels: DataFrame, predicted: DataFrame, truth: DataFrame, threshold_truth: bool = True) -> DataFrame:
     """metric, variant, value: IoU and pixel rates, allele rates without thresholds, and allele
     precision and recall for the variants between, low and high, which share one pass."""
     spark = pixels.sparkSession
     limits = locus_table(spark)
 
-    def passing(calls: DataFrame, limited: bool) -> DataFrame:
+    def flagged(calls: DataFrame, limited: bool, shift: int) -> DataFrame:
+        """hid, key and a bit for every variant that a call counts in, from ``shift`` on."""
         h = F.col("height")
-        keep = [F.lit("none")]
-        if limited:
-            keep += [F.when((h > F.col("low")) & (h < F.col("high")), "between"), F.when(h >= F.col("low"), "low"), F.when(h >= F.col("high"), "high")]
-        else:
-            keep += [F.lit("between"), F.lit("low"), F.lit("high")]
+        low, high = (h >= F.col("low"), h >= F.col("high")) if limited else (F.lit(True), F.lit(True))
+        passed = {"none": F.lit(True), "between": (h > F.col("low")) & (h < F.col("high")) if limited else F.lit(True), "low": low, "high": high}
+        bits = reduce(Column.bitwiseOR, [F.when(passed[x], 1 << (shift + i)).otherwise(0) for i, x in enumerate(VARIANTS)])
         joined = calls.join(F.broadcast(limits), "marker", "left")  # 27 rows
-        return joined.select(F.explode(F.filter(F.array(*keep), lambda v: v.isNotNull())).alias("variant"), "hid", locus_allele_key(F.col("marker"), F.col("allele")).alias("key"))
-
-    both = passing(predicted, True).select("*", F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(passing(truth, threshold_truth).select("*", F.lit(0).alias("p"), F.lit(1).alias("t")))
-    every = spark.range(1).select(F.explode(F.array(*map(F.lit, ("none", "between", "low", "high")))).alias("variant"), F.lit(0).alias("p"), F.lit(0).alias("t"))  # a variant without calls is 0
-    flags = both.unionByName(every, allowMissingColumns=True).groupBy("variant", "hid", "key").agg(F.max("p").alias("p"), F.max("t").alias("t"))
-    sums = flags.groupBy("variant").agg(F.sum(F.col("p") * F.col("t")).alias("tp"), F.sum(F.col("p") * (1 - F.col("t"))).alias("fp"), F.sum((1 - F.col("p")) * F.col("t")).alias("fn"))
+        return joined.select("hid", locus_allele_key(F.col("marker"), F.col("allele")).alias("key"), bits.alias("bits"))
+
+    # an allele is one row for all variants and both sets
+    flags = flagged(predicted, True, 0).unionByName(flagged(truth, threshold_truth, len(VARIANTS))).groupBy("hid", "key").agg(F.bit_or("bits").alias("bits"))
+    has = lambda i: F.col("bits").bitwiseAND(1 << i) != 0
+    count = lambda on: F.count(F.when(on, 1))
+    pairs = [(x, has(i), has(i + len(VARIANTS))) for i, x in enumerate(VARIANTS)]
+    whole = flags.agg(*[c for x, p, t in pairs for c in (count(p & t).alias(f"tp_{x}"), count(p & ~t).alias(f"fp_{x}"), count(~p & t).alias(f"fn_{x}"))])
+    sums = whole.select(F.explode(F.array(*[F.struct(F.lit(x).alias("variant"), *[F.col(f"{n}_{x}").alias(n) for n in ("tp", "fp", "fn")]) for x in VARIANTS])).alias("_s")).select("_s.*")
     rates = sums.select("variant", *both_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.lit(0.0)))
     alleles = rates.select("variant", F.explode(F.create_map(F.lit("allele_precision"), F.col("precision"), F.lit("allele_recall"), F.col("recall"), F.lit("allele_f1"), F.col("f1"))).alias("metric", "value"))
     alleles = alleles.where("variant = 'none' or metric <> 'allele_f1'")

@@ -5,8 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.functions.constants import NOT_IN_PANEL
-from locusframe.operators import annotate, dataset, ladders, panel, signal
+from locusframe.functions.constants import LOCUS_THRESHOLDS, NOT_IN_PANEL
+from locusframe.operators import annotate, dataset, ladders, metrics, panel, signal
 from locusframe.plans import views as v
 from locusframe.plans.queries import QUERIES, good_knots, loaded, scaler, scalers
 from locusframe.sources import abif
@@ -105,3 +105,27 @@ def test_alleles_and_their_fallbacks_are_looked_up_in_one_join(spark):
     assert got == {a: (b, True) for a, b in known.items()} | {a: (b, False) for a, b in unknown.items()}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1  # alleles without a fallback do not gather on an empty key
+
+
+def test_an_allele_is_one_row_for_all_variants(spark):
+    pixels = spark.createDataFrame([(1, 1.0, True)], "hid long, prob double, mask boolean")
+    low, high = LOCUS_THRESHOLDS["FGA"]
+    heights = [low - 1.0, float(low), low + 1.0, float(high), high + 1.0, None]
+    made = {x: [(i % 3, m, str(i % 4), heights[(i * k) % 6]) for i in range(24) for m in ("FGA", "unknown")] for x, k in (("p", 1), ("t", 5))}
+    predicted, truth = (spark.createDataFrame(made[x], "hid long, marker string, allele string, height double") for x in ("p", "t"))
+    passes = {"none": lambda h: True, "between": lambda h: low < h < high, "low": lambda h: h >= low, "high": lambda h: h >= high}
+
+    def keys(rows, variant, limited=True):
+        return {r[:3] for r in rows if variant == "none" or not limited or (r[1] == "FGA" and r[3] is not None and passes[variant](r[3]))}
+
+    for limited in (True, False):
+        found = metrics.evaluation_suite(pixels, predicted.where("hid <> 0"), truth, limited)
+        got = {(r["metric"], r["variant"]): r["value"] for r in found.where("metric like 'allele%'").collect()}
+        assert len(got) == 9
+        for variant in passes:
+            p, t = keys([r for r in made["p"] if r[0] != 0], variant), keys(made["t"], variant, limited)
+            assert got["allele_precision", variant] == pytest.approx(len(p & t) / max(len(p), 1)) and got["allele_recall", variant] == pytest.approx(len(p & t) / max(len(t), 1))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [hid#" in plan and "Aggregate [variant#" not in plan
+    none = metrics.evaluation_suite(pixels, predicted.limit(0), truth.limit(0)).where("metric like 'allele%'").collect()
+    assert len(none) == 9 and {r["value"] for r in none} == {0.0}
