@@ -126,13 +126,17 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def all_metrics(scored: DataFrame, panel: DataFrame | None, truth: DataFrame | None) -> DataFrame:
+def all_metrics(scored: DataFrame, panel: DataFrame | None, truth: DataFrame | None, groups: DataFrame | None = None) -> DataFrame:
     """metric, variant, value: all of the evaluation suite where a panel and the true calls (hid, marker,
-    allele, height) are given and pixels have bp; the pixel metrics alone otherwise."""
+    allele, height) are given and pixels have bp; the pixel metrics alone otherwise. For each of the groups of
+    pixels, if given."""
+    keys = [] if groups is None else groups.columns
     if panel is None or truth is None:
-        return pixel_metrics(scored).select("metric", F.lit("none").alias("variant"), "value")
-    own = truth.join(scored.select("hid").distinct(), "hid", "left_semi")
-    return evaluation_suite(scored, call_alleles(scored, panel), own)
+        return pixel_metrics(scored, groups=groups).select(*keys, "metric", F.lit("none").alias("variant"), "value")
+    own = truth.join(scored.select(*keys, "hid").distinct(), "hid")
+    named = scored.withColumn("hid", F.struct("hid", *keys))
+    called = call_alleles(named, panel).select("hid.*", "dye", "marker", "allele", "height")
+    return evaluation_suite(scored, called, own, groups=groups)
 
 
 def fold_moments(features: DataFrame, k: int, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,27 +151,44 @@ def fold_moments(features: DataFrame, k: int, names: list[str]) -> tuple[np.ndar
     return n[:, 0], np.sqrt(variance)
 
 
-def fold_sums(features: DataFrame, weights: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loss, gradient and curvature of each fold's model over the rows of the other folds, in one pass."""
+def packed(features: DataFrame, names: list[str]) -> DataFrame:
+    """fold, values: the labels and features of a batch's rows of one fold, a column after the other, as the bytes of
+    doubles, so that passes over them need not make rows again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", *names)], float)
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            own = np.unique(fold)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x[:, fold == f].tobytes() for f in own], pa.binary())], names=["fold", "values"])
+
+    return features.select("fold", "label", *names).mapInArrow(run, "fold long, values binary")
+
+
+def fold_sums(blocks: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, gradient and curvature of each fold's model over the rows of the other folds (as packed gives them), in one pass."""
     k, width = weights.shape
-    shared = features.sparkSession.sparkContext.broadcast(weights)
+    shared = blocks.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         total = np.zeros((k, 1 + width + width * width))
         for batch in batches:
-            x = np.column_stack([*[batch.column(c).to_numpy(zero_copy_only=False) for c in names], np.ones(batch.num_rows)])
-            y, fold = batch.column("label").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False)
-            for i in range(k):
-                own, label = x[fold != i], y[fold != i]
-                z = own @ w[i]
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                total[i, 0] += (np.logaddexp(0, z) - label * z).sum()
-                total[i, 1 : 1 + width] += own.T @ (p - label)
-                total[i, 1 + width :] += (own.T @ (own * (p * (1 - p))[:, None])).ravel()
+            for fold, values in zip(batch.column("fold").to_pylist(), batch.column("values")):
+                made = np.frombuffer(values.as_buffer()).reshape(width, -1)
+                label, x = made[0], np.vstack([made[1:], np.ones(made.shape[1])])
+                for i in range(k):
+                    if i == fold:
+                        continue
+                    z = w[i] @ x
+                    e = np.exp(-np.abs(z))
+                    p = np.where(z >= 0, 1.0, e) / (1 + e)
+                    total[i, 0] += (np.maximum(z, 0) + np.log1p(e) - label * z).sum()
+                    total[i, 1 : 1 + width] += x @ (p - label)
+                    total[i, 1 + width :] += ((x * (p * (1 - p))) @ x.T).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k), total.shape[1])), pa.array(np.tile(np.arange(total.shape[1]), k)), pa.array(total.ravel())], names=["model", "place", "value"])
 
-    parts = features.select("fold", "label", *names).mapInArrow(run, "model long, place long, value double")
+    parts = blocks.mapInArrow(run, "model long, place long, value double")
     rows = parts.groupBy("model", "place").agg(F.sum("value").alias("value")).toArrow()  # k models of some hundred numbers
     made = np.zeros((k, 1 + width + width * width))
     made[rows.column("model").to_numpy(), rows.column("place").to_numpy()] = rows.column("value").to_numpy()
@@ -183,8 +204,9 @@ def fit_folds(features: DataFrame, k: int, names: list[str] | None = None, max_i
     ridge = np.column_stack([reg * deviation**2, np.zeros(k)])
     idle = np.column_stack([deviation == 0, np.zeros(k, bool)])  # constant features have weight 0
     weights, step, before = np.zeros((k, len(names) + 1)), np.zeros((k, len(names) + 1)), np.full(k, np.inf)
+    blocks = written(packed(features, names), "fold-blocks")
     for _ in range(max_iter):
-        loss, gradient, curve = fold_sums(features, weights, names)
+        loss, gradient, curve = fold_sums(blocks, weights)
         cost = loss / n + 0.5 * (ridge * weights**2).sum(axis=1)
         worse = cost > before + 1e-12
         step[worse] /= 2  # back half of the way
@@ -210,12 +232,13 @@ def fold_scores(features: DataFrame, weights: np.ndarray, columns: list[str], na
 
 def cross_validate(folded: DataFrame, k: int, panel: DataFrame | None = None, truth: DataFrame | None = None, max_iter: int = 30, reg: float = 1e-4) -> DataFrame:
     """metric, variant, mean_value over k folds (folded: pixels with fold 0 .. k - 1, a profile in one fold, as
-    grouped_kfold_split deals them). Features are made and read once for all folds."""
+    grouped_kfold_split deals them). Features are made and read once for all folds, and the metrics of all
+    folds come from the same passes."""
     columns = [c for c in folded.columns if c != "fold"]
     features = written(pixel_features(folded).withColumn("label", F.col("mask").cast("double")), "fold-features")
     scored = written(fold_scores(features, fit_folds(features, k, max_iter=max_iter, reg=reg), columns), "fold-scores")
-    each = [all_metrics(scored.where(F.col("fold") == i).drop("fold"), panel, truth) for i in range(k)]
-    return fold_means(reduce(DataFrame.unionByName, each))
+    folds = scored.sparkSession.range(k).select(F.col("id").cast(scored.schema["fold"].dataType).alias("fold"))
+    return fold_means(all_metrics(scored, panel, truth, folds))
 
 
 def evaluate(model: PipelineModel, pixels: DataFrame, fraction: float | None = None, seed: int | str = 0, profiles: DataFrame | None = None, panel: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:

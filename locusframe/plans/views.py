@@ -36,9 +36,11 @@ TRACE = """trace AS (SELECT user_id AS hid, (list_position(['click','error','pur
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    long = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("px", "e"))
-    e = F.col("e").cast("double")
-    wide = long.select(F.floor(F.col("vec_id") / 5).alias("hid"), (F.col("vec_id") % 5).alias("dye"), F.col("px").cast("bigint").alias("px"), e.alias("e"))
+    vectors = table(spark, d, "embeddings")
+    # a profile's vectors lie together before they become pixels, and stay so for all windows, joins and groups by profile
+    placed = spread(vectors.select(F.floor(F.col("vec_id") / 5).alias("hid"), (F.col("vec_id") % 5).alias("dye"), "embedding"), "hid", rows=64 * vectors.count())
+    long = placed.select("hid", "dye", F.posexplode("embedding").alias("px", "e"))
+    wide = long.select("hid", "dye", F.col("px").cast("bigint").alias("px"), F.col("e").cast("double").alias("e"))
     w = Window.partitionBy("hid", "dye").orderBy("px")
     mean = (F.coalesce(F.lag("e").over(w), F.lit(0.0)) + F.col("e") + F.coalesce(F.lead("e").over(w), F.lit(0.0))) / 3
     return wide.select("hid", "dye", "px", F.round(F.col("e") * 1000).cast("bigint").alias("rfu"), F.round(sigmoid(mean * 10), 6).alias("prob"), (F.col("e") > 0.1).alias("mask"))

@@ -2,13 +2,14 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions.constants import LOCUS_THRESHOLDS, NOT_IN_PANEL
-from locusframe.operators import annotate, dataset, ladders, metrics, panel, signal
+from locusframe.operators import annotate, dataset, ladders, metrics, model, panel, signal
 from locusframe.plans import views as v
-from locusframe.plans.queries import QUERIES, good_knots, loaded, scaler, scalers
+from locusframe.plans.queries import QUERIES, good_knots, loaded, measured, scaler, scalers
 from locusframe.sources import abif
 
 
@@ -137,3 +138,29 @@ def test_moved_panels_are_dealt_by_their_rows(spark, sf, monkeypatch):
     dealt = QUERIES["adjust_panel"](spark, sf)
     assert dealt.rdd.getNumPartitions() == -(-len(whole) // 100) > 8
     assert sorted(map(tuple, dealt.collect())) == whole
+
+
+def test_metrics_of_all_folds_come_from_one_pass(spark, sf):
+    pixels, kit, truth = measured(spark, sf)
+    scored = pixels.withColumns({"fold": F.col("hid") % 3, "prob": F.abs(F.sin(F.col("px") * 7 + F.col("hid")))}).where("fold <> 1").localCheckpoint()
+    truth = truth.where("hid % 3 <> 2 or marker <> 'FGA'").localCheckpoint()
+    for panel_, calls in ((kit, truth), (None, None)):
+        together = model.all_metrics(scored, panel_, calls, spark.range(3).withColumnRenamed("id", "fold"))
+        near = lambda x: x if x is None else round(x, 12)
+        got = {(r["fold"], r["metric"], r["variant"]): near(r["value"]) for r in together.collect()}
+        for i in range(3):  # the second fold is empty
+            alone = {(i, r["metric"], r["variant"]): near(r["value"]) for r in model.all_metrics(scored.where(F.col("fold") == i), panel_, calls).collect()}
+            assert {k: x for k, x in got.items() if k[0] == i} == alone and len(alone) == (4 if panel_ is None else 13)
+
+
+def test_passes_over_folds_read_blocks(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("fold"), (F.col("id") % 7 < 2).cast("double").alias("label"), F.sin(F.col("id") * 0.37).alias("a"), F.cos(F.col("id") * 1.7).alias("b"))
+    w = np.array([[0.3, -2.0, 0.1], [900.0, 0.0, -900.0], [0.0, 0.0, 0.0]])
+    loss, slope, curve = model.fold_sums(model.packed(rows, ["a", "b"]), w)
+    table = np.array([tuple(r) for r in rows.collect()])
+    for i in range(3):
+        own = table[table[:, 0] != i]
+        x, y = np.column_stack([own[:, 2:], np.ones(len(own))]), own[:, 1]
+        z = x @ w[i]
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        assert np.isclose(loss[i], (np.logaddexp(0, z) - y * z).sum()) and np.allclose(slope[i], x.T @ (p - y)) and np.allclose(curve[i], (x * (p * (1 - p))[:, None]).T @ x)
