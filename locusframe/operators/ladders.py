@@ -10,7 +10,7 @@ from ..sources.scratch import written
 from .annotate import allele_spans
 from .dataset import DEFAULT, Dataset, read_traces
 from .panel import adjust_panel, allele_info, best_ladder, dye_row_of_marker, ladder_candidates, spans_have_peak
-from .signal import high_rows, ladder_peaks, scaler_arrays, scaler_rows
+from .signal import high_rows, ladder_peaks, scaler_arrays
 
 
 def folder_of(path: Column) -> Column:
@@ -23,11 +23,10 @@ def ladder_panels(ladder_files: DataFrame, panel: DataFrame, ladder_alleles: Dat
     ladder is decoded, calibrated and re-based once, however many profiles it serves. A ladder is valid if
     it can be calibrated and has as many peaks on each dye as alleles."""
     _, knots, traces = read_traces(ladder_files.select(F.col("path").alias("hid"), "content"))
-    scaler = scaler_rows(scaler_arrays(knots))
     peaks = written(ladder_peaks(written(high_rows(traces), "ladder-rows"), ladder_alleles.groupBy("dye").agg(F.count(F.lit(1)).alias("n"))), "ladder-peaks")
     kit = F.lit(DEFAULT).alias("panel_id")
     valid = peaks.select("hid").distinct().select("hid", kit)
-    return written(adjust_panel(panel.select("*", kit), ladder_alleles.select("*", kit), peaks, scaler, valid), "ladder-panels")
+    return written(adjust_panel(panel.select("*", kit), ladder_alleles.select("*", kit), peaks, scaler_arrays(knots), valid), "ladder-panels")
 
 
 def distinct_ladders(ladders: DataFrame, panels: DataFrame) -> DataFrame:
@@ -42,7 +41,7 @@ def ladder_bins(profiles: DataFrame, calls: DataFrame, scaler: DataFrame, panels
     """ladder_id, hid, dye, marker, allele, l, r: where each candidate puts each called allele on the profile;
     alleles that no panel has are left out. profiles: hid; calls: hid, dye, marker, allele; candidates: hid,
     ladder_id. Bins are looked up once for each ladder and allele, whatever the number of profiles."""
-    asked = candidates.join(profiles.select("hid"), "hid", "left_semi").join(calls.select("hid", "dye", "marker", "allele").distinct(), "hid")
+    asked = candidates.join(profiles.select("hid"), "hid", "left_semi").join(calls.select("hid", "dye", "marker", "allele").distinct().hint("merge"), "hid")
     wanted = asked.select(F.col("ladder_id").alias("panel_id"), "marker", "allele").distinct()
     info = allele_info(wanted, panels).where("in_panel").select(F.col("panel_id").alias("ladder_id"), "marker", "allele", "bp_left", "bp_right")
     placed = allele_spans(asked.join(info, ["ladder_id", "marker", "allele"]), scaler)
@@ -62,6 +61,7 @@ def select_ladders(samples: DataFrame, loaded: Dataset, ladder_files: DataFrame,
     times = calls.groupBy("hid", "marker", "allele").agg(F.count(F.lit(1)).alias("times"))
     spans = written(ladder_bins(profiles, calls, loaded.places, panels, ladder_candidates(profiles, here)), "ladder-bins")
     hits = written(spans_have_peak(spans, loaded.traces).where("has_peak"), "bins-with-peak")
-    found = spans.join(hits, ["hid", "dye", "l", "r"]).join(times, ["hid", "marker", "allele"])
+    # hits and calls grow with the profiles and are small as files, so they are never broadcast
+    found = spans.join(hits.hint("merge"), ["hid", "dye", "l", "r"]).join(times.hint("merge"), ["hid", "marker", "allele"])
     best = best_ladder(found)
     return profiles.join(best, "hid", "left").select(F.col("hid").alias("image_path"), F.col("ladder_id").alias("ladder_path"))

@@ -25,8 +25,10 @@ def skip_missing_ladder(profiles: DataFrame) -> DataFrame:
 
 
 def drop_incomplete_profiles(profiles: DataFrame, pixels: DataFrame, calls: DataFrame) -> DataFrame:
-    """Profiles with data and with calls."""
-    return profiles.join(pixels.select("hid"), "hid", "left_semi").join(calls.select("hid"), "hid", "left_semi")
+    """Profiles with data and with calls. Their hids are made distinct first: they take little room in a file, so Spark
+    would broadcast all of them."""
+    have = lambda rows: rows.select("hid").distinct()
+    return profiles.join(have(pixels), "hid", "left_semi").join(have(calls), "hid", "left_semi")
 
 
 def profile_by_name(profiles: DataFrame, stem: str) -> DataFrame:

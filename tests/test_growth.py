@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions.constants import LOCUS_THRESHOLDS, NOT_IN_PANEL
-from locusframe.operators import annotate, dataset, ladders, metrics, model, panel, signal
+from locusframe.operators import annotate, dataset, ladders, loading, metrics, model, panel, signal
 from locusframe.plans import views as v
 from locusframe.plans.queries import QUERIES, good_knots, loaded, measured, scaler, scalers
 from locusframe.sources import abif
@@ -164,3 +164,24 @@ def test_passes_over_folds_read_blocks(spark):
         z = x @ w[i]
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         assert np.isclose(loss[i], (np.logaddexp(0, z) - y * z).sum()) and np.allclose(slope[i], x.T @ (p - y)) and np.allclose(curve[i], (x * (p * (1 - p))[:, None]).T @ x)
+
+
+def test_scalers_of_ladders_are_never_broadcast(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ladders, "adjust_panel", lambda *args: seen.append(args) or panel.adjust_panel(*args))
+    kit = v.kit(spark, sf)
+    alleles = kit.where("floor(ord / 5) <> 2").select("dye", (F.floor(F.col("ord") / 5) - (F.col("ord") > 14).cast("int")).alias("k"), "marker", "allele")
+    moved = ladders.ladder_panels(v.files(spark, sf).where("ladder").select("path", "content"), kit, alleles)
+    kits, named, peaks, scaler, valid = seen[0]
+    assert "bps" in scaler.columns  # one row per ladder, not one per pixel
+    plan = panel.adjust_panel(*seen[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=shuffle_hash)" in plan
+    by_rows = panel.adjust_panel(kits, named, peaks, signal.scaler_rows(scaler), valid)
+    assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, by_rows.select(moved.columns).collect())) and not moved.isEmpty()
+
+
+def test_calls_meet_their_profiles_as_distinct_hids(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("hid"))
+    found = loading.drop_incomplete_profiles(spark.range(9).withColumnRenamed("id", "hid"), rows, rows.where("hid <> 3"))
+    assert sorted(r["hid"] for r in found.collect()) == [0, 1, 2, 4, 5, 6]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [hid") == 2
