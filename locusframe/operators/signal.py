@@ -215,12 +215,14 @@ def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     return df.repartition(max(many, -(-rows // TASK_ROWS)), *keys)
 
 
-def segments(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE) -> DataFrame:
-    """hid, s0, s1, b0, b1, step, p0, p1 of each stretch between two knots: scans, base pairs, base pairs a scan and the pixels on it."""
+def segments(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE, profiles: int = 0) -> DataFrame:
+    """hid, s0, s1, b0, b1, step, p0, p1 of each stretch between two knots: scans, base pairs, base pairs a scan and the
+    pixels on it. Where the number of profiles is known they are dealt by their pixels: Spark merges the partitions
+    of few knots, and all that is made of them later, as scalers in hash maps, would lie in a few tasks."""
     first, last = bp_range
     w = Window.partitionBy("hid").orderBy("scan")
     place = lambda bp: F.ceil((F.col(bp) - first) * (pixels - 1) / (last - first))
-    sides = spread(knots, "hid").select("hid", F.col("scan").cast("double").alias("s0"), F.lead(F.col("scan").cast("double")).over(w).alias("s1"), F.col("bp").alias("b0"), F.lead("bp").over(w).alias("b1"))
+    sides = spread(knots, "hid", rows=profiles * pixels).select("hid", F.col("scan").cast("double").alias("s0"), F.lead(F.col("scan").cast("double")).over(w).alias("s1"), F.col("bp").alias("b0"), F.lead("bp").over(w).alias("b1"))
     ends = sides.where("s1 is not null").withColumn("p0", place("b0")).withColumn("p1", F.when(F.col("b1") == last, pixels - 1).otherwise(place("b1") - 1))
     return ends.withColumn("step", (F.col("b1") - F.col("b0")) / (F.col("s1") - F.col("s0")))
 
@@ -243,11 +245,11 @@ def nearest_scan(t: Column, lo: Column, of: Callable[[str], Column] = F.col) ->
     return lo + up.cast("int"), low + F.when(up, of("step")).otherwise(0.0)
 
 
-def rescale_to_grid(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE, ranges: DataFrame | None = None) -> DataFrame:
+def rescale_to_grid(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int, int] = BP_RANGE, ranges: DataFrame | None = None, profiles: int = 0) -> DataFrame:
     """hid, px, scan, bp: for each of evenly spaced base pairs the scan with the nearest one, the lower
     on ties. Each segment between two knots makes its own pixels, so no range join is needed. With ranges (hid,
-    low, high) at least the pixels of those scans, and few others."""
-    own = segments(knots, pixels, bp_range)
+    low, high) at least the pixels of those scans, and few others. profiles: their number, where known (segments)."""
+    own = segments(knots, pixels, bp_range, profiles)
     if ranges is not None:
         place = lambda scan: (F.col("b0") + (scan - F.col("s0")) * F.col("step") - bp_range[0]) * (pixels - 1) / (bp_range[1] - bp_range[0])
         low, high = F.floor(place(F.col("low") - 1)) - 1, F.ceil(place(F.col("high") + 1)) + 1
@@ -258,10 +260,10 @@ def rescale_to_grid(knots: DataFrame, pixels: int = PIXELS, bp_range: tuple[int,
     return near.select("hid", F.col("px").cast("int").alias("px"), scan.cast("int").alias("scan"), bp.alias("bp"))
 
 
-def segment_arrays(knots: DataFrame) -> DataFrame:
+def segment_arrays(knots: DataFrame, profiles: int = 0) -> DataFrame:
     """hid and _segments, its few stretches between knots that have pixels, in order."""
     fields = F.struct("p0", "p1", "s0", "s1", "b0", "b1", "step")
-    return segments(knots).where("p0 <= p1").groupBy("hid").agg(F.sort_array(F.collect_list(fields)).alias("_segments"))
+    return segments(knots, profiles=profiles).where("p0 <= p1").groupBy("hid").agg(F.sort_array(F.collect_list(fields)).alias("_segments"))
 
 
 def grid_of(stretches: Column) -> Column:
@@ -300,10 +302,10 @@ def pixel_arrays(grid: DataFrame, on: str, *columns: str) -> DataFrame:
     return rows.select(on, F.get("_rows", F.lit(0))["px"].alias("first"), "_rows")
 
 
-def scaler_arrays(knots: DataFrame) -> DataFrame:
+def scaler_arrays(knots: DataFrame, profiles: int = 0) -> DataFrame:
     """hid, first, bps: the scaler of rescale_to_grid as one row per profile, its first pixel and all base pairs, made
-    in that row out of its few segments."""
-    grids = segment_arrays(knots).select("hid", grid_of(F.col("_segments")).alias("_grid"))
+    in that row out of its few segments. profiles: their number, where known (segments)."""
+    grids = segment_arrays(knots, profiles).select("hid", grid_of(F.col("_segments")).alias("_grid"))
     return grids.select("hid", F.get("_grid", F.lit(0))["px"].alias("first"), F.col("_grid")["bp"].alias("bps"))
 
 

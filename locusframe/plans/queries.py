@@ -242,12 +242,12 @@ def rescale_to_grid(spark, d):
 
 
 def scaler(spark, d):
-    return signal.rescale_to_grid(good_knots(spark, d)).select("hid", "px", "bp")
+    return signal.rescale_to_grid(good_knots(spark, d), profiles=v.table(spark, d, "supplier").count()).select("hid", "px", "bp")
 
 
 def scalers(spark, d):
     """The same with one row per supplier."""
-    return signal.scaler_arrays(good_knots(spark, d))
+    return signal.scaler_arrays(good_knots(spark, d), v.table(spark, d, "supplier").count())
 
 
 def with_supplier(spark, d, rows: DataFrame, key: str) -> DataFrame:

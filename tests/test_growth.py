@@ -185,3 +185,20 @@ def test_calls_meet_their_profiles_as_distinct_hids(spark):
     found = loading.drop_incomplete_profiles(spark.range(9).withColumnRenamed("id", "hid"), rows, rows.where("hid <> 3"))
     assert sorted(r["hid"] for r in found.collect()) == [0, 1, 2, 4, 5, 6]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [hid") == 2
+
+
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_scalers_are_dealt_by_their_pixels(spark, sf, monkeypatch, limit):
+    whole = sorted(map(tuple, QUERIES["marker_windows"](spark, sf).collect()))
+    suppliers = v.table(spark, sf, "supplier").count()
+    monkeypatch.setattr(signal, "TASK_ROWS", 2048)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)  # the standards of many suppliers are not broadcast
+    try:
+        dealt = QUERIES["marker_windows"](spark, sf)
+        assert sorted(map(tuple, dealt.collect())) == whole and dealt.rdd.getNumPartitions() == 2 * suppliers > 8
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+        assert scalers(spark, sf).rdd.getNumPartitions() == scaler(spark, sf).rdd.getNumPartitions() == 2 * suppliers
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
